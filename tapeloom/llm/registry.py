@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from tapeloom.llm import exact_dedup, mixing, secrets, sharding
+from tapeloom.llm import embedding_dedup, exact_dedup, minhash_dedup, mixing, secrets, sharding
 
 QUERIES = {
     "op1_mixing": mixing.op1,
     "op2_secrets": secrets.op2,
     "op3_sharding": sharding.op3,
+    "op4_minhash_dedup": minhash_dedup.op4,
     "op5_exact_dedup": exact_dedup.op5,
+    "op10_embedding_dedup": embedding_dedup.op10,
 }
 
 ORACLES = {
     "op2_secrets": secrets.OP2_SQL,
+    "op4_minhash_dedup": minhash_dedup.OP4_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
+    "op10_embedding_dedup": embedding_dedup.OP10_SQL,
 }
