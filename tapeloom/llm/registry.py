@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tapeloom.llm import embedding_dedup, exact_dedup, minhash_dedup, mixing, secrets, sharding
+from tapeloom.llm import embedding_dedup, exact_dedup, language_id, minhash_dedup, mixing, pieces, secrets, sharding
 
 QUERIES = {
     "op1_mixing": mixing.op1,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_sharding": sharding.op3,
     "op4_minhash_dedup": minhash_dedup.op4,
     "op5_exact_dedup": exact_dedup.op5,
+    "op6_language_id": language_id.op6,
+    "op8_sentencepiece": pieces.op8,
     "op10_embedding_dedup": embedding_dedup.op10,
 }
 

@@ -41,11 +41,15 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     a = np.frombuffer(data, np.uint8)
     word = np.concatenate(([False], ~_SPACE[a], [False]))
     turns = np.flatnonzero(word[1:] != word[:-1])
-    starts, ends = turns[::2], turns[1::2]
+    return turns[::2], word_hashes_between(a, turns[::2], turns[1::2])
+
+
+def word_hashes_between(a: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each range, from one running sum over all bytes."""
     up, down = powers(len(a) + 1)
     sums = np.zeros(len(a) + 1, np.uint64)
     np.cumsum(_WEIGHT[a] * up[: len(a)], out=sums[1:])
-    return starts, mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
 def shingle_sets(texts: Iterable[str | None], width: int, chunk: int = 1 << 20) -> Iterator[np.ndarray]:
