@@ -125,7 +125,7 @@ class Pieces(dict):
         base, last = 0, [START]
         for end in range(1, len(s) + 1):
             found = NONE
-            for start in range(max(base, end - longest), end):
+            for start in range(end - 1, max(base, end - longest) - 1, -1):
                 piece = get(s[start:end])
                 if piece is None:
                     continue
