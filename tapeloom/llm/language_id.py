@@ -267,20 +267,23 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     model = fit(*training_sample(docs, sample))
+    found = docs.select("doc_id", predicted(spark, model, F.col("text")).alias("p"))
+    return found.select("doc_id", F.coalesce(remainder(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "p.lang_pred", "p.score", "p.n_words")
+
+
+def predicted(spark, model: Model, text: Column) -> Column:
+    """Struct of lang_pred, score and n_words for a text column; needs no shuffle."""
     shared = spark.sparkContext.broadcast(model)
 
-    def run(batches):
+    @F.pandas_udf("lang_pred string, score double, n_words long")
+    def run(texts: pd.Series, letters: pd.Series) -> pd.DataFrame:
         m = shared.value
-        for pdf in batches:
-            found = list(predict(pdf["text"].where(pdf["letters"], "").tolist(), m)) if len(pdf) else []
-            best = [int(s.argmax()) if n and ok and m.labels else -1 for (s, n), ok in zip(found, pdf["letters"], strict=True)]
-            score = [float(min(1.0, s[i])) if i >= 0 else 0.0 for (s, _), i in zip(found, best, strict=True)]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": [m.labels[i] if i >= 0 else "und" for i in best], "score": score, "n_words": [n for _, n in found]})
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    text = docs.select("doc_id", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    out = text.mapInPandas(run, f"doc_id {kind}, lang_pred string, score double, n_words long")
-    return out.select("doc_id", F.coalesce(remainder(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "n_words")
+        found = list(predict(texts.where(letters, "").tolist(), m))
+        best = [int(s.argmax()) if n and ok and m.labels else -1 for (s, n), ok in zip(found, letters, strict=True)]
+        score = [float(min(1.0, s[i])) if i >= 0 else 0.0 for (s, _), i in zip(found, best, strict=True)]
+        return pd.DataFrame({"lang_pred": [m.labels[i] if i >= 0 else "und" for i in best], "score": score, "n_words": [n for _, n in found]})
+
+    return run(text, F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
 
 
 def op6(spark, sf_dir):

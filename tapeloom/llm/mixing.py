@@ -90,7 +90,7 @@ def running(df: DataFrame, by: list[str], value: str, out: str, order: list) ->
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP) -> DataFrame:
-    """Copies that each document gets in the mix: doc_id, size, source_size, target, rate, copies, taken.
+    """Copies that each document gets in the mix: doc_id, text_hash, size, source_size, target, rate, copies, taken.
 
     size counts words ([^\\x20\\x09-\\x0D]+; null text: 0); documents of size 0 get no copy. A null source is a
     source of its own. Rows that repeat an id are documents of their own. An empty table gives an empty mix.
@@ -129,11 +129,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     able = able.withColumn("moves", F.when((F.col("move") != 0) & (F.col("size") <= F.abs("short")), F.col("size")).otherwise(F.lit(0).cast("long"))).withColumn("rise", -F.col("level"))
     able = running(able, ["rise", "part"], "moves", "moved", [F.col("size"), F.col("u"), F.col("doc_id")])
     fits = (F.col("moves") > 0) & (F.col("moved") <= F.abs("short"))
-    done = able.withColumn("copies", F.col("copies") + F.when(fits, F.col("move")).otherwise(0)).select("doc_id", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    done = able.withColumn("copies", F.col("copies") + F.when(fits, F.col("move")).otherwise(0)).select("doc_id", F.col("h").alias("text_hash"), "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     zero = F.lit(0).cast("long")
-    none = sized.filter("size = 0").join(d, F.col("source").eqNullSafe(F.col("k"))).select("doc_id", "size", "source_size", "target", F.lit(0.0).alias("rate"), zero.alias("copies"), zero.alias("taken"))
+    none = sized.filter("size = 0").join(d, F.col("source").eqNullSafe(F.col("k"))).select("doc_id", F.col("h").alias("text_hash"), "size", "source_size", "target", F.lit(0.0).alias("rate"), zero.alias("copies"), zero.alias("taken"))
     return done.unionByName(none)
 
 
 def op1(spark, sf_dir):
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(table(spark, sf_dir, "documents")).drop("text_hash")

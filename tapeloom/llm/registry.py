@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tapeloom.llm import embedding_dedup, exact_dedup, language_id, minhash_dedup, mixing, pieces, secrets, sharding
+from tapeloom.llm import embedding_dedup, exact_dedup, language_id, lm_scoring, minhash_dedup, mixing, pieces, repeats, secrets, sharding
 
 QUERIES = {
     "op1_mixing": mixing.op1,
@@ -11,7 +11,9 @@ QUERIES = {
     "op4_minhash_dedup": minhash_dedup.op4,
     "op5_exact_dedup": exact_dedup.op5,
     "op6_language_id": language_id.op6,
+    "op7_lm_scoring": lm_scoring.op7,
     "op8_sentencepiece": pieces.op8,
+    "op9_repeats": repeats.op9,
     "op10_embedding_dedup": embedding_dedup.op10,
 }
 
