@@ -48,3 +48,20 @@ def unit_hash(*cols: Column | str) -> Column:
 def small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Hint a broadcast only for a row count that was checked; a shuffle join serves beyond it."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def whole_groups(batches, key: list[str]):
+    """Frames of whole groups from batches that are sorted by `key`: the last group of a batch may go on in the next."""
+    import pandas as pd
+
+    rest = None
+    for pdf in batches:
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        last = (pdf[key] == pdf[key].iloc[-1]).all(axis=1).to_numpy()
+        rest = pdf[last]
+        if not last.all():
+            yield pdf[~last].reset_index(drop=True)
+    if rest is not None and len(rest):
+        yield rest.reset_index(drop=True)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import cut, shuffle_partitions, table
+from tapeloom.llm.common import cut, shuffle_partitions, table, whole_groups
 from tapeloom.llm.components import components
 
 MISS = 1e-6
@@ -141,15 +141,8 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     block_key = [*where, "p", "q"]
 
     def run(batches):
-        rest = None  # the last block of a batch may go on in the next
-        for pdf in batches:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            last = (pdf[block_key] == pdf[block_key].iloc[-1]).all(axis=1).to_numpy() if len(pdf) else np.zeros(0, bool)
-            rest = pdf[last]
-            if not last.all():
-                yield compare(pdf[~last].reset_index(drop=True), threshold)
-        if rest is not None and len(rest):
-            yield compare(rest.reset_index(drop=True), threshold)
+        for pdf in whole_groups(batches, block_key):
+            yield compare(pdf, threshold)
 
     dealt = full.repartition(shuffle_partitions(spark), *block_key).sortWithinPartitions(*block_key)
     found = cut(dealt.mapInPandas(run, "node long, links long, other long"), "found")

@@ -4,7 +4,9 @@
    signature and one key a band. Documents with equal sets are one node from here on.
 2. Nodes that share a band key are candidates. Not all pairs of a bucket are made: each member is compared
    with the pivots of its bucket first. Members that are then still in different components are compared
-   with each other, so that no link that could join two components is left out.
+   with each other, so that no link that could join two components is left out: as pairs in buckets of at
+   most BIG nodes; in larger ones the nodes outside the main component are a query set against all nodes, in
+   blocks that hold the full sets and return one link for each component that a query joins.
 3. A pair's signatures are compared batch by batch. With m of n values equal and a uniform prior, the chance
    that the similarity reaches the threshold is P(Binomial(n + 1, threshold) <= m); the pair is dropped as
    soon as that falls below the chosen miss probability.
@@ -22,14 +24,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import cut, small, table
+from tapeloom.llm.common import cut, shuffle_partitions, small, table, whole_groups
 from tapeloom.llm.components import components
 from tapeloom.llm.shingles import mix, shingle_sets
 
 BANDS, ROWS = 28, 5  # a pair at 0.8 shares no band with probability (1 - 0.8**5)**28 = 1.5e-5
 BATCH = 20
 MISS = 1e-6
-PIVOTS = 2
+PIVOTS = 4
+BIG = 16
+QUERIES, MEMBERS = 256, 512  # nodes in a block
 ID_LIMIT = 500_000
 _HASHES = BANDS * ROWS
 _FACTORS = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, (2, _HASHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -130,6 +134,68 @@ def _pair(x, y):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
+def _main(labelled: DataFrame, key: str) -> DataFrame:
+    """Of each key with several labels the most frequent one, with the nodes inside and outside it: key, main, all, out."""
+    parts = labelled.groupBy(key, "label").agg(F.count("*").alias("m"))
+    g = parts.groupBy(key).agg(F.max(F.struct("m", F.col("label").alias("main"))).alias("x"), F.sum("m").alias("all"), F.count("*").alias("k")).filter("k > 1")
+    return g.select(key, F.col("x.main").alias("main"), "all", (F.col("all") - F.col("x.m")).alias("out"))
+
+
+def block_links(wide: DataFrame, found: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that join components of nodes in large buckets; `wide` has node and pivot, one row a bucket.
+
+    Buckets that share nodes form a region. Its nodes outside its main component, in blocks of QUERIES, meet
+    all its nodes, in blocks of MEMBERS, with their full sets. For each query and component one link suffices.
+    """
+    regions = components(wide.select(F.col("node").alias("u"), F.col("pivot").alias("v"))).withColumnRenamed("component", "region")
+    nodes = regions.join(found, "node", "left").select("node", "region", F.coalesce("component", "node").alias("label"))
+    nodes = cut(nodes.join(_main(nodes, "region"), "region"), "regions")
+    ids = nodes.select(F.col("node").alias("doc_id"))
+    texts = docs.join(small(ids, ids.count(), ID_LIMIT), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+    def sets(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"node": pdf["doc_id"], "elements": [x.tobytes() for x in shingle_sets(pdf["text"], width)]})
+
+    elements = cut(texts.mapInPandas(sets, "node long, elements binary"), "sets")
+    qs, ms = F.ceil(F.col("out") / QUERIES).cast("int"), F.ceil(F.col("all") / MEMBERS).cast("int")
+    spot = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    asks = nodes.filter("label != main").select("node", "label", "region", F.lit(True).alias("asks"), spot(qs).alias("q"), F.explode(F.sequence(F.lit(0), ms - 1)).alias("m"))
+    told = nodes.select("node", "label", "region", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), qs - 1)).alias("q"), spot(ms).alias("m"))
+    key = ["region", "q", "m"]
+    placed = asks.unionByName(told).join(elements, "node")
+
+    def run(batches):
+        for pdf in whole_groups(batches, key):
+            for _, g in pdf.groupby(key, sort=False):
+                yield _block(g, percent)
+
+    dealt = placed.repartition(shuffle_partitions(docs.sparkSession), *key).sortWithinPartitions(*key)
+    return dealt.mapInPandas(run, "a long, b long").distinct()
+
+
+def _block(g: pd.DataFrame, percent: int) -> pd.DataFrame:
+    asks, told = g[g["asks"]], g[~g["asks"]]
+    out: list[tuple[int, int]] = []
+    if len(asks) and len(told):
+        sets = [np.frombuffer(x, np.uint64) for x in told["elements"]]
+        size = np.array([len(x) for x in sets])
+        every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], owner[order]
+        labels, nodes = told["label"].to_numpy(), told["node"].to_numpy()
+        for node, label, x in zip(asks["node"], asks["label"], asks["elements"], strict=True):
+            x = np.frombuffer(x, np.uint64)
+            lo, hi = np.searchsorted(every, x, "left"), np.searchsorted(every, x, "right")
+            n = hi - lo
+            at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            common = np.bincount(owner[at], minlength=len(sets))
+            linked = np.flatnonzero((100 * common >= percent * (len(x) + size - common)) & (labels != label))
+            _, first = np.unique(labels[linked], return_index=True)
+            out += [(min(node, o), max(node, o)) for o in nodes[linked[first]].tolist()]
+    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
     """Components of documents that are linked by near-equal sets of `width`-word shingles.
 
@@ -149,7 +215,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     members = nodes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     pick = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "n")).alias(f"p{i}") for i in range(PIVOTS)]
-    buckets = members.groupBy("key").agg(F.count("*").alias("m"), *pick).filter("m > 1").select("key", F.array_distinct(F.array(*[F.struct(F.col(f"p{i}.node").alias("node"), F.col(f"p{i}.n").alias("n")) for i in range(PIVOTS)])).alias("pivots"))
+    pivots = F.array_distinct(F.array(*[F.struct(F.col(f"p{i}.node").alias("node"), F.col(f"p{i}.n").alias("n")) for i in range(PIVOTS)]))
+    buckets = members.groupBy("key").agg(F.count("*").alias("m"), *pick).filter("m > 1").select("key", "m", pivots.alias("pivots"))
     shared = cut(members.join(buckets, "key"), "shared")
     close = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))  # noqa: E731  sizes alone rule out the others
     star = shared.select("node", "n", F.explode("pivots").alias("p")).filter((F.col("node") != F.col("p.node")) & close(F.col("n"), F.col("p.n")))
@@ -158,16 +225,19 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     # members of a bucket that the pivots left in different components
-    labelled = shared.select("key", "node", "n").join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("label"))
-    parts = labelled.groupBy("key", "label").agg(F.count("*").alias("m"))
-    main = parts.groupBy("key").agg(F.max(F.struct("m", F.col("label").alias("main"))).alias("x"), F.count("*").alias("k")).filter("k > 1").select("key", F.col("x.main").alias("main"))
+    label = F.coalesce("component", "node").alias("label")
+    labelled = shared.filter(F.col("m") <= BIG).select("key", "node", "n").join(found, "node", "left").select("key", "node", "n", label)
+    main = _main(labelled, "key").select("key", "main")
     open_ = cut(labelled.join(main, "key"), "open")
     outside = open_.filter("label != main").select("key", F.col("node").alias("one"), F.col("n").alias("n1"), F.col("label").alias("l1"))
     # a pair of two outside members comes up from either side; distinct leaves one
     rest = outside.join(open_.select("key", F.col("node").alias("two"), F.col("n").alias("n2"), F.col("label").alias("l2")), "key").filter((F.col("l1") != F.col("l2")) & close(F.col("n1"), F.col("n2")))
     rest = rest.select(*_pair(F.col("one"), F.col("two"))).distinct().join(star, ["a", "b"], "left_anti")
     more = cut(confirm(prune(cut(rest, "rest"), nodes, threshold, miss), docs, width, percent), "links")
-    found = components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    wide = shared.filter(F.col("m") > BIG).select("node", F.col("pivots")[0]["node"].alias("pivot"))
+    blocks = cut(block_links(wide, found, docs, width, percent), "links")
+    links = links.unionByName(more).unionByName(blocks)
+    found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     groups = same.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = rows.select("doc_id", "n_shingles", "digest").join(groups, "digest", "left")
