@@ -1,8 +1,7 @@
 """External induced suffix sorting of one shard of text, with common prefixes of neighbours.
 
-The suffixes that are smaller than their left neighbour's (S*-suffixes) are sorted first: their substrings are
-sorted by an induction and named, and the text of names, at most half as long, is sorted by recursion. Then a
-queue ordered by (first symbol, rank of the rest) yields all suffixes: popping a suffix pushes the one that
+The suffixes that are smaller than their left neighbour's (S*-suffixes) are sorted first: their substrings
+are named by rank, and the text of names, at most half as long, is sorted by recursion. Then a queue ordered by (first symbol, rank of the rest) yields all suffixes: popping a suffix pushes the one that
 starts a symbol before it, first for the suffixes that are larger than their rest, then, from the other end,
 for those that are smaller. As pushes of one symbol arrive in rank order, the queue is a file of buckets by
 symbol with a head in each: a push appends to its bucket and popping reads on. Beyond IN_MEMORY entries the
@@ -16,8 +15,6 @@ import tempfile
 
 import numpy as np
 
-from tapeloom.llm.shingles import mix, powers
-
 IN_MEMORY = 1 << 24
 BLOCK = 1 << 20
 
@@ -116,28 +113,40 @@ def suffix_order(text: np.ndarray, symbols: int) -> np.ndarray:
     smaller = rises[np.minimum.accumulate(nonzero[::-1])[::-1]] > 0  # than the suffix that follows
     star = np.flatnonzero(smaller[1:] & ~smaller[:-1]).astype(np.int32) + np.int32(1)
     if len(star) > 1:
-        # a first induction sorts the substrings between S*-suffixes; equal ones get one name
-        order = _both(text, symbols, smaller, star)
-        is_star = np.zeros(n, bool)
-        is_star[star] = True
-        star_order = order[is_star[order]]
-        up, down = powers(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(mix(text.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-        ends = np.concatenate([star[1:] + 1, [n]])
-        digest = mix((sums[ends] - sums[star]) * down[star] + (ends - star).astype(np.uint64))
-        where = np.empty(n, np.int32)
-        where[star] = np.arange(len(star), dtype=np.int32)
-        d = digest[where[star_order]]
-        names = np.cumsum(np.concatenate([[0], d[1:] != d[:-1]]))
-        if names[-1] + 1 < len(star):
-            reduced = np.empty(len(star), np.int32)
-            reduced[where[star_order]] = names
-            star_order = star[suffix_order(reduced, int(names[-1]) + 1)]
-        star = star_order
+        names = substring_names(text, symbols, smaller, star)
+        distinct = int(names.max()) + 1
+        order = suffix_order(names.astype(np.int32), distinct) if distinct < len(star) else np.argsort(names)
+        star = star[order]
     return _both(text, symbols, smaller, star)
 
 
+def substring_names(text: np.ndarray, symbols: int, smaller: np.ndarray, star: np.ndarray) -> np.ndarray:
+    """Ranks of the substrings from each S*-suffix to the next, in the order of the induction: equal ones share one.
+
+    A symbol counts with its kind, by which a substring that ends differs from one that goes on. As many symbols
+    as fit a machine word are compared a round; later rounds concern the few substrings that are longer.
+    """
+    bits = (2 * symbols + 1).bit_length()
+    per = 63 // bits
+    length = np.diff(np.append(star, len(text) - 1)) + 1
+    rank = np.zeros(len(star), np.int64)
+    at = np.arange(len(star))
+    for r in range(0, int(length.max()), per):
+        at = at[length[at] > r]
+        key = np.zeros(len(at), np.int64)
+        for j in range(r, r + per):
+            p = np.minimum(star[at] + j, len(text) - 1)
+            key = (key << bits) | np.where(j < length[at], text[p].astype(np.int64) * 2 + smaller[p] + 1, 0)
+        _, sub = np.unique(key, return_inverse=True)
+        if r == 0:
+            rank = sub
+        else:
+            finer = rank * (sub.max() + 1 if len(sub) else 1)
+            finer[at] += sub
+            _, rank = np.unique(finer, return_inverse=True)
+    return rank
+
+
 def _both(text: np.ndarray, symbols: int, smaller: np.ndarray, star: np.ndarray) -> np.ndarray:
     """Larger suffixes induced from S*-suffixes, then the smaller ones from these, in mirrored order."""
     q = induce(text, symbols, ~smaller, star)

@@ -7,9 +7,10 @@
 2. Classes. Segments that are equal throughout (by 64-bit hashes of the anchor and of the segment, its length
    and the anchor's offset) form a class; one of two members or more repeats in full. Groups of copies of any
    size end here, as counts.
-3. Induced sorting. Where different classes share an anchor, one segment of each class goes to the shard of
-   that anchor. A shard's segments are one text, whose suffixes are sorted by external induced sorting (see
-   induced_sort); neighbours with a common prefix of SPAN bytes or more mark repeated windows.
+3. Induced sorting. Where different classes share an anchor, one segment of each class is cut into parts of
+   PART window starts. All windows of a part hold its core, whose name stands for it, so a part is a few dozen
+   symbols. The parts of a range of cores make up a shard, whose suffixes are sorted by external induced sorting
+   (see induced_sort); neighbours with a common prefix of a window's length or more mark repeated windows.
 4. The union of all repeated windows is cut out of each document.
 """
 
@@ -23,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import cut, shuffle_partitions, small, table
+from tapeloom.llm.common import cut, shuffle_partitions, small, table, whole_groups
 from tapeloom.llm.induced_sort import equal_neighbours, store, suffix_order
 from tapeloom.llm.shingles import _WEIGHT, mix, powers
 
 SPAN, K = 200, 64
+PART = 16  # windows in a part
 SLICE = 180_000  # bytes hashed at once; positions within them take PLACE bits
 PLACE = 18
 ID_LIMIT = 500_000
@@ -103,64 +105,66 @@ def all_segments(rows: DataFrame, span: int, k: int) -> DataFrame:
     return rows.select("id", "key", "data").mapInArrow(run, "h long, digest long, n int, off int, id long, key long, lo long")
 
 
-def intervals(segs: list[np.ndarray], starts: np.ndarray, span: int) -> list[tuple[int, int, int]]:
-    """(segment, first, last) of the runs of window starts in `segs` that some other place repeats.
+def solve(core: np.ndarray, sides: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Which windows of PART-window parts some other part repeats, as booleans of shape (parts, PART).
 
-    The segments are laid end to end; `starts` has the number of windows of each.
+    A part is the text around a core, which all its windows hold: PART - 1 bytes on each side. The core becomes
+    one symbol, so that a window is PART symbols; parts laid end to end are the text to sort.
     """
-    lengths = np.array([len(x) + 1 for x in segs])
-    at = np.concatenate([[0], np.cumsum(lengths)])
-    text = store(int(at[-1]) + 1, np.int32, 1)  # 1 parts segments, 0 ends the text
-    data = store(int(at[-1]) + 8, np.uint8, 0)
-    for i, x in enumerate(segs):
-        text[at[i] : at[i] + len(x)] = x.astype(np.int32) + 2
-        data[at[i] : at[i] + len(x)] = x
-    text[-1] = 0
-    window = np.zeros(len(text), bool)
-    owner = np.repeat(np.arange(len(segs)), starts)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(starts) - starts, starts)
-    window[at[owner] + place] = True
-    order = suffix_order(text, 258)
-    order = order[window[order]]
-    same = equal_neighbours(np.asarray(data), order, span)
-    repeated = np.zeros(len(text), bool)
+    m, row = len(core), 2 * PART
+    text = store(m * row + 1, np.int32, 0)
+    grid = text[:-1].reshape(m, row)
+    grid[:, : PART - 1] = sides[:, : PART - 1].astype(np.int32) + 2
+    grid[:, PART - 1] = core + 258
+    grid[:, PART:-1] = sides[:, PART - 1 :].astype(np.int32) + 2
+    grid[:, -1] = 1  # parts the rows; 0 ends the text
+    at = np.arange(PART)
+    window = np.zeros((m, row), bool)
+    window[:, :PART] = (at >= first[:, None]) & (at < (first + count)[:, None])
+    order = suffix_order(text, int(core.max()) + 259)
+    order = order[:][np.append(window.ravel(), False)[order]].astype(np.int64)
+    same = equal_neighbours(text.view(np.uint8), order * 4, PART * 4)
+    repeated = np.zeros(m * row, bool)
     repeated[order[1:][same]] = True
     repeated[order[:-1][same]] = True
-    hits = repeated[at[owner] + place]
-    seg, first = owner[hits], place[hits]
-    if not len(seg):
-        return []
-    new = np.concatenate([[True], (seg[1:] != seg[:-1]) | (first[1:] != first[:-1] + 1)])
-    lo = np.flatnonzero(new)
-    hi = np.concatenate([lo[1:], [len(seg)]]) - 1
-    return list(zip(seg[lo].tolist(), first[lo].tolist(), first[hi].tolist(), strict=True))
+    return repeated.reshape(m, row)[:, :PART]
 
 
-def sort_shards(shards: DataFrame, span: int, shard: int) -> DataFrame:
-    """Intervals (id, key, lo, hi: bytes) of repeated windows; the rows come sorted by anchor hash h.
+def sort_shards(parts: DataFrame, shard: int) -> DataFrame:
+    """Intervals (id, key, lo, n: starts) of repeated windows; the rows come sorted by core.
 
-    Whole anchor groups make up a text of about `shard` bytes.
+    Whole core groups make up a text of about `shard` parts. Equal parts are one: they repeat each other.
     """
-    schema = "id long, key long, lo long, hi long"
-
-    def solve(rows: list) -> pd.DataFrame:
-        found = intervals([np.frombuffer(r[1], np.uint8) for r in rows], np.array([r[2] for r in rows]), span)
-        one = [(rows[i][3], rows[i][4], rows[i][5] + a, rows[i][5] + b + span) for i, a, b in found if rows[i][6]]
-        return pd.DataFrame(one, columns=["id", "key", "lo", "hi"])
+    def part(rows: pd.DataFrame) -> pd.DataFrame:
+        group = rows.groupby(["core1", "core2"], sort=False).ngroup().to_numpy()
+        alike = rows.groupby(["core1", "core2", "sides", "first", "count"], sort=False)
+        copies, one = alike["id"].transform("size").to_numpy() > 1, ~rows.duplicated(["core1", "core2", "sides", "first", "count"]).to_numpy()
+        kinds = np.bincount(group[one], minlength=group.max() + 1)
+        need = one & (kinds[group] > 1)
+        first, count = rows["first"].to_numpy(), rows["count"].to_numpy()
+        at = np.arange(PART)
+        hits = np.zeros((len(rows), PART), bool)
+        if need.any():
+            _, core = np.unique(group[need], return_inverse=True)
+            hits[need] = solve(core, np.frombuffer(b"".join(rows["sides"][need]), np.uint8).reshape(-1, 2 * (PART - 1)), first[need], count[need])
+        hits[copies] = (at >= first[copies, None]) & (at < (first + count)[copies, None])
+        hits[~rows["single"].to_numpy()] = False
+        edge = np.diff(np.pad(hits, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        (r, lo), (_, hi) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+        return pd.DataFrame({"id": rows["id"].to_numpy()[r], "key": rows["key"].to_numpy()[r], "lo": rows["lo"].to_numpy()[r] + lo - first[r], "n": hi - lo})
 
     def run(batches):
-        rows, size = [], 0
-        for pdf in batches:
-            for r in zip(pdf["h"], pdf["seg"], pdf["n"], pdf["id"], pdf["key"], pdf["lo"], pdf["single"], strict=True):
-                if rows and size >= shard and r[0] != rows[-1][0]:
-                    yield solve(rows)
-                    rows, size = [], 0
-                rows.append(r)
-                size += len(r[1])
-        if rows:
-            yield solve(rows)
+        rest, size = [], 0
+        for pdf in whole_groups(batches, ["core1", "core2"]):
+            rest.append(pdf)
+            size += len(pdf)
+            if size >= shard:
+                yield part(pd.concat(rest, ignore_index=True))
+                rest, size = [], 0
+        if size:
+            yield part(pd.concat(rest, ignore_index=True))
 
-    return shards.mapInPandas(run, schema)
+    return parts.mapInPandas(run, "id long, key long, lo long, n long")
 
 
 def texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -169,26 +173,53 @@ def texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.join(small(ids, ids.count(), ID_LIMIT), "key", "left_semi").join(wanted, ["id", "key"])
 
 
-def cut_pieces(rows: DataFrame, pieces: DataFrame, span: int) -> DataFrame:
-    """The bytes of segments: h, seg, n, id, key, lo, single. A document's list of pieces is at most as long as it."""
-    lists = cut(pieces.groupBy("id", "key").agg(F.collect_list(F.struct("h", "lo", "n", "single")).alias("pieces")), "pieces")
+def cut_parts(rows: DataFrame, pieces: DataFrame, span: int) -> DataFrame:
+    """Parts of open segments: core1, core2 (two hashes of the bytes that all windows of the part hold), sides (the
+    bytes before and after the core), first and count (windows of the part that the segment has), id, key, lo
+    (the first of these in the text), single. Parts are cut by distance from the anchor, so that equal windows
+    lie in parts of equal cores. A document's list of pieces is at most as long as it."""
+    lists = cut(pieces.groupBy("id", "key").agg(F.collect_list(F.struct("lo", "n", "off", "single")).alias("pieces")), "pieces")
+    inner = span - PART + 1
+
+    def of(data: bytes, lo, n, off, single) -> tuple:
+        a, steps = lo + off, (off // PART) - ((off - n + 1) // PART) + 1
+        seg = np.repeat(np.arange(len(lo)), steps)
+        q = (off // PART)[seg] - (np.arange(len(seg)) - np.repeat(np.cumsum(steps) - steps, steps))
+        start = a[seg] - PART * q  # of the core
+        near, far = np.maximum(PART * q, (off - n + 1)[seg]), np.minimum(PART * q + PART - 1, off[seg])
+        x = np.frombuffer(data, np.uint8)
+        up, down = powers(len(x) + 1)
+        sums = np.zeros(len(x) + 1, np.uint64)
+        cores = []
+        for turn in (0, 101):
+            np.cumsum(np.roll(_WEIGHT, turn)[x] * up[: len(x)], out=sums[1:])
+            cores.append(mix((sums[start + inner] - sums[start]) * down[start]).view(np.int64))
+        padded = np.pad(x, PART)
+        sides = np.concatenate([padded[(start + PART)[:, None] + np.arange(1 - PART, 0)], padded[(start + PART + inner)[:, None] + np.arange(PART - 1)]], axis=1)
+        return *cores, sides, PART * q + PART - 1 - far, far - near + 1, a[seg] - far, single[seg]
 
     def run(batches):
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("h", "seg", "n", "id", "key", "lo", "single")}
-            for i in range(batch.num_rows):
-                data = batch.column(2)[i].as_py()
-                for p in batch.column(3)[i].as_py():
-                    for c, v in (("h", p["h"]), ("seg", data[p["lo"] : p["lo"] + p["n"] - 1 + span]), ("n", p["n"]), ("id", batch.column(0)[i].as_py()), ("key", batch.column(1)[i].as_py()), ("lo", p["lo"]), ("single", p["single"])):
-                        out[c].append(v)
-            types = (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], list(out))
+            p = batch.column(3)
+            ends = p.offsets.to_numpy()
+            flat = {c: p.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("lo", "n", "off", "single")}
+            ends = ends - ends[0]
+            for at in range(0, batch.num_rows, 256):  # a bounded number of documents at once
+                out = []
+                for i in range(at, min(at + 256, batch.num_rows)):
+                    s = slice(ends[i], ends[i + 1])
+                    got = of(batch.column(2)[i].as_buffer(), flat["lo"][s], flat["n"][s].astype(np.int64), flat["off"][s].astype(np.int64), flat["single"][s])
+                    out.append((*got, np.full(len(got[0]), batch.column(0)[i].as_py()), np.full(len(got[0]), batch.column(1)[i].as_py())))
+                core1, core2, sides, first, count, lo, single, ids, keys = (np.concatenate(c) for c in zip(*out, strict=True))
+                flat_sides = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * PART - 2), len(sides), [None, pa.py_buffer(np.ascontiguousarray(sides))]).cast(pa.binary())
+                columns = [pa.array(core1), pa.array(core2), flat_sides, pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(lo), pa.array(single), pa.array(ids), pa.array(keys)]
+                yield pa.RecordBatch.from_arrays(columns, ["core1", "core2", "sides", "first", "count", "lo", "single", "id", "key"])
 
     texts = texts_of(rows.select("id", "key", "data"), lists)
-    return texts.select("id", "key", "data", "pieces").mapInArrow(run, "h long, seg binary, n int, id long, key long, lo long, single boolean")
+    return texts.select("id", "key", "data", "pieces").mapInArrow(run, "core1 long, core2 long, sides binary, first int, count int, lo long, single boolean, id long, key long")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, k: int = K, shard: int = 4_000_000, most: int = 50_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, k: int = K, shard: int = 30_000, most: int = 50_000) -> DataFrame:
     """Cut every byte out of each text that lies in a string of `span` bytes which also starts anywhere else.
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of the bytes left, kept
@@ -196,8 +227,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Matches lie within one text. Rows that repeat both id and text are two places for each of their strings,
     so all of their bytes go where they are long enough. A null id is an id like others.
 
-    Anchor groups of more than `most` different segments aren't sorted in one task: their windows are dealt
-    out by two 64-bit hashes of all their bytes and counted.
+    Core groups of more than `most` parts aren't sorted in one task: their windows are dealt out and counted.
     """
     spark = docs.sparkSession
     rows = keyed(docs, id_col, text_col)
@@ -205,15 +235,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = cut(all_segments(rows, span, k).join(twice, "h"), "segments")
     same = ["h", "digest", "n", "off"]
     classes = cut(found.groupBy(*same).agg(F.count("*").alias("c"), F.min(F.struct("id", "key", "lo")).alias("one")), "classes")
-    whole = found.join(classes.filter("c > 1").select(*same), same).select("id", "key", "lo", (F.col("lo") + F.col("n") - 1 + span).alias("hi"))
+    whole = found.join(classes.filter("c > 1").select(*same), same).select("id", "key", "lo", "n")
     open_ = classes.groupBy("h").agg(F.count("*").alias("k"), F.count_if(F.col("c") == 1).alias("s")).filter("k > 1 and s > 0")
-    pieces = classes.join(open_, "h").select("h", "one.*", "n", (F.col("c") == 1).alias("single"), (F.col("k") > most).alias("wide"))
-    pieces = cut(pieces, "open")
-    segs = cut_pieces(rows, pieces.filter("not wide"), span)
-    dealt = segs.repartition(shuffle_partitions(spark), "h").sortWithinPartitions("h")
-    parts = whole.unionByName(sort_shards(dealt, span, shard))
-    if pieces.filter("wide").limit(1).count():
-        parts = parts.unionByName(count_windows(cut_pieces(rows, pieces.filter("wide"), span), span))
+    pieces = cut(classes.join(open_.select("h"), "h").select("one.*", "n", "off", (F.col("c") == 1).alias("single")), "open")
+    parts = cut(cut_parts(rows, pieces, span), "parts")
+    # a core that one part has can't repeat
+    groups = parts.groupBy("core1", "core2").agg(F.count("*").alias("k"), F.count_if("single").alias("s")).filter("k > 1 and s > 0").select("core1", "core2", (F.col("k") > most).alias("wide"))
+    parts = parts.join(groups, ["core1", "core2"])
+    dealt = parts.filter("not wide").repartition(shuffle_partitions(spark), "core1", "core2").sortWithinPartitions("core1", "core2")
+    starts = whole.unionByName(sort_shards(dealt, shard)).unionByName(count_windows(parts.filter("wide")))
+    parts = starts.select("id", "key", "lo", (F.col("lo") + F.col("n") - 1 + span).alias("hi"))
     lists = cut(parts.groupBy("id", "key").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans")), "spans")
 
     def run(batches):
@@ -243,26 +274,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return changed.unionByName(clean.select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), "kept_sha256", F.lit(None).cast("binary").alias("kept")))
 
 
-def count_windows(segs: DataFrame, span: int) -> DataFrame:
-    """Intervals of repeated windows of segments, by counts of window hashes; for groups of any size."""
-    def hashes(data: np.ndarray, n: int) -> list[np.ndarray]:
-        up, down = powers(len(data) + 1)
-        out = []
-        for turn in (0, 101):
-            sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(np.roll(_WEIGHT, turn)[data] * up[: len(data)], out=sums[1:])
-            out.append(mix((sums[span : span + n] - sums[:n]) * down[:n]).view(np.int64))
-        return out
-
-    def run(batches):
-        for pdf in batches:
-            for seg, n, i, key, lo, single in zip(pdf["seg"], pdf["n"], pdf["id"], pdf["key"], pdf["lo"], pdf["single"], strict=True):
-                a, b = hashes(np.frombuffer(seg, np.uint8), n)
-                yield pd.DataFrame({"a": a, "b": b, "id": i, "key": key, "lo": lo + np.arange(n), "single": single})
-
-    each = cut(segs.mapInPandas(run, "a long, b long, id long, key long, lo long, single boolean"), "windows")
-    twice = each.groupBy("a", "b").agg(F.count("*").alias("c")).filter("c > 1").select("a", "b")
-    return each.filter("single").join(twice, ["a", "b"]).select("id", "key", "lo", (F.col("lo") + span).alias("hi"))
+def count_windows(parts: DataFrame) -> DataFrame:
+    """Intervals of repeated windows by counts, for core groups of any size: a window is its core and PART - 1
+    bytes of the sides, from its place on."""
+    each = parts.withColumn("j", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)))
+    window = ["core1", "core2", "j", F.expr(f"substring(sides, j + 1, {PART - 1})").alias("w")]
+    twice = each.select(*window).groupBy("core1", "core2", "j", "w").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
+    hits = each.filter("single").select(*window, "id", "key", (F.col("lo") + F.col("j") - F.col("first")).alias("lo")).join(twice, ["core1", "core2", "j", "w"], "left_semi")
+    return hits.select("id", "key", "lo", F.lit(1).cast("long").alias("n"))
 
 
 def op9(spark, sf_dir):
