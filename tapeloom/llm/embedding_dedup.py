@@ -59,7 +59,7 @@ def roots(adjacent: np.ndarray) -> np.ndarray:
 
 def compare(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Counts and forest edges of whole blocks: rows (node, links, other), where one of the two is null."""
-    node, weight, side, t = (pdf[c].to_numpy() for c in ("node", "copies", "side", "table"))
+    node, weight, side, t, p, q = (pdf[c].to_numpy() for c in ("node", "copies", "side", "table", "p", "q"))
     counts = np.zeros(len(pdf), np.int64)
     edges: list[tuple[np.ndarray, np.ndarray]] = []
     group = pdf.groupby(["table", "label", "dim", "bits", "p", "q"], sort=False, dropna=False).ngroup().to_numpy()
@@ -70,17 +70,17 @@ def compare(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
         v = np.array(pdf["embedding"].iloc[lo:hi].tolist(), np.float64)
         v /= np.sqrt((v * v).sum(axis=1))[:, None]
         keys = np.array(pdf["keys"].iloc[lo:hi].tolist(), np.int64)
-        m, own = hi - lo, side[lo:hi]
+        m, own, two = hi - lo, side[lo:hi], p[lo] != q[lo]  # two chunks: only pairs across them
         if m <= 64:
             a, b = np.triu_indices(m, 1)
-            cross = own[a] != own[b] if own.any() else np.ones(len(a), bool)
+            cross = own[a] != own[b] if two else slice(None)
             a, b = a[cross], b[cross]
             ok = linked(v, keys, t[lo], a, b, threshold)
             a, b = a[ok], b[ok]
         else:
             near = v @ v.T >= threshold - 1e-9
             np.fill_diagonal(near, False)
-            if own.any():
+            if two:
                 near &= own[:, None] != own[None, :]
             a, b = np.nonzero(np.triu(near))
             ok = linked(v, keys, t[lo], a, b, threshold)
@@ -136,7 +136,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     placed = slots.join(sizes, where).withColumn("c", F.ceil(F.col("m") / block).cast("int"))
     # a bucket of c chunks has blocks (p, q) with p <= q; a row goes to the c blocks of its chunk
     placed = placed.withColumn("chunk", F.pmod(F.xxhash64("node", "table"), F.col("c")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-    placed = placed.select("node", *where, F.least("chunk", "x").alias("p"), F.greatest("chunk", "x").alias("q"), F.when(F.col("chunk") > F.col("x"), 1).when(F.col("chunk") < F.col("x"), 0).otherwise(0).alias("side"))
+    placed = placed.select("node", *where, F.least("chunk", "x").alias("p"), F.greatest("chunk", "x").alias("q"), (F.col("chunk") > F.col("x")).cast("int").alias("side"))
     full = placed.join(keyed.select("node", "copies", "embedding", "keys"), "node")
     block_key = [*where, "p", "q"]
 
