@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tapeloom.llm.common import table, unit_hash
+from tapeloom.llm.common import table, text_batches, unit_hash
 from tapeloom.llm.shingles import mix, word_hashes_between
 
 SAMPLE = 120  # documents a language
@@ -273,6 +273,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 def predicted(spark, model: Model, text: Column) -> Column:
     """Struct of lang_pred, score and n_words for a text column; needs no shuffle."""
+    text_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, n_words long")
@@ -283,7 +284,8 @@ def predicted(spark, model: Model, text: Column) -> Column:
         score = [float(min(1.0, s[i])) if i >= 0 else 0.0 for (s, _), i in zip(found, best, strict=True)]
         return pd.DataFrame({"lang_pred": [m.labels[i] if i >= 0 else "und" for i in best], "score": score, "n_words": [n for _, n in found]})
 
-    return run(text, F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
+    # said to be nondeterministic so that a filter on one of its fields doesn't run it once more
+    return run.asNondeterministic()(text, F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
 
 
 def op6(spark, sf_dir):

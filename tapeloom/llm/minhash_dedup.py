@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import cut, shuffle_partitions, small, table, whole_groups
+from tapeloom.llm.common import cut, shuffle_partitions, small, table, text_batches, whole_groups
 from tapeloom.llm.components import components
 from tapeloom.llm.shingles import mix, shingle_sets
 
@@ -115,15 +115,17 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     texts = cut(docs.join(small(ids, ids.count(), ID_LIMIT), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
 
     def run(batches):
-        for pdf in batches:
-            wanted = dict(zip(pdf["a"], pdf["ta"], strict=True)) | dict(zip(pdf["b"], pdf["tb"], strict=True))
-            sets = dict(zip(wanted, shingle_sets(wanted.values(), width), strict=True))
-            keep = []
-            for a, b in zip(pdf["a"], pdf["b"], strict=True):
-                x, y = sets[a], sets[b]
-                common = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pdf.loc[keep, ["a", "b"]]
+        for whole in batches:
+            for at in range(0, len(whole), 256):  # so many pairs' sets are held at once
+                pdf = whole.iloc[at : at + 256]
+                wanted = dict(zip(pdf["a"], pdf["ta"], strict=True)) | dict(zip(pdf["b"], pdf["tb"], strict=True))
+                sets = dict(zip(wanted, shingle_sets(wanted.values(), width), strict=True))
+                keep = []
+                for a, b in zip(pdf["a"], pdf["b"], strict=True):
+                    x, y = sets[a], sets[b]
+                    common = len(x) + len(y) - len(np.union1d(x, y))
+                    keep.append(100 * common >= percent * (len(x) + len(y) - common))
+                yield pdf.loc[keep, ["a", "b"]]
 
     with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     both = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
@@ -205,6 +207,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept. Rows that repeat an id are one node. Sets are compared as 64-bit hashes of shingles.
     """
     threshold = percent / 100
+    text_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = cut(describe(docs, width), "described")
     sets = rows.filter("n_shingles > 0 and doc_id is not null")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import table
+from tapeloom.llm.common import table, text_batches
 
 SPACE = "▁"
 REMEMBERED = 400_000
@@ -218,6 +218,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     holds it comes back with spaces there, and counts as a round trip then. Repeated rows are encoded alike.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
 

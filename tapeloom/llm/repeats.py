@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import cut, shuffle_partitions, small, table, whole_groups
+from tapeloom.llm.common import cut, shuffle_partitions, small, table, text_batches, whole_groups
 from tapeloom.llm.induced_sort import equal_neighbours, store, suffix_order
 from tapeloom.llm.shingles import _WEIGHT, mix, powers
 
@@ -230,6 +230,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Core groups of more than `most` parts aren't sorted in one task: their windows are dealt out and counted.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     rows = keyed(docs, id_col, text_col)
     twice = all_segments(rows, span, k).groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
     found = cut(all_segments(rows, span, k).join(twice, "h"), "segments")
