@@ -168,7 +168,10 @@ def _(spark, sf):
     return rounded(macro.top_sentiment(macro.sentiment_summary(_by_user(spark, sf))), 6)
 
 
-@query("t6_sentiment_trends")
+@query("t6_sentiment_trends", (), "(SELECT symbol, round(mean_score, 6) AS mean_score, round(last_trend, 6) AS last_trend, 'top' AS side FROM tr ORDER BY tr.last_trend DESC, symbol LIMIT 5) UNION ALL (SELECT symbol, round(mean_score, 6), round(last_trend, 6), 'bottom' FROM tr ORDER BY tr.last_trend, symbol LIMIT 5)", BY_USER | {
+    "dd": "SELECT symbol, timestamp::DATE AS date, avg(s) AS m FROM u GROUP BY 1, 2",
+    "dt": "SELECT *, m - first_value(m) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS trend FROM dd",
+    "tr": f"SELECT symbol, avg(m) AS mean_score, arg_max(trend, date) AS last_trend FROM dt WHERE date BETWEEN DATE '{NEWS_AS_OF}' - 7 AND DATE '{NEWS_AS_OF}' GROUP BY symbol"})
 def _(spark, sf):
     return rounded(macro.trends(macro.daily_sentiment(_by_user(spark, sf)), NEWS_AS_OF), 6)
 

@@ -89,7 +89,10 @@ def _(spark, sf):
     return rounded(graph.betweenness(_pairs(spark, sf), _nodes(spark, sf)), 6)
 
 
-@query("g10_closeness")
+HOPS = EDGES | {"b3": "SELECT src, dst FROM b2", "h": "SELECT ticker AS source, ticker AS node, 0 AS hop FROM metadata UNION SELECT h.source, b3.dst, h.hop + 1 FROM h JOIN b3 ON b3.src = h.node WHERE h.hop < 25", "dist": "SELECT source, node, min(hop) AS hop FROM h GROUP BY 1, 2"}
+
+
+@query("g10_closeness", N, "SELECT source AS node, round(coalesce((count(*) - 1) / nullif(sum(hop), 0) * (count(*) - 1) / (SELECT count(*) - 1 FROM metadata), 0), 6) AS closeness FROM dist GROUP BY source", HOPS, recursive=True)
 def _(spark, sf):
     return rounded(graph.closeness(_pairs(spark, sf), _nodes(spark, sf)), 6)
 
