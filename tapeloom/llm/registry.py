@@ -21,5 +21,6 @@ ORACLES = {
     "op2_secrets": secrets.OP2_SQL,
     "op4_minhash_dedup": minhash_dedup.OP4_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
+    "op9_repeats": repeats.OP9_SQL,
     "op10_embedding_dedup": embedding_dedup.OP10_SQL,
 }

@@ -287,3 +287,19 @@ def count_windows(parts: DataFrame) -> DataFrame:
 
 def op9(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+OP9_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+p AS (SELECT r, unnest(generate_series(1, octet_length(b) - 199)) AS i, b FROM d WHERE octet_length(b) >= 200),
+w AS (SELECT r, i, md5(array_slice(b, i, i + 199)) AS h FROM p),
+x AS (SELECT r, i, count(*) OVER (PARTITION BY h) AS k FROM w),
+s AS (SELECT r, i, i - lag(i) OVER (PARTITION BY r ORDER BY i) > 200 AS gap FROM x WHERE k > 1),
+g AS (SELECT r, i, count(*) FILTER (gap) OVER (PARTITION BY r ORDER BY i) AS n FROM s),
+m AS (SELECT r, n, min(i) AS lo, max(i) + 199 AS hi FROM g GROUP BY r, n),
+q AS (SELECT r, list(lo ORDER BY lo) AS los, list(hi ORDER BY lo) AS his FROM m GROUP BY r),
+k AS (SELECT d.doc_id, octet_length(b) AS n_bytes, coalesce(len(los), 0) AS n_spans, coalesce(list_sum(list_transform(generate_series(1, len(los)), lambda j: his[j] - los[j] + 1)), 0) AS n_removed,
+ CASE WHEN los IS NULL THEN b ELSE list_reduce(list_transform(generate_series(0, len(los)), lambda j: array_slice(b, CASE WHEN j = 0 THEN 1 ELSE his[j] + 1 END, CASE WHEN j = len(los) THEN octet_length(b) ELSE los[j + 1] - 1 END)), lambda u, v: u || v) END AS kept
+ FROM d LEFT JOIN q USING (r))
+SELECT doc_id, n_bytes::BIGINT AS n_bytes, n_removed::BIGINT AS n_removed, n_spans::BIGINT AS n_spans, sha256(kept) AS kept_sha256 FROM k
+"""
