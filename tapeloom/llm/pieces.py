@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tapeloom.llm.common import table, text_batches
 
 SPACE = "▁"
-REMEMBERED = 400_000
+REMEMBERED = 300_000  # stretches in each of two tables
 LONGEST_REMEMBERED = 48
 BATCH_CHARS = 4_000_000
 START, NONE = -2, -1
@@ -48,6 +48,7 @@ class Pieces(dict):
         self.unknown = sp.unk_id()
         self.size = {i: len(p) for i, p in self.text.items()}
         self.longest = max(map(len, self.id))
+        self.before: dict[str, bytes] = {}
         self.grown: dict[int, tuple[list[str], list[str]]] = {}
         self.fits: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
@@ -193,9 +194,12 @@ class Pieces(dict):
         return [self.id[p] for p in parts] + rest
 
     def __missing__(self, s: str) -> bytes:
-        out = np.array(self.spaced(s) if s[:2] == SPACE * 2 else self.viterbi(s), np.int32).tobytes()
+        out = self.before.get(s)
+        if out is None:
+            out = np.array(self.spaced(s) if s[:2] == SPACE * 2 else self.viterbi(s), np.int32).tobytes()
         if len(s) <= LONGEST_REMEMBERED:
-            if len(self) >= REMEMBERED:
+            if len(self) >= REMEMBERED:  # what is used again moves on to the new table, the rest is forgotten
+                self.before = dict(self)
                 self.clear()
             self[s] = out
         return out
@@ -211,6 +215,17 @@ class Pieces(dict):
         return b"".join([out[i] for i in ids.tolist()]).decode("utf-8", "replace")[1:]
 
 
+_loaded: dict[bytes, Pieces] = {}
+
+
+def loaded(model: bytes) -> Pieces:
+    """The encoder of a model, kept with what it remembers while the worker lives."""
+    if model not in _loaded:
+        _loaded.clear()
+        _loaded[model] = Pieces(model)
+    return _loaded[model]
+
+
 def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids of every whole text: doc_id, n_tokens, ids, round_trip (decoding gives back the text).
 
@@ -223,7 +238,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        pieces = Pieces(shared.value)
+        pieces = loaded(shared.value)
         for batch in batches:
             at = 0
             texts = batch.column(1)
@@ -249,7 +264,7 @@ def decode(rows: DataFrame, model: bytes, id_col: str = "doc_id", ids_col: str =
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        pieces = Pieces(shared.value)
+        pieces = loaded(shared.value)
         for pdf in batches:
             fine = [None if x is None else np.array([i for i in x if i is not None and 0 <= i < len(pieces.out)], np.int32) for x in pdf["ids"]]
             yield pdf[["doc_id"]].assign(text=[None if x is None else pieces.decode(x) for x in fine])
