@@ -36,7 +36,7 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_batches(spark: SparkSession, rows: int = 2000) -> None:
+def text_batches(spark: SparkSession, rows: int = 500) -> None:
     """Hand Python whole texts in batches of fewer rows than Spark's default of 10,000, in this session.
 
     A batch lives several times over in a worker (Arrow, strings, arrays), so its size bounds the memory.

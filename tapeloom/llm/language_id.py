@@ -213,7 +213,7 @@ def fit(texts: list[str], labels: list[str], epochs: int = EPOCHS, rate: float =
     return model
 
 
-def predict(texts: list[str | None], model: Model, chunk: int = 1 << 20) -> Iterator[tuple[np.ndarray, int]]:
+def predict(texts: list[str | None], model: Model, chunk: int = 1 << 19) -> Iterator[tuple[np.ndarray, int]]:
     """For each text the mean posterior of its words and the number of words."""
     part: list[str] = []
     size = 0

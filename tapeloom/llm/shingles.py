@@ -28,7 +28,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i below n."""
     if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         for name, base in (("up", _BASE), ("down", _INVERSE)):
             x = np.full(size, base, np.uint64)
             x[0] = 1
@@ -52,7 +52,7 @@ def word_hashes_between(a: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def shingle_sets(texts: Iterable[str | None], width: int, chunk: int = 1 << 20) -> Iterator[np.ndarray]:
+def shingle_sets(texts: Iterable[str | None], width: int, chunk: int = 1 << 18) -> Iterator[np.ndarray]:
     """For each text the sorted distinct hashes of its `width`-word shingles, letters A-Z lower-cased.
 
     Texts with fewer words have one element, their whole sequence; texts without words have none.
