@@ -104,6 +104,21 @@ def test_scores_match_plain_counts(spark, vocabulary):
         assert (got[i] is None) == (want is None) and (want is None or abs(got[i] - want) < 1e-4), (i, got[i], want)
 
 
+def test_every_word_keeps_its_counts(spark, monkeypatch):
+    """More words than the 1,023 of a former bound; chunks and buckets of few bytes, parts of a chunk in several tasks."""
+    rows = [(" ".join(f"w{(i * 37 + j * j) % 1700}" for j in range(60)), i < 40) for i in range(120)] + [(f"w{1690 + i} w{1600 + i}", False) for i in range(6)]
+    assert len({w for t, _ in rows for w in t.split()}) > 1300
+    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 4000)
+    monkeypatch.setattr(lm_scoring, "BUCKET_BYTES", 9000)
+    monkeypatch.setattr(lm_scoring, "CHUNK", 1000)
+    df = spark.createDataFrame([(i, t, m) for i, (t, m) in enumerate(rows)], "doc_id long, text string, is_target boolean").repartition(3)
+    want = plain_scores(rows, 10**6)
+    near = F.struct(F.lit("x").alias("name"), F.col("doc_id").alias("row"))
+    for got in (lm_scoring.score(df), lm_scoring.score(df, near=near)):
+        found = {r["doc_id"]: r["score"] for r in got.collect()}
+        assert len(found) == len(rows) and all(abs(found[i] - x) < 1e-4 for i, x in enumerate(want))
+
+
 def test_no_target_and_no_rows(spark):
     df = spark.createDataFrame([(1, "a b", None), (2, "a", False)], "doc_id long, text string, is_target boolean")
     assert all(r["score"] is not None for r in lm_scoring.score(df).collect())
