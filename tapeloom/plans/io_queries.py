@@ -108,9 +108,9 @@ def _(spark, sf):
 @query("v4_stream_daily_bars", ("ticks",), """SELECT ticker, ts::DATE AS date, arg_min(price, (ts, seq)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, seq)) AS close, count(*) AS volume FROM ticks
  WHERE ts::DATE + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM ticks) GROUP BY ticker, ts::DATE""")
 def _(spark, sf):
-    """Days that the watermark has passed, in append mode."""
+    """Days that the watermark has passed, in append mode; one batch of all files, as their order isn't that of ts."""
     path, out, t = _folder(spark, "ticks"), _folder(spark, "out"), fx.ticks(spark, sf)
     t.write.parquet(path)
-    bars = streams.daily_bars(streams.watch(spark, path, t.schema, "ts", "1 day"))
+    bars = streams.daily_bars(streams.watch(spark, path, t.schema, "ts", "1 day", files=None))
     streams.append_to(bars, out, _folder(spark, "state")).awaitTermination()
     return spark.read.parquet(out)

@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 from tapeloom.operators import signals
 
 
-def watch(spark: SparkSession, path: str, schema, time: str | None = None, delay: str = "1 day", files: int = 100) -> DataFrame:
-    """Parquet files of a folder as a stream; a time column without zone is taken as the session's zone."""
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+def watch(spark: SparkSession, path: str, schema, time: str | None = None, delay: str = "1 day", files: int | None = 100) -> DataFrame:
+    """Parquet files of a folder as a stream; a time column without zone is taken as the session's zone.
+
+    Beyond `files` landed files there are several batches, and rows older than the watermark of an earlier batch are
+    late, in whatever order files were written. A backfill of landed files takes them all as one batch: None.
+    """
+    reader = spark.readStream.schema(schema)
+    s = (reader if files is None else reader.option("maxFilesPerTrigger", files)).parquet(path)
     return s.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay) if time else s
 
 
