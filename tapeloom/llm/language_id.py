@@ -7,7 +7,7 @@ but does so at a price. Forward-backward gives each word its posterior; a docume
 the greatest mean posterior, which is its score.
 
 Training maximises the likelihood of a bounded sample of labelled documents on the driver (SAMPLE documents a
-language, evenly hashed, whole texts). Prediction runs over all words of all documents in numpy: chains are
+language, evenly hashed, whole texts unless all of a language are over-long). Prediction runs over all words of all documents in numpy: chains are
 cut into segments whose transfer matrices are multiplied, so that all segments of a batch advance together and
 the result is that of one pass over each chain.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tapeloom.llm.common import table, text_batches, unit_hash
+from tapeloom.llm.common import cut, table, text_batches, unit_hash
 from tapeloom.llm.shingles import mix, word_hashes_between
 
 SAMPLE = 120  # documents a language
@@ -241,21 +241,46 @@ def training_sample(docs: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_C
     """At most `sample` labelled texts a language and `chars` characters in all, evenly hashed over the rows.
 
     `docs` has doc_id, text, lang. Rows are thinned by hash to twice the bound before any are ranked, so
-    ranking never gathers a language's rows.
+    ranking never gathers a language's rows. Each language has an equal share of the characters; a text that
+    doesn't fit into what is left of it is passed over. If none fits, the shortest gives its beginning, from its
+    first letter on, so every language is learned from.
     """
+    spark = docs.sparkSession
     rows = docs.filter((remainder(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows.select("text", "lang", F.length("text").alias("n"), unit_hash("text", "doc_id").alias("u"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("all")).orderBy("lang").limit(200).collect()
+    counts = rows.groupBy("lang").agg(F.count("*").alias("all"), F.min("u").alias("least")).collect()
     if not counts:
         return [], []
-    share = F.element_at(F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 2 * sample / r["all"])))]), F.col("lang"))
-    most = chars // max(1, len(counts))
+    # a language whose rows repeat few texts may have no hash below its share: its smallest stays
+    shares = spark.createDataFrame([(r["lang"], max(r["least"], min(1.0, 2 * sample / r["all"]))) for r in counts], "lang string, share double")
+    most = max(1, chars // len(counts))
     w = Window.partitionBy("lang").orderBy("u")
-    got = rows.filter(F.col("u") < share).withColumn("r", F.row_number().over(w)).withColumn("upto", F.sum("n").over(w)).filter((F.col("r") <= sample) & (F.col("upto") <= most)).select("text", "lang", "u").collect()
+    ranked = rows.join(F.broadcast(shares), "lang").filter(F.col("u") <= F.col("share")).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= 2 * sample)
+    ranked = cut(ranked.select("text", "lang", "n", "u", "r"), "candidates")
+    take = fitting([tuple(r) for r in ranked.select("lang", "r", "n").collect()], sample, most)
+    chosen = spark.createDataFrame(take, "lang string, r int, whole boolean")
+    beginning = F.substring(F.regexp_replace("text", r"^[^\p{L}]+", ""), 1, most)
+    got = ranked.join(F.broadcast(chosen), ["lang", "r"]).select(F.when(F.col("whole"), F.col("text")).otherwise(beginning).alias("text"), "lang", "u").collect()
     got.sort(key=lambda r: (r["lang"], r["u"]))
+    if missing := {r["lang"] for r in counts} - {r["lang"] for r in got}:
+        raise ValueError(f"no training row for {len(missing)} of {len(counts)} languages: {sorted(missing)[:10]}")
     return [r["text"] for r in got], [r["lang"] for r in got]
 
 
+def fitting(rows: list[tuple[str, int, int]], sample: int, most: int) -> list[tuple[str, int, bool]]:
+    """Of rows (language, rank, length) those taken by rank while they fit, and whether as a whole."""
+    taken: dict[str, list[int]] = {}
+    left: dict[str, int] = {}
+    shortest: dict[str, tuple[int, int]] = {}
+    for lang, r, n in sorted(rows):
+        mine = taken.setdefault(lang, [])
+        if len(mine) < sample and n <= left.setdefault(lang, most):
+            mine.append(r)
+            left[lang] -= n
+        shortest[lang] = min(shortest.get(lang, (n, r)), (n, r))
+    return [(lang, r, True) for lang, mine in taken.items() for r in mine] + [(lang, shortest[lang][1], False) for lang, mine in taken.items() if not mine]
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
     """Predict the language of every whole text: doc_id, held_out, lang_pred, score, n_words.
 

@@ -47,6 +47,18 @@ def test_held_out_accuracy_and_awkward_rows(spark, extra):
     assert all(got[1000 + i]["lang_pred"] == "und" for i in (1, 2, 3, 11)) and all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_every_language_has_a_training_row(spark):
+    """More than 200 languages, over-long texts first or only, and one whose rows repeat a single text."""
+    rows = [(i, f"word{i} x", f"l{i % 230:03}", "s") for i in range(1200)] + [(5000 + i, "1 " * 300 + f"lang {i} " * 400, "long", "s") for i in range(8)]
+    rows += [(9002, "same text", "same", "s")] * 900
+    rows += [(6000 + i, f"short {i}" if i % 5 else "over long " * 500, "mixed", "s") for i in range(60)]
+    texts, labels = language_id.training_sample(documents(spark, rows).select("doc_id", "text", "lang"), 20, 233 * 400)
+    assert set(labels) == {x for i, _, x, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2}
+    size = {x: sum(len(t) for t, y in zip(texts, labels, strict=True) if x == y) for x in labels}
+    assert max(size.values()) <= 400 and labels.count("mixed") == 20 and labels.count("long") == 1
+    assert next(t for t, y in zip(texts, labels, strict=True) if y == "long").startswith("lang")
+
+
 def test_code_switched_words_get_their_language():
     rows = language_rows()
     m = language_id.fit([t for _, t, *_ in rows], [x for _, _, x, _ in rows], epochs=6)
