@@ -177,13 +177,21 @@ def _(spark, sf):
     return economic(raw, "gdp")
 
 
+PAGE = 1000  # articles of a feed page, about
+
+
+def _pages(news):
+    """Page of each article; their number follows the table, so that no page grows with it."""
+    return F.pmod(F.xxhash64("event_id", "title", "timestamp"), F.lit(news.count() // PAGE + 1))
+
+
 @query("s10_news_payload", ("sentiment",), "SELECT symbol, count(*) AS articles, round(avg(overall_sentiment_score), 6) AS score FROM sentiment GROUP BY symbol")
 def _(spark, sf):
     from tapeloom.sources.payloads import news
 
     n = fx.sentiment(spark, sf)
     own = F.array(F.struct(F.col("symbol").alias("ticker"), F.lit("0.5").alias("relevance_score"), F.col("overall_sentiment_score").cast("string").alias("ticker_sentiment_score")))
-    a = n.withColumn("bucket", F.col("event_id") % 64).groupBy(F.col("symbol").alias("ticker"), "bucket").agg(F.collect_list(F.struct("title", F.date_format("timestamp", "yyyyMMdd'T'HHmmss").alias("time_published"), F.lit("wire").alias("source"), "overall_sentiment_score", own.alias("ticker_sentiment"))).alias("feed"))
+    a = n.withColumn("bucket", _pages(n)).groupBy(F.col("symbol").alias("ticker"), "bucket").agg(F.collect_list(F.struct("title", F.date_format("timestamp", "yyyyMMdd'T'HHmmss").alias("time_published"), F.lit("wire").alias("source"), "overall_sentiment_score", own.alias("ticker_sentiment"))).alias("feed"))
     got = news(a.select("ticker", F.to_json(F.struct("feed")).alias("value")))
     return got.groupBy("symbol").agg(F.count("*").alias("articles"), F.round(F.avg("overall_sentiment_score"), 6).alias("score"))
 

@@ -120,6 +120,18 @@ def test_streams_match_batch(spark, tmp_path):
     assert got[1] == (10.0, 11.0, 10) and len(got) == 4
 
 
+def test_news_pages_are_bounded(spark, tmp_path, monkeypatch):
+    """One hot symbol: the largest payload handed to the parser stays a page, however many rows there are."""
+    from tapeloom.sources import payloads
+
+    sizes, parse = [], payloads.news
+    monkeypatch.setattr(payloads, "news", lambda raw, *a, **k: sizes.append(raw.select(F.max(F.size(F.split("value", '"title"')) - 1)).first()[0]) or parse(raw, *a, **k))
+    e = spark.range(100_000).select(F.col("id").alias("event_id"), F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id)").alias("ts"), F.lit(1).cast("long").alias("user_id"), F.lit("A").alias("event_type"), F.lit(1.0).alias("value"), F.lit("p").alias("props"))
+    e.write.parquet(str(tmp_path / "events.parquet"))
+    got = QUERIES["s10_news_payload"](spark, str(tmp_path)).collect()
+    assert [r["articles"] for r in got] == [100_000] and 0 < sizes[0] < 1500
+
+
 def test_backfilled_days_need_no_order_of_files(spark, tmp_path):
     """More landed files than two triggers take by default (the third one drops late rows), the latest ticks first."""
     rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), 1, "A", float(i), "p") for i in range(480)]
