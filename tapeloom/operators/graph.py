@@ -2,32 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions import moments_corr, series
+from tapeloom.scratch import Rounds
+from tapeloom.scratch import cut as written
 
 # Shares of the three parts of an edge weight.
 WEIGHTS = {"correlation": 0.4, "sector": 0.3, "market_cap": 0.3}
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """End a loop's lineage in a table of the shared checkpoint folder."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tapeloom-")
-    path = f"{base.rstrip('/')}/graph/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+MOST_INSTRUMENTS = 20_000
 
 
 def padded_returns(bars: DataFrame, value: str = "close") -> DataFrame:
     """Returns on the grid of all dates and tickers; a day without a bar repeats the last value."""
-    days = bars.select("date").distinct()
-    one = days.groupBy(F.lit(1).alias("k")).agg(F.collect_list("date").alias("days"))  # a calendar: one value a day
-    grid = bars.select("ticker").distinct().withColumn("k", F.lit(1)).join(one, "k").select("ticker", F.explode("days").alias("date"))
+    days = bars.agg(F.collect_set("date").alias("days"))  # a calendar: one value a day, one row
+    grid = bars.select("ticker").distinct().crossJoin(F.broadcast(days)).select("ticker", F.explode("days").alias("date"))
     w = series()
     x = F.last(F.col(value), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     full = grid.join(bars.select("ticker", "date", value), ["ticker", "date"], "left").withColumn("_x", x)
@@ -50,13 +40,16 @@ def correlations(returns: DataFrame) -> DataFrame:
 def edge_weights(metadata: DataFrame, corr: DataFrame) -> DataFrame:
     """Weight of every ordered pair: |correlation|, sector likeness and size likeness.
 
-    A pair without a correlation lacks that term; a null correlation gives no edge. The pairs of a dimension
-    table come from a join on a constant key of its rows, which number a few hundred.
+    A pair without a correlation lacks that term; a null correlation gives no edge. The result has a row for each
+    pair of instruments by definition, so the metadata table is one of at most MOST_INSTRUMENTS rows, which is
+    checked; each task pairs its rows with a broadcast copy.
     """
-    m = metadata.select("ticker", "sector", "market_cap", "sub_industry").withColumn("_k", F.lit(1))
-    a = m.select("_k", *[F.col(c).alias(f"a_{c}") for c in ("ticker", "sector", "market_cap", "sub_industry")])
-    b = m.select("_k", *[F.col(c).alias(f"b_{c}") for c in ("ticker", "sector", "market_cap", "sub_industry")])
-    p = a.join(b, "_k").filter("a_ticker != b_ticker").select(F.col("a_ticker").alias("src"), F.col("b_ticker").alias("dst"), "*")
+    columns = ("ticker", "sector", "market_cap", "sub_industry")
+    m = metadata.select(*columns)
+    if (n := m.count()) > MOST_INSTRUMENTS:
+        raise ValueError(f"{n} instruments make {n * n} pairs: split them by sector first")
+    a, b = (m.select(*[F.col(c).alias(f"{x}_{c}") for c in columns]) for x in "ab")
+    p = a.crossJoin(F.broadcast(b)).filter("a_ticker != b_ticker").select(F.col("a_ticker").alias("src"), F.col("b_ticker").alias("dst"), "*")
     p = p.join(corr.select("src", "dst", "corr", F.lit(True).alias("_known")), ["src", "dst"], "left")
     sector = F.when(F.col("a_sub_industry") == F.col("b_sub_industry"), 1.0).otherwise(0.8)
     sector = F.when(F.col("a_sector") == F.col("b_sector"), sector).otherwise(0.2)
@@ -87,20 +80,21 @@ def add_hub_edges(edges: DataFrame, metadata: DataFrame, weight: float = 0.3, et
 
 def components(edges: DataFrame, nodes: DataFrame, rounds: int = 60) -> DataFrame:
     """Smallest node reachable from each: node, component. Labels spread to neighbours and then jump to their
-    label's label, until nothing changes."""
+    label's label, until nothing changes; jumps double a label's reach, so `rounds` is never met but by an error."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     both = written(both, "links")
-    state = written(nodes.select("node", F.col("node").alias("component")), "labels")
+    tables = Rounds(edges.sparkSession, "labels")
+    state = tables.cut(nodes.select("node", F.col("node").alias("component")))
     for _ in range(rounds):
         near = both.join(state, both.dst == state.node).groupBy("src").agg(F.min("component").alias("m"))
         step = state.join(near, state.node == near.src, "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"))
         up = step.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-        new = written(step.join(up, step.component == up["_n"]).select("node", F.col("_c").alias("component")), "labels")
+        new = tables.cut(step.join(up, step.component == up["_n"]).select("node", F.col("_c").alias("component")))
         changed = new.join(state.withColumnRenamed("component", "_old"), "node").filter("component != _old").limit(1).count()
         state = new
         if not changed:
-            break
-    return state
+            return state
+    raise RuntimeError(f"labels still change after {rounds} rounds")
 
 
 def connect(edges: DataFrame, nodes: DataFrame, anchor: str, weight: float = 0.4) -> DataFrame:
@@ -145,18 +139,21 @@ def clustering(pairs: DataFrame) -> DataFrame:
     return x.select("node", "triangles", F.coalesce(F.try_divide(2.0 * F.col("triangles"), F.col("degree") * (F.col("degree") - 1)), F.lit(0.0)).alias("clustering"))
 
 
-def hops(pairs: DataFrame, sources: DataFrame, most: int = 50) -> DataFrame:
-    """Breadth-first levels from all sources at once: source, node, hop, paths (number of shortest ones)."""
+def hops(pairs: DataFrame, sources: DataFrame) -> DataFrame:
+    """Breadth-first levels from all sources at once: source, node, hop, paths (number of shortest ones).
+
+    Levels go on until one is empty, which the number of nodes bounds."""
     both = written(both_ways(pairs).select("src", "dst"), "links")
-    front = written(sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("hop"), F.lit(1.0).alias("paths")), "front")
-    seen = front
-    for k in range(1, most + 1):
+    fronts, reached, k = Rounds(pairs.sparkSession, "front"), Rounds(pairs.sparkSession, "seen"), 0
+    front = fronts.cut(sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("hop"), F.lit(1.0).alias("paths")))
+    seen = reached.cut(front)
+    while True:
+        k += 1
         step = front.join(both, front.node == both.src).groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
-        front = written(step.join(seen.select("source", "node"), ["source", "node"], "left_anti").select("source", "node", F.lit(k).alias("hop"), "paths"), "front")
+        front = fronts.cut(step.join(seen.select("source", "node"), ["source", "node"], "left_anti").select("source", "node", F.lit(k).alias("hop"), "paths"))
         if not front.limit(1).count():
-            break
-        seen = written(seen.unionByName(front), "seen")
-    return seen
+            return seen
+        seen = reached.cut(seen.unionByName(front))
 
 
 def closeness(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -190,18 +187,19 @@ def eigenvector(pairs: DataFrame, nodes: DataFrame, rounds: int = 1000, toleranc
     """Power iteration of A + 1 (which leaves the vector the same and can't swing), scaled to length 1."""
     both = written(both_ways(pairs).select("src", "dst"), "links")
     n = max(1, nodes.count())
-    x = written(nodes.select("node", F.lit(1.0 / n).alias("x")), "x")
+    tables = Rounds(pairs.sparkSession, "x")
+    x = tables.cut(nodes.select("node", F.lit(1.0 / n).alias("x")))
     for _ in range(0, rounds, per_table):
         old = x
         for _ in range(per_table):
             near = both.join(x, both.dst == x.node).groupBy("src").agg(F.sum("x").alias("s"))
             x = x.join(near, x.node == near.src, "left").select("node", (F.col("x") + F.coalesce("s", F.lit(0.0))).alias("x"))
-        x = x.withColumn("x", F.try_divide("x", F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(F.lit(0))))))  # one number a node
-        x = written(x, "x")
+        length = x.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("_length"))
+        x = tables.cut(x.crossJoin(F.broadcast(length)).select("node", F.try_divide("x", "_length").alias("x")))  # one row
         move = x.join(old.withColumnRenamed("x", "y"), "node").agg(F.sum(F.abs(F.col("x") - F.col("y"))).alias("d")).first()[0] or 0.0
         if move < n * tolerance:
-            break
-    return x.withColumnRenamed("x", "eigenvector")
+            return x.withColumnRenamed("x", "eigenvector")
+    raise RuntimeError(f"the vector still moves after {rounds} rounds")
 
 
 def pagerank(pairs: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, per_table: int = 5) -> DataFrame:
@@ -210,18 +208,19 @@ def pagerank(pairs: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds:
     b = both_ways(pairs)
     share = b.withColumn("p", F.col("weight") / F.sum("weight").over(Window.partitionBy("src"))).select("src", "dst", "p")
     share = written(share, "shares")
-    rank = written(nodes.join(share.select(F.col("src").alias("node")).distinct().withColumn("linked", F.lit(True)), "node", "left").select("node", F.coalesce("linked", F.lit(False)).alias("linked"), F.lit(1.0 / n).alias("r")), "rank")
+    tables = Rounds(pairs.sparkSession, "rank")
+    rank = tables.cut(nodes.join(share.select(F.col("src").alias("node")).distinct().withColumn("linked", F.lit(True)), "node", "left").select("node", F.coalesce("linked", F.lit(False)).alias("linked"), F.lit(1.0 / n).alias("r")))
     for _ in range(0, rounds, per_table):
         old = rank
         for _ in range(per_table):
             got = share.join(rank, share.src == rank.node).groupBy("dst").agg(F.sum(F.col("r") * F.col("p")).alias("g"))
-            loose = F.sum(F.when(~F.col("linked"), F.col("r")).otherwise(0.0)).over(Window.partitionBy(F.lit(0)))  # one number a node
-            rank = rank.join(got, rank.node == got.dst, "left").select("node", "linked", ((1 - damping) / n + damping * (F.coalesce("g", F.lit(0.0)) + loose / n)).alias("r"))
-        rank = written(rank, "rank")
+            loose = rank.agg(F.coalesce(F.sum(F.when(~F.col("linked"), F.col("r"))), F.lit(0.0)).alias("_loose"))
+            rank = rank.join(got, rank.node == got.dst, "left").crossJoin(F.broadcast(loose)).select("node", "linked", ((1 - damping) / n + damping * (F.coalesce("g", F.lit(0.0)) + F.col("_loose") / n)).alias("r"))  # one row
+        rank = tables.cut(rank)
         move = rank.join(old.select("node", F.col("r").alias("q")), "node").agg(F.sum(F.abs(F.col("r") - F.col("q"))).alias("d")).first()[0] or 0.0
         if move < n * tolerance:
-            break
-    return rank.select("node", F.col("r").alias("pagerank"))
+            return rank.select("node", F.col("r").alias("pagerank"))
+    raise RuntimeError(f"ranks still move after {rounds} rounds")
 
 
 def neighbour_degree(pairs: DataFrame) -> DataFrame:
@@ -242,8 +241,7 @@ def khop_subgraph(edges: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
 def statistics(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     n, c = nodes.agg(F.count("*").alias("nodes")), clustering(pairs).agg(F.sum("clustering").alias("c"))
     e = pairs.agg(F.count("*").alias("edges"))
-    one = lambda df: df.withColumn("_k", F.lit(1))
-    x = one(n).join(one(e), "_k").join(one(c), "_k")  # one row each
+    x = n.crossJoin(F.broadcast(e)).crossJoin(F.broadcast(c))  # one row each
     return x.select("nodes", "edges", F.try_divide(2.0 * F.col("edges"), "nodes").alias("mean_degree"), F.try_divide(2.0 * F.col("edges"), F.col("nodes") * (F.col("nodes") - 1)).alias("density"), F.try_divide(F.coalesce("c", F.lit(0.0)), "nodes").alias("mean_clustering"))
 
 

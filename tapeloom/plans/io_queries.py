@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from tapeloom.functions import rounded
@@ -12,15 +9,11 @@ from tapeloom.plans import fixtures as fx
 from tapeloom.plans.bar_queries import AS_OF
 from tapeloom.plans.registry import query
 from tapeloom.plans.signal_queries import SIG
+from tapeloom.scratch import folder as _folder
 from tapeloom.sources import files, sinks
 from tapeloom.streaming import streams
 
 
-def _folder(spark, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tapeloom-")
-    return f"{base.rstrip('/')}/queries/{uuid.uuid4().hex}/{name}"
-
-
 def _bars(spark, sf):
     return fx.bars_daily(spark, sf).select("ticker", "date", "close", F.year("date").alias("year"))
 

@@ -6,22 +6,12 @@ executor never leaves the target half read.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom import schemas
-
-
-def staged(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tapeloom-")
-    path = f"{base.rstrip('/')}/staged/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from tapeloom.scratch import cut as staged
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame | None:
