@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeloom.scratch import Rounds, cut, folder  # noqa: F401
+
 # Words are runs of bytes outside space and the five ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,26 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below the one that spark.checkpoint.dir names, which all executors share.
-
-    Only where the session has no such setting (a test on one machine) a temporary folder takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tapeloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tapeloom/{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write a frame to the shared folder and read it back, which ends its lineage there."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_batches(spark: SparkSession, rows: int = 500) -> None:
     """Hand Python whole texts in batches of fewer rows than Spark's default of 10,000, in this session.
 

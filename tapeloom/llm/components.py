@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import cut
+from tapeloom.llm.common import Rounds
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -26,16 +26,20 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
     `edges` has u and v in any order; loops, repeats and nulls are ignored. Minima are pre-aggregated before
     each shuffle and the joins have one unique side, so that a hub is split by the skew join. Rounds go on
-    until a round changes nothing; every round is cut by a written table.
+    until a round changes nothing; every round is cut by a written table. Their number grows with the square of the
+    logarithm of the nodes at most, so `rounds` is met by an error alone, and raised.
     """
-    e = cut(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    tables = Rounds(edges.sparkSession, "edges")
+    e = tables.cut(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
     for _ in range(rounds):
-        e = cut(_small_star(_large_star(e)), "edges")
+        e = tables.cut(_small_star(_large_star(e)))
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == now:
             break
         state = now
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -6,11 +6,11 @@
    with the pivots of its bucket first. Members that are then still in different components are compared
    with each other, so that no link that could join two components is left out: as pairs in buckets of at
    most BIG nodes; in larger ones the nodes outside the main component are a query set against all nodes, in
-   blocks that hold the full sets and return one link for each component that a query joins.
-3. A pair's signatures are compared batch by batch. With m of n values equal and a uniform prior, the chance
-   that the similarity reaches the threshold is P(Binomial(n + 1, threshold) <= m); the pair is dropped as
-   soon as that falls below the chosen miss probability.
-4. Survivors are confirmed on the full sets of their whole texts, in integers.
+   blocks that return one link for each component that a query joins.
+3. A pair's signatures are compared batch by batch, as pairs and in blocks alike. With m of n values equal and a
+   uniform prior, the chance that the similarity reaches the threshold is P(Binomial(n + 1, threshold) <= m); the
+   pair is dropped as soon as that falls below the chosen miss probability.
+4. Survivors are confirmed on the full sets of their whole texts, word for word and in integers.
 5. Connected components of the confirmed links.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm.common import cut, shuffle_partitions, small, table, text_batches, whole_groups
 from tapeloom.llm.components import components
-from tapeloom.llm.shingles import mix, shingle_sets
+from tapeloom.llm.shingles import exact_sets, mix, shingle_sets
 
 BANDS, ROWS = 28, 5  # a pair at 0.8 shares no band with probability (1 - 0.8**5)**28 = 1.5e-5
 BATCH = 20
@@ -34,6 +34,7 @@ MISS = 1e-6
 PIVOTS = 4
 BIG = 16
 QUERIES, MEMBERS = 256, 512  # nodes in a block
+GROUP = 64  # pairs of one node whose texts go to one task together
 ID_LIMIT = 500_000
 _HASHES = BANDS * ROWS
 _FACTORS = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, (2, _HASHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -108,28 +109,45 @@ def prune(pairs: DataFrame, nodes: DataFrame, threshold: float, miss: float) ->
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose full sets satisfy 100 * intersection >= percent * union."""
+    """The pairs (a, b) whose full sets satisfy 100 * intersection >= percent * union, compared word for word.
+
+    Pairs of one `a` go together in groups of about GROUP, however many it has, so a text of `a` travels and becomes
+    a set once a group.
+    """
     pairs = cut(pairs, "survivors")
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     ids = cut(ids, "ids")
     texts = cut(docs.join(small(ids, ids.count(), ID_LIMIT), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
+    others = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("g"), F.col("b").alias("node"))
+    hubs = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.col("a").alias("node"))
+    key = ["a", "g"]
+    placed = others.unionByName(hubs).join(texts.withColumnRenamed("doc_id", "node"), "node")
 
     def run(batches):
-        for whole in batches:
-            for at in range(0, len(whole), 256):  # so many pairs' sets are held at once
-                pdf = whole.iloc[at : at + 256]
-                wanted = dict(zip(pdf["a"], pdf["ta"], strict=True)) | dict(zip(pdf["b"], pdf["tb"], strict=True))
-                sets = dict(zip(wanted, shingle_sets(wanted.values(), width), strict=True))
-                keep = []
-                for a, b in zip(pdf["a"], pdf["b"], strict=True):
-                    x, y = sets[a], sets[b]
-                    common = len(x) + len(y) - len(np.union1d(x, y))
-                    keep.append(100 * common >= percent * (len(x) + len(y) - common))
-                yield pdf.loc[keep, ["a", "b"]]
-
-    with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    both = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    return both.mapInPandas(run, "a long, b long")
+        for pdf in whole_groups(batches, key):
+            first = np.flatnonzero((pdf[key] != pdf[key].shift()).any(axis=1).to_numpy())
+            ends = [*first[1:].tolist(), len(pdf)]
+            a, node, text = pdf["a"].to_numpy(), pdf["node"].to_numpy(), pdf["text"].tolist()
+            out: list[tuple[int, int]] = []
+            lo = 0
+            for n, hi in enumerate(ends):
+                if hi - lo < GROUP and hi < len(pdf):  # so many texts' sets are held at once, and a group more
+                    continue
+                sets = exact_sets(text[lo:hi], width)
+                for start, end in [(s, e) for s, e in zip(first.tolist(), ends, strict=True) if lo <= s < hi]:
+                    hub = next((i for i in range(start, end) if node[i] == a[i]), None)
+                    for i in range(start, end):
+                        if hub is not None and i != hub:
+                            x, y = sets[hub - lo], sets[i - lo]
+                            common = len(x) + len(y) - len(np.union1d(x, y))
+                            if 100 * common >= percent * (len(x) + len(y) - common):
+                                out.append((a[i], node[i]))
+                lo = hi
+            yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    dealt = placed.repartition(shuffle_partitions(docs.sparkSession), *key).sortWithinPartitions(*key)
+    return dealt.select("a", "g", "node", "text").mapInPandas(run, "a long, b long")
 
 
 def _pair(x, y):
@@ -143,11 +161,12 @@ def _main(labelled: DataFrame, key: str) -> DataFrame:
     return g.select(key, F.col("x.main").alias("main"), "all", (F.col("all") - F.col("x.m")).alias("out"))
 
 
-def block_links(wide: DataFrame, found: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def block_links(wide: DataFrame, found: DataFrame, sigs: DataFrame, docs: DataFrame, width: int, threshold: float, miss: float) -> DataFrame:
     """Links (a, b) that join components of nodes in large buckets; `wide` has node and pivot, one row a bucket.
 
     Buckets that share nodes form a region. Its nodes outside its main component, in blocks of QUERIES, meet
-    all its nodes, in blocks of MEMBERS, with their full sets. For each query and component one link suffices.
+    all its nodes, in blocks of MEMBERS: signatures first, batch by batch, then the full sets of what is left. For
+    each query and component one link suffices.
     """
     regions = components(wide.select(F.col("node").alias("u"), F.col("pivot").alias("v"))).withColumnRenamed("component", "region")
     nodes = regions.join(found, "node", "left").select("node", "region", F.coalesce("component", "node").alias("label"))
@@ -159,42 +178,44 @@ def block_links(wide: DataFrame, found: DataFrame, docs: DataFrame, width: int,
         for pdf in batches:
             yield pd.DataFrame({"node": pdf["doc_id"], "elements": [x.tobytes() for x in shingle_sets(pdf["text"], width)]})
 
-    elements = cut(texts.mapInPandas(sets, "node long, elements binary"), "sets")
+    elements = cut(texts.mapInPandas(sets, "node long, elements binary").join(sigs.select("node", "sig"), "node"), "sets")
     qs, ms = F.ceil(F.col("out") / QUERIES).cast("int"), F.ceil(F.col("all") / MEMBERS).cast("int")
     spot = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     asks = nodes.filter("label != main").select("node", "label", "region", F.lit(True).alias("asks"), spot(qs).alias("q"), F.explode(F.sequence(F.lit(0), ms - 1)).alias("m"))
     told = nodes.select("node", "label", "region", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), qs - 1)).alias("q"), spot(ms).alias("m"))
     key = ["region", "q", "m"]
     placed = asks.unionByName(told).join(elements, "node")
+    steps, percent = needed(threshold, miss), round(100 * threshold)
 
     def run(batches):
         for pdf in whole_groups(batches, key):
             for _, g in pdf.groupby(key, sort=False):
-                yield _block(g, percent)
+                yield _block(g, steps, percent)
 
     dealt = placed.repartition(shuffle_partitions(docs.sparkSession), *key).sortWithinPartitions(*key)
     return dealt.mapInPandas(run, "a long, b long").distinct()
 
 
-def _block(g: pd.DataFrame, percent: int) -> pd.DataFrame:
+def _block(g: pd.DataFrame, steps: list[tuple[int, int]], percent: int) -> pd.DataFrame:
     asks, told = g[g["asks"]], g[~g["asks"]]
     out: list[tuple[int, int]] = []
     if len(asks) and len(told):
-        sets = [np.frombuffer(x, np.uint64) for x in told["elements"]]
-        size = np.array([len(x) for x in sets])
-        every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-        order = np.argsort(every, kind="stable")
-        every, owner = every[order], owner[order]
-        labels, nodes = told["label"].to_numpy(), told["node"].to_numpy()
-        for node, label, x in zip(asks["node"], asks["label"], asks["elements"], strict=True):
-            x = np.frombuffer(x, np.uint64)
-            lo, hi = np.searchsorted(every, x, "left"), np.searchsorted(every, x, "right")
-            n = hi - lo
-            at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            common = np.bincount(owner[at], minlength=len(sets))
-            linked = np.flatnonzero((100 * common >= percent * (len(x) + size - common)) & (labels != label))
-            _, first = np.unique(labels[linked], return_index=True)
-            out += [(min(node, o), max(node, o)) for o in nodes[linked[first]].tolist()]
+        sigs = np.frombuffer(b"".join(told["sig"]), np.uint16).reshape(len(told), _HASHES)
+        labels, nodes, sets = told["label"].to_numpy(), told["node"].to_numpy(), told["elements"].tolist()
+        for node, label, sig, x in zip(asks["node"], asks["label"], asks["sig"], asks["elements"], strict=True):
+            own, x = np.frombuffer(sig, np.uint16), np.frombuffer(x, np.uint64)
+            alive, done, hits = np.flatnonzero(labels != label), 0, np.zeros(len(told), np.int64)
+            for n, least in steps:
+                hits[alive] += (sigs[alive, done:n] == own[done:n]).sum(axis=1)
+                alive, done = alive[hits[alive] >= least], n
+            joined = set()
+            for i in alive[np.argsort(-hits[alive], kind="stable")].tolist():  # the likeliest first
+                if labels[i] not in joined:
+                    y = np.frombuffer(sets[i], np.uint64)
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * common >= percent * (len(x) + len(y) - common):
+                        joined.add(labels[i])
+                        out.append((min(node, nodes[i]), max(node, nodes[i])))
     return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
 
@@ -204,7 +225,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Returns doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id), one row
     per row of `docs`. Null and wordless texts have an empty set and link with nothing; texts with fewer than
     `width` words have one shingle, their whole sequence. Rows with a null id link with nothing and aren't
-    kept. Rows that repeat an id are one node. Sets are compared as 64-bit hashes of shingles.
+    kept. Rows that repeat an id are one node. An empty table gives an empty result. Texts of any length are read as
+    a whole. Other columns aren't read. `id_col` holds integers. Documents of equal sets, by a 128-bit digest of
+    64-bit hashes of their shingles, are one node; links between nodes are confirmed on the words themselves.
     """
     threshold = percent / 100
     text_batches(docs.sparkSession)
@@ -223,7 +246,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = cut(members.join(buckets, "key"), "shared")
     close = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))  # noqa: E731  sizes alone rule out the others
     star = shared.select("node", "n", F.explode("pivots").alias("p")).filter((F.col("node") != F.col("p.node")) & close(F.col("n"), F.col("p.n")))
-    star = cut(star.select(*_pair(F.col("node"), F.col("p.node"))).distinct(), "star")
+    # a pair once, with a pivot first
+    star = star.select(F.col("p.node").alias("hub"), *_pair(F.col("node"), F.col("p.node"))).groupBy("a", "b").agg(F.min("hub").alias("hub"))
+    star = cut(star.select(F.col("hub").alias("a"), F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("b")), "star")
     links = cut(confirm(prune(star, nodes, threshold, miss), docs, width, percent), "links")
     found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
@@ -235,10 +260,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     outside = open_.filter("label != main").select("key", F.col("node").alias("one"), F.col("n").alias("n1"), F.col("label").alias("l1"))
     # a pair of two outside members comes up from either side; distinct leaves one
     rest = outside.join(open_.select("key", F.col("node").alias("two"), F.col("n").alias("n2"), F.col("label").alias("l2")), "key").filter((F.col("l1") != F.col("l2")) & close(F.col("n1"), F.col("n2")))
-    rest = rest.select(*_pair(F.col("one"), F.col("two"))).distinct().join(star, ["a", "b"], "left_anti")
+    rest = rest.select(*_pair(F.col("one"), F.col("two"))).distinct().join(star.select(*_pair(F.col("a"), F.col("b"))), ["a", "b"], "left_anti")
     more = cut(confirm(prune(cut(rest, "rest"), nodes, threshold, miss), docs, width, percent), "links")
     wide = shared.filter(F.col("m") > BIG).select("node", F.col("pivots")[0]["node"].alias("pivot"))
-    blocks = cut(block_links(wide, found, docs, width, percent), "links")
+    blocks = cut(confirm(block_links(wide, found, nodes, docs, width, threshold, miss), docs, width, percent), "links")
     links = links.unionByName(more).unionByName(blocks)
     found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 

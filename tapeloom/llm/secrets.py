@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tapeloom.llm.common import scratch, table
+from tapeloom.llm.common import folder, table
 
 
 @dataclass(frozen=True)
@@ -103,7 +103,7 @@ def scan_history(history: DataFrame, ledger: str, path_col: str = "path", versio
 
 def op2(spark, sf_dir):
     """Secrets of all documents: each is a path with one version; the ledger starts empty."""
-    found = scan_history(table(spark, sf_dir, "documents"), f"{scratch(spark)}/ledger", path_col="doc_id")
+    found = scan_history(table(spark, sf_dir, "documents"), folder(spark, "ledger"), path_col="doc_id")
     return found.select(F.col("path").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -10,6 +11,8 @@ _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _WEIGHT = np.random.Generator(np.random.PCG64(20240501)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SEED = np.uint64(0xA0761D6478BD642F)
+LONG = 64  # bytes of a word
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers: dict[str, np.ndarray] = {}
@@ -45,11 +48,25 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes_between(a: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of the bytes of each range, from one running sum over all bytes."""
-    up, down = powers(len(a) + 1)
-    sums = np.zeros(len(a) + 1, np.uint64)
-    np.cumsum(_WEIGHT[a] * up[: len(a)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """Hash of the bytes of each range: eight bytes a step, mixed before the next, so that no sum of bytes cancels.
+
+    Ranges of more than LONG bytes are few; a cryptographic hash takes them one by one.
+    """
+    n = ends - starts
+    h = mix(n.astype(np.uint64) + _SEED)
+    padded = np.concatenate([a, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(a) + 1,), np.uint64, padded, strides=(1,))
+    going = np.flatnonzero((n > 0) & (n <= LONG))
+    for at in range(0, LONG, 8):
+        going = going[n[going] > at]
+        if not len(going):
+            break
+        unused = np.maximum(0, at + 8 - n[going]).astype(np.uint64) * np.uint64(8)
+        x = (eight[starts[going] + at] << unused) >> unused  # bytes of the next range don't count
+        h[going] = mix((h[going] ^ x) + _SEED)
+    for i in np.flatnonzero(n > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(a[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def shingle_sets(texts: Iterable[str | None], width: int, chunk: int = 1 << 18) -> Iterator[np.ndarray]:
@@ -91,3 +108,26 @@ def _sets(batch: list[bytes], width: int) -> Iterator[np.ndarray]:
             yield mix(np.array([h], np.uint64))
         else:
             yield np.zeros(0, np.uint64)
+
+
+def exact_sets(texts: Iterable[str | None], width: int) -> list[np.ndarray]:
+    """For each text the sorted distinct numbers of its shingles, which are equal only for equal words.
+
+    Words get their numbers by their bytes and longer and longer runs of words by pairs of numbers, so nothing is
+    hashed down; numbers hold among these texts only. Texts of fewer than `width` words are filled up with a word
+    that no text has.
+    """
+    number: dict[bytes, int] = {b" ": 0}
+    runs, sizes = [], []
+    for t in texts:
+        words = [number.setdefault(w, len(number)) for w in (t or "").encode("utf-8", "surrogatepass").lower().split()]
+        if 0 < len(words) < width:
+            words += [0] * (width - len(words))
+        runs.append(np.array(words, np.int64))
+        sizes.append(len(words))
+    flat = np.concatenate([*runs, np.zeros(0, np.int64)])
+    grams = flat
+    for j in range(1, width):
+        _, grams = np.unique(grams[: max(0, len(flat) - j)] * len(number) + flat[j:], return_inverse=True)
+    ends = np.cumsum([0, *sizes])
+    return [np.unique(grams[lo : max(lo, hi - width + 1)]) for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]

@@ -67,6 +67,36 @@ def test_components_match_all_pairs(spark, monkeypatch, big, width):
         assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (len(sets[i]), want[i], want[i] == i)
 
 
+def test_words_whose_bytes_cancel_in_a_polynomial_stay_apart(spark):
+    """A Thue-Morse word and its complement: equal under any polynomial hash modulo 2**64 with an odd base."""
+    turn = lambda k, x, y: x if not k else turn(k - 1, x, y) + turn(k - 1, y, x)
+    texts = [f"one {turn(10, *ab)} two three four five" for ab in ("ab", "ba")]
+    assert len({int(h) for k in (4, 6, 10, 12) for ab in ("ab", "ba") for h in shingles.word_hashes(turn(k, *ab).encode())[1]}) == 8
+    got = minhash_dedup.near_dedup(documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), width=2).collect()
+    assert all(r["kept"] for r in got)
+
+
+def test_sets_are_those_of_the_words():
+    texts = [t for _, t, *_ in awkward()] + variants(3, 8, 6) + ["a b", "a b c", "b a", "a"]
+    for width in (1, 2, 5):
+        plain = [plain_set(t, width) for t in texts]
+        for sets in (shingles.exact_sets(texts, width), list(shingles.shingle_sets(texts, width))):
+            for x, p in zip(sets, plain, strict=True):
+                assert len(x) == len(p)
+                assert [len(np.intersect1d(x, y)) for y in sets] == [len(p & q) for q in plain]
+
+
+@pytest.mark.parametrize("size", [1, 16, 200])
+def test_buckets_of_any_size(spark, size):
+    """Chains of edits, of which many are near the threshold: one bucket of the given size and some others."""
+    texts = variants(9, size, 22) + [sentence(300 + i, 40) for i in range(4)]
+    sets = [plain_set(t, 2) for t in texts]
+    links = [(a, b) for b in range(len(sets)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    got = minhash_dedup.near_dedup(documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), width=2).collect()
+    want = plain_components(len(sets), links)
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(want))
+
+
 def test_null_ids_and_empty_tables(spark):
     rows = [(None, sentence(1, 20), "en", "s"), (3, sentence(1, 20), "en", "s"), (2, sentence(1, 20), "en", "s"), (2, sentence(1, 20), "en", "s")]
     got = minhash_dedup.near_dedup(documents(spark, rows)).collect()
