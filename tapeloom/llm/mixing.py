@@ -10,11 +10,13 @@ from or above a target is settled with small documents.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tapeloom.llm.common import WORD, cut, shuffle_partitions, small, table, unit_hash
+from tapeloom.llm.common import WORD, Rounds, cut, small, table, unit_hash
 
 CAP = 3
 SOURCE_LIMIT = 2000
@@ -45,13 +47,15 @@ def balance(hist: DataFrame, goals: DataFrame, cap: int = CAP, rounds: int = 60,
     """Multiplier of each source: source, source_size, target, mean, lam, full (cap for every document).
 
     `hist` has source, size, n; `goals` has one row a source. Safeguarded Newton on the dual, one Spark
-    aggregate a round, until every source meets its target.
+    aggregate a round, until every source meets its target. The bracket halves where Newton leaves it, so
+    `rounds` without an end are an error and raised.
     """
     n_sources = goals.count()
     means = hist.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
     x = goals.join(small(means, n_sources, SOURCE_LIMIT), goals["source"].eqNullSafe(means["source"])).select(goals["source"], "source_size", "target", "mean")
     x = x.withColumn("full", F.col("target") >= F.col("source_size") * float(cap) * (1 - 1e-12))
-    x = cut(x.withColumns({"lam": F.lit(0.0), "lo": F.lit(None).cast("double"), "hi": F.lit(None).cast("double"), "miss": F.lit(1.0)}), "dual")
+    tables = Rounds(goals.sparkSession, "dual")
+    x = tables.cut(x.withColumns({"lam": F.lit(0.0), "lo": F.lit(None).cast("double"), "hi": F.lit(None).cast("double"), "miss": F.lit(1.0)}))
     for _ in range(rounds):
         s = small(x.filter("not full and target > 0").select(F.col("source").alias("k"), "lam", "mean"), n_sources, SOURCE_LIMIT)
         z = F.col("size") / F.col("mean")
@@ -68,9 +72,11 @@ def balance(hist: DataFrame, goals: DataFrame, cap: int = CAP, rounds: int = 60,
         step = F.when(F.col("slope") > 0, F.col("lam") - f / F.col("slope"))
         inside = (F.col("lo").isNull() | (step > F.col("lo"))) & (F.col("hi").isNull() | (step < F.col("hi")))
         middle = F.when(F.col("hi").isNull(), 2 * F.abs(F.col("lo")) + 1).when(F.col("lo").isNull(), -2 * F.abs(F.col("hi")) - 1).otherwise((F.col("lo") + F.col("hi")) / 2)
-        x = cut(x.withColumn("lam", F.when(F.col("miss") <= tolerance, F.col("lam")).when(inside, step).otherwise(middle)).drop("k", "got", "slope"), "dual")
-        if x.agg(F.max("miss")).first()[0] is None or x.agg(F.max("miss")).first()[0] <= tolerance:
+        x = tables.cut(x.withColumn("lam", F.when(F.col("miss") <= tolerance, F.col("lam")).when(inside, step).otherwise(middle)).drop("k", "got", "slope"))
+        if (x.agg(F.max("miss")).first()[0] or 0.0) <= tolerance:
             break
+    else:
+        raise RuntimeError(f"targets are not met after {rounds} rounds")
     return x.select("source", "source_size", "target", "mean", "lam", "full")
 
 
@@ -92,12 +98,13 @@ def running(df: DataFrame, by: list[str], value: str, out: str, order: list) ->
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP) -> DataFrame:
     """Copies that each document gets in the mix: doc_id, text_hash, size, source_size, target, rate, copies, taken.
 
-    size counts words ([^\\x20\\x09-\\x0D]+; null text: 0); documents of size 0 get no copy. A null source is a
-    source of its own. Rows that repeat an id are documents of their own. An empty table gives an empty mix.
+    size counts words ([^\\x20\\x09-\\x0D]+; null text: 0) of whole texts, however long; documents of size 0 get
+    no copy. A null source is a source of its own. Rows that repeat an id are documents of their own; those that
+    repeat id and text may change places, which leaves the same rows. Documents of equal size are taken in the
+    order of a hash of id and text. An empty table gives an empty mix; other columns aren't read.
     The words taken of a source differ from its target by less than a small document, unless all its documents
-    are at the cap or no document is small.
+    are at the cap or no document is small. Results depend on the rows alone and not on how Spark deals them.
     """
-    spark = docs.sparkSession
     sized = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h")), "sizes")
     hist = cut(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "histogram")
     sources = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
@@ -105,8 +112,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     n_sources = sources.count()
 
     # groups of like sizes, large ones first, split by hash until a group is a small part of one task's rows
-    n = sized.count()
-    parts = max(1, n // (16 * shuffle_partitions(spark) * 8))
+    # the root of the rows bounds both the rows of a group and the groups of a source
+    parts = 1 + math.isqrt(sized.count()) // 8
     rows = sized.filter("size > 0").withColumns({
         "u": unit_hash("doc_id", "h"), "level": -F.floor(F.log2("size") * 8).cast("int"),
     }).withColumn("part", F.floor(F.col("u") * parts).cast("int"))
@@ -136,4 +143,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def op1(spark, sf_dir):
+    """The mix of all documents with weights 1, 2, 3 by source and at most three copies of each."""
     return mix(table(spark, sf_dir, "documents")).drop("text_hash")

@@ -43,11 +43,69 @@ def test_mix_meets_targets(spark, extra):
     for r in got:
         per.setdefault((r["source_size"], r["target"]), []).append(r["taken"])
     for (source_size, target), taken in per.items():
-        assert abs(sum(taken) - target) <= max(0.02 * target, 60) or source_size > 20_000, (source_size, target, sum(taken))
+        # source c holds two documents of 30,000 words and is met as far as its small ones go
+        assert abs(sum(taken) - target) <= (max(0.02 * target, 60) if source_size < 20_000 else 30_000), (source_size, target, sum(taken))
     again = mixing.mix(docs.repartition(7)).collect()
     assert sorted((r["doc_id"], r["taken"]) for r in got) == sorted((r["doc_id"], r["taken"]) for r in again)
 
 
+def plain_rates(sizes, target, cap=3):
+    """Rates of one source by bisection on the multiplier of the dual."""
+    mean = sum(sizes) / len(sizes)
+    if target >= sum(sizes) * cap * (1 - 1e-12):
+        return [float(cap)] * len(sizes)
+    rates = lambda lam: [min(float(cap), math.exp(min(lam * n / mean, 50.0))) for n in sizes]
+    lo, hi = -200.0, 200.0
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(r * n for r, n in zip(rates(mid), sizes, strict=True)) < target else (lo, mid)
+    return rates((lo + hi) / 2)
+
+
+def test_rates_and_copies_match_plain_code(spark):
+    """Rates by bisection; copies by systematic rounding of whole running sums, then small documents settle the rest."""
+    rows = [(i, sentence(i, 1 + i * i % 90), "en", "abcd"[i % 4 if i % 3 else 0]) for i in range(300)]
+    got = {r["doc_id"]: r for r in mixing.mix(documents(spark, rows)).collect()}
+    hashes = {r["doc_id"]: (r["u"], r["h"]) for r in documents(spark, rows).select("doc_id", mixing.unit_hash("doc_id", F.xxhash64("text")).alias("u"), F.xxhash64("text").alias("h")).collect()}
+    parts = 1 + math.isqrt(len(rows)) // 8
+    sources = {s: [i for i, _, _, x in rows if x == s] for s in "abcd"}
+    size = {i: len(t.split()) for i, t, *_ in rows}
+    goals = plain_targets({s: sum(size[i] for i in ids) for s, ids in sources.items()})
+    unit = 1 << 24
+    for s, ids in sources.items():
+        rate = dict(zip(ids, plain_rates([size[i] for i in ids], goals[s]), strict=True))
+        assert all(math.isclose(rate[i], got[i]["rate"], rel_tol=1e-6) for i in ids)
+        # copies from the rates that Spark found: a last digit may tip a rounding
+        level = {i: -math.floor(math.log2(size[i]) * 8) for i in ids}
+        key = lambda i: (level[i], math.floor(hashes[i][0] * parts), -size[i], hashes[i][0], i)
+        copies, before = {}, 0
+        for i in sorted(ids, key=key):
+            after = before + math.floor(got[i]["rate"] * unit + 0.5)
+            copies[i] = min(3, max(0, (after + unit // 2) // unit - (before + unit // 2) // unit))
+            before = after
+        short, moved = goals[s] - sum(copies[i] * size[i] for i in ids), 0
+        for i in sorted(ids, key=lambda i: (-level[i], math.floor(hashes[i][0] * parts), size[i], hashes[i][0], i)):  # noqa: B023
+            can = copies[i] < 3 if short > 0 else copies[i] > 0
+            if can and size[i] <= abs(short):
+                moved += size[i]
+                if moved <= abs(short):
+                    copies[i] += 1 if short > 0 else -1
+        assert {i: got[i]["copies"] for i in ids} == copies
+
+
+def test_copies_do_not_depend_on_shuffle_partitions(spark):
+    docs = documents(spark, [(i, sentence(i % 700, 1 + i % 30), "en", "abc"[i % 3]) for i in range(4000)])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    seen = []
+    try:
+        for n in ("2", "8"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            seen.append(sorted((r["doc_id"], r["copies"]) for r in mixing.mix(docs).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1]
+
+
 def test_empty_mix(spark):
     assert mixing.mix(documents(spark, [])).count() == 0
 
