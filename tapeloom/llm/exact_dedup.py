@@ -1,9 +1,11 @@
 """Exact deduplication over an extendible-hash index that is kept in shared files.
 
-Every row gets a 64-bit key of its text. One entry per distinct key goes into the index; a directory of
-2**depth slots points to buckets, and it doubles while a bucket holds more entries than its capacity.
-Each owner task writes the buckets of one key range. Keys that only one row has are settled by the index;
-for the others the texts themselves are compared, and texts that share a key by chance form a chain.
+Every row gets a 64-bit key of its text. A directory of 2**depth slots, taken by a key's leading bits, points to
+buckets, and it doubles while a bucket holds more entries than its capacity. The index lies in one file a range of
+buckets, the range of an owner task, with one entry a key. Keys that one row has are settled by their entry. For the
+others the rows look up their bucket, the texts go there, summed up before they travel, and the owner compares their
+bytes: texts that share a key by chance are entries of one chain. The chains are written beside the index and the
+rows find their class in them.
 """
 
 from __future__ import annotations
@@ -12,11 +14,13 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tapeloom.llm.common import cut, shuffle_partitions
+from tapeloom.llm.common import cut, shuffle_partitions, small, table
 
 MAX_DEPTH = 40
 MOST_SLOTS = 1 << 14
+KEY_LIMIT = 1_000_000  # shared keys that are broadcast, of 16 bytes each
 
 
 def slot(depth: int):
@@ -28,7 +32,8 @@ def directory(entries: DataFrame, n_entries: int, capacity: int) -> tuple[int, d
     """Global depth, and for each slot of that depth (bucket prefix, local depth).
 
     The number of buckets is at most twice n_entries / capacity for hashed keys, and capacity keeps it below
-    MOST_SLOTS, so the driver holds a table of bounded size.
+    MOST_SLOTS, so the driver holds a table of bounded size. Keys that are no hashes and crowd into few buckets
+    would need more slots than that, which is an error.
     """
     depth = max(0, math.ceil(math.log2(max(1, n_entries) / capacity)))
     done: dict[tuple[int, int], int] = {}
@@ -36,9 +41,10 @@ def directory(entries: DataFrame, n_entries: int, capacity: int) -> tuple[int, d
     while True:
         over = [s for s, n in counts.items() if n > capacity]
         done |= {(s, depth): n for s, n in counts.items() if n <= capacity}
-        if not over or depth >= MAX_DEPTH or (1 << (depth + 1)) > MOST_SLOTS:
-            done |= {(s, depth): counts[s] for s in over}
+        if not over:
             break
+        if depth >= MAX_DEPTH or (1 << (depth + 1)) > MOST_SLOTS:
+            raise ValueError(f"{len(over)} buckets hold more than {capacity} keys at {1 << depth} slots: raise the capacity")
         # doubling: only the overfull buckets split, the others are reached from two slots
         parents = entries.filter(slot(depth).isin(over))
         depth += 1
@@ -53,52 +59,47 @@ def directory(entries: DataFrame, n_entries: int, capacity: int) -> tuple[int, d
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int | None = None) -> DataFrame:
     """Mark every row of `docs` with the row that stays for its text.
 
-    Returns doc_id, keep_id, group_size, kept, text_sha256, bucket, chain. Null text counts as the empty text;
-    all empty texts are equal. Of equal texts the largest id stays; null ids lose to any id. Rows that repeat
-    both id and text are one document written twice: they share keep_id, count in group_size, and the flag
-    `kept` is true for each of them. An empty table gives an empty result; other columns are not read.
+    Returns doc_id, keep_id, group_size, kept, text_sha256, chain (place among the texts of one key). Null text
+    counts as the empty text; all empty texts are equal. Of equal texts the largest id stays; null ids lose to any id.
+    Rows that repeat both id and text are one document written twice: they share keep_id, count in group_size, and
+    the flag `kept` is true for each of them. Texts of any length are compared as a whole. An empty table gives an
+    empty result; other columns are not read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("key", F.xxhash64("t"))
     index = cut(rows.select("doc_id", "key", F.sha2("t", 256).alias("sha")), "rows")
-    entries = cut(index.groupBy("key").agg(F.count("*").alias("n_rows"), F.max("doc_id").alias("max_id")), "entries")
+    entries = cut(index.groupBy("key").agg(F.count("*").alias("n_rows")), "entries")
     n_entries = entries.count()
     capacity = capacity or max(1024, math.ceil(n_entries / (MOST_SLOTS // 8)))
     depth, slots = directory(entries, n_entries, capacity)
     # the directory has MOST_SLOTS rows at most, whatever the input
-    pointers = F.broadcast(spark.createDataFrame([(s, b, local) for s, (b, local) in slots.items()] or [(0, 0, 0)], "slot long, bucket long, local int"))
-    buckets = entries.withColumn("slot", slot(depth)).join(pointers, "slot")
-    buckets = cut(buckets.repartitionByRange(shuffle_partitions(spark), "bucket", "key").sortWithinPartitions("bucket", "key").drop("slot"), "buckets")
+    pointers = F.broadcast(spark.createDataFrame([(s, b) for s, (b, _) in slots.items()] or [(0, 0)], "slot long, bucket long"))
+    look_up = lambda df: df.withColumn("slot", slot(depth)).join(pointers, "slot").drop("slot")
+    # an owner has a range of keys, and so of buckets
+    owned = lambda df: df.repartitionByRange(shuffle_partitions(spark), "bucket", "key").sortWithinPartitions("bucket", "key")
+    buckets = cut(owned(look_up(entries)), "buckets")
 
     shared = buckets.filter("n_rows > 1").select("bucket", "key")
-    classes = (
-        rows.join(shared, "key")
-        .groupBy("bucket", "key", "t")  # the bytes of the texts are compared here
-        .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        .select("bucket", "key", F.sha2("t", 256).alias("sha"), "keep_id", "group_size")
-    )
-    classes = cut(classes, "classes")
-    chained = classes.groupBy("key").agg(F.count("*").alias("links")).filter("links > 1").select("key")
-    # a chain holds the different texts of one 64-bit key: two in practice, never a group of copies
-    order = classes.join(chained, "key", "left_semi").groupBy("key").agg(F.sort_array(F.collect_list("sha")).alias("shas"))
-    chains = order.select("key", F.posexplode("shas").alias("chain", "sha"))
-    classes = classes.join(chains, ["key", "sha"], "left").withColumn("chain", F.coalesce("chain", F.lit(0)))
-    return (
-        index.join(classes, ["key", "sha"], "left")
-        .select(
-            "doc_id",
-            F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-            F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-            F.when(F.col("group_size").isNull(), F.lit(True)).otherwise(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
-            F.col("sha").alias("text_sha256"),
-            F.coalesce("chain", F.lit(0)).alias("chain"),
-        )
+    n_shared = shared.count()
+    texts = look_up(rows).join(small(shared, n_shared, KEY_LIMIT), ["bucket", "key"])
+    # copies are summed up where they lie, so a hot text travels once a task; its bytes are compared here
+    summed = texts.groupBy("bucket", "key", "t").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    place = F.row_number().over(Window.partitionBy("bucket", "key").orderBy("sha")) - 1
+    classes = cut(owned(summed.select("bucket", "key", F.sha2("t", 256).alias("sha"), "keep_id", "group_size")).withColumn("chain", place), "chains")
+    n_classes = classes.count()
+    found = look_up(index).join(small(classes, n_classes, KEY_LIMIT // 4), ["bucket", "key", "sha"], "left")  # a hundred bytes each
+    return found.select(
+        "doc_id",
+        F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        F.when(F.col("group_size").isNull(), F.lit(True)).otherwise(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
+        F.col("sha").alias("text_sha256"),
+        F.coalesce("chain", F.lit(0)).alias("chain"),
     )
 
 
 def op5(spark, sf_dir):
-    from tapeloom.llm.common import table
-
+    """Exact duplicates of all documents; the largest id of equal texts stays."""
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 

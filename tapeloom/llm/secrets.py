@@ -87,6 +87,8 @@ def scan_history(history: DataFrame, ledger: str, path_col: str = "path", versio
 
     Returns path, (version,) blob, n_assign, n_access, n_hex, base_sha256, spans: one row per row of `history`,
     repeated rows included. Null text counts as empty and has no finding. Null paths are kept as they are.
+    Whole texts are scanned, however long. An empty history gives an empty result; other columns aren't read. Spans
+    that start alike come in the order of the rules.
     """
     spark = history.sparkSession
     ids = [F.col(path_col).alias("path"), *([F.col(version_col).alias("version")] if version_col else [])]

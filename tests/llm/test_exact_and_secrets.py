@@ -33,6 +33,20 @@ def test_texts_of_one_key_form_a_chain(spark, monkeypatch):
     assert got[1][:2] == got[3][:2] == (3, 2) and got[2][:2] == (2, 1) and {got[1][2], got[2][2]} == {0, 1}
 
 
+def test_a_directory_that_cannot_split_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MOST_SLOTS", 4)
+    with pytest.raises(ValueError):
+        exact_dedup.exact_dedup(documents(spark, [(i, f"t{i}", "en", "s") for i in range(60)]), capacity=2)
+
+
+def test_only_texts_of_shared_keys_travel(spark):
+    """The rows join the index and the chains by broadcast: no exchange holds the text of a document without a copy."""
+    rows = [(i, sentence(i if i > 5 else 1, 300), "en", "s") for i in range(40)]
+    df = exact_dedup.exact_dedup(documents(spark, rows))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert df.filter("group_size > 1").count() == 6 and "SortMergeJoin" not in plan
+
+
 def test_null_ids_and_empty_table(spark):
     rows = [(None, "x", "en", "s"), (5, "x", "en", "s"), (None, "y", "en", "s")]
     got = sorted(((r["doc_id"], r["keep_id"], r["kept"]) for r in exact_dedup.exact_dedup(documents(spark, rows)).collect()), key=str)
@@ -64,6 +78,18 @@ def test_secrets_match_a_plain_scan(spark, tmp_path):
     assert [r["spans"] for r in got if r["path"] == 10] == ["pem:0:31"]
 
 
+def test_secrets_in_awkward_rows(spark, tmp_path):
+    """No rows, a null path, megabytes of text with a secret at the end, and a long run that is none."""
+    assert secrets.scan_history(documents(spark, []), str(tmp_path / "none"), path_col="doc_id").count() == 0
+    long_text = sentence(4, 150_000) + " token: abcdef123"
+    rows = [(None, "secret=abcdefgh", "en", "s"), (1, long_text, "en", "s"), (2, "a" * 1_000_000, "en", "s"), (3, "a" * 23 + "g", "en", "s")]
+    got = {r["path"]: r for r in secrets.scan_history(documents(spark, rows), str(tmp_path / "l"), path_col="doc_id").collect()}
+    assert got[None]["n_assign"] == 1 and got[2]["spans"] == "hex:0:1000000" and got[3]["spans"] == ""
+    for i in (1, None):
+        want = spans({None: rows[0][1], 1: long_text}[i])
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
+
+
 def test_ledger_scans_only_what_is_new(spark, tmp_path):
     ledger = str(tmp_path / "ledger")
     history = lambda rows: spark.createDataFrame(rows, "path string, version int, text string")
