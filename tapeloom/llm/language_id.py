@@ -7,7 +7,7 @@ but does so at a price. Forward-backward gives each word its posterior; a docume
 the greatest mean posterior, which is its score.
 
 Training maximises the likelihood of a bounded sample of labelled documents on the driver (SAMPLE documents a
-language, evenly hashed, whole texts unless all of a language are over-long). Prediction runs over all words of all documents in numpy: chains are
+language, evenly hashed, whole texts unless all of a language are over-long), with the exact gradient. Prediction runs over all words of all documents in numpy: chains are
 cut into segments whose transfer matrices are multiplied, so that all segments of a batch advance together and
 the result is that of one pass over each chain.
 """
@@ -101,8 +101,13 @@ def _chunks(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return first[chain] + nth * SEGMENT, np.minimum(SEGMENT, count[chain] - nth * SEGMENT), chain
 
 
-def posteriors(scores: np.ndarray, first: np.ndarray, count: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Label probabilities of each word by forward-backward over chains (first word, number of words > 0)."""
+def posteriors(scores: np.ndarray, first: np.ndarray, count: np.ndarray, trans: np.ndarray, both: bool = False):
+    """Label probabilities of each word by forward-backward over chains (first word, number of words > 0).
+
+    With `both` also, for each word, the probabilities of the pair of the label before it and its own, of shape
+    (words, labels, labels): the share of all paths that take this transition. Before a chain's first word all labels
+    are alike.
+    """
     labels = scores.shape[1]
     e = np.exp(scores - scores.max(axis=1, keepdims=True))
     a = np.exp(trans - trans.max()).astype(np.float32)
@@ -135,16 +140,24 @@ def posteriors(scores: np.ndarray, first: np.ndarray, count: np.ndarray, trans:
         leave[i - 1] = scale(np.einsum("ijk,ik->ij", m[i], leave[i]))
     # forward and backward inside all segments at once; the first word of a chain is entered from all alike
     alpha = np.empty_like(e)
+    pairs = np.empty((len(e), labels, labels), np.float32) if both else None
     f = enter[order]
     for t, k in enumerate(going):
+        if both:
+            pairs[lo_s[:k] + t] = f[:k, :, None] * a  # what comes before, and the transition
         f[:k] = scale((f[:k] @ a) * e[lo_s[:k] + t])
         alpha[lo_s[:k] + t] = f[:k]
     b = leave[order]
     for t in range(len(going) - 1, -1, -1):
         k = going[t]
         at = lo_s[:k] + t
+        if both:
+            pairs[at] *= (e[at] * b[:k])[:, None, :]  # the word, and what comes after
         alpha[at] = scale(alpha[at] * b[:k])
         b[:k] = scale((b[:k] * e[at]) @ a.T)
+    if both:
+        pairs /= np.maximum(pairs.sum(axis=(1, 2), keepdims=True), 1e-30)
+        return alpha, pairs
     return alpha
 
 
@@ -162,6 +175,30 @@ def _batch(texts: list[str]) -> tuple[Words, np.ndarray, np.ndarray]:
     return w, edges[:-1], np.diff(edges)
 
 
+def gradient(w: Words, first: np.ndarray, count: np.ndarray, y: np.ndarray, weights: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients of the log-likelihood of labels `y` of the words of chains, by feature weights and by transitions:
+    what is there less what the model expects, by posteriors of words and of neighbouring pairs."""
+    labels = weights.shape[1]
+    p, pairs = posteriors(emissions(w, weights), first, count, trans, both=True)
+    g = -p
+    g[np.arange(len(y)), y] += 1
+    by_weight = np.zeros(weights.shape)
+    owner = np.searchsorted(w.starts, w.gram_at, side="right") - 1
+    share = (g / (w.ends - w.starts)[:, None])[owner]
+    for c in range(labels):
+        for f in range(w.fixed.shape[1]):
+            by_weight[:, c] += np.bincount(w.fixed[:, f], g[:, c], len(weights))
+        by_weight[:, c] += np.bincount(w.grams[:, 0], share[:, c], len(weights)) + np.bincount(w.grams[:, 1], share[:, c], len(weights))
+    inside = np.ones(len(y), bool)
+    inside[first] = False
+    at = np.flatnonzero(inside)
+    seen = np.bincount(y[at - 1] * labels + y[at], minlength=labels * labels).reshape(labels, labels).astype(np.float64)
+    # a chain's first label may have followed any label, each as far as its transition goes
+    enter = np.exp(trans - trans.max()).astype(np.float64)
+    seen += enter / enter.sum(axis=0) * np.bincount(y[first], minlength=labels)
+    return by_weight, seen - pairs.sum(axis=0, dtype=np.float64)
+
+
 def fit(texts: list[str], labels: list[str], epochs: int = EPOCHS, rate: float = 0.5, seed: int = 5) -> Model:
     """Gradient ascent with per-weight step sizes on the log-likelihood of the label sequences.
 
@@ -176,7 +213,7 @@ def fit(texts: list[str], labels: list[str], epochs: int = EPOCHS, rate: float =
         return model
     grad_w, grad_t = np.full_like(weights, 1e-2), np.full_like(trans, 1e-2)
     order = np.random.Generator(np.random.PCG64(seed)).permutation(len(texts))
-    for epoch in range(epochs):
+    for _ in range(epochs):
         for lo in range(0, len(order), 16):
             part = [int(i) for i in order[lo : lo + 16]]
             w, first, count = _batch([texts[i] for i in part])
@@ -184,30 +221,11 @@ def fit(texts: list[str], labels: list[str], epochs: int = EPOCHS, rate: float =
                 continue
             full = count > 0
             y = np.repeat(np.array([code[labels[i]] for i in part]), count)
-            p = posteriors(emissions(w, weights), first[full], count[full], trans)
-            g = -p
-            g[np.arange(len(y)), y] += 1
-            g /= len(y)
-            step = np.zeros_like(weights)
-            for f in range(w.fixed.shape[1]):
-                for c in range(k):
-                    step[:, c] += np.bincount(w.fixed[:, f], g[:, c], SLOTS)
-            owner = np.searchsorted(w.starts, w.gram_at, side="right") - 1
-            share = g / (w.ends - w.starts)[:, None]
-            for c in range(k):
-                step[:, c] += np.bincount(w.grams[:, 0], share[owner, c], SLOTS) + np.bincount(w.grams[:, 1], share[owner, c], SLOTS)
-            step -= 1e-6 * weights
+            by_weight, by_pair = gradient(w, first[full], count[full], y, weights, trans)
+            step = (by_weight / len(y) - 1e-6 * weights).astype(np.float32)
             grad_w += step * step
             weights += rate * step / np.sqrt(grad_w)
-            # expected transitions, with neighbours' posteriors taken as independent given the chain's own pull
-            inside = np.ones(len(y), bool)
-            inside[first[full]] = False
-            b = np.flatnonzero(inside)
-            pull = p[b - 1][:, :, None] * p[b][:, None, :] * np.exp(trans)[None]
-            pull /= pull.sum(axis=(1, 2), keepdims=True)
-            seen = np.zeros_like(trans)
-            np.add.at(seen, (y[b - 1], y[b]), 1)
-            move = (seen - pull.sum(axis=0)) / max(1, len(b)) - 1e-3 * trans
+            move = (by_pair / len(y) - 1e-3 * trans).astype(np.float32)
             grad_t += move * move
             trans += rate * move / np.sqrt(grad_t)
     return model
@@ -287,7 +305,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     Learns from rows whose crc32(doc_id) modulo 4 isn't 2 and whose language isn't null; a prediction reads
     the text alone. Texts that are null or have no letter get `und` with score 0, as does every text if no
     row can be learned from. A null id is never learned from and is not held out. Repeated rows get equal
-    results.
+    results. Of equally likely languages the first by name is taken. An empty table gives an empty result; texts of
+    any length are read as a whole; other columns aren't read.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
@@ -314,4 +333,5 @@ def predicted(spark, model: Model, text: Column) -> Column:
 
 
 def op6(spark, sf_dir):
+    """Languages of all documents, learned from those whose crc32 of the id leaves another remainder than 2."""
     return identify(table(spark, sf_dir, "documents"))

@@ -32,6 +32,71 @@ def test_forward_backward_matches_all_paths(monkeypatch):
         assert np.allclose(got[lo : lo + n], chain_brute_force(scores[lo : lo + n].astype(float), trans.astype(float)), atol=1e-5)
 
 
+def log_likelihood(w, first, count, y, weights, trans):
+    """Of label sequences, by the forward sums of each chain in plain numpy."""
+    x, t = language_id.emissions(w, weights).astype(np.float64), trans.astype(np.float64)
+    total = 0.0
+    for lo, n in zip(first, count, strict=True):
+        own = np.log(np.exp(t[:, y[lo]]).mean()) + x[lo, y[lo]] + sum(t[y[i - 1], y[i]] + x[i, y[i]] for i in range(lo + 1, lo + n))
+        alpha = np.log(np.exp(t).mean(axis=0)) + x[lo]
+        for i in range(lo + 1, lo + n):
+            alpha = np.log(np.exp(alpha[:, None] + t).sum(axis=0)) + x[i]
+        total += own - np.log(np.exp(alpha).sum())
+    return total
+
+
+def test_gradient_matches_finite_differences(monkeypatch):
+    monkeypatch.setattr(language_id, "SEGMENT", 2)
+    monkeypatch.setattr(language_id, "SLOTS", 64)
+    g = np.random.default_rng(1)
+    w, first, count = language_id._batch(["der die und mit", "the of", "le la et avec est"])
+    y = g.integers(0, 3, len(w.starts))
+    weights, trans = g.normal(size=(64, 3)) * 0.3, g.normal(size=(3, 3))
+    by_weight, by_pair = language_id.gradient(w, first, count, y, weights, trans.astype(np.float32))
+    f = lambda a, b: log_likelihood(w, first, count, y, a, b)
+    for i, j in [*itertools.product(range(3), range(3))]:
+        d = np.zeros((3, 3))
+        d[i, j] = 1e-4
+        assert abs((f(weights, trans + d) - f(weights, trans - d)) / 2e-4 - by_pair[i, j]) < 1e-2
+    for i in sorted(set(w.fixed[0]) | set(w.grams[0])):
+        d = np.zeros((64, 3))
+        d[i, i % 3] = 1e-2
+        assert abs((f(weights + d, trans) - f(weights - d, trans)) / 2e-2 - by_weight[i, i % 3]) < 2e-2
+
+
+def plain_words(text):
+    """Words and the slots of their features, one by one: the word, its prefixes and suffixes, its bigrams and trigrams."""
+    import re
+
+    slot = lambda x, kind: int(language_id._slot(np.array([x % (1 << 64)], np.uint64), kind)[0])
+    power, out = 1099511628211, []
+    for m in re.finditer(rb"[a-z\x80-\xff]+", text.lower().encode()):
+        word = m[0]
+        own = [int(language_id._slot(language_id.word_hashes_between(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)])), 1)[0])]
+        for side, kind in ((word, 10), (word[::-1], 20)):
+            h = 0
+            for k in range(1, 5):
+                h = (h * power + (side[k - 1] if len(word) >= k else 0)) % (1 << 64)
+                own.append(slot(h, kind + k))
+        grams = []
+        for i in range(len(word)):
+            two = word[i] * 256 + (word[i + 1] if i + 1 < len(word) else 0)
+            grams += [slot(two, 32), slot(two * 256 + (word[i + 2] if i + 2 < len(word) else 0), 33)]
+        out.append((own, grams, len(word)))
+    return out
+
+
+def test_prediction_matches_plain_code():
+    rows = language_rows()
+    m = language_id.fit([t for _, t, *_ in rows], [x for _, _, x, _ in rows], epochs=2)
+    for text in ("der hund und the dog", "sur le pont", "a", "Über 12 die-nicht?", "mit von est la and"):
+        words = plain_words(text)
+        scores = np.array([sum(m.weights[i].astype(float) for i in own) + sum(m.weights[i].astype(float) for i in grams) / n for own, grams, n in words])
+        want = chain_brute_force(scores, m.trans.astype(float)).mean(axis=0)
+        got, n = next(iter(language_id.predict([text], m)))
+        assert n == len(words) and np.allclose(got, want, atol=1e-4)
+
+
 def language_rows(n=240):
     g = np.random.default_rng(5)
     return [(i, " ".join(g.choice(LANGS[x].split(), 12)), x, "s") for i in range(n) for x in [list(LANGS)[i % 3]]]
