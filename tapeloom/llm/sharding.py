@@ -55,51 +55,59 @@ def hilbert(bits: int, *dims: Column) -> Column:
     return index(*dims)
 
 
-def ranked(df: DataFrame, col: str, bits: int, out: str) -> DataFrame:
+def placed(df: DataFrame, order: list) -> DataFrame:
+    """Rows sorted over all tasks and written once, with `_task` and the place `_at` within it, both from 0."""
+    parts = shuffle_partitions(df.sparkSession)
+    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    kept = cut(dealt.withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    return kept.withColumns({"_task": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+
+
+def starts(kept: DataFrame, value: Column) -> DataFrame:
+    """Sum of a value over all tasks before each task: _task, _start. One row a task."""
+    sums = kept.groupBy(F.col("_task").alias("_t")).agg(F.sum(value).alias("_n"))
+    return F.broadcast(sums.select("_t", (F.sum("_n").over(Window.orderBy("_t")) - F.col("_n")).alias("_start")))
+
+
+def ranked(df: DataFrame, col: str, bits: int, out: str, n_rows: int) -> DataFrame:
     """Quantise a column of any sortable type by the share of rows below its value; null sorts first.
 
-    Cells hold near equal numbers of rows where values allow. The window runs over distinct values.
+    Cells hold near equal numbers of rows where values allow. Distinct values are sorted over all tasks, which add up.
     """
     values = df.groupBy(F.col(col).alias("_v")).agg(F.count("*").alias("_n"))
-    n_values = values.count()
-    below = F.sum("_n").over(Window.orderBy(F.col("_v").asc_nulls_first())) - F.col("_n")
-    total = F.sum("_n").over(Window.partitionBy())
-    values = values.select("_v", F.floor(below / total * (1 << bits)).cast("int").alias(out))
-    return df.join(small(values, n_values, DIMENSION_LIMIT), F.col(col).eqNullSafe(F.col("_v")), "left").drop("_v")
+    kept = placed(values, [F.col("_v").asc_nulls_first()])
+    inside = F.sum("_n").over(Window.partitionBy("_task").orderBy("_at")) - F.col("_n")
+    below = kept.withColumn("_below", inside).join(starts(kept, F.col("_n")), F.col("_task") == F.col("_t"))
+    cells = cut(below.select("_v", F.floor((F.col("_start") + F.col("_below")) / max(1, n_rows) * (1 << bits)).cast("int").alias(out)), "cells")
+    return df.join(small(cells, cells.count(), DIMENSION_LIMIT), F.col(col).eqNullSafe(F.col("_v")), "left").drop("_v")
 
 
 def positions(df: DataFrame, order: list[str]) -> DataFrame:
-    """Add `rank` from 0 in the given total order, without a task that holds all rows.
+    """Add `rank` from 0 in the given total order, without a task that holds all rows."""
+    kept = placed(df, order)
+    return kept.join(starts(kept, F.lit(1)), F.col("_task") == F.col("_t")).withColumn("rank", F.col("_start") + F.col("_at")).drop("_at", "_task", "_start", "_t")
 
-    The sorted rows are written once: each task's rows keep their place in it, and tasks add up.
-    """
-    parts = shuffle_partitions(df.sparkSession)
-    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    kept = cut(dealt.withColumn("_at", F.monotonically_increasing_id()), "sorted")
-    task, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = kept.groupBy(task.alias("_task")).agg(F.count("*").alias("_n"))
-    starts = counts.select("_task", (F.sum("_n").over(Window.orderBy("_task")) - F.col("_n")).alias("_start"))
-    return kept.withColumn("_task", task).join(F.broadcast(starts), "_task").withColumn("rank", F.col("_start") + place).drop("_at", "_task", "_start")
 
-
-def hilbert_shards(docs: DataFrame, shards: int = 8, dims: tuple[str, ...] = ("source", "lang"), id_col: str = "doc_id", text_col: str = "text", bits: int = 8) -> DataFrame:
+def hilbert_shards(docs: DataFrame, shards: int = 8, dims: tuple[str, ...] = ("source", "lang"), id_col: str = "doc_id", text_col: str = "text", bits: int = 8, whole: bool = False) -> DataFrame:
     """Deal documents into runs of the Hilbert curve over `dims` and the logarithm of their size.
 
     Law `rows`: shards hold the same number of rows, give or take one. Returns doc_id, size (UTF-8 bytes plus
-    one; null text: 1), text_crc32 (null text: 0, as the empty text), hilbert, shard, slot (gapless from 0).
+    one; null text: 1), text_crc32 (null text: 0, as the empty text), hilbert, shard, slot (gapless from 0); with
+    `whole` also `row`, a struct of all columns of the input, of whatever names, which then move with it.
     Nulls in a dimension sort first. Ties on the curve are ordered by text hash and id, so equal texts of one
     cell are neighbours; rows that repeat in everything may change places. With fewer rows than shards, some
-    shards are empty. A long text moves only as its size and checksums.
+    shards are empty. An empty table gives an empty result. A long text moves only as its size and checksums.
     """
     data = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    rows = docs.select(F.col(id_col).alias("doc_id"), *[F.col(d).alias(f"d{i}") for i, d in enumerate(dims)], (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.xxhash64(data).alias("text_hash"))
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), *[F.col(d).alias(f"d{i}") for i, d in enumerate(dims)], (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.xxhash64(data).alias("text_hash"), *row)
     rows = cut(rows.withColumn("grade", F.floor(F.log2("size") * 4).cast("int")), "meta")
+    n = rows.count()
     names = [f"d{i}" for i in range(len(dims))] + ["grade"]
     for i, d in enumerate(names):
-        rows = ranked(rows, d, bits, f"q{i}")
+        rows = ranked(rows, d, bits, f"q{i}", n)
     rows = rows.withColumn("hilbert", hilbert(bits, *[F.col(f"q{i}") for i in range(len(names))])).drop(*names, *[f"q{i}" for i in range(len(names))])
     rows = positions(rows, ["hilbert", "text_hash", "doc_id"])
-    n = rows.count()
     base, more = divmod(n, shards)
     # the first `more` shards hold base + 1 rows
     edge = more * (base + 1)
@@ -109,17 +117,18 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, dims: tuple[str, ...] = ("s
     return rows.withColumn("shard", first.cast("int")).withColumn("slot", (r - start).cast("long")).drop("rank", "text_hash")
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Write whole rows as one folder a shard, each file sorted along the curve, for pruning by file statistics.
+def write_shards(docs: DataFrame, path: str, rows_a_file: int = 200_000, **how) -> None:
+    """Write whole rows as one folder a shard, each file a run of the curve, for pruning by file statistics.
 
-    `placed` comes from hilbert_shards over ids that are unique. Slots cut a shard into files of equal rows, so
-    no task writes a whole shard.
+    Takes the parameters of hilbert_shards. Each row moves with its place, so null ids and repeated rows are written
+    as often as they occur. Slots cut a shard into files of equal rows, so no task writes a whole shard.
     """
-    run = F.floor(F.col("slot") / 200_000)
-    rows = docs.join(placed.select(F.col("doc_id").alias(id_col), "shard", "slot"), id_col).withColumn("run", run)
-    rows.repartition("shard", "run").sortWithinPartitions("shard", "run", "slot").drop("run").write.partitionBy("shard").parquet(path)
+    rows = hilbert_shards(docs, whole=True, **how).withColumn("_run", F.floor(F.col("slot") / rows_a_file))
+    rows = rows.repartition("shard", "_run").sortWithinPartitions("shard", "slot")
+    rows.select(F.col("row.*"), F.col("shard").alias("_shard")).write.partitionBy("_shard").option("maxRecordsPerFile", rows_a_file).parquet(path)
 
 
 def op3(spark, sf_dir):
+    """All documents in eight shards along the curve over source, language and size, by the law `rows`."""
     placed = hilbert_shards(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")

@@ -133,10 +133,69 @@ def test_shards_are_even_and_gapless(spark, n):
     assert all(r["size"] == len(text[r["doc_id"]]) + 1 and r["text_crc32"] == zlib.crc32(text[r["doc_id"]]) for r in got)
 
 
+def plain_index(cell, bits):
+    """Curve index of one point: the quadrant of each bit in Gray code order of the turned axes, from the top bit on."""
+    x, n = list(cell), len(cell)
+    m = 1 << (bits - 1)
+    q = m
+    while q > 1:
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & (q - 1)
+                x[0] ^= t
+                x[i] ^= t
+        q >>= 1
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t = 0
+    q = m
+    while q > 1:
+        if x[n - 1] & q:
+            t ^= q - 1
+        q >>= 1
+    x = [v ^ t for v in x]
+    return int("".join(str(v >> b & 1) for b in range(bits - 1, -1, -1) for v in x), 2)
+
+
+def test_shards_match_plain_code(spark):
+    """Every cell, index, shard and slot, from a plain sort."""
+    rows = [r for r in awkward() if r[0] != 7] + [(100 + i, sentence(i % 40, 2 + i % 25), ("en", "de", None)[i % 3], "abcde"[i * i % 5]) for i in range(150)]
+    got = {r["doc_id"]: r for r in sharding.hilbert_shards(documents(spark, rows)).collect()}
+    size = {i: len((t or "").encode()) + 1 for i, t, *_ in rows}
+    dims = [{i: s for i, _, _, s in rows}, {i: x for i, _, x, _ in rows}, {i: math.floor(math.log2(n) * 4) for i, n in size.items()}]
+    below = lambda v, x: x is not None and (v is None or v < x)
+    cells = {i: [math.floor(sum(below(v, d[i]) for v in d.values()) / len(rows) * 256) for d in dims] for i, *_ in rows}
+    hashes = {r["doc_id"]: r["h"] for r in documents(spark, rows).select("doc_id", F.xxhash64(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("h")).collect()}
+    order = sorted(got, key=lambda i: (plain_index(cells[i], 8), hashes[i], i))
+    base, more = divmod(len(rows), 8)
+    want = [(s, k) for s in range(8) for k in range(base + (s < more))]
+    assert [got[i]["hilbert"] for i in order] == [plain_index(cells[i], 8) for i in order]
+    assert [(got[i]["shard"], got[i]["slot"]) for i in order] == want
+
+
 def test_written_shards_hold_all_rows(spark, tmp_path):
-    rows = [(i, sentence(i, 5), "en", "abc"[i % 3]) for i in range(40)]
-    docs = documents(spark, rows)
-    sharding.write_shards(docs, sharding.hilbert_shards(docs), str(tmp_path / "s"))
+    """Null ids and repeated rows come back as often as they went in, with columns of clashing names."""
+    rows = [(i, sentence(i, 5), "en", "abc"[i % 3]) for i in range(36)] + [(None, "x", "en", "a")] * 3 + [(7, sentence(7, 5), "en", "b")]
+    docs = documents(spark, rows, extra=True).withColumns({c: F.lit(1) for c in ("shard", "slot", "hilbert", "row")})
+    sharding.write_shards(docs, str(tmp_path / "s"))
     back = spark.read.parquet(str(tmp_path / "s"))
-    assert back.count() == 40 and back.select("shard").distinct().count() == 8
-    assert back.groupBy("shard").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] == 5
+    assert back.drop("_shard").columns == docs.columns
+    assert sorted(map(str, back.select("doc_id", "text", "source").collect())) == sorted(map(str, docs.select("doc_id", "text", "source").collect()))
+    assert back.groupBy("_shard").agg(F.count("*").alias("n")).agg(F.max("n"), F.count("*")).first()[:] == (5, 8)
+    sharding.write_shards(documents(spark, []), str(tmp_path / "none"))
+
+
+def test_a_filter_on_one_dimension_reads_fewer_files(spark, tmp_path):
+    """Files that statistics can't rule out, of curve order against rows as they come."""
+    rows = [(i, sentence(i, 2 + i * 7 % 90), ("en", "de", "fr", "es")[i * 13 % 4], f"host{i * 31 % 50:02}") for i in range(1600)]
+    docs = documents(spark, rows)
+    sharding.write_shards(docs, str(tmp_path / "curve"), rows_a_file=50)
+    docs.repartition(32).write.parquet(str(tmp_path / "plain"))
+    read = {}
+    for name in ("curve", "plain"):
+        files = spark.read.parquet(str(tmp_path / name)).groupBy("_metadata.file_path").agg(*[f(c).alias(f"{c}_{k}") for c in ("source", "lang") for k, f in (("lo", F.min), ("hi", F.max))])
+        total = files.count()
+        read[name] = [files.filter(F.lit(v).between(F.col(f"{c}_lo"), F.col(f"{c}_hi"))).count() / total for c, v in (("source", "host17"), ("lang", "es"))]
+    assert all(c < 0.6 * p for c, p in zip(read["curve"], read["plain"], strict=True)), read
