@@ -29,6 +29,26 @@ def fail(progress: DataFrame, backfill_id: str, error: str, at) -> DataFrame:
     return progress.withColumns({"status": F.when(mine, "failed").otherwise(F.col("status")), "error": F.when(mine, error).otherwise(F.col("error")), "updated_at": F.when(mine, F.lit(at).cast("timestamp")).otherwise(F.col("updated_at"))})
 
 
+def checkpoint(fetched: DataFrame, backfill_id: str, data_type: str, at) -> DataFrame:
+    """Checkpoint rows of symbol-months, ready to append: `fetched` has symbol, year, month, rows_fetched and error.
+
+    A month with an error failed and has no count of rows.
+    """
+    failed = F.col("error").isNotNull()
+    return fetched.select(
+        F.lit(backfill_id).alias("backfill_id"), "symbol", F.col("year").cast("int").alias("year"), F.col("month").cast("int").alias("month"), F.lit(data_type).alias("data_type"), F.when(failed, "failed").otherwise("completed").alias("status"),
+        F.when(~failed, F.col("rows_fetched").cast("bigint")).alias("rows_fetched"), F.col("error").cast("string").alias("error"), F.lit(at).cast("timestamp").alias("created_at"),
+    )
+
+
+def job_log(spark: SparkSession, job_name: str, started, finished, success: bool, detail: str | None = None) -> DataFrame:
+    """The record of one run, ready to append to the job log."""
+    began, ended = F.lit(started).cast("timestamp"), F.lit(finished).cast("timestamp")
+    return spark.range(1).select(F.lit(job_name).alias("job_name"), began.alias("started_at"), ended.alias("finished_at"), (F.unix_micros(ended) - F.unix_micros(began)).cast("double").alias("_us"), F.lit(success).alias("success"), F.lit(detail).cast("string").alias("detail")).select(
+        "job_name", "started_at", "finished_at", (F.col("_us") / 1e6).alias("duration_seconds"), "success", "detail"
+    )
+
+
 def completed_months(checkpoints: DataFrame, symbol: str | None = None) -> DataFrame:
     c = checkpoints.filter("status = 'completed'")
     c = c.filter(F.col("symbol") == symbol) if symbol else c
@@ -63,6 +83,11 @@ def preset(name: str, as_of):
     return F.date_sub(end, PRESETS[name]), end
 
 
+def preset_rows(df: DataFrame, name: str, as_of, col: str = "date") -> DataFrame:
+    first, last = preset(name, as_of)
+    return df.filter(F.col(col).between(first, last))
+
+
 def batches(tickers: DataFrame, size: int) -> DataFrame:
     """Batch number of each ticker in name order."""
     return tickers.select("ticker").distinct().withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("ticker")) - 1) / size))  # a dimension

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.functions import series
+from tapeloom.functions import quantile, series
 
 PRICES = ("open", "high", "low", "close")
 
@@ -183,10 +183,11 @@ def sector_returns(bars: DataFrame, metadata: DataFrame) -> DataFrame:
     return g.withColumn("sharpe", F.try_divide("annual_return", "annual_volatility"))
 
 
-def sector_risk(bars: DataFrame, metadata: DataFrame) -> DataFrame:
+def sector_risk(bars: DataFrame, metadata: DataFrame, exact: bool = True) -> DataFrame:
+    """Volatility, value at risk and extremes of daily returns by sector; without `exact` quantiles come from sketches."""
     w = series()
     daily = bars.withColumn("ret", F.try_divide(F.col("close"), F.lag("close").over(w)) - 1).join(metadata.select("ticker", "sector"), "ticker")
-    return daily.groupBy("sector").agg((F.stddev("ret") * F.sqrt(F.lit(252.0))).alias("volatility"), F.percentile("ret", 0.05).alias("var_95"), F.percentile("ret", 0.01).alias("var_99"), F.min("ret").alias("worst_day"), F.max("ret").alias("best_day"))
+    return daily.groupBy("sector").agg((F.stddev("ret") * F.sqrt(F.lit(252.0))).alias("volatility"), quantile("ret", 0.05, exact).alias("var_95"), quantile("ret", 0.01, exact).alias("var_99"), F.min("ret").alias("worst_day"), F.max("ret").alias("best_day"))
 
 
 def return_matrix(bars: DataFrame, tickers: list[str]) -> DataFrame:

@@ -59,6 +59,7 @@ def holidays(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
 def distance_to_events(df: DataFrame, events: DataFrame, ahead: str, behind: str | None = None, cap: int | None = None, none: int | None = None) -> DataFrame:
     """Days to the next later and since the last earlier event. Both come from one window over the union of days
     and events; the calendar is one series of one row a day."""
+    # a calendar has one row a day and all of it is one series
     marked = df.withColumn("_event", F.lit(None).cast("date")).unionByName(events.select("date", F.col("date").alias("_event")).distinct(), allowMissingColumns=True)
     later = Window.partitionBy(F.lit(0)).orderBy(F.datediff("date", F.lit("1970-01-01").cast("date"))).rangeBetween(1, Window.unboundedFollowing)
     earlier = Window.partitionBy(F.lit(0)).orderBy(F.datediff("date", F.lit("1970-01-01").cast("date"))).rangeBetween(Window.unboundedPreceding, -1)
@@ -145,9 +146,12 @@ def market_return(bars: DataFrame, tickers: list[str]) -> DataFrame:
     return bars.filter(F.col("ticker").isin(tickers)).groupBy("date").agg(F.avg(x).alias("market_return"), F.stddev(x).alias("market_volatility"))
 
 
-def feature_importance(calendar_df: DataFrame, market: DataFrame, features: list[str]) -> DataFrame:
-    """Correlation of each feature with mean return and its dispersion, all features in one pass."""
+def feature_importance(calendar_df: DataFrame, market: DataFrame, features: list[str] | None = None) -> DataFrame:
+    """Correlation of each feature with mean return and its dispersion, all features in one pass.
+
+    Without a list these are all numeric and boolean columns. Columns that don't vary get null."""
+    kinds = ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double")
+    features = features or [f.name for f in calendar_df.schema if f.dataType.simpleString() in kinds]
     joined = calendar_df.join(market, "date")
     wide = joined.agg(*[corr(F.col(c).cast("double"), F.col(y)).alias(f"{c}|{y}") for c in features for y in ("market_return", "market_volatility")])
-    long = wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}|market_return`").alias("return_corr"), F.col(f"`{c}|market_volatility`").alias("volatility_corr")) for c in features])))
-    return long
+    return wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}|market_return`").alias("return_corr"), F.col(f"`{c}|market_volatility`").alias("volatility_corr")) for c in features])))

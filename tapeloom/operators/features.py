@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.functions import series
+from tapeloom.functions import quantile, series
 
 IDS = ("ticker", "date", "sector", "name")
 
@@ -31,14 +31,15 @@ def impute(df: DataFrame, columns: list[str], rows: int = 5) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.avg(c).over(over)) for c in columns})
 
 
-def robust_stats(train: DataFrame, columns: list[str]) -> DataFrame:
-    """Median and quartile range of each column, fitted on training rows only: one row."""
-    return train.agg(*[F.percentile(c, [0.25, 0.5, 0.75]).alias(c) for c in columns])
+def robust_stats(train: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
+    """Median and quartile range of each column, fitted on training rows only: one row.
+
+    Exact quantiles hold all distinct values of a column in one task, which a large table needs to do without."""
+    return train.agg(*[quantile(c, [0.25, 0.5, 0.75], exact).alias(c) for c in columns])
 
 
 def robust_scale(df: DataFrame, stats: DataFrame, columns: list[str]) -> DataFrame:
-    q = stats.select(F.lit(1).alias("_k"), *[F.col(c).alias(f"_{c}") for c in columns])
-    j = df.withColumn("_k", F.lit(1)).join(F.broadcast(q), "_k")  # one row
+    j = df.crossJoin(F.broadcast(stats.select(*[F.col(c).alias(f"_{c}") for c in columns])))  # one row
     return j.withColumns({c: F.try_divide(F.col(c) - F.col(f"_{c}")[1], F.col(f"_{c}")[2] - F.col(f"_{c}")[0]) for c in columns}).select(*df.columns)
 
 

@@ -46,7 +46,8 @@ def wide(derived: DataFrame, indicators: list[str]) -> DataFrame:
 
 
 def composites(daily: DataFrame) -> DataFrame:
-    """Economic health: the mean of the z-scores at hand (at least two); yield, inflation and oil measures where their inputs are."""
+    """Economic health: the mean of the z-scores that a row has, where at least two of their columns exist; yield,
+    inflation and oil measures where their inputs are."""
     sign = {"gdp": 1, "unemployment_rate": -1, "cpi": 1, "consumer_confidence": 1}
     have = [c for c in sign if c in daily.columns]
     df = daily
@@ -54,7 +55,7 @@ def composites(daily: DataFrame) -> DataFrame:
         stats = daily.agg(*[f(F.col(c)).alias(f"_{c}_{n}") for c in have for n, f in (("m", F.avg), ("s", F.stddev))])
         z = [sign[c] * F.try_divide(F.col(c) - F.col(f"_{c}_m"), f"_{c}_s") for c in have]
         total, count = sum(F.coalesce(x, F.lit(0.0)) for x in z), sum(x.isNotNull().cast("int") for x in z)
-        df = daily.withColumn("_one", F.lit(1)).join(F.broadcast(stats.withColumn("_one", F.lit(1))), "_one")  # one row of statistics
+        df = daily.crossJoin(F.broadcast(stats))  # one row of statistics
         df = df.withColumn("economic_health", F.when(count >= 1, total / count)).select(*daily.columns, "economic_health")
     w = Window.partitionBy(F.lit(0)).orderBy("date")
     if {"treasury_10y", "treasury_2y"} <= set(daily.columns):

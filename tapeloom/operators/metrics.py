@@ -11,7 +11,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.functions import corr, moments_corr
+from tapeloom.functions import corr, moments_corr, quantile
+from tapeloom.scratch import cut
 
 KEY = "horizon_days"
 YEAR = 252.0
@@ -41,17 +42,25 @@ def correlation(df: DataFrame, least: int = 10) -> DataFrame:
     return df.groupBy(KEY).agg(c.alias("correlation"), F.when(F.count("*") >= least, F.coalesce(c, F.lit(0.0))).otherwise(0.0).alias("information_coefficient"))
 
 
+def _ranked(df: DataFrame, col: str, out: str) -> DataFrame:
+    """Add the rank of a value within its horizon, ties at their average, however many rows a horizon has.
+
+    Rows are sorted over all tasks by horizon and value, which keeps equal values together, and written once. A
+    rank is the rows of the horizon in the tasks before, which are counted, and those before it in its task.
+    """
+    dealt = df.repartitionByRange(KEY, col).sortWithinPartitions(KEY, col)
+    kept = cut(dealt.withColumn("_task", F.spark_partition_id()), "ranked")
+    counts = kept.groupBy(F.col("_task").alias("_t"), F.col(KEY).alias("_k")).agg(F.count("*").alias("_n"))
+    starts = counts.withColumn("_start", F.sum("_n").over(Window.partitionBy("_k").orderBy("_t")) - F.col("_n")).drop("_n")  # a row a task
+    inside = F.rank().over(Window.partitionBy("_task", KEY).orderBy(col)) + (F.count("*").over(Window.partitionBy("_task", KEY, col)) - 1) / 2
+    j = kept.withColumn("_inside", inside).join(F.broadcast(starts), (F.col("_task") == F.col("_t")) & F.col(KEY).eqNullSafe(F.col("_k")))
+    return j.withColumn(out, F.col("_start") + F.col("_inside")).drop("_task", "_t", "_k", "_inside", "_start")
+
+
 def rank_correlation(df: DataFrame, least: int = 10) -> DataFrame:
-    """Spearman: correlation of ranks, ties at their average. Ranks come from counts per distinct value, so a
-    horizon's rows are pre-aggregated before the ordered window over its values."""
-    def ranks(col: str, out: str) -> DataFrame:
-        g = df.groupBy(KEY, F.col(col).alias("_x")).agg(F.count("*").alias("_n"))
-        w = Window.partitionBy(KEY).orderBy("_x")
-        below = F.sum("_n").over(w) - F.col("_n")
-        return g.select(F.col(KEY).alias("_k"), F.col("_x").alias(f"_{out}"), (below + (F.col("_n") + 1) / 2).alias(out))
-
-    a, b = ranks("predicted_return", "rp"), ranks("actual_return", "ra")
-    j = df.join(a, (F.col(KEY) == a["_k"]) & (F.col("predicted_return") == a["_rp"])).drop("_k").join(b, (F.col(KEY) == b["_k"]) & (F.col("actual_return") == b["_ra"])).drop("_k")
+    """Spearman: correlation of ranks, ties at their average."""
+    pair = df.filter("predicted_return is not null and actual_return is not null").select(KEY, "predicted_return", "actual_return")
+    j = _ranked(_ranked(pair, "predicted_return", "rp"), "actual_return", "ra")
     x, y = F.col("rp"), F.col("ra")
     c = moments_corr(F.count("*").cast("double"), F.sum(x), F.sum(y), F.sum(x * x), F.sum(y * y), F.sum(x * y))
     return j.groupBy(KEY).agg(F.when(F.count("*") >= least, F.coalesce(c, F.lit(0.0))).otherwise(0.0).alias("rank_ic"))
@@ -65,17 +74,20 @@ def ratios(df: DataFrame) -> DataFrame:
     return _with_s(df).groupBy(KEY).agg(F.coalesce(sharpe, F.lit(0.0)).alias("sharpe_ratio"), F.coalesce(F.try_divide(F.avg(x), down) * F.sqrt(F.lit(YEAR)), F.lit(0.0)).alias("sortino_ratio"))
 
 
-def drawdown(df: DataFrame, order: list[str]) -> DataFrame:
-    """Greatest fall of the compounded s from its running maximum, and Calmar."""
+def drawdown(df: DataFrame, order: list[str], stake: float = 1.0) -> DataFrame:
+    """Greatest fall of the compounded s from its running maximum, and Calmar; each trade puts in a share `stake` of
+    the capital. A horizon is one series of one row a date (see `per_date`)."""
     w = Window.partitionBy(KEY).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    c = _with_s(df).withColumn("_c", F.product(1 + F.col("s")).over(w)).withColumn("_m", F.max("_c").over(w))
+    c = _with_s(df).withColumn("s", F.col("s") * stake).withColumn("_c", F.product(1 + F.col("s")).over(w)).withColumn("_m", F.max("_c").over(w))
     g = c.groupBy(KEY).agg(F.min(F.try_divide(F.col("_c") - F.col("_m"), "_m")).alias("max_drawdown"), F.avg("s").alias("_mean"))
     return g.withColumn("calmar_ratio", F.coalesce(F.try_divide(F.col("_mean") * YEAR, F.abs("max_drawdown")), F.lit(0.0))).drop("_mean")
 
 
-def tail(df: DataFrame, q: float = 0.05) -> DataFrame:
+def tail(df: DataFrame, q: float = 0.05, exact: bool = True) -> DataFrame:
+    """Value at risk and the mean beyond it. An exact quantile holds a horizon's distinct values in one task; without
+    `exact` it comes from a mergeable sketch of bounded size."""
     s = _with_s(df)
-    var = s.groupBy(KEY).agg(F.percentile("s", q).alias("var_95"))
+    var = s.groupBy(KEY).agg(quantile("s", q, exact).alias("var_95"))
     return s.join(var, KEY).groupBy(KEY).agg(F.first("var_95").alias("var_95"), F.avg(F.when(F.col("s") <= F.col("var_95"), F.col("s"))).alias("cvar_95"))
 
 
@@ -101,8 +113,8 @@ def trades(df: DataFrame) -> DataFrame:
     )
 
 
-def all_metrics(df: DataFrame, order: list[str]) -> DataFrame:
-    parts = [basic(df), direction(df), correlation(df), rank_correlation(df), ratios(df), drawdown(df, order), tail(df), calibration(df), trades(df)]
+def all_metrics(df: DataFrame, order: list[str], stake: float = 1.0) -> DataFrame:
+    parts = [basic(df), direction(df), correlation(df), rank_correlation(df), ratios(df), drawdown(df, order, stake), tail(df), calibration(df), trades(df)]
     return reduce(lambda x, y: x.join(y, KEY), parts)
 
 

@@ -51,6 +51,20 @@ def type_issues(df: DataFrame, expected: dict[str, set[str]] = EXPECTED_TYPES) -
     return [f"{c}: {have[c]}" for c, kinds in expected.items() if c in have and have[c] not in kinds]
 
 
+def type_report(df: DataFrame, expected: dict[str, set[str]] = EXPECTED_TYPES) -> DataFrame:
+    """The columns of unexpected type as rows: column, type."""
+    rows = [tuple(t.split(": ", 1)) for t in type_issues(df, expected)]
+    return df.sparkSession.createDataFrame(rows, "column string, type string")
+
+
+def table_statistics(df: DataFrame) -> DataFrame:
+    """Rows, files and bytes of a dataset beside the statistics of its closes and volumes: one row."""
+    from tapeloom.operators.bars import price_statistics
+    from tapeloom.sources.files import dataset_info
+
+    return dataset_info(df).crossJoin(F.broadcast(price_statistics(df)))  # one row each
+
+
 def validate_bars(bars: DataFrame, required=("date", *PRICES, "volume")) -> DataFrame:
     """Issues found in a bar table: check, found. Missing columns end the check."""
     spark = bars.sparkSession
@@ -121,12 +135,14 @@ def table_check(df: DataFrame, keys: list[str], critical: list[str], as_of) -> D
     """Count, duplicates, nulls and age in one row."""
     dup = duplicate_keys(df, keys).agg(F.count("*").alias("duplicate_keys"))
     one = df.agg(F.count("*").alias("records"), F.max("date").alias("latest"), F.datediff(F.lit(as_of).cast("date"), F.max("date")).alias("days_old"), sum(F.count_if(F.col(c).isNull()) for c in critical).alias("nulls"))
-    return one.withColumn("_one", F.lit(1)).join(dup.withColumn("_one", F.lit(1)), "_one").drop("_one")  # one row each
+    return one.crossJoin(F.broadcast(dup))  # one row each
 
 
-def indicator_coverage(bars: DataFrame, indicators: DataFrame) -> DataFrame:
-    """Tickers with bars and with indicators at the latest date of the bars, and their ratio."""
-    pairs = bars.select("ticker").distinct().join(indicators.select("ticker").distinct().withColumn("_has", F.lit(True)), "ticker", "left")
+def indicator_coverage(bars: DataFrame, indicators: DataFrame, as_of) -> DataFrame:
+    """Tickers with a bar at a date, those of them that have indicators of that ticker and date, and their ratio."""
+    at = F.col("date") == F.lit(as_of).cast("date")
+    have = indicators.filter(at).select("ticker").distinct().withColumn("_has", F.lit(True))
+    pairs = bars.filter(at).select("ticker").distinct().join(have, "ticker", "left")
     return pairs.agg(F.count("*").alias("tickers"), F.count("_has").alias("with_indicators")).withColumn("coverage", F.try_divide("with_indicators", "tickers"))
 
 
@@ -139,9 +155,14 @@ def completeness(df: DataFrame) -> DataFrame:
 
 
 def daily_gate(bars: DataFrame, indicators: DataFrame, as_of, tickers: int = 10, days: int = 2, coverage: float = 0.9) -> DataFrame:
-    c = completeness(bars).withColumn("_one", F.lit(1)).join(indicator_coverage(bars, indicators).select("coverage").withColumn("_one", F.lit(1)), "_one").drop("_one")  # one row each
+    """Whether enough tickers have bars, the latest are fresh, and enough tickers of the as-of date have indicators.
+
+    Without a bar at that date there is no coverage and the gate doesn't pass.
+    """
+    c = completeness(bars).crossJoin(F.broadcast(indicator_coverage(bars, indicators, as_of).select("coverage")))  # one row each
     old = F.datediff(F.lit(as_of).cast("date"), "last")
-    return c.select("tickers", "records", old.alias("days_old"), "coverage").withColumn("passed", (F.col("tickers") >= tickers) & (F.col("days_old") <= days) & (F.col("coverage") >= coverage))
+    passed = (F.col("tickers") >= tickers) & (F.col("days_old") <= days) & (F.col("coverage") >= coverage)
+    return c.select("tickers", "records", old.alias("days_old"), "coverage").withColumn("passed", F.coalesce(passed, F.lit(False)))
 
 
 def training_gate(df: DataFrame, rsi: str = "rsi_14", tickers: int = 20, dates: int = 250, warn: float = 0.8) -> DataFrame:

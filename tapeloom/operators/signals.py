@@ -125,6 +125,11 @@ def validate(evaluated: DataFrame, outlier: float = 0.5, share: float = 0.01) ->
     return g.withColumn("outlier_warning", F.try_divide("outliers", "n") > share)
 
 
+def latest_model(models: DataFrame) -> DataFrame:
+    """The row of the model that was created last; of equal times the greatest version. No model, no row."""
+    return models.orderBy(F.desc_nulls_last("created_at"), F.desc("model_version")).limit(1)
+
+
 def deployment_gate(metrics: DataFrame, direction: float = 0.52, sharpe: float = 0.5, drawdown: float = -0.2, least: int = 2) -> DataFrame:
     """Whether enough horizons meet all limits; a missing metric counts as met."""
     met = lambda c, ok: F.coalesce(ok, F.lit(True))

@@ -31,11 +31,28 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _file(spark: SparkSession, path: str):
+    """File system and path, from a path or a URL with escapes as Spark's file metadata has."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(path)) if "://" in path or path.startswith("file:") else jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder in whatever file system it lies."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = _file(spark, path)
+    fs.delete(p, True)
+
+
+def swap(df: DataFrame, path: str) -> None:
+    """Write a frame beside a dataset and give it its name: a failed write leaves the old one as it was."""
+    spark = df.sparkSession
+    new = f"{path.rstrip('/')}__next"
+    df.write.mode("overwrite").parquet(new)
+    fs, p = _file(spark, path)
+    fs.delete(p, True)
+    if not fs.rename(_file(spark, new)[1], p):
+        raise OSError(f"the new table is left at {new}")
 
 
 class Rounds:

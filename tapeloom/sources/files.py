@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,14 +24,26 @@ def scan(spark: SparkSession, path: str, columns: list[str] | None = None, filte
     return df.select(*columns) if columns else df
 
 
-def latest_partition(spark: SparkSession, path: str, col: str = "date", filters: list[tuple] = ()) -> DataFrame:
-    """Rows of the greatest partition; the aggregate reads partition values and the join prunes partitions."""
-    df = scan(spark, path, filters=filters)
-    return df.join(F.broadcast(df.agg(F.max(col).alias("_top"))), F.col(col) == F.col("_top"), "left_semi")  # one row
+def partitions(spark: SparkSession, path: str, col: str = "date") -> DataFrame:
+    """Distinct values of a column in order: of a partition column from the names of folders, without opening a file."""
+    df = spark.read.parquet(path)
+    # a path is a URL of a name in which Spark escapes some characters itself
+    names = [unquote(unquote(x)) for f in df.inputFiles() for x in f.split("/") if x.startswith(f"{col}=")]
+    if not names:
+        return df.select(col).distinct().orderBy(col)
+    values = sorted({None if x == "__HIVE_DEFAULT_PARTITION__" else x for n in names for x in [n.split("=", 1)[1]]}, key=lambda x: (x is not None, x))
+    listed = spark.createDataFrame([(x,) for x in values], f"`{col}` string")
+    return listed.select(F.col(col).cast(df.schema[col].dataType).alias(col)).orderBy(col)
 
 
-def partitions(spark: SparkSession, path: str, col: str = "date") -> DataFrame:
-    return spark.read.parquet(path).select(col).distinct().orderBy(col)
+def latest_partition(spark: SparkSession, path: str, col: str = "date", filters: list[tuple] = ()) -> DataFrame:
+    """Rows of the greatest partition, whose value is looked up first, so that the scan reads its files alone.
+
+    With filters it is the greatest partition with a row that meets them.
+    """
+    df = scan(spark, path, filters=filters)
+    top = (df.agg(F.max(col)) if filters else partitions(spark, path, col).agg(F.max(col))).first()[0]
+    return df.filter(F.col(col) == F.lit(top)) if top is not None else df.filter(F.lit(False))
 
 
 def dataset_info(df: DataFrame) -> DataFrame:
@@ -54,8 +68,11 @@ def constituents(df: DataFrame, col: str = "symbol") -> DataFrame:
 
 
 def scan_landed(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Payload files of many tickers in one read, parsed by kind; the ticker is the file's name before its first dot."""
+    """Payload files of many tickers in one read, parsed by kind; the ticker is that of the folder (ticker=...), or the
+    file's name before its first dot."""
     from tapeloom.sources import payloads
 
-    raw = spark.read.text(path, wholetext=True).withColumn("ticker", F.regexp_extract("_metadata.file_name", r"^([^.]+)", 1))
+    raw = spark.read.text(path, wholetext=True)
+    if "ticker" not in raw.columns:
+        raw = raw.withColumn("ticker", F.regexp_extract("_metadata.file_name", r"^([^.]+)", 1))
     return {"daily": payloads.daily, "hourly": payloads.hourly, "sentiment": payloads.news}[kind](raw)

@@ -1,6 +1,7 @@
 """Parsing of landed vendor payloads: frames with a JSON text column `value` (and `ticker`) to rows.
 
-A payload with an error message, or without its data key, gives no rows. Bad numbers become null.
+A payload with an error message, or without its data key, gives no rows. Bad numbers become null. Rows come in no
+order: what follows deals them out by its own keys.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ def daily(raw: DataFrame) -> DataFrame:
     return s.select(
         "ticker", F.col("at").try_cast("date").alias("date"), _number("1. open").alias("open"), _number("2. high").alias("high"), _number("3. low").alias("low"), _number("4. close").alias("close"), _number("5. adjusted close").alias("adjusted_close"),
         _number("6. volume", "bigint").alias("volume"), _number("7. dividend amount").alias("dividend_amount"), _number("8. split coefficient").alias("split_coefficient"),
-    ).orderBy("ticker", "date")
+    )
 
 
 def intraday(raw: DataFrame, interval: str = "60min") -> DataFrame:
@@ -39,7 +40,7 @@ def intraday(raw: DataFrame, interval: str = "60min") -> DataFrame:
 def hourly(raw: DataFrame) -> DataFrame:
     """Hours with date and hour; the adjusted close is the close."""
     d = F.col("datetime")
-    return intraday(raw, "60min").withColumns({"date": F.to_date(d), "hour": F.hour(d), "adjusted_close": F.col("close")}).orderBy("ticker", "datetime")
+    return intraday(raw, "60min").withColumns({"date": F.to_date(d), "hour": F.hour(d), "adjusted_close": F.col("close")})
 
 
 def economic(raw: DataFrame, indicator: str) -> DataFrame:
@@ -47,7 +48,7 @@ def economic(raw: DataFrame, indicator: str) -> DataFrame:
     data = F.from_json(F.try_element_at(F.from_json("value", "map<string,string>"), F.lit("data")), "array<map<string,string>>")
     x = raw.select(F.explode(data).alias("x"))
     value = F.try_element_at(F.map_values(F.map_filter("x", lambda k, v: k != "date")), F.lit(1))
-    return x.select(F.try_element_at("x", F.lit("date")).try_cast("date").alias("date"), value.try_cast("double").alias("value"), F.lit(indicator).alias("indicator")).orderBy("date")
+    return x.select(F.try_element_at("x", F.lit("date")).try_cast("date").alias("date"), value.try_cast("double").alias("value"), F.lit(indicator).alias("indicator"))
 
 
 FEED = "struct<feed:array<struct<title:string,time_published:string,source:string,overall_sentiment_score:double,ticker_sentiment:array<struct<ticker:string,relevance_score:string,ticker_sentiment_score:string>>>>>"

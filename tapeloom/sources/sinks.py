@@ -1,17 +1,22 @@
 """Writing: append, overwrite, upsert, delete, partitioned files, tables, views, retention.
 
 A write that reads its own target goes through a table in the shared checkpoint folder first, so that a lost
-executor never leaves the target half read.
+executor never leaves the target half read. Then the partitions it touches are replaced, or, without partitions, the
+new table takes the place of the old one by a change of names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom import schemas
+from tapeloom.operators.bars import keep_one
 from tapeloom.scratch import cut as staged
+from tapeloom.scratch import remove, swap
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame | None:
@@ -41,22 +46,48 @@ def insert(df: DataFrame, path: str, by: list[str] = (), replace: bool = False,
     write_partitioned(df.withColumn("inserted_at", stamp), path, by, "overwrite" if replace else "append")
 
 
-def upsert(df: DataFrame, path: str, keys: list[str], by: list[str] = ()) -> None:
-    """Rows with a known key are replaced, others added. Only partitions that the frame touches are rewritten."""
+def _matching(df: DataFrame, other: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on keys of which a null equals a null; `other` gives its keys alone."""
+    right = other.select(*[F.col(k).alias(f"_key_{k}") for k in keys]).distinct()
+    return df.join(right, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]), how)
+
+
+def replace_partitions(rows: DataFrame, path: str, by: list[str], touched: DataFrame) -> None:
+    """Make `rows` the content of the partitions in `touched` and leave the others alone.
+
+    Partitions that have no row any more lose their folders, after the others are written.
+    """
+    spark = rows.sparkSession
+    folders = spark.read.parquet(path).select(*by, F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("_folder"))
+    emptied = _matching(_matching(folders, touched, by, "left_semi"), rows, by, "left_anti").select("_folder").distinct().collect()  # as many as partitions are touched
+    write_partitioned(rows, path, by, replace_touched=True)
+    for r in emptied:
+        remove(spark, r["_folder"])
+
+
+def upsert(df: DataFrame, path: str, keys: list[str], by: list[str] = (), latest: str | None = None) -> None:
+    """Rows with a known key are replaced, others added; a null key equals a null key.
+
+    Of incoming rows with one key the greatest in `latest` counts (or one that a hash of the row picks). Only the
+    partitions that hold a known key, or get a row, are rewritten, so a key may move from one to another.
+    """
+    order = [F.col(latest).desc_nulls_last()] if latest else []
+    df = staged(keep_one(df, keys, [*order, F.xxhash64(*df.columns)]))
     old = stored(df.sparkSession, path)
     if old is None:
         return write_partitioned(df, path, by)
-    if by:
-        old = old.join(df.select(*by).distinct(), by, "left_semi")
-    merged = staged(old.join(df.select(*keys).distinct(), keys, "left_anti").unionByName(df, allowMissingColumns=True))
-    write_partitioned(merged, path, by, "overwrite", replace_touched=bool(by))
+    if not by:
+        return swap(staged(_matching(old, df, keys, "left_anti").unionByName(df, allowMissingColumns=True)), path)
+    touched = staged(_matching(old, df, keys, "left_semi").select(*by).unionByName(df.select(*by)).distinct())
+    kept = _matching(_matching(old, touched, by, "left_semi"), df, keys, "left_anti")
+    replace_partitions(staged(kept.unionByName(df, allowMissingColumns=True)), path, by, touched)
 
 
 def append_new(df: DataFrame, path: str, keys: list[str], by: list[str] = ()) -> int:
-    """Append the rows whose key isn't there yet (and once each); how many were appended."""
+    """Append the rows whose key isn't there yet (and once each); how many were appended. A null key is a key."""
     old = stored(df.sparkSession, path)
     new = df.dropDuplicates(keys)
-    new = staged(new.join(old.select(*keys), keys, "left_anti") if old is not None else new)
+    new = staged(_matching(new, old, keys, "left_anti") if old is not None else new)
     n = new.count()
     if n:
         write_partitioned(new, path, by)
@@ -68,14 +99,20 @@ def batch_insert(spark: SparkSession, records: list[dict], schema: str, path: st
 
 
 def delete(spark: SparkSession, path: str, where: str | Column, by: list[str] = ()) -> int:
-    """Remove the rows for which the condition holds; how many they were."""
+    """Remove the rows for which the condition holds; how many they were. Partitions without such rows stay as they are."""
     old = stored(spark, path)
     if old is None:
         return 0
     c = F.expr(where) if isinstance(where, str) else where
     gone = old.filter(c).count()
-    if gone:
-        write_partitioned(staged(old.filter(~F.coalesce(c, F.lit(False)))), path, by, "overwrite")
+    if not gone:
+        return 0
+    kept = ~F.coalesce(c, F.lit(False))
+    if not by:
+        swap(staged(old.filter(kept)), path)
+        return gone
+    touched = staged(old.filter(c).select(*by).distinct())
+    replace_partitions(staged(_matching(old, touched, by, "left_semi").filter(kept)), path, by, touched)
     return gone
 
 

@@ -7,8 +7,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tapeloom import schemas
 from tapeloom.operators import signals
+from tapeloom.sources import sinks
 
 
 def watch(spark: SparkSession, path: str, schema, time: str | None = None, delay: str = "1 day", files: int | None = 100) -> DataFrame:
@@ -42,9 +45,37 @@ def ingest_news(stream: DataFrame, path: str, checkpoint: str):
 
 
 def signal_batches(stream: DataFrame, path: str, checkpoint: str, **limits):
-    """Signals of each batch of predictions; a batch that is run again replaces its own folder."""
+    """Signals below `path`/signals from predictions as they come, kept below `path`/predictions, both by month.
+
+    A batch adds its predictions (or replaces ones of the same ticker, date and horizon) and ranks the months it
+    touches anew together with what is stored of them, so a date may come in several batches, and a batch twice.
+    """
+    month = F.date_format("prediction_date", "yyyy-MM")
+
+    def one(batch: DataFrame, number: int) -> None:
+        new = batch.withColumn("month", month)
+        sinks.upsert(new, f"{path}/predictions", ["ticker", "prediction_date", "horizon_days"], ["month"])
+        touched = [r["month"] for r in new.select("month").distinct().collect()]
+        known = sinks.stored(batch.sparkSession, f"{path}/predictions").filter(F.col("month").isin(touched))
+        sinks.write_partitioned(signals.signals(known, **limits), f"{path}/signals", ["month"], replace_touched=True)
+
+    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def insert_checked(stream: DataFrame, table: str, path: str, rejected: str, checkpoint: str):
+    """Append rows that fit a declared table; the others go to `rejected` with the reason in `error`.
+
+    A row fits if each required column is there and not null. A batch that is run again replaces its own folder.
+    """
+    t = schemas.table(table)
+    missing = F.array(*[F.when(F.col(f.name).isNull() if f.name in stream.columns else F.lit(True), F.lit(f"{f.name} is missing")) for f in t.schema if not f.nullable])
+
     def one(batch: DataFrame, number: int) -> None:
-        signals.signals(batch, **limits).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        marked = batch.withColumn("error", F.array_join(F.array_compact(missing), "; "))
+        good = marked.filter("error = ''").drop("error")
+        full = good.withColumns({f.name: F.lit(None) for f in t.schema if not f.nullable and f.name not in good.columns})
+        schemas.conform(full, t).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        marked.filter("error != ''").write.mode("overwrite").parquet(f"{rejected}/batch={number}")
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -57,30 +88,45 @@ def daily_bars(ticks: DataFrame, time: str = "ts", order: str = "seq") -> DataFr
 
 
 LIVE = "ticker string, ts timestamp, seq long, price double, ema double, rsi double"
+STATE = "last double, ema double, gain double, loss double, seen bigint"
 
 
-def live_indicators(ticks: DataFrame, span: int = 20, n: int = 14) -> DataFrame:
-    """EMA and Wilder RSI of each ticker as rows arrive; state is the last value of each recurrence.
+class LiveIndicators(StatefulProcessor):
+    """EMA and Wilder RSI of one ticker; the state is the last value of each recurrence."""
 
-    Rows are put in (ts, seq) order within a batch; rows older than ones of an earlier batch are taken as they
-    come. Averages of gains and losses are plain means until n steps are there.
-    """
-    alpha = 2 / (span + 1)
+    def __init__(self, span: int, n: int):
+        self.alpha, self.n = 2 / (span + 1), n
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last, ema, gain, loss, seen = state.get if state.exists else (None, None, 0.0, 0.0, 0)
-        pdf = pd.concat(list(frames)).sort_values(["ts", "seq"])
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("recurrences", STATE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last, ema, gain, loss, seen = self.state.get() if self.state.exists() else (None, None, 0.0, 0.0, 0)
+        pdf = pd.concat(list(rows)).sort_values(["ts", "seq"])
         emas, rsis = [], []
-        for price in pdf["price"]:
-            ema = price if ema is None else ema + alpha * (price - ema)
+        for price in pdf["price"].tolist():
+            ema = price if ema is None else ema + self.alpha * (price - ema)
             if last is not None:
                 d, seen = price - last, seen + 1
-                k = min(seen, n)
-                gain, loss = gain + (max(d, 0) - gain) / k, loss + (max(-d, 0) - loss) / k
+                k = min(seen, self.n)
+                gain, loss = gain + (max(d, 0.0) - gain) / k, loss + (max(-d, 0.0) - loss) / k
             last = price
             emas.append(ema)
-            rsis.append(100 * gain / (gain + loss) if seen >= n and gain + loss > 0 else None)
-        state.update((float(last), float(ema), float(gain), float(loss), int(seen)))
+            rsis.append(100 * gain / (gain + loss) if seen >= self.n and gain + loss > 0 else None)
+        if emas:
+            self.state.update((float(last), float(ema), float(gain), float(loss), int(seen)))
         yield pdf[["ticker", "ts", "seq", "price"]].assign(ema=emas, rsi=pd.array(rsis, "Float64"))
 
-    return ticks.groupBy("ticker").applyInPandasWithState(step, LIVE, "last double, ema double, gain double, loss double, seen long", "append", "NoTimeout")
+    def close(self) -> None:
+        pass
+
+
+def live_indicators(ticks: DataFrame, span: int = 20, n: int = 14) -> DataFrame:
+    """EMA and Wilder RSI of each ticker as rows arrive: ticker, ts, seq, price, ema, rsi.
+
+    Rows are put in (ts, seq) order within a batch; rows older than ones of an earlier batch are taken as they
+    come. Averages of gains and losses are plain means until n steps are there. State lies in RocksDB, which this
+    operator needs and sets for the session's streams.
+    """
+    ticks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return ticks.groupBy("ticker").transformWithStateInPandas(LiveIndicators(span, n), outputStructType=LIVE, outputMode="Append", timeMode="None")

@@ -147,19 +147,81 @@ def test_backfilled_days_need_no_order_of_files(spark, tmp_path):
     assert {r["date"].day: r["volume"] for r in got} == dict.fromkeys(range(1, 19), 24)
 
 
+def plain_live(prices, span, n):
+    alpha, ema, last, gain, loss, out = 2 / (span + 1), None, None, 0.0, 0.0, []
+    for seen, p in enumerate(prices):
+        ema = p if ema is None else ema + alpha * (p - ema)
+        if last is not None:
+            k = min(seen, n)
+            gain, loss = gain + (max(p - last, 0) - gain) / k, loss + (max(last - p, 0) - loss) / k
+        last = p
+        out.append((round(ema, 9), round(100 * gain / (gain + loss), 9) if seen >= n and gain + loss > 0 else None))
+    return out
+
+
 def test_live_indicators_keep_state(spark, tmp_path):
+    """Four days of ticks in four batches give what one pass over all of them gives."""
     src = str(tmp_path / "in")
-    df = ticks(spark, src).filter("seq < 0")
+    rows = [("A", dt.datetime(2024, 1, 1 + i // 10, i % 10), 10.0 + i * 7 % 11, i) for i in range(40)]
+    df = spark.createDataFrame(rows, "ticker string, ts timestamp_ntz, price double, seq long")
+    for d in range(4):
+        df.filter(F.dayofmonth("ts") == d + 1).coalesce(1).write.mode("append").parquet(src)
     q = streams.live_indicators(streams.watch(spark, src, df.schema, "ts", files=1), 3, 3)
     q = q.writeStream.outputMode("append").format("memory").queryName("live_out").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
-    got = spark.table("live_out")
-    assert got.count() == 45 and got.filter("rsi is not null").count() >= 40
+    assert len([p for p in q.recentProgress if p.numInputRows]) == 4
+    got = [(round(r["ema"], 9), None if r["rsi"] is None else round(r["rsi"], 9)) for r in spark.table("live_out").orderBy("seq").collect()]
+    assert got == plain_live([r[2] for r in rows], 3, 3)
 
 
-def test_signal_batches(spark, tmp_path):
+def test_signals_of_a_date_in_two_batches(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
-    p = spark.createDataFrame([("A", dt.date(2024, 1, 1), 7, 0.1, 0.9), ("B", dt.date(2024, 1, 1), 7, 0.001, 0.9)], "ticker string, prediction_date date, horizon_days int, predicted_return double, confidence_score double")
-    p.write.parquet(src)
-    streams.signal_batches(streams.watch(spark, src, p.schema), out, str(tmp_path / "c")).awaitTermination()
-    assert spark.read.parquet(out).count() == 1
+    p = spark.createDataFrame([(t, dt.date(2024, 1, d), 7, r, 0.9) for t, d, r in (("A", 1, 0.1), ("B", 1, 0.001), ("C", 1, 0.3), ("A", 40 % 31, 0.2))], "ticker string, prediction_date date, horizon_days int, predicted_return double, confidence_score double")
+    for t in "ABC":
+        p.filter(F.col("ticker") == t).coalesce(1).write.mode("append").parquet(src)
+    streams.signal_batches(streams.watch(spark, src, p.schema, files=1), out, str(tmp_path / "c")).awaitTermination()
+    got = {(r["ticker"], r["prediction_date"].day): r["rank"] for r in spark.read.parquet(f"{out}/signals").collect()}
+    assert got == {("C", 1): 1, ("A", 1): 2, ("A", 9): 1}
+
+
+def test_rejected_rows_say_why(spark, tmp_path):
+    src = str(tmp_path / "in")
+    df = spark.createDataFrame([("A", dt.date(2024, 1, 1), 1.0), (None, dt.date(2024, 1, 1), 2.0), (None, None, 3.0)], "indicator string, date date, value double")
+    df.write.parquet(src)
+    streams.insert_checked(streams.watch(spark, src, df.schema), "macro", str(tmp_path / "ok"), str(tmp_path / "bad"), str(tmp_path / "c")).awaitTermination()
+    assert [r["value"] for r in spark.read.parquet(str(tmp_path / "ok")).collect()] == [1.0]
+    assert {r["value"]: r["error"] for r in spark.read.parquet(str(tmp_path / "bad")).collect()} == {2.0: "indicator is missing", 3.0: "date is missing; indicator is missing"}
+
+
+def test_upsert_moves_a_key_between_partitions(spark, tmp_path):
+    p = str(tmp_path / "t")
+    rows = lambda x: spark.createDataFrame(x, "k int, y int, v double")
+    sinks.upsert(rows([(1, 2000, 1.0), (2, 2001, 2.0), (None, 2001, 3.0), (4, 2003, 4.0)]), p, ["k"], ["y"])
+    sinks.upsert(rows([(1, 2001, 5.0), (None, 2002, 6.0), (3, 2002, 7.0), (3, 2002, 8.0)]), p, ["k"], ["y"], latest="v")
+    assert sorted(((r["k"], r["y"], r["v"]) for r in spark.read.parquet(p).collect()), key=str) == sorted([(1, 2001, 5.0), (2, 2001, 2.0), (None, 2002, 6.0), (3, 2002, 8.0), (4, 2003, 4.0)], key=str)
+    assert [r["y"] for r in files.partitions(spark, p, "y").collect()] == [2001, 2002, 2003]
+
+
+def test_null_keys_are_appended_once(spark, tmp_path):
+    p = str(tmp_path / "t")
+    df = spark.createDataFrame([(None, "a"), (1, "a"), (1, None)], "k int, d string")
+    assert sinks.append_new(df, p, ["k", "d"]) == 3 and sinks.append_new(df, p, ["k", "d"]) == 0
+
+
+def test_delete_leaves_other_partitions_alone(spark, tmp_path):
+    p = str(tmp_path / "t")
+    sinks.write_partitioned(spark.createDataFrame([(1, "a b:c"), (2, "a b:c"), (3, "d"), (4, "e")], "k int, d string"), p, ["d"])
+    named = lambda: {r["f"] for r in spark.read.parquet(p).select(F.col("_metadata.file_path").alias("f")).distinct().collect()}
+    before = named()
+    assert sinks.delete(spark, p, "k = 1 or k = 4", ["d"]) == 2
+    assert {r["k"] for r in spark.read.parquet(p).collect()} == {2, 3} and len(before & named()) == 1
+    assert [r["d"] for r in files.partitions(spark, p, "d").collect()] == ["a b:c", "d"] and files.latest_partition(spark, p, "d").first()["k"] == 3
+
+
+def test_long_paths_are_followed_to_their_end(spark):
+    """A chain of 54 nodes: no bound on hops cuts it."""
+    from tapeloom.operators import graph
+
+    pairs = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}", 1.0) for i in range(53)], "u string, v string, weight double")
+    h = graph.hops(pairs, spark.createDataFrame([("n00",)], "node string"))
+    assert h.agg(F.max("hop"), F.count("*")).first()[:] == (53, 54)
