@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions import corr_over, rounded, series
 from tapeloom.operators import backfill, bars, indicators
 from tapeloom.plans import fixtures as fx
+from tapeloom.plans import indicator_sql as isql
 from tapeloom.plans.registry import query
 
 AS_OF, NEWS_AS_OF = "2001-08-01", "2024-01-30"
@@ -386,9 +387,24 @@ def _(spark, sf):
     return rounded(b, {"ema_9": 3, "macd": 3, "rsi_14": 5})
 
 
-@query("i1_all_indicators")
+def _exact(df):
+    """All but the bars as doubles, in decimals in which Spark and SQL agree."""
+    own = (*isql.BARS, "datetime", "hour")
+    return df.select(*[F.col(c) if c in own else F.round(F.col(c).cast("double"), isql.digits(c)).alias(c) for c in df.columns])
+
+
+DAILY = [*isql.BARS, "rsi_14", "ema_9", "ema_20", "ema_50", "macd", "macd_signal", "macd_hist", "atr_14", "adx", "adx_plus", "adx_minus", "obv", "obv_ema", "rsi_oversold", "rsi_overbought", "close_to_ema_9", "close_to_ema_20", "close_to_ema_50", "atr_14_percent", "ema_9_20_cross", "macd_cross_above", "macd_cross_below", "adx_strong", "adx_weak", "obv_trend"]
+MORE = ["sma_20", "sma_50", "sma_200", "close_to_sma_20", "close_to_sma_50", "close_to_sma_200", "golden_cross", "death_cross", "bb_middle", "bb_upper", "bb_lower", "bb_width", "bb_percent", "bb_squeeze", "bb_overbought", "bb_oversold", "vwap", "vwap_deviation", "return_1", "return_5", "return_20", "high_low_ratio", "close_to_high", "close_to_low", "high_20", "low_20", "momentum_10", "momentum_30", "price_position", "volatility_20", "volatility_60", "volume_change", "volume_ma_10", "volume_ma_20", "volume_ratio", "price_volume_corr", "volume_spike"]
+
+
+@query("i1_all_indicators", ("bars_daily",), isql.final(DAILY + MORE), isql.daily("bars_daily"), recursive=True)
 def _(spark, sf):
-    return rounded(indicators.all_indicators(fx.bars_daily(spark, sf)), 4)
+    return _exact(indicators.all_indicators(fx.bars_daily(spark, sf)))
+
+
+@query("i7_i8_ranges", ("bars_daily",), isql.final(["ticker", "date", "atr_14", "adx", "adx_plus", "adx_minus"], "rec"), isql.recursion("bars_daily"), recursive=True)
+def _(spark, sf):
+    return _exact(indicators.recursive_indicators(fx.bars_daily(spark, sf)).select("ticker", "date", "atr_14", "adx", "adx_plus", "adx_minus"))
 
 
 @query("i9_obv", ("bars_daily",), f"SELECT ticker, date, sum(coalesce(sign(d), 0) * volume) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING)::DOUBLE AS obv FROM (SELECT *, close - lag(close) OVER {W} AS d FROM bars_daily)")
@@ -396,9 +412,12 @@ def _(spark, sf):
     return indicators.recursive_indicators(fx.bars_daily(spark, sf)).select("ticker", "date", "obv")
 
 
-@query("i15_hourly_indicators")
+HOURLY = ["ticker", "datetime", "date", "hour", "open", "high", "low", "close", "volume", "adjusted_close", "rsi_14h", "rsi_98h", "ema_12h", "ema_84h", "ema_182h", "macd", "macd_signal", "macd_hist", "atr_14h", "atr_98h", "adx", "adx_plus", "adx_minus", "obv", "obv_ema", "rsi_oversold", "rsi_overbought", "rsi_oversold_98", "rsi_overbought_98", "close_to_ema_12", "close_to_ema_84", "close_to_ema_182", "atr_14_percent", "atr_98_percent", "macd_cross_above", "macd_cross_below", "adx_strong", "adx_weak", "obv_trend", "sma_20h", "sma_140h", "sma_350h", "close_to_sma_20h", "close_to_sma_140h", "close_to_sma_350h", "golden_cross", "death_cross", "bb_upper_20h", "bb_middle_20h", "bb_lower_20h", "bb_upper_140h", "bb_middle_140h", "bb_lower_140h", "hour_of_day", "is_market_open", "is_first_hour", "is_last_hour", "high_of_day", "low_of_day", "pct_from_high", "pct_from_low"]
+
+
+@query("i15_hourly_indicators", ("bars_hourly",), isql.final(HOURLY), isql.hourly("bars_hourly"), recursive=True)
 def _(spark, sf):
-    return rounded(indicators.hourly_indicators(fx.bars_hourly(spark, sf)), 4)
+    return _exact(indicators.hourly_indicators(fx.bars_hourly(spark, sf)))
 
 
 @query("i16_intraday_position", ("bars_hourly",), """SELECT ticker, datetime, hour AS hour_of_day, (hour BETWEEN 9 AND 15)::INT AS is_market_open, (row_number() OVER w = 1)::INT AS is_first_hour, (lead(datetime) OVER w IS NULL)::INT AS is_last_hour, max(high) OVER s AS high_of_day, min(low) OVER s AS low_of_day,
@@ -408,10 +427,11 @@ def _(spark, sf):
     return rounded(indicators.intraday_position(fx.bars_hourly(spark, sf)).drop("date", "hour", "open", "high", "low", "close", "volume", "adjusted_close"), 6)
 
 
-@query("i17_indicator_refresh")
+@query("i17_indicator_refresh", ("bars_daily",), isql.final(DAILY + MORE) + " QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) <= 5",
+       {"late": f"SELECT * FROM bars_daily WHERE date >= DATE '{AS_OF}' - 200 AND ticker IN (SELECT ticker FROM bars_daily WHERE date >= DATE '2001-07-25')", "many": "SELECT * FROM late QUALIFY count(*) OVER (PARTITION BY ticker) >= 20"} | isql.daily("many"), recursive=True)
 def _(spark, sf):
     b = fx.bars_daily(spark, sf)
-    return rounded(indicators.refresh(b, b.filter("date >= '2001-07-25'"), AS_OF), 4)
+    return _exact(indicators.refresh(b, b.filter("date >= '2001-07-25'"), AS_OF))
 
 
 @query("b3_b4_pending_months", (), """SELECT s.symbol, year(m)::INT AS year, month(m)::INT AS month, 'daily' AS data_type FROM (SELECT DISTINCT n_name AS symbol FROM nation) s CROSS JOIN (SELECT unnest(generate_series(DATE '1995-01-01', DATE '2001-08-01', INTERVAL 1 MONTH)) AS m)
@@ -422,10 +442,11 @@ def _(spark, sf):
     return backfill.pending(fx.table(spark, sf, "nation").select(F.col("n_name").alias("symbol")), done, "1995-01-01", "2001-08-01", "daily")
 
 
-@query("b5_progress_eta", (), "SELECT o_orderpriority AS backfill_id, round(100.0 * count(*) FILTER (o_orderkey % 3 = 0) / count(*), 6) AS percent FROM orders GROUP BY 1")
+@query("b5_progress_eta", (), """SELECT backfill_id, round(100.0 * d / n, 6) AS percent, round(d / nullif(h, 0), 6) AS months_per_hour, round((n - d) / nullif(d / nullif(h, 0), 0), 4) AS hours_left
+ FROM (SELECT o_orderpriority AS backfill_id, count(*) FILTER (o_orderkey % 3 = 0) AS d, count(*) AS n, date_diff('day', min(o_orderdate), max(o_orderdate)) * 24.0 AS h FROM orders GROUP BY 1)""")
 def _(spark, sf):
     o = fx.table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("backfill_id")).agg(F.count_if(F.col("o_orderkey") % 3 == 0).alias("months_done"), F.count("*").alias("months_total"), F.min("o_orderdate").alias("started_at"), F.max("o_orderdate").alias("updated_at"))
-    return rounded(backfill.progress_eta(o.withColumns({c: F.col(c).cast("timestamp") for c in ("started_at", "updated_at")})).select("backfill_id", "percent"), 6)
+    return rounded(backfill.progress_eta(o.withColumns({c: F.col(c).cast("timestamp") for c in ("started_at", "updated_at")})).select("backfill_id", "percent", "months_per_hour", "hours_left"), {"percent": 6, "months_per_hour": 6, "hours_left": 4})
 
 
 @query("b8_batches", ("metadata",), "SELECT ticker, (row_number() OVER (ORDER BY ticker) - 1) // 10 AS batch FROM metadata")

@@ -92,5 +92,6 @@ def with_sql(*names: str, also: dict[str, str] | None = None, recursive: bool =
     order: list[str] = []
     for n in names:
         order += [x for x in [*NEEDS.get(n, []), n] if x not in order]
-    parts = [f"{n} AS ({SQL[n]})" for n in order] + [f"{n} AS ({q})" for n, q in (also or {}).items()]
+    kept = "MATERIALIZED "  # a piece that begins so is worked out once
+    parts = [f"{n} AS ({SQL[n]})" for n in order] + [f"{n} AS {kept}({q.removeprefix(kept)})" if q.startswith(kept) else f"{n} AS ({q})" for n, q in (also or {}).items()]
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(parts) + "\n"
