@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapeloom.functions import rounded, series
-from tapeloom.operators import bars, calendar, features, graph, indicators, macro, quality
+from tapeloom.operators import calendar, features, graph, indicators, macro, quality
 from tapeloom.plans import fixtures as fx
+from tapeloom.plans import indicator_sql as isql
 from tapeloom.plans.bar_queries import AS_OF, NEWS_AS_OF, W, roll
+from tapeloom.plans.graph_queries import EDGES
 from tapeloom.plans.registry import query
 
 
@@ -77,18 +79,50 @@ def _(spark, sf):
     return calendar.seasonality(_days(spark, sf))
 
 
-@query("c1_calendar_full")
+FULL = HOLIDAYS | {
+    "f": "SELECT make_date(y, mo, 15) AS e FROM (SELECT DISTINCT unnest([year(date), year(date) + 1]) AS y FROM d), (SELECT unnest([1, 3, 5, 6, 7, 9, 11, 12]) AS mo)",
+    "td": """SELECT date, t AS is_trading_day, sum(t) OVER m::BIGINT AS trading_days_in_month, sum(t) OVER (PARTITION BY date_trunc('month', date) ORDER BY date)::BIGINT AS trading_day_of_month, sum(t) OVER q::BIGINT AS trading_days_in_quarter,
+ sum(t) OVER (PARTITION BY date_trunc('quarter', date) ORDER BY date)::BIGINT AS trading_day_of_quarter FROM (SELECT date, (isodow(date) < 6 AND NOT is_h)::INT AS t FROM dist) WINDOW m AS (PARTITION BY date_trunc('month', date)), q AS (PARTITION BY date_trunc('quarter', date))""",
+    "parts": f"""SELECT d.date, (isodow(d.date) - 1)::INT AS day_of_week, day(d.date)::INT AS day_of_month, week(d.date)::INT AS week_of_year, month(d.date)::INT AS month, quarter(d.date)::INT AS quarter, year(d.date)::INT AS year, dayname(d.date) AS day_name, monthname(d.date) AS month_name,
+ (day(d.date) = 1)::INT AS is_month_start, (d.date = last_day(d.date))::INT AS is_month_end, (d.date = date_trunc('quarter', d.date))::INT AS is_quarter_start, (d.date = {QEND.replace('date)', 'd.date)')})::INT AS is_quarter_end, (dayofyear(d.date) = 1)::INT AS is_year_start, (month(d.date) = 12 AND day(d.date) = 31)::INT AS is_year_end,
+ ({QEND.replace('date)', 'd.date)')} - d.date)::INT AS days_to_quarter_end FROM d""",
+}
+QE = "last_day((date_trunc('quarter', {0}) + INTERVAL 2 MONTH)::DATE)"
+CYCLE = (("dow", "(isodow(date) - 1)", 7), ("dom", "day(date)", 31), ("month", "month(date)", 12), ("week", "week(date)", 52))
+
+
+@query("c1_calendar_full", (), f"""SELECT parts.*, dist.is_h::INT AS is_holiday, least(coalesce(nxt, 365), 365)::INT AS days_to_next_holiday, least(coalesce(prv, 365), 365)::INT AS days_since_last_holiday, (month = 11 AND week(date) IN (47, 48))::INT AS is_thanksgiving_week,
+ (month = 12 AND day(date) >= 15)::INT AS is_christmas_season, ((month = 12 AND day(date) >= 26) OR (month = 1 AND day(date) <= 7))::INT AS is_new_year_period, (month IN (6, 7, 8))::INT AS is_summer, td.* EXCLUDE (date), (is_trading_day = 1 AND trading_day_of_month = 1)::INT AS is_first_trading_day,
+ (is_trading_day = 1 AND trading_day_of_month = trading_days_in_month)::INT AS is_last_trading_day, (isodow(date) = 5 AND day(date) BETWEEN 15 AND 21 AND month IN (3, 6, 9, 12))::INT AS is_triple_witching, coalesce((SELECT min(e) FROM f WHERE e > date) - date, 999)::INT AS days_to_fomc,
+ (month IN (1, 4, 7, 10))::INT AS is_earnings_season, (coalesce((SELECT min(e) FROM f WHERE e > date) - date, 999) <= 7)::INT AS is_fomc_week, (isodow(date) = 5 AND day(date) BETWEEN 15 AND 21)::INT AS is_options_expiry,
+ (date + 5 = {QE.format('date + 5')} OR date - 5 = {QE.format('date - 5')})::INT AS is_quarter_end_rebalance, (month IN (11, 12))::INT AS is_tax_loss_season, {", ".join(f"round({f}({x} * 2 * pi() / {n}), 6) AS {k}_{f}" for k, x, n in CYCLE for f in ("sin", "cos"))},
+ CASE WHEN month IN (12, 1, 2) THEN 'winter' WHEN month IN (3, 4, 5) THEN 'spring' WHEN month IN (6, 7, 8) THEN 'summer' ELSE 'fall' END AS season, (month = 1)::INT AS is_january_effect, (month BETWEEN 5 AND 10)::INT AS is_sell_in_may,
+ (month = 12 AND day(date) >= 20)::INT AS is_santa_rally, (month IN (3, 6, 9, 12) AND last_day(date) - date <= 5)::INT AS is_window_dressing, (month IN (7, 8) OR (month = 12 AND day(date) >= 20))::INT AS is_low_volume
+ FROM parts JOIN dist USING (date) JOIN td USING (date)""", FULL)
 def _(spark, sf):
     d, lo, hi = _with_holidays(spark, sf)
     return rounded(calendar.seasonality(calendar.cyclic(calendar.market_events(calendar.trading_days(calendar.basic(d)), lo, hi + 1))), 6)
 
 
-@query("c9_feature_importance", ("bars_daily",), """SELECT unnest(['month', 'day_of_week']) AS feature, unnest([round(corr(month(date), r), 5), round(corr(isodow(date) - 1, r), 5)]) AS return_corr FROM m""",
-       {"m": "SELECT date, avg((close - open) / open) AS r FROM bars_daily WHERE ticker IN ('NATION_3', 'NATION_2', 'NATION_11') GROUP BY date"})
+NUMBERS = {
+    "day_of_week": "isodow(date) - 1", "day_of_month": "day(date)", "week_of_year": "week(date)", "month": "month(date)", "quarter": "quarter(date)", "year": "year(date)", "is_month_start": "(day(date) = 1)::INT", "is_month_end": "(date = last_day(date))::INT",
+    "is_quarter_start": "(date = date_trunc('quarter', date))::INT", "is_quarter_end": f"(date = {QEND})::INT", "is_year_start": "(dayofyear(date) = 1)::INT", "is_year_end": "(month(date) = 12 AND day(date) = 31)::INT", "days_to_quarter_end": f"{QEND} - date",
+}
+
+
+@query("c9_feature_importance", ("bars_daily",), " UNION ALL ".join(f"SELECT '{k}' AS feature, " + ", ".join(f"round(CASE WHEN min(x) FILTER ({y} IS NOT NULL) < max(x) FILTER ({y} IS NOT NULL) THEN corr(x, {y}) END, 5) AS {n}" for y, n in (("r", "return_corr"), ("v", "volatility_corr"))) + f" FROM (SELECT *, ({x})::DOUBLE AS x FROM m)" for k, x in NUMBERS.items()),
+       {"m": "SELECT date, avg((close - open) / open) AS r, stddev((close - open) / open) AS v FROM bars_daily WHERE ticker IN ('NATION_3', 'NATION_2', 'NATION_11') GROUP BY date"})
 def _(spark, sf):
+    """Every numeric and boolean feature, against the mean return and against its dispersion."""
     m = calendar.market_return(fx.bars_daily(spark, sf), ["NATION_3", "NATION_2", "NATION_11"])
-    days = calendar.basic(m.select("date"))
-    return calendar.feature_importance(days, m, ["month", "day_of_week"]).select("feature", F.round("return_corr", 5).alias("return_corr"))
+    return rounded(calendar.feature_importance(calendar.basic(m.select("date")), m), 5)
+
+
+@query("c8_expiry_dates", (), """SELECT date, 'options_expiry' AS kind FROM m WHERE isodow(date) = 5 AND day(date) BETWEEN 15 AND 21 UNION ALL SELECT date, 'quarter_end' FROM m WHERE date = last_day(date) AND month(date) IN (3, 6, 9, 12)""",
+       SPINE | {"m": "SELECT unnest(generate_series(date_trunc('month', min(date)), last_day(max(date)), INTERVAL 1 DAY))::DATE AS date FROM d"})
+def _(spark, sf):
+    lo, hi = _days(spark, sf).agg(F.min("date"), F.max("date")).first()
+    return calendar.third_fridays(spark, lo, hi)
 
 
 # --- macro and sentiment ---
@@ -108,11 +142,13 @@ def _(spark, sf):
     return rounded(macro.wide(macro.derive(fx.macro_long(spark, sf)), ["gdp", "cpi"]).select("date", "gdp", "cpi"), 4)
 
 
-@query("m4_macro_composites", ("macro_long",), """SELECT date, round(CASE WHEN len(list_filter(z, lambda x: x IS NOT NULL)) >= 2 THEN list_avg(z) END, 5) AS economic_health FROM
+@query("m4_macro_composites", ("macro_long",), """SELECT date, round(list_avg(z), 5) AS economic_health FROM
  (SELECT date, [""" + ", ".join(f"{sg}({c} - avg({c}) OVER ()) / stddev({c}) OVER ()" for c, sg in (("gdp", ""), ("unemployment_rate", "-"), ("cpi", ""), ("consumer_confidence", ""))) + """] AS z
- FROM (SELECT date, max(value) FILTER (indicator = 'gdp') AS gdp, max(value) FILTER (indicator = 'unemployment_rate') AS unemployment_rate, max(value) FILTER (indicator = 'cpi') AS cpi, max(value) FILTER (indicator = 'consumer_confidence') AS consumer_confidence FROM macro_long GROUP BY date))""")
+ FROM (SELECT date, max(value) FILTER (indicator = 'gdp') AS gdp, max(value) FILTER (indicator = 'unemployment_rate') AS unemployment_rate, max(value) FILTER (indicator = 'cpi') AS cpi, max(value) FILTER (indicator = 'consumer_confidence') AS consumer_confidence FROM macro_long WHERE (month(date) + length(indicator)) % 3 = 0 GROUP BY date))""")
 def _(spark, sf):
-    wide = fx.macro_long(spark, sf).groupBy("date").pivot("indicator", ["gdp", "unemployment_rate", "cpi", "consumer_confidence"]).agg(F.first("value"))
+    """Months in which some of the four indicators are missing, up to all but one."""
+    some = fx.macro_long(spark, sf).filter((F.month("date") + F.length("indicator")) % 3 == 0)
+    wide = some.groupBy("date").pivot("indicator", ["gdp", "unemployment_rate", "cpi", "consumer_confidence"]).agg(F.first("value"))
     return macro.composites(wide).select("date", F.round("economic_health", 5).alias("economic_health"))
 
 
@@ -211,14 +247,50 @@ def _(spark, sf):
     return quality.price_outliers(fx.bars_daily(spark, sf), k=3.0, include_self=False).select("ticker", "date", "close")
 
 
-@query("q1_validate_bars")
+BROKEN = {"high_below_low": "high < low", "high_below_open": "high < open", "high_below_close": "high < close", "low_above_open": "low > open", "low_above_close": "low > close"}
+
+
+@query("q1_validate_bars", ("bars_daily",), " UNION ALL ".join([f"SELECT * FROM (SELECT 'price: {k}' AS \"check\", (count(*) FILTER ({c}))::VARCHAR AS found FROM x) WHERE found <> '0'" for k, c in BROKEN.items()] + [
+    "SELECT * FROM (SELECT 'volume', (count(*) FILTER (volume < 0))::VARCHAR || ' ' || avg((volume = 0)::INT)::VARCHAR AS found, count(*) FILTER (volume < 0) > 0 OR avg((volume = 0)::INT) > 0.1 AS bad FROM x) AS v(a, b, c) WHERE c".replace("SELECT * FROM (", "SELECT a, b FROM ("),
+    f"SELECT 'date_gap', count(*)::VARCHAR FROM (SELECT date - lag(date) OVER {W} AS g FROM x) WHERE g > 14 HAVING count(*) > 0",
+    "SELECT 'outlier', count(*)::VARCHAR FROM (SELECT close, avg(close) OVER w AS m, stddev_samp(close) OVER w AS s FROM x WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) WHERE abs(close - m) > 5 * s HAVING count(*) > 0"]),
+    {"x": "SELECT ticker, date, open, CASE WHEN volume = 3 THEN high - 100000 ELSE high END AS high, low, close, volume - CASE WHEN volume > 3 THEN 9 ELSE 0 END AS volume FROM bars_daily"})
+def _(spark, sf):
+    """Bars with broken highs and volumes below zero."""
+    b = fx.bars_daily(spark, sf)
+    return quality.validate_bars(b.withColumns({"high": F.when(F.col("volume") == 3, F.col("high") - 100000).otherwise(F.col("high")), "volume": F.col("volume") - F.when(F.col("volume") > 3, 9).otherwise(0)}))
+
+
+RANGES = ["open", "high", "low", "close", "volume", "adjusted_close", "rsi_14", "macd", "macd_signal", "macd_hist", "atr_14", "adx", "atr_14_percent"]
+
+
+@query("q7_validate_indicators", ("bars_daily",), " UNION ALL ".join(f"SELECT '{c}' AS indicator, " + (f"count(*) FILTER ({c} < 0 OR {c} > 100)" if "rsi" in c else f"count(*) FILTER ({c} < -1 OR {c} > 1)" if "percent" in c else "0::BIGINT") + f" AS out_of_range, round(avg(({c} IS NULL)::INT), 6) AS null_ratio, " + (f"count(*) FILTER ({c} < 0 OR {c} > 100) = 0 AND " if "rsi" in c else f"count(*) FILTER ({c} < -1 OR {c} > 1) = 0 AND " if "percent" in c else "") + f"avg(({c} IS NULL)::INT) <= 0.3 AS valid FROM x" for c in RANGES),
+       isql.recursion("bars_daily") | {"x": "SELECT b.*, r.* EXCLUDE (ticker, date), r.atr_14 / b.close * 100 AS atr_14_percent FROM bars_daily b JOIN rec r ON r.ticker = b.ticker AND r.date = b.date"}, recursive=True)
 def _(spark, sf):
-    return quality.validate_bars(fx.bars_daily(spark, sf))
+    return rounded(quality.validate_indicators(indicators.recursive_indicators(fx.bars_daily(spark, sf)).select(*RANGES)), 6)
 
 
-@query("q7_validate_indicators")
+@query("q6_type_check", ("bars_daily",), "SELECT 'volume' AS \"column\", 'string' AS type UNION ALL SELECT 'close', 'decimal'")
 def _(spark, sf):
-    return rounded(quality.validate_indicators(indicators.recursive_indicators(fx.bars_daily(spark, sf))), 6)
+    b = fx.bars_daily(spark, sf)
+    return quality.type_report(b.withColumns({"volume": F.col("volume").cast("string"), "close": F.col("close").cast("decimal(18,2)")}))
+
+
+@query("p5_macro_normalise", (), "SELECT o_orderdate::DATE AS date, o_totalprice AS value, 'gdp' AS indicator FROM orders")
+def _(spark, sf):
+    o = fx.table(spark, sf, "orders").select(F.col("o_orderdate").cast("string").alias("date"), F.col("o_totalprice").cast("string").alias("value"))
+    return macro.normalise(o, "gdp")
+
+
+@query("m7_to_update", ("macro_long",), """SELECT indicator FROM (SELECT indicator, max(date) AS l FROM macro_long GROUP BY indicator) WHERE (DATE '2001-09-20' - l) > 1.5 * CASE indicator WHEN 'gdp' THEN 90 WHEN 'treasury_10y' THEN 1 ELSE 30 END""")
+def _(spark, sf):
+    return macro.to_update(fx.macro_long(spark, sf), "2001-09-20")
+
+
+@query("p8_feature_columns", ("bars_daily", "metadata"), "SELECT open, high, low, close, volume, adjusted_close FROM bars_daily JOIN metadata USING (ticker)")
+def _(spark, sf):
+    b = fx.bars_daily(spark, sf).join(fx.metadata(spark, sf), "ticker")
+    return b.select(*features.feature_columns(b))
 
 
 @query("q8_column_report", ("bars_daily",), " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS non_null, 0.0::DOUBLE AS null_pct, count(DISTINCT {c}) AS \"distinct\", min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, round(avg({c}), 4) AS mean, round(stddev({c}), 3) AS std, {p} AS passed FROM bars_daily" for c, p in (("close", "min(close) > 0"), ("volume", "true"))))
@@ -262,10 +334,22 @@ def _(spark, sf):
     return quality.table_check(fx.bars_daily(spark, sf), ["ticker", "date"], ["close", "volume"], AS_OF)
 
 
-@query("q16_a12_daily_gate", ("bars_daily",), f"SELECT count(DISTINCT ticker) AS tickers, count(*) AS records, (DATE '{AS_OF}' - max(date))::INT AS days_old, 1.0::DOUBLE AS coverage, count(DISTINCT ticker) >= 10 AND DATE '{AS_OF}' - max(date) <= 2 AS passed FROM bars_daily")
-def _(spark, sf):
+# indicators that some tickers lack at the checked date, though they have them at others
+LACKING = {"i": f"SELECT ticker, date FROM bars_daily WHERE NOT (date >= DATE '{AS_OF}' - 200 AND ticker LIKE '%1%')", "day_": "SELECT max(date) AS d FROM bars_daily WHERE date < (SELECT max(date) FROM bars_daily)",
+           "cov": "SELECT count(DISTINCT b.ticker) AS tickers, count(DISTINCT i.ticker) AS with_indicators FROM bars_daily b LEFT JOIN i ON i.ticker = b.ticker AND i.date = b.date WHERE b.date = (SELECT d FROM day_)"}
+
+
+def _lacking(spark, sf):
     b = fx.bars_daily(spark, sf)
-    return quality.daily_gate(b, b, AS_OF)
+    top = b.agg(F.max("date")).first()[0]
+    at = b.filter(F.col("date") < F.lit(top)).agg(F.max("date")).first()[0]
+    return b, b.filter(f"NOT (date >= date_sub(DATE '{AS_OF}', 200) AND ticker LIKE '%1%')").select("ticker", "date"), at
+
+
+@query("q16_a12_daily_gate", ("bars_daily",), "SELECT count(DISTINCT ticker) AS tickers, count(*) AS records, ((SELECT d FROM day_) - max(date))::INT AS days_old, round((SELECT with_indicators / tickers FROM cov), 6) AS coverage, count(DISTINCT ticker) >= 10 AND (SELECT d FROM day_) - max(date) <= 2 AND (SELECT with_indicators / tickers FROM cov) >= 0.4 AS passed FROM bars_daily", LACKING)
+def _(spark, sf):
+    b, i, at = _lacking(spark, sf)
+    return rounded(quality.daily_gate(b, i, at, coverage=0.4), 6)
 
 
 @query("q17_training_gate", ("bars_daily",), f"SELECT count(DISTINCT ticker) AS tickers, count(DISTINCT date) AS dates, round(avg((s IS NOT NULL)::INT), 6) AS rsi_coverage, count(DISTINCT ticker) >= 20 AND count(DISTINCT date) >= 250 AS passed, avg((s IS NOT NULL)::INT) < 0.8 AS warning FROM (SELECT ticker, date, {roll('avg', 'close', 200)} AS s FROM bars_daily)")
@@ -278,10 +362,9 @@ def _(spark, sf):
     return rounded(quality.coverage_ratios(indicators.sma(fx.bars_daily(spark, sf)), ["sma_20", "sma_200"]), 6)
 
 
-@query("j6_indicator_tickers", ("bars_daily",), "SELECT count(DISTINCT b.ticker) AS tickers, count(DISTINCT i.ticker) AS with_indicators, round(count(DISTINCT i.ticker) / count(DISTINCT b.ticker), 6) AS coverage FROM bars_daily b LEFT JOIN (SELECT DISTINCT ticker FROM bars_daily WHERE ticker < 'K') i USING (ticker)")
+@query("j6_indicator_tickers", ("bars_daily",), "SELECT tickers, with_indicators, round(with_indicators / tickers, 6) AS coverage FROM cov", LACKING)
 def _(spark, sf):
-    b = fx.bars_daily(spark, sf)
-    return rounded(quality.indicator_coverage(b, b.filter("ticker < 'K'")), 6)
+    return rounded(quality.indicator_coverage(*_lacking(spark, sf)), 6)
 
 
 @query("a24_histogram", ("bars_daily",), "SELECT least(floor((close - 0) / 10000)::INT + 1, 50) AS bin, count(*) AS n FROM bars_daily WHERE close BETWEEN 0 AND 500000 GROUP BY 1")
@@ -348,8 +431,8 @@ def _(spark, sf):
     return features.edge_index(e, m)
 
 
-@query("g1_e7_graph_features")
+@query("g1_e7_graph_features", ("bars_daily", "metadata"), "SELECT w.src AS ticker, b.date, round(sum(w.weight * b.close) / sum(w.weight), 3) AS neighbour_close FROM w JOIN bars_daily b ON b.ticker = w.dst WHERE w.weight > 0.5 GROUP BY w.src, b.date", EDGES)
 def _(spark, sf):
     b, m = fx.bars_daily(spark, sf), fx.metadata(spark, sf)
     e = graph.threshold(graph.edge_weights(m, graph.correlations(graph.padded_returns(b))), 0.5)
-    return rounded(features.neighbour_means(bars.last_per_key(b, 5).select("ticker", "date", "close"), e, ["close"]), 3)
+    return rounded(features.neighbour_means(b.select("ticker", "date", "close"), e, ["close"]), 3)

@@ -66,7 +66,20 @@ def _(spark, sf):
     return graph.components(_pairs(spark, sf).filter("weight > 0.7").select(F.col("u").alias("src"), F.col("v").alias("dst")), _nodes(spark, sf))
 
 
-@query("g6_build_graph")
+BUILD = EDGES | {
+    "e6": "SELECT * FROM w WHERE weight > 0.6",
+    "h": "SELECT sector, ticker AS hub FROM metadata LEFT JOIN (SELECT src, count(*) AS d FROM e6 GROUP BY src) ON src = ticker QUALIFY row_number() OVER (PARTITION BY sector ORDER BY coalesce(d, 0) DESC, ticker) = 1",
+    "hp": "SELECT h.hub, m.ticker, CASE m.market_cap WHEN 'etf' THEN 0.5 ELSE 0.3 END AS weight FROM metadata m JOIN h USING (sector) WHERE m.ticker <> h.hub",
+    "n6": "SELECT hub AS src, ticker AS dst, weight FROM hp UNION ALL SELECT ticker, hub, weight FROM hp",
+    "full6": "MATERIALIZED SELECT src, dst, weight FROM e6 UNION ALL SELECT n6.* FROM n6 ANTI JOIN e6 ON e6.src = n6.src AND e6.dst = n6.dst",
+    "reach": "SELECT ticker AS root, ticker AS node FROM metadata UNION SELECT root, full6.dst FROM reach JOIN full6 ON full6.src = reach.node",
+    "comp": "SELECT node, min(root) AS component FROM reach GROUP BY node",
+    "head": "SELECT c.component, c.node FROM comp c LEFT JOIN (SELECT src, count(*) AS d FROM full6 GROUP BY src) g ON g.src = c.node QUALIFY row_number() OVER (PARTITION BY c.component ORDER BY coalesce(g.d, 0) DESC, c.node) = 1",
+    "apart": "SELECT node AS hub FROM head WHERE component <> (SELECT component FROM comp WHERE node = 'NATION_0')",
+}
+
+
+@query("g6_build_graph", N, "SELECT src, dst, round(weight, 5) AS weight FROM (SELECT * FROM full6 UNION ALL SELECT hub, 'NATION_0', 0.4 FROM apart UNION ALL SELECT 'NATION_0', hub, 0.4 FROM apart)", BUILD, recursive=True)
 def _(spark, sf):
     return rounded(graph.build(fx.bars_daily(spark, sf), fx.metadata(spark, sf), "NATION_0", 0.6), 5)
 
@@ -84,12 +97,19 @@ def _(spark, sf):
     return rounded(graph.clustering(_pairs(spark, sf)), 6)
 
 
-@query("g9_betweenness")
-def _(spark, sf):
-    return rounded(graph.betweenness(_pairs(spark, sf), _nodes(spark, sf)), 6)
+HOPS = EDGES | {"b3": "SELECT src, dst FROM b2", "h": "SELECT ticker AS source, ticker AS node, 0 AS hop FROM metadata UNION SELECT h.source, b3.dst, h.hop + 1 FROM h JOIN b3 ON b3.src = h.node WHERE h.hop < 25", "dist": "SELECT source, node, min(hop) AS hop FROM h GROUP BY 1, 2"}
 
 
-HOPS = EDGES | {"b3": "SELECT src, dst FROM b2", "h": "SELECT ticker AS source, ticker AS node, 0 AS hop FROM metadata UNION SELECT h.source, b3.dst, h.hop + 1 FROM h JOIN b3 ON b3.src = h.node WHERE h.hop < 25", "dist": "SELECT source, node, min(hop) AS hop FROM h GROUP BY 1, 2"}
+PATHS = HOPS | {
+    "dist": f"MATERIALIZED {HOPS['dist']}",
+    "sigma": "SELECT ticker AS source, ticker AS node, 0 AS hop, 1.0::DOUBLE AS paths FROM metadata UNION ALL SELECT s.source, b3.dst, s.hop + 1, sum(s.paths) FROM sigma s JOIN b3 ON b3.src = s.node JOIN dist d ON d.source = s.source AND d.node = b3.dst AND d.hop = s.hop + 1 GROUP BY 1, 2, 3",
+    "through": "SELECT a.node, sum(a.paths * b.paths / c.paths) AS t FROM sigma a JOIN sigma b ON b.source = a.node JOIN sigma c ON c.source = a.source AND c.node = b.node AND c.hop = a.hop + b.hop WHERE a.node <> a.source AND a.node <> b.node GROUP BY a.node",
+}
+
+
+@query("g9_betweenness", N, "SELECT ticker AS node, round(coalesce(t, 0) / (((SELECT count(*) FROM metadata) - 1) * ((SELECT count(*) FROM metadata) - 2)), 6) AS betweenness FROM metadata LEFT JOIN through ON node = ticker", PATHS, recursive=True)
+def _(spark, sf):
+    return rounded(graph.betweenness(_pairs(spark, sf), _nodes(spark, sf)), 6)
 
 
 @query("g10_closeness", N, "SELECT source AS node, round(coalesce((count(*) - 1) / nullif(sum(hop), 0) * (count(*) - 1) / (SELECT count(*) - 1 FROM metadata), 0), 6) AS closeness FROM dist GROUP BY source", HOPS, recursive=True)
@@ -97,14 +117,23 @@ def _(spark, sf):
     return rounded(graph.closeness(_pairs(spark, sf), _nodes(spark, sf)), 6)
 
 
-@query("g11_eigenvector")
+SPREAD = EDGES | {
+    "links": "MATERIALIZED SELECT src, dst, weight FROM b2", "n": "SELECT count(*) AS n FROM metadata",
+    # a step of A + 1 on all nodes, scaled to length 1; 400 steps settle the digits that are kept
+    "power": "SELECT 0 AS k, ticker AS node, 1.0::DOUBLE AS x FROM metadata UNION ALL SELECT k + 1, node, x / sqrt(sum(x * x) OVER ()) FROM (SELECT p.k, p.node, any_value(p.x) + coalesce(sum(q.x), 0) AS x FROM power p LEFT JOIN links l ON l.src = p.node LEFT JOIN power q ON q.node = l.dst WHERE p.k < 400 GROUP BY p.k, p.node)",
+    "share": "MATERIALIZED SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS p FROM links",
+    "walk": "SELECT 0 AS k, ticker AS node, 1.0::DOUBLE / n AS r FROM metadata, n UNION ALL SELECT w.k + 1, w.node, 0.15 / any_value(n.n) + 0.85 * (coalesce(sum(v.r * s.p), 0) + coalesce((SELECT sum(r) FROM walk WHERE node NOT IN (SELECT src FROM share)), 0) / any_value(n.n)) FROM walk w CROSS JOIN n LEFT JOIN share s ON s.dst = w.node LEFT JOIN walk v ON v.node = s.src WHERE w.k < 100 GROUP BY w.k, w.node",
+}
+
+
+@query("g11_eigenvector", N, "SELECT node, round(x, 3) AS eigenvector FROM power WHERE k = 400", SPREAD, recursive=True)
 def _(spark, sf):
-    return rounded(graph.eigenvector(_pairs(spark, sf), _nodes(spark, sf)), 4)
+    return rounded(graph.eigenvector(_pairs(spark, sf), _nodes(spark, sf), tolerance=1e-8), 3)
 
 
-@query("g12_pagerank")
+@query("g12_pagerank", N, "SELECT node, round(r, 4) AS pagerank FROM walk WHERE k = 100", SPREAD, recursive=True)
 def _(spark, sf):
-    return rounded(graph.pagerank(_pairs(spark, sf), _nodes(spark, sf)), 4)
+    return rounded(graph.pagerank(_pairs(spark, sf), _nodes(spark, sf), tolerance=1e-8, rounds=200), 4)
 
 
 @query("g13_neighbour_degree", N, "SELECT b2.src AS node, round(sum(b2.weight * deg.degree) / sum(b2.weight), 5) AS avg_neighbor_degree FROM b2 JOIN deg ON deg.node = b2.dst GROUP BY b2.src", EDGES)

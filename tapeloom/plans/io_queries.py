@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from tapeloom import schemas
 from tapeloom.functions import rounded
+from tapeloom.operators import backfill, bars, quality
 from tapeloom.plans import fixtures as fx
-from tapeloom.plans.bar_queries import AS_OF
+from tapeloom.plans.bar_queries import AS_OF, _pages
 from tapeloom.plans.registry import query
 from tapeloom.plans.signal_queries import SIG
 from tapeloom.scratch import folder as _folder
-from tapeloom.sources import files, sinks
+from tapeloom.sources import files, payloads, sinks
 from tapeloom.streaming import streams
 
 
@@ -26,14 +30,35 @@ def _(spark, sf):
     return spark.read.parquet(path).withColumn("inserted_at", F.col("inserted_at").cast("timestamp_ntz"))
 
 
-@query("k2_upsert", ("bars_daily",), "SELECT ticker, date, round(CASE WHEN date >= DATE '1999-07-01' THEN close * 2 ELSE close END, 2) AS close, year(date)::INT AS year FROM bars_daily")
+@query("k2_upsert", ("bars_daily",), "SELECT ticker, date, round(CASE WHEN date >= DATE '1999-07-01' THEN close * 2 ELSE close END, 2) AS close, (CASE WHEN date >= DATE '1999-07-01' AND volume > 1 THEN year(date) + 10 ELSE year(date) END)::INT AS year FROM bars_daily")
 def _(spark, sf):
-    path, b = _folder(spark, "bars"), _bars(spark, sf)
-    sinks.upsert(b.filter("date < '2000-01-01'"), path, ["ticker", "date"], ["year"])
-    sinks.upsert(b.filter("date >= '1999-07-01'").withColumn("close", F.col("close") * 2), path, ["ticker", "date"], ["year"])
+    """The second write brings known keys in other partitions, and each of its keys twice."""
+    path, b = _folder(spark, "bars"), fx.bars_daily(spark, sf).select("ticker", "date", "close", "volume", F.year("date").alias("year"))
+    sinks.upsert(b.filter("date < '2000-01-01'").drop("volume"), path, ["ticker", "date"], ["year"])
+    new = b.filter("date >= '1999-07-01'").withColumns({"close": F.col("close") * 2, "year": F.when(F.col("volume") > 1, F.col("year") + 10).otherwise(F.col("year"))}).drop("volume")
+    sinks.upsert(new.unionByName(new.withColumn("close", F.lit(-1.0))), path, ["ticker", "date"], ["year"], latest="close")
     return rounded(spark.read.parquet(path), 2)
 
 
+@query("k3_batch_insert", ("metadata",), "SELECT ticker, sector, market_cap FROM metadata")
+def _(spark, sf):
+    path = _folder(spark, "metadata")
+    records = [r.asDict() for r in fx.metadata(spark, sf).select("ticker", "sector", "market_cap").collect()]  # a dimension
+    sinks.batch_insert(spark, records, "ticker string, sector string, market_cap string", path)
+    return spark.read.parquet(path)
+
+
+@query("k4_stream_insert", ("sentiment",), "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'symbol is missing' END AS error, overall_sentiment_score FROM sentiment")
+def _(spark, sf):
+    path, n = _folder(spark, "news"), fx.sentiment(spark, sf)
+    n.withColumn("symbol", F.when(F.col("event_id") % 7 != 0, F.col("symbol"))).write.parquet(path)
+    out, bad = _folder(spark, "out"), _folder(spark, "rejected")
+    streams.insert_checked(streams.watch(spark, path, n.schema, files=2), "sentiment", out, bad, _folder(spark, "state")).awaitTermination()
+    good = spark.read.parquet(out).withColumn("error", F.lit(None).cast("string"))
+    columns = ("event_id", "error", "overall_sentiment_score")
+    return good.select(*columns).unionByName(spark.read.parquet(bad).select(*columns))
+
+
 @query("k5_k8_delete", ("bars_daily",), "SELECT ticker, date, close, year(date)::INT AS year FROM bars_daily WHERE NOT (close > 300000 OR year(date) = 1997)")
 def _(spark, sf):
     path = _folder(spark, "bars")
@@ -49,9 +74,10 @@ def _(spark, sf):
     return files.scan(spark, path, ["ticker", "date", "close"], [("year", "in", [1996, 1998]), ("close", ">=", 250000)])
 
 
-@query("k7_n4_append_new", ("bars_daily",), "SELECT ticker, date, close, year(date)::INT AS year FROM bars_daily")
+@query("k7_n4_append_new", ("bars_daily",), "SELECT CASE WHEN ticker <> 'NATION_2' THEN ticker END AS ticker, date, close, year(date)::INT AS year FROM bars_daily")
 def _(spark, sf):
-    path, b = _folder(spark, "bars"), _bars(spark, sf)
+    """Keys with a null are keys: one ticker has no name."""
+    path, b = _folder(spark, "bars"), _bars(spark, sf).withColumn("ticker", F.when(F.col("ticker") != "NATION_2", F.col("ticker")))
     sinks.append_new(b.filter("date < '1998-06-01'"), path, ["ticker", "date"], ["year"])
     sinks.append_new(b, path, ["ticker", "date"], ["year"])
     sinks.append_new(b, path, ["ticker", "date"], ["year"])
@@ -90,12 +116,25 @@ def _(spark, sf):
     return spark.read.parquet(out).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+@query("v2_stream_news", ("sentiment",), "SELECT symbol, timestamp, title, overall_sentiment_score FROM sentiment QUALIFY row_number() OVER (PARTITION BY symbol, timestamp, title ORDER BY event_id) = 1")
+def _(spark, sf):
+    """News of which a part lands twice."""
+    path, n = _folder(spark, "news"), fx.sentiment(spark, sf)
+    n = n.join(n.groupBy("symbol", "timestamp", "title").agg(F.min("event_id").alias("event_id")), ["symbol", "timestamp", "title", "event_id"])
+    n.write.parquet(path)
+    n.filter("event_id % 5 = 0").write.mode("append").parquet(path)
+    out = _folder(spark, "out")
+    streams.ingest_news(streams.watch(spark, path, n.schema, "timestamp", "60 days"), out, _folder(spark, "state")).awaitTermination()
+    return spark.read.parquet(out).select("symbol", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "title", "overall_sentiment_score")
+
+
 @query("v3_stream_signals", ("bars_daily", "predictions"), "SELECT ticker, prediction_date, horizon_days, signal, rank FROM sig", SIG)
 def _(spark, sf):
+    """Predictions of one date come in several batches."""
     path, out, p = _folder(spark, "predictions"), _folder(spark, "out"), fx.predictions(spark, sf)
-    p.coalesce(1).write.parquet(path)  # one file, so that a date's predictions are ranked in one batch
-    streams.signal_batches(streams.watch(spark, path, p.schema), out, _folder(spark, "state"), least_confidence=0.3, least_return=0.02).awaitTermination()
-    return spark.read.parquet(out).select("ticker", "prediction_date", "horizon_days", "signal", "rank")
+    p.write.parquet(path)
+    streams.signal_batches(streams.watch(spark, path, p.schema, files=4), out, _folder(spark, "state"), least_confidence=0.3, least_return=0.02).awaitTermination()
+    return spark.read.parquet(f"{out}/signals").select("ticker", "prediction_date", "horizon_days", "signal", "rank")
 
 
 @query("v4_stream_daily_bars", ("ticks",), """SELECT ticker, ts::DATE AS date, arg_min(price, (ts, seq)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, seq)) AS close, count(*) AS volume FROM ticks
@@ -107,3 +146,164 @@ def _(spark, sf):
     bars = streams.daily_bars(streams.watch(spark, path, t.schema, "ts", "1 day", files=None))
     streams.append_to(bars, out, _folder(spark, "state")).awaitTermination()
     return spark.read.parquet(out)
+
+
+LIVE = {
+    "b": "MATERIALIZED SELECT *, row_number() OVER w AS i, price - lag(price) OVER w AS d FROM ticks WINDOW w AS (PARTITION BY ticker ORDER BY ts, seq)",
+    "z": """SELECT ticker, seq, i, price::DOUBLE AS ema, 0::DOUBLE AS g, 0::DOUBLE AS l FROM b WHERE i = 1
+ UNION ALL SELECT b.ticker, b.seq, b.i, z.ema + (2.0::DOUBLE / 21) * (b.price - z.ema), z.g + (greatest(b.d, 0) - z.g) / least(b.i - 1, 14), z.l + (greatest(-b.d, 0) - z.l) / least(b.i - 1, 14) FROM z JOIN b ON b.ticker = z.ticker AND b.i = z.i + 1""",
+}
+
+
+@query("v5_live_indicators", ("ticks",), "SELECT ticker, seq, round(ema, 6) AS ema, round(CASE WHEN i > 14 THEN 100 * g / nullif(g + l, 0) END, 6) AS rsi FROM z", LIVE, recursive=True)
+def _(spark, sf):
+    path, out, t = _folder(spark, "ticks"), _folder(spark, "out"), fx.ticks(spark, sf)
+    t.write.parquet(path)
+    live = streams.live_indicators(streams.watch(spark, path, t.schema, "ts", files=None))
+    streams.append_to(live, out, _folder(spark, "state")).awaitTermination()
+    return rounded(spark.read.parquet(out).select("ticker", "seq", "ema", "rsi"), 6)
+
+
+# --- tables, files and bookkeeping ---
+
+
+@query("k10_k11_table_and_view", ("macro_long",), "SELECT date, indicator, value FROM macro_long WHERE value > 150000")
+def _(spark, sf):
+    """A declared table with its partitions, filled, and a view over it."""
+    name = f"macro_{uuid.uuid4().hex}"
+    sinks.create_table(spark, name, "macro")
+    rows = schemas.conform(fx.macro_long(spark, sf), schemas.table("macro"))
+    rows.select(*spark.table(name).columns).write.insertInto(name)
+    sinks.create_view(spark, f"{name}_view", f"SELECT date, indicator, value FROM {name} WHERE value > 150000")
+    return spark.table(f"{name}_view")
+
+
+@query("k12_copy_table", ("metadata",), "SELECT ticker, sector, NULL::INT AS rating FROM metadata")
+def _(spark, sf):
+    """A table is copied, the copy gets a column, and the first one goes."""
+    name = f"metadata_{uuid.uuid4().hex}"
+    fx.metadata(spark, sf).select("ticker", "sector").write.saveAsTable(name)
+    sinks.copy_table(spark, name, f"{name}_copy")
+    sinks.add_columns(spark, f"{name}_copy", "rating int")
+    sinks.drop_table(spark, name)
+    if sinks.describe(spark, f"{name}_copy").filter("col_name = 'rating'").count() != 1:
+        raise AssertionError("the copy lacks its new column")
+    return spark.table(f"{name}_copy")
+
+
+@query("k14_retention_policy", ("bars_daily", "macro_long"), f"SELECT 'bars_daily' AS dataset, date FROM bars_daily WHERE date >= DATE '{AS_OF}' - 365 UNION ALL SELECT 'macro', date FROM macro_long")
+def _(spark, sf):
+    out = None
+    for name, df in (("bars_daily", fx.bars_daily(spark, sf)), ("macro", fx.macro_long(spark, sf))):
+        path = _folder(spark, name)
+        df.select(F.lit(name).alias("dataset"), "date").write.parquet(path)
+        sinks.retain(spark, path, AS_OF, sinks.retention_policy()[name])
+        kept = spark.read.parquet(path)
+        out = kept if out is None else out.unionByName(kept)
+    return out
+
+
+@query("q18_table_statistics", ("bars_daily",), "SELECT count(*) AS records, true AS has_files, true AS has_bytes, round(avg(close), 4) AS avg_close, min(close) AS min_close, max(close) AS max_close, round(stddev(close), 3) AS std_close, round(avg(volume), 6) AS avg_volume, max(volume) AS max_volume FROM bars_daily")
+def _(spark, sf):
+    path = _folder(spark, "bars")
+    fx.bars_daily(spark, sf).write.parquet(path)
+    s = quality.table_statistics(spark.read.parquet(path)).withColumns({"has_files": F.col("files") > 0, "has_bytes": F.col("bytes") > 0}).drop("files", "bytes")
+    return rounded(s, {"avg_close": 4, "std_close": 3, "avg_volume": 6})
+
+
+@query("b1_backfill_progress", (), """SELECT backfill_id, CASE backfill_id WHEN 'b' THEN 'failed' ELSE 'running' END AS status, n * (date_diff('month', lo, hi) + 1) AS months_total, CASE backfill_id WHEN 'a' THEN n ELSE 0 END AS months_done, CASE backfill_id WHEN 'b' THEN 'no rows' END AS error
+ FROM (SELECT unnest(['a', 'b', 'c']) AS backfill_id, (SELECT count(*) FROM nation) AS n, (SELECT min(o_orderdate)::DATE FROM orders) AS lo, (SELECT max(o_orderdate)::DATE FROM orders) AS hi)""")
+def _(spark, sf):
+    """Three backfills start, one goes on, one fails; the table is upserted at each step."""
+    path, symbols = _folder(spark, "progress"), [r[0] for r in fx.table(spark, sf, "nation").select("n_name").collect()]  # a dimension
+    lo, hi = fx.table(spark, sf, "orders").agg(F.to_date(F.min("o_orderdate")), F.to_date(F.max("o_orderdate"))).first()
+    for x in "abc":
+        sinks.upsert(backfill.start(spark, x, symbols, lo, hi, "2024-01-01"), path, ["backfill_id"])
+    sinks.upsert(backfill.status(spark.read.parquet(path), "a").withColumn("months_done", F.lit(len(symbols)).cast("bigint")), path, ["backfill_id"])
+    sinks.upsert(backfill.fail(backfill.active(spark.read.parquet(path)).filter("backfill_id = 'b'"), "b", "no rows", "2024-01-02"), path, ["backfill_id"])
+    return spark.read.parquet(path).select("backfill_id", "status", "months_total", "months_done", "error")
+
+
+@query("b2_month_checkpoints", ("trades",), """SELECT ticker AS symbol, year(date)::INT AS year, month(date)::INT AS month, CASE WHEN count(*) < 3 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN count(*) >= 3 THEN count(*) END AS rows_fetched, CASE WHEN count(*) < 3 THEN 'too few rows' END AS error FROM trades GROUP BY 1, 2, 3""")
+def _(spark, sf):
+    path = _folder(spark, "checkpoints")
+    got = fx.trades(spark, sf).groupBy(F.col("ticker").alias("symbol"), F.year("date").alias("year"), F.month("date").alias("month")).agg(F.count("*").alias("rows_fetched"))
+    rows = backfill.checkpoint(got.withColumn("error", F.when(F.col("rows_fetched") < 3, "too few rows")), "x", "daily", "2024-01-01")
+    sinks.write_partitioned(rows, path)
+    return spark.read.parquet(path).select("symbol", "year", "month", "status", "rows_fetched", "error")
+
+
+@query("b6_presets", ("bars_daily",), " UNION ALL ".join(f"SELECT '{k}' AS preset, ticker, date FROM bars_daily WHERE date BETWEEN DATE '{AS_OF}' - {n} AND DATE '{AS_OF}'" for k, n in backfill.PRESETS.items()))
+def _(spark, sf):
+    b, out = fx.bars_daily(spark, sf).select("ticker", "date"), None
+    for k in backfill.PRESETS:
+        one = backfill.preset_rows(b, k, AS_OF).select(F.lit(k).alias("preset"), "ticker", "date")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("b7_job_log", (), "SELECT o_orderpriority AS job_name, date_diff('second', min(o_orderdate), max(o_orderdate))::DOUBLE AS duration_seconds, count(*) > 2000 AS success, count(*)::VARCHAR || ' rows' AS detail FROM orders GROUP BY 1")
+def _(spark, sf):
+    path = _folder(spark, "jobs")
+    runs = fx.table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.min("o_orderdate"), F.max("o_orderdate"), F.count("*")).collect()  # five jobs
+    for name, lo, hi, n in runs:
+        sinks.write_partitioned(backfill.job_log(spark, name, lo, hi, n > 2000, f"{n} rows"), path)
+    return spark.read.parquet(path).select("job_name", "duration_seconds", "success", "detail")
+
+
+@query("s12_s13_universe", ("metadata",), "SELECT ticker, sector, market_cap, sub_industry, count(*) OVER () AS tickers FROM metadata")
+def _(spark, sf):
+    groups: dict[str, list[dict]] = {}
+    for r in fx.metadata(spark, sf).collect():  # a dimension, as the configuration has it
+        groups.setdefault(r["sector"], []).append(r.asDict())
+    u = files.universe(spark, groups)
+    return u.select("ticker", "sector", "market_cap", "sub_industry").crossJoin(files.all_tickers(u).agg(F.count("*").alias("tickers")))
+
+
+def _series(df, time: str, key: str, names: dict[str, str]):
+    """Bars as the payload text of each ticker."""
+    point = F.create_map(*[x for k, c in names.items() for x in (F.lit(k), F.col(c).cast("string"))])
+    g = df.groupBy("ticker").agg(F.map_from_entries(F.collect_list(F.struct(F.col(time).alias("at"), point.alias("x")))).alias("s"))
+    return g.select("ticker", F.to_json(F.create_map(F.lit(key), F.col("s"))).alias("value"))
+
+
+FIVE = {"1. open": "open", "2. high": "high", "3. low": "low", "4. close": "close", "5. volume": "volume"}
+
+
+@query("s8_intraday_payload", ("ticks",), "SELECT ticker, time_bucket(INTERVAL '30 minutes', ts) AS datetime, arg_min(price, (ts, seq)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, seq)) AS close, count(*) AS volume FROM ticks GROUP BY 1, 2")
+def _(spark, sf):
+    b = bars.ticks_to_bars(fx.ticks(spark, sf), ["ticker", F.window("ts", "30 minutes")["start"].alias("datetime")], ["ts", "seq"])
+    raw = _series(b.withColumn("at", F.date_format("datetime", "yyyy-MM-dd HH:mm:ss")), "at", "Time Series (30min)", FIVE)
+    return payloads.intraday(raw, "30min")
+
+
+@query("s11_sector_payload", (), "SELECT o_orderpriority AS period, r_name AS sector, round(count(*) / 100, 6) AS performance FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2")
+def _(spark, sf):
+    t, n = fx.table, fx.table(spark, sf, "nation")
+    o = t(spark, sf, "orders").join(t(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(t(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    g = o.groupBy("o_orderpriority", "r_name").agg(F.concat(F.count("*").cast("string"), F.lit("%")).alias("t")).groupBy("o_orderpriority").agg(F.map_from_entries(F.collect_list(F.struct("r_name", "t"))).alias("s"))
+    raw = g.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("o_orderpriority", "s")))).alias("value"))
+    return rounded(payloads.sector_performance(raw), 6)
+
+
+@query("s15_landed_files", ("bars_daily", "bars_hourly", "sentiment"), """SELECT 'daily' AS kind, ticker, date::TIMESTAMP AS at, close FROM bars_daily UNION ALL SELECT 'hourly', ticker, datetime, close FROM bars_hourly
+ UNION ALL SELECT 'sentiment', symbol, date_trunc('second', timestamp), overall_sentiment_score FROM sentiment""")
+def _(spark, sf):
+    """Payload files of every ticker, one folder a ticker, of three kinds."""
+    n = fx.sentiment(spark, sf)
+    own = F.array(F.struct(F.col("symbol").alias("ticker"), F.lit("0.5").alias("relevance_score"), F.col("overall_sentiment_score").cast("string").alias("ticker_sentiment_score")))
+    page = n.groupBy(F.col("symbol").alias("ticker"), _pages(n).alias("page")).agg(F.collect_list(F.struct("title", F.date_format("timestamp", "yyyyMMdd'T'HHmmss").alias("time_published"), F.lit("wire").alias("source"), "overall_sentiment_score", own.alias("ticker_sentiment"))).alias("feed"))
+    daily = fx.bars_daily(spark, sf).withColumn("at", F.col("date").cast("string"))
+    hourly = fx.bars_hourly(spark, sf).withColumn("at", F.date_format("datetime", "yyyy-MM-dd HH:mm:ss"))
+    landed = {
+        "daily": _series(daily, "at", "Time Series (Daily)", {"4. close": "close", "6. volume": "volume"}), "hourly": _series(hourly, "at", "Time Series (60min)", FIVE), "sentiment": page.select("ticker", F.to_json(F.struct("feed")).alias("value"), "page"),
+    }
+    time, out = {"daily": F.col("date").cast("timestamp_ntz"), "hourly": F.col("datetime"), "sentiment": F.col("timestamp")}, None
+    for kind, raw in landed.items():
+        path = _folder(spark, kind)
+        # a file holds one payload
+        raw.repartition(max(1, raw.count()), *[c for c in ("ticker", "page") if c in raw.columns]).select("ticker", "value").write.partitionBy("ticker").option("maxRecordsPerFile", 1).text(path)
+        got = files.scan_landed(spark, path, kind).withColumnsRenamed({"symbol": "ticker", "overall_sentiment_score": "close"} if kind == "sentiment" else {})
+        one = got.select(F.lit(kind).alias("kind"), "ticker", time[kind].alias("at"), "close")
+        out = one if out is None else out.unionByName(one)
+    return out

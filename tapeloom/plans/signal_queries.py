@@ -143,14 +143,13 @@ def _(spark, sf):
     return rounded(metrics.ratios(_evaluated(spark, sf)), 5)
 
 
-PD = EV | {"pd": "SELECT horizon_days, prediction_date, avg(predicted_return) AS p, avg(actual_return) AS a FROM ev GROUP BY 1, 2", "sm": "SELECT *, sign(p) * a / 100 AS s FROM pd",
+PD = EV | {"pd": "SELECT horizon_days, prediction_date, avg(predicted_return) AS p, avg(actual_return) AS a FROM ev GROUP BY 1, 2", "sm": "SELECT *, sign(p) * a * 0.01 AS s FROM pd",
            "cum": "SELECT *, product(1 + s) OVER w AS c FROM sm WINDOW w AS (PARTITION BY horizon_days ORDER BY prediction_date ROWS UNBOUNDED PRECEDING)"}
 
 
 @query("r13g_r13h_drawdown", P, "SELECT horizon_days, round(min((c - m) / m), 5) AS max_drawdown, round(coalesce(avg(s) * 252 / nullif(abs(min((c - m) / m)), 0), 0), 4) AS calmar_ratio FROM (SELECT *, max(c) OVER (PARTITION BY horizon_days ORDER BY prediction_date ROWS UNBOUNDED PRECEDING) AS m FROM cum) GROUP BY horizon_days", PD)
 def _(spark, sf):
-    d = metrics.per_date(_evaluated(spark, sf)).withColumn("actual_return", F.col("actual_return") / 100)
-    return rounded(metrics.drawdown(d, ["prediction_date"]), {"max_drawdown": 5, "calmar_ratio": 4})
+    return rounded(metrics.drawdown(metrics.per_date(_evaluated(spark, sf)), ["prediction_date"], stake=0.01), {"max_drawdown": 5, "calmar_ratio": 4})
 
 
 @query("r13i_r13j_tail", P, "SELECT horizon_days, round(max(v), 6) AS var_95, round(avg(s) FILTER (s <= v), 5) AS cvar_95 FROM ev JOIN (SELECT horizon_days, quantile_cont(s, 0.05) AS v FROM ev GROUP BY horizon_days) USING (horizon_days) GROUP BY horizon_days", EV)
@@ -170,10 +169,19 @@ def _(spark, sf):
     return rounded(metrics.trades(_evaluated(spark, sf)), {"avg_win": 5, "avg_loss": 5, "profit_factor": 5})
 
 
-@query("r13m_r15_report")
+@query("r13m_r15_report", P, """SELECT horizon_days::VARCHAR AS horizon, round(d, 5) AS direction_accuracy, round(x, 5) AS sharpe_ratio, round(m, 5) AS max_drawdown FROM rep
+ UNION ALL SELECT 'average', round(avg(d), 5), round(avg(x), 5), round(avg(m), 5) FROM rep""", PD | {
+    "top": "SELECT *, max(c) OVER (PARTITION BY horizon_days ORDER BY prediction_date ROWS UNBOUNDED PRECEDING) AS m FROM cum",
+    "fall": "SELECT horizon_days, min((c - m) / m) AS m FROM top GROUP BY 1",
+    "rep": "SELECT horizon_days, avg((sign(p) = sign(a))::INT) AS d, avg(sign(p) * a - 0.02 / 252) / stddev_pop(sign(p) * a - 0.02 / 252) * sqrt(252) AS x, any_value(fall.m) AS m FROM pd JOIN fall USING (horizon_days) GROUP BY horizon_days"})
 def _(spark, sf):
-    d = metrics.per_date(_evaluated(spark, sf)).withColumn("actual_return", F.col("actual_return") / 100)
-    return rounded(metrics.report(metrics.all_metrics(d, ["prediction_date"])), 5)
+    return rounded(metrics.report(metrics.all_metrics(metrics.per_date(_evaluated(spark, sf)), ["prediction_date"], stake=0.01)), 5)
+
+
+@query("t2_latest_model", (), "SELECT o_orderkey AS model_version, o_orderdate::DATE AS created_at FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1")
+def _(spark, sf):
+    models = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("model_version"), F.to_date("o_orderdate").alias("created_at"))
+    return signals.latest_model(models)
 
 
 @query("r12_deployment_gate", P, f"""SELECT count(*) AS horizons, count(*) FILTER (d >= 0.40 AND x >= -50) AS passed, count(*) FILTER (d >= 0.40 AND x >= -50) >= 2 AS deploy FROM (SELECT horizon_days, avg({HIT}) AS d, avg(s - 0.02 / 252) / stddev_pop(s - 0.02 / 252) * sqrt(252) AS x FROM ev GROUP BY horizon_days)""", EV)
