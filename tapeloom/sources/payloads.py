@@ -1,7 +1,7 @@
 """Parsing of landed vendor payloads: frames with a JSON text column `value` (and `ticker`) to rows.
 
-A payload with an error message, or without its data key, gives no rows. Bad numbers become null. Rows come in no
-order: what follows deals them out by its own keys.
+A payload with an error message, or without its data key, gives no rows. Bad numbers become null. The rows of a
+payload come in the order of time; payloads come as they are, as what follows deals them out by its own keys.
 """
 
 from __future__ import annotations
@@ -13,11 +13,12 @@ SERIES = "map<string,map<string,string>>"
 
 
 def _series(raw: DataFrame, key: str) -> DataFrame:
-    """One row a point of time of the nested map under `key`."""
+    """One row a point of time of the nested map under `key`, in the order of time."""
     # the key holds blanks and brackets, so the payload is read as a map of texts first
     top = F.from_json("value", "map<string,string>")
     found = raw.withColumn("_s", F.from_json(F.try_element_at(top, F.lit(key)), SERIES))
-    return found.select("ticker", F.explode("_s").alias("at", "x"))
+    points = found.select("ticker", "_s", F.explode(F.array_sort(F.map_keys("_s"))).alias("at"))
+    return points.select("ticker", "at", F.element_at("_s", F.col("at")).alias("x"))
 
 
 def _number(field: str, kind: str = "double") -> Column:
@@ -46,9 +47,9 @@ def hourly(raw: DataFrame) -> DataFrame:
 def economic(raw: DataFrame, indicator: str) -> DataFrame:
     """Points of the `data` array: the first field that isn't the date is the value."""
     data = F.from_json(F.try_element_at(F.from_json("value", "map<string,string>"), F.lit("data")), "array<map<string,string>>")
-    x = raw.select(F.explode(data).alias("x"))
-    value = F.try_element_at(F.map_values(F.map_filter("x", lambda k, v: k != "date")), F.lit(1))
-    return x.select(F.try_element_at("x", F.lit("date")).try_cast("date").alias("date"), value.try_cast("double").alias("value"), F.lit(indicator).alias("indicator"))
+    value = lambda x: F.try_element_at(F.map_values(F.map_filter(x, lambda k, v: k != "date")), F.lit(1))
+    point = lambda x: F.struct(F.try_element_at(x, F.lit("date")).try_cast("date").alias("date"), value(x).try_cast("double").alias("value"))
+    return raw.select(F.inline(F.array_sort(F.transform(data, point)))).withColumn("indicator", F.lit(indicator))
 
 
 FEED = "struct<feed:array<struct<title:string,time_published:string,source:string,overall_sentiment_score:double,ticker_sentiment:array<struct<ticker:string,relevance_score:string,ticker_sentiment_score:string>>>>>"
