@@ -1,17 +1,19 @@
 """Removal of byte strings of a given length that occur more than once, by suffix sorting of what may repeat.
 
-1. Anchors. In every window of SPAN bytes the smallest hash of its K-byte strings is picked (the leftmost of
+1. Anchors. In every window of `span` bytes the smallest hash of its k-byte strings is picked (the leftmost of
    equal ones); equal windows pick equal strings at equal offsets. A maximal run of window starts that share an
    anchor is a segment. A window can only repeat if its anchor's hash occurs twice, which a count of hashes
    tells; all other segments are done with.
-2. Classes. Segments that are equal throughout (by 64-bit hashes of the anchor and of the segment, its length
-   and the anchor's offset) form a class; one of two members or more repeats in full. Groups of copies of any
-   size end here, as counts.
+2. Classes. Segments that are equal throughout (anchor, length, anchor's offset and a cryptographic hash of their
+   bytes) form a class; one of two members or more repeats in full. Groups of copies of any size end here, as counts.
 3. Induced sorting. Where different classes share an anchor, one segment of each class is cut into parts of
-   PART window starts. All windows of a part hold its core, whose name stands for it, so a part is a few dozen
-   symbols. The parts of a range of cores make up a shard, whose suffixes are sorted by external induced sorting
-   (see induced_sort); neighbours with a common prefix of a window's length or more mark repeated windows.
+   PART window starts. All windows of a part hold its core, whose name (a cryptographic hash) stands for it, so a part
+   is a few dozen symbols. The parts of a range of cores make up a shard, whose suffixes are sorted by external induced
+   sorting (see induced_sort), which gives neighbours' common prefixes too: those of a window's length or more mark
+   repeated windows.
 4. The union of all repeated windows is cut out of each document.
+
+Anchors and classes with very many segments are split over tasks by a salt.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import cut, shuffle_partitions, small, table, text_batches, whole_groups
-from tapeloom.llm.induced_sort import equal_neighbours, store, suffix_order
+from tapeloom.llm.common import cut, folder, shuffle_partitions, small, table, text_batches, whole_groups
+from tapeloom.llm.induced_sort import Store, suffix_order
 from tapeloom.llm.shingles import _WEIGHT, mix, powers
 
 SPAN, K = 200, 64
@@ -33,14 +35,16 @@ PART = 16  # windows in a part
 SLICE = 180_000  # bytes hashed at once; positions within them take PLACE bits
 PLACE = 18
 ID_LIMIT = 500_000
+HOT, HOT_KEYS, SALTS = 20_000, 100_000, 64  # segments of a hot key, hot keys at most, tasks that share one
+QUEUE_MEMORY = 1 << 22  # entries of a shard above which its queues lie in files
 
 
 def segments(data: np.ndarray, edges: np.ndarray, span: int, k: int) -> tuple[np.ndarray, ...]:
-    """Segments of the texts data[edges[i]:edges[i + 1]]: text, first start, starts, anchor offset, hash, digest."""
+    """Segments of the texts data[edges[i]:edges[i + 1]]: text, first start, starts, anchor offset, anchor hash."""
     n, wide = len(data), span - k + 1
     none = np.zeros(0, np.int64)
     if n < span:
-        return none, none, none, none, none, none
+        return none, none, none, none, none
     up, down = powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_WEIGHT[data] * up[:n], out=sums[1:])
@@ -58,15 +62,20 @@ def segments(data: np.ndarray, edges: np.ndarray, span: int, k: int) -> tuple[np
     text = np.searchsorted(edges, p, side="right") - 1
     p = p[p + span <= edges[text + 1]]
     if not len(p):
-        return none, none, none, none, none, none
+        return none, none, none, none, none
     a, text = anchor[p], text[p]
     first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (text[1:] != text[:-1])]))
     lo, count = p[first], np.diff(np.concatenate([first, [len(p)]]))
-    digest = mix((sums[lo + count - 1 + span] - sums[lo]) * down[lo] + count.astype(np.uint64))
-    return text[first], lo, count, a[first] - lo, grams[a[first]].view(np.int64), digest.view(np.int64)
+    return text[first], lo, count, a[first] - lo, grams[a[first]].view(np.int64)
+
+
+def names(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, size: int = 8) -> np.ndarray:
+    """Cryptographic hashes of byte ranges, as rows of 64-bit numbers."""
+    view, blake = memoryview(np.ascontiguousarray(data)), hashlib.blake2b
+    return np.frombuffer(b"".join([blake(view[a:b], digest_size=size).digest() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]), np.int64).reshape(-1, size // 8)
 
 
-def runs(column: pa.Array):
+def runs(column: pa.Array, span: int):
     """(first row, byte offset of the slice in its text, data, edges) over the texts of a binary column."""
     part: list[np.ndarray] = []
     size, first = 0, 0
@@ -76,7 +85,7 @@ def runs(column: pa.Array):
             yield first, 0, np.concatenate(part), np.cumsum([0, *map(len, part)])
             part, size, first = [], 0, row
         if len(data) > SLICE:
-            for at in range(0, len(data) - SPAN + 1, SLICE - SPAN + 1):
+            for at in range(0, len(data) - span + 1, SLICE - span + 1):
                 piece = data[at : at + SLICE]
                 yield row, at, piece, np.array([0, len(piece)])
             first = row + 1
@@ -93,47 +102,82 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), data.alias("data")).select("doc_id", F.coalesce(F.xxhash64("doc_id"), F.lit(0)).alias("id"), F.xxhash64("doc_id", "data").alias("key"), "data")
 
 
+def anchor_counts(rows: DataFrame, span: int, k: int) -> DataFrame:
+    """How many segments each anchor hash has: h, c. Each run of texts adds up first."""
+    def run(batches):
+        for batch in batches:
+            for _, _, data, edges in runs(batch.column(0), span):
+                h, c = np.unique(segments(data, edges, span, k)[4], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c)], ["h", "c"])
+
+    return rows.select("data").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+
+
 def all_segments(rows: DataFrame, span: int, k: int) -> DataFrame:
+    """Segments with the digest of their bytes: h, digest, n (starts), off (of the anchor), id, key, lo (first start)."""
     def run(batches):
         for batch in batches:
             ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for first, at, data, edges in runs(batch.column(2)):
-                text, lo, count, off, h, digest = segments(data, edges, span, k)
-                row = first + text
+            for first, at, data, edges in runs(batch.column(2), span):
+                text, lo, count, off, h = segments(data, edges, span, k)
+                row, digest = first + text, names(data, lo, lo + count - 1 + span)[:, 0]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, digest, count.astype(np.int32), off.astype(np.int32), ids[row], keys[row], lo - edges[text] + at)], ["h", "digest", "n", "off", "id", "key", "lo"])
 
     return rows.select("id", "key", "data").mapInArrow(run, "h long, digest long, n int, off int, id long, key long, lo long")
 
 
-def solve(core: np.ndarray, sides: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame, salt: list[str]) -> DataFrame:
+    """Join with a frame of unique keys; rows of `hot` keys, of which there are at most HOT_KEYS, are split by a salt."""
+    mark = F.broadcast(hot.select(*on, F.lit(True).alias("_hot")))
+    left = left.join(mark, on, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*salt), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = right.join(mark, on, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    return left.join(right, [*on, "_salt"]).drop("_salt")
+
+
+def solve(core: np.ndarray, sides: np.ndarray, first: np.ndarray, count: np.ndarray, queue: str | None = None) -> np.ndarray:
     """Which windows of PART-window parts some other part repeats, as booleans of shape (parts, PART).
 
     A part is the text around a core, which all its windows hold: PART - 1 bytes on each side. The core becomes
-    one symbol, so that a window is PART symbols; parts laid end to end are the text to sort.
+    one symbol, so that a window is PART symbols; parts laid end to end are the text to sort. Its suffixes come in
+    blocks with their common prefixes; of those that start a window, two in a row whose prefix is a window's repeat.
     """
     m, row = len(core), 2 * PART
-    text = store(m * row + 1, np.int32, 0)
-    grid = text[:-1].reshape(m, row)
-    grid[:, : PART - 1] = sides[:, : PART - 1].astype(np.int32) + 2
-    grid[:, PART - 1] = core + 258
-    grid[:, PART:-1] = sides[:, PART - 1 :].astype(np.int32) + 2
-    grid[:, -1] = 1  # parts the rows; 0 ends the text
-    at = np.arange(PART)
-    window = np.zeros((m, row), bool)
-    window[:, :PART] = (at >= first[:, None]) & (at < (first + count)[:, None])
-    order = suffix_order(text, int(core.max()) + 259)
-    order = order[:][np.append(window.ravel(), False)[order]].astype(np.int64)
-    same = equal_neighbours(text.view(np.uint8), order * 4, PART * 4)
-    repeated = np.zeros(m * row, bool)
-    repeated[order[1:][same]] = True
-    repeated[order[:-1][same]] = True
-    return repeated.reshape(m, row)[:, :PART]
-
-
-def sort_shards(parts: DataFrame, shard: int) -> DataFrame:
+    with Store(queue, None if queue is None else QUEUE_MEMORY) as store:
+        if queue is None:
+            store.memory = m * row + 1
+        text = store.array(m * row + 1, np.int32, 0)
+        grid = text[:-1].reshape(m, row)
+        grid[:, : PART - 1] = sides[:, : PART - 1].astype(np.int32) + 2
+        grid[:, PART - 1] = core + 258
+        grid[:, PART:-1] = sides[:, PART - 1 :].astype(np.int32) + 2
+        grid[:, -1] = 1  # parts the rows; 0 ends the text
+        order, prefix = suffix_order(text, int(core.max()) + 259, PART, store)
+        repeated = np.zeros((m, PART), bool)
+        last, least = -1, PART  # the window before, and the least common prefix since
+        for at in range(0, len(order), 1 << 20):
+            o, c = np.asarray(order[at : at + (1 << 20)]).astype(np.int64), np.asarray(prefix[at : at + (1 << 20)])
+            r, j = np.divmod(o, row)
+            own = np.minimum(r, m - 1)
+            here = np.flatnonzero((r < m) & (j < PART) & (j >= first[own]) & (j < (first + count)[own]))
+            # two windows are alike if all prefixes from the one to the other are a window's length
+            short = np.cumsum(c < PART)
+            if len(here):
+                alike = np.concatenate([[last >= 0 and least >= PART and short[here[0]] == 0], short[here[1:]] == short[here[:-1]]])
+                before = np.concatenate([[max(last, 0)], o[here[:-1]]])
+                for x in (o[here][alike], before[alike]):
+                    repeated[x // row, x % row] = True
+                last, least = int(o[here[-1]]), PART if short[-1] == short[here[-1]] else 0
+            elif short[-1]:
+                least = 0
+        return repeated
+
+
+def sort_shards(parts: DataFrame, shard: int, queue: str | None) -> DataFrame:
     """Intervals (id, key, lo, n: starts) of repeated windows; the rows come sorted by core.
 
-    Whole core groups make up a text of about `shard` parts. Equal parts are one: they repeat each other.
+    Whole core groups make up a text of about `shard` parts. Equal parts are one: they repeat each other. Queues of
+    large shards lie in files below `queue`.
     """
     def part(rows: pd.DataFrame) -> pd.DataFrame:
         group = rows.groupby(["core1", "core2"], sort=False).ngroup().to_numpy()
@@ -146,7 +190,7 @@ def sort_shards(parts: DataFrame, shard: int) -> DataFrame:
         hits = np.zeros((len(rows), PART), bool)
         if need.any():
             _, core = np.unique(group[need], return_inverse=True)
-            hits[need] = solve(core, np.frombuffer(b"".join(rows["sides"][need]), np.uint8).reshape(-1, 2 * (PART - 1)), first[need], count[need])
+            hits[need] = solve(core, np.frombuffer(b"".join(rows["sides"][need]), np.uint8).reshape(-1, 2 * (PART - 1)), first[need], count[need], queue)
         hits[copies] = (at >= first[copies, None]) & (at < (first + count)[copies, None])
         hits[~rows["single"].to_numpy()] = False
         edge = np.diff(np.pad(hits, ((0, 0), (1, 1))).astype(np.int8), axis=1)
@@ -174,7 +218,7 @@ def texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def cut_parts(rows: DataFrame, pieces: DataFrame, span: int) -> DataFrame:
-    """Parts of open segments: core1, core2 (two hashes of the bytes that all windows of the part hold), sides (the
+    """Parts of open segments: core1, core2 (a hash of the bytes that all windows of the part hold), sides (the
     bytes before and after the core), first and count (windows of the part that the segment has), id, key, lo
     (the first of these in the text), single. Parts are cut by distance from the anchor, so that equal windows
     lie in parts of equal cores. A document's list of pieces is at most as long as it."""
@@ -188,12 +232,7 @@ def cut_parts(rows: DataFrame, pieces: DataFrame, span: int) -> DataFrame:
         start = a[seg] - PART * q  # of the core
         near, far = np.maximum(PART * q, (off - n + 1)[seg]), np.minimum(PART * q + PART - 1, off[seg])
         x = np.frombuffer(data, np.uint8)
-        up, down = powers(len(x) + 1)
-        sums = np.zeros(len(x) + 1, np.uint64)
-        cores = []
-        for turn in (0, 101):
-            np.cumsum(np.roll(_WEIGHT, turn)[x] * up[: len(x)], out=sums[1:])
-            cores.append(mix((sums[start + inner] - sums[start]) * down[start]).view(np.int64))
+        cores = names(x, start, start + inner, 16).T
         padded = np.pad(x, PART)
         sides = np.concatenate([padded[(start + PART)[:, None] + np.arange(1 - PART, 0)], padded[(start + PART + inner)[:, None] + np.arange(PART - 1)]], axis=1)
         return *cores, sides, PART * q + PART - 1 - far, far - near + 1, a[seg] - far, single[seg]
@@ -219,32 +258,40 @@ def cut_parts(rows: DataFrame, pieces: DataFrame, span: int) -> DataFrame:
     return texts.select("id", "key", "data", "pieces").mapInArrow(run, "core1 long, core2 long, sides binary, first int, count int, lo long, single boolean, id long, key long")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, k: int = K, shard: int = 30_000, most: int = 50_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, k: int = K, shard: int = 200_000, most: int = 50_000) -> DataFrame:
     """Cut every byte out of each text that lies in a string of `span` bytes which also starts anywhere else.
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of the bytes left, kept
     (those bytes), one row per row of `docs`. Null text counts as empty; texts below `span` bytes keep all.
     Matches lie within one text. Rows that repeat both id and text are two places for each of their strings,
-    so all of their bytes go where they are long enough. A null id is an id like others.
+    so all of their bytes go where they are long enough. A null id is an id like others. An empty table gives an
+    empty result; texts of any length are read as a whole; other columns aren't read.
 
     Core groups of more than `most` parts aren't sorted in one task: their windows are dealt out and counted.
     """
+    if not k < span - PART:
+        raise ValueError(f"anchors of {k} bytes need windows of more than {k + PART} bytes")
     spark = docs.sparkSession
     text_batches(spark)
     rows = keyed(docs, id_col, text_col)
-    twice = all_segments(rows, span, k).groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
-    found = cut(all_segments(rows, span, k).join(twice, "h"), "segments")
+    twice = cut(anchor_counts(rows, span, k).filter("c > 1"), "anchors")
+    hot_from = max(HOT, (twice.agg(F.sum("c")).first()[0] or 0) // HOT_KEYS)
+    hot = twice.filter(F.col("c") > hot_from).select("h")
+    found = cut(spread_join(all_segments(rows, span, k), twice.select("h"), ["h"], hot, ["id", "lo"]), "segments")
     same = ["h", "digest", "n", "off"]
     classes = cut(found.groupBy(*same).agg(F.count("*").alias("c"), F.min(F.struct("id", "key", "lo")).alias("one")), "classes")
-    whole = found.join(classes.filter("c > 1").select(*same), same).select("id", "key", "lo", "n")
+    again = classes.filter("c > 1")
+    whole = spread_join(found, again.select(*same), same, again.filter(F.col("c") > hot_from), ["id", "lo"]).select("id", "key", "lo", "n")
     open_ = classes.groupBy("h").agg(F.count("*").alias("k"), F.count_if(F.col("c") == 1).alias("s")).filter("k > 1 and s > 0")
-    pieces = cut(classes.join(open_.select("h"), "h").select("one.*", "n", "off", (F.col("c") == 1).alias("single")), "open")
+    pieces = cut(spread_join(classes, open_.select("h"), ["h"], hot, ["digest"]).select("one.*", "n", "off", (F.col("c") == 1).alias("single")), "open")
     parts = cut(cut_parts(rows, pieces, span), "parts")
     # a core that one part has can't repeat
     groups = parts.groupBy("core1", "core2").agg(F.count("*").alias("k"), F.count_if("single").alias("s")).filter("k > 1 and s > 0").select("core1", "core2", (F.col("k") > most).alias("wide"))
     parts = parts.join(groups, ["core1", "core2"])
     dealt = parts.filter("not wide").repartition(shuffle_partitions(spark), "core1", "core2").sortWithinPartitions("core1", "core2")
-    starts = whole.unionByName(sort_shards(dealt, shard)).unionByName(count_windows(parts.filter("wide")))
+    # a folder that is mounted at the same place everywhere can hold queues; beside one that isn't, shards fit memory
+    queue = folder(spark, "queues").removeprefix("file:")
+    starts = whole.unionByName(sort_shards(dealt, shard, queue if queue.startswith("/") else None)).unionByName(count_windows(parts.filter("wide")))
     parts = starts.select("id", "key", "lo", (F.col("lo") + F.col("n") - 1 + span).alias("hi"))
     lists = cut(parts.groupBy("id", "key").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans")), "spans")
 

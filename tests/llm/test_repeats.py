@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import awkward, documents, sentence
 
@@ -47,7 +48,7 @@ def test_removed_bytes_match_brute_force(spark, most):
 def test_long_texts_are_cut_into_slices(spark, monkeypatch):
     monkeypatch.setattr(repeats, "SLICE", 1000)
     rows = [(1, sentence(5, 900), "en", "s"), (2, sentence(6, 50) + sentence(5, 900)[2000:3500] + sentence(7, 50), "en", "s"), (3, sentence(5, 900)[2500:2900], "en", "s")]
-    pieces = list(repeats.runs(__import__("pyarrow").array([t.encode() for _, t, *_ in rows], "binary")))
+    pieces = list(repeats.runs(pa.array([t.encode() for _, t, *_ in rows], "binary"), 200))
     assert len(pieces) > 5
     got = repeats.remove_repeats(documents(spark, rows)).collect()
     assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got), key=str) == plain(rows)
@@ -57,13 +58,57 @@ def test_no_documents(spark):
     assert repeats.remove_repeats(documents(spark, [])).count() == 0
 
 
+def test_another_span_across_slices(spark):
+    """One long text of which nothing repeats but what was put there, at a span that isn't the default one."""
+    g = random.Random(8)
+    base = "".join(g.choice("abcdefghij") for _ in range(400_000))
+    rows = [(1, base, "en", "s"), (2, base[1000:1150] + "x" * 50 + base[179_900:180_030], "en", "s"), (3, base[5000:5099], "en", "s")]
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in repeats.remove_repeats(documents(spark, rows), span=100, k=40).collect()}
+    assert got == {1: (280, 2), 2: (280, 2), 3: (0, 0)}
+    with pytest.raises(ValueError):
+        repeats.remove_repeats(documents(spark, rows), span=70)
+
+
+def test_hot_anchors_and_queues_in_files(spark, monkeypatch):
+    """Every anchor with two segments is hot, and every shard's queue lies in files: results stay the same."""
+    monkeypatch.setattr(repeats, "HOT", 1)
+    monkeypatch.setattr(repeats, "QUEUE_MEMORY", 100)
+    rows = [r for r in awkward() if r[0] not in (8, 9)] + passages(2, 40)
+    got = repeats.remove_repeats(documents(spark, rows)).collect()
+    assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got), key=str) == plain(rows)
+
+
+@pytest.mark.parametrize("cap", [255, 7])
 @pytest.mark.parametrize("small", [False, True])
-def test_suffix_order(monkeypatch, small):
+def test_suffix_order_and_common_prefixes(monkeypatch, tmp_path, small, cap):
+    """Against plain sorting; with `small` in blocks of 5 and with arrays of more than 8 entries in files."""
     if small:
         monkeypatch.setattr(induced_sort, "BLOCK", 5)
-        monkeypatch.setattr(induced_sort, "IN_MEMORY", 8)
     g = np.random.default_rng(1)
     texts = [g.integers(0, g.integers(1, 6), g.integers(0, 70)) for _ in range(150)] + [[3] * 300, [1, 2] * 150, list(range(200)), list(range(200))[::-1], [1, 2, 3, 1, 2] * 40, g.integers(0, 400, 600)]
     for t in texts:
         x = np.append(np.asarray(t, np.int64) + 1, 0).astype(np.int32)
-        assert induced_sort.suffix_order(x, int(x.max()) + 1).tolist() == sorted(range(len(x)), key=lambda i: x[i:].tolist())
+        with induced_sort.Store(str(tmp_path), 8 if small else None) as store:
+            order, prefix = induced_sort.suffix_order(store.keep(x), int(x.max()) + 1, cap, store)
+            want = sorted(range(len(x)), key=lambda i: x[i:].tolist())
+            assert np.asarray(order).tolist() == want
+            plain_prefix = [next((k for k in range(cap) if x[a + k] != x[b + k]), cap) for a, b in zip(want, want[1:], strict=False)]
+            assert np.asarray(prefix).tolist() == [0, *plain_prefix]
+    assert not list(tmp_path.iterdir())  # files go with the store
+
+
+def test_a_shard_far_larger_than_its_memory(tmp_path, monkeypatch):
+    """300,000 symbols with blocks of 4,096: no array of the sort is as long as the text."""
+    monkeypatch.setattr(induced_sort, "BLOCK", 4096)
+    g = np.random.default_rng(4)
+    half = g.integers(1, 5, 150_000)
+    x = np.append(np.concatenate([half, half]), 0).astype(np.int32)
+    made = []
+    array = induced_sort.Store.array
+    monkeypatch.setattr(induced_sort.Store, "array", lambda self, n, *a: made.append((n, type(out := array(self, n, *a)))) or out)
+    with induced_sort.Store(str(tmp_path), 10_000) as store:
+        order, prefix = induced_sort.suffix_order(store.keep(x), 5, 200, store)
+        assert (np.asarray(prefix) == 200).sum() == 150_000 - 199
+        assert all((kind is np.memmap) == (n > 10_000) for n, kind in made)
+        at = np.asarray(order)[:: 10_007].tolist()
+        assert all(x[a : a + 400].tolist() <= x[b : b + 400].tolist() for a, b in zip(at, at[1:], strict=False))
