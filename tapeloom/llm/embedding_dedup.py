@@ -57,7 +57,11 @@ def roots(adjacent: np.ndarray) -> np.ndarray:
         label = new
 
 
-def compare(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
+def key_type(bits: int):
+    return np.int16 if bits < 16 else np.int32 if bits < 32 else np.int64
+
+
+def compare(pdf: pd.DataFrame, threshold: float, kind, of_key) -> pd.DataFrame:
     """Counts and forest edges of whole blocks: rows (node, links, other), where one of the two is null."""
     node, weight, side, t, p, q = (pdf[c].to_numpy() for c in ("node", "copies", "side", "table", "p", "q"))
     counts = np.zeros(len(pdf), np.int64)
@@ -67,9 +71,9 @@ def compare(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     for lo, hi in zip([0, *cuts], [*cuts, len(pdf)], strict=True):
         if hi - lo < 2:
             continue
-        v = np.array(pdf["embedding"].iloc[lo:hi].tolist(), np.float64)
+        v = np.frombuffer(b"".join(pdf["vector"].iloc[lo:hi]), kind).reshape(hi - lo, -1).astype(np.float64)
         v /= np.sqrt((v * v).sum(axis=1))[:, None]
-        keys = np.array(pdf["keys"].iloc[lo:hi].tolist(), np.int64)
+        keys = np.frombuffer(b"".join(pdf["keys"].iloc[lo:hi]), of_key).reshape(hi - lo, -1)
         m, own, two = hi - lo, side[lo:hi], p[lo] != q[lo]  # two chunks: only pairs across them
         if m <= 64:
             a, b = np.triu_indices(m, 1)
@@ -108,7 +112,9 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     Returns vec_id, n_links (other rows linked directly, exact copies included), component_id, kept, one row
     per row. A null label, and a vector that is null, empty, zero or holds null or non-finite components,
     links with nothing; so do vectors of different length. Rows with a null id link with nothing and aren't
-    kept. Rows that repeat an id count as rows in n_links and as one node in components.
+    kept. Rows that repeat an id count as rows in n_links and as one node in components. An empty table gives an
+    empty result; other columns aren't read. `id_col` holds integers. Blocks get vectors in the precision that they
+    have, as bytes, and work in double precision.
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("embedding"))
@@ -120,29 +126,33 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     n = nodes.count()
     bits, tables = plan(n, threshold, miss)
 
+    kind, of_key = (np.float32 if df.schema[vector_col].dataType.elementType.simpleString() == "float" else np.float64), key_type(bits)
+
     def keys(batches):
         for pdf in batches:
-            out = np.empty(len(pdf), object)
+            out, slots, vectors = np.empty(len(pdf), object), np.empty(len(pdf), object), np.empty(len(pdf), object)
             for _, part in pdf.groupby("dim"):
                 v = np.array(part["embedding"].tolist(), np.float64)
-                for i, k in zip(pdf.index.get_indexer(part.index), signs(v / np.sqrt((v * v).sum(axis=1))[:, None], bits, tables), strict=True):
-                    out[i] = k
-            yield pdf.assign(keys=out)
-
-    keyed = cut(nodes.mapInPandas(keys, f"{','.join(f'`{f.name}` {f.dataType.simpleString()}' for f in nodes.schema)}, keys array<long>"), "keyed")
-    slots = keyed.select("node", "label", "dim", F.posexplode("keys").alias("table", "bits"))
+                found = signs(v / np.sqrt((v * v).sum(axis=1))[:, None], bits, tables)
+                for i, k, x in zip(pdf.index.get_indexer(part.index), found, v.astype(kind), strict=True):
+                    slots[i], out[i], vectors[i] = k, k.astype(of_key).tobytes(), x.tobytes()
+            yield pdf[["node", "label", "dim", "copies"]].assign(slots=slots, keys=out, vector=vectors)
+
+    label = rows.schema["label"].dataType.simpleString()
+    keyed = cut(nodes.select("node", "label", "dim", "copies", "embedding").mapInPandas(keys, f"node long, label {label}, dim int, copies long, slots array<long>, keys binary, vector binary"), "keyed")
+    slots = keyed.select("node", "label", "dim", F.posexplode("slots").alias("table", "bits"))
     where = ["table", "label", "dim", "bits"]
     sizes = slots.groupBy(*where).agg(F.count("*").alias("m")).filter("m > 1")
     placed = slots.join(sizes, where).withColumn("c", F.ceil(F.col("m") / block).cast("int"))
     # a bucket of c chunks has blocks (p, q) with p <= q; a row goes to the c blocks of its chunk
     placed = placed.withColumn("chunk", F.pmod(F.xxhash64("node", "table"), F.col("c")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
     placed = placed.select("node", *where, F.least("chunk", "x").alias("p"), F.greatest("chunk", "x").alias("q"), (F.col("chunk") > F.col("x")).cast("int").alias("side"))
-    full = placed.join(keyed.select("node", "copies", "embedding", "keys"), "node")
+    full = placed.join(keyed.select("node", "copies", "vector", "keys"), "node")
     block_key = [*where, "p", "q"]
 
     def run(batches):
         for pdf in whole_groups(batches, block_key):
-            yield compare(pdf, threshold)
+            yield compare(pdf, threshold, kind, of_key)
 
     dealt = full.repartition(shuffle_partitions(spark), *block_key).sortWithinPartitions(*block_key)
     found = cut(dealt.mapInPandas(run, "node long, links long, other long"), "found")
@@ -156,6 +166,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
 
 def op10(spark, sf_dir):
+    """Links and components of all vectors of equal label at a cosine of 0.98."""
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 

@@ -274,6 +274,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op4(spark, sf_dir):
+    """Near duplicates of all documents by two-word shingles at a similarity of 0.8."""
     return near_dedup(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 

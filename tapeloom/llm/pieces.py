@@ -230,7 +230,8 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     """Ids of every whole text: doc_id, n_tokens, ids, round_trip (decoding gives back the text).
 
     Null and empty texts have no ids. The character U+2581 stands for a space in the model, so a text that
-    holds it comes back with spaces there, and counts as a round trip then. Repeated rows are encoded alike.
+    holds it comes back with spaces there, and counts as a round trip then. Repeated rows are encoded alike. Texts
+    of any length are encoded as a whole. An empty table gives an empty result; other columns aren't read.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     text_batches(docs.sparkSession)
@@ -283,4 +284,5 @@ def model_bytes(path: str | None = None) -> bytes:
 
 
 def op8(spark, sf_dir):
+    """Ids of all documents by the public BPE model, each decoded again."""
     return encode(table(spark, sf_dir, "documents"), model_bytes())

@@ -333,6 +333,7 @@ def count_windows(parts: DataFrame) -> DataFrame:
 
 
 def op9(spark, sf_dir):
+    """All documents without the bytes of strings of 200 bytes that occur twice."""
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
