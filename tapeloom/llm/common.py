@@ -15,6 +15,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_caches: list[dict] = []
+
+
+def worker_cache() -> dict:
+    """A dict that an operator keeps in a Python worker between tasks, to save time alone."""
+    _caches.append({})
+    return _caches[-1]
+
+
+def drop_caches() -> None:
+    """Free what earlier stages keep in this worker; a stage that needs memory for whole texts begins so."""
+    for c in _caches:
+        c.clear()
+
+
 def text_batches(spark: SparkSession, rows: int = 500) -> None:
     """Hand Python whole texts in batches of fewer rows than Spark's default of 10,000, in this session.
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tapeloom.llm.common import cut, table, text_batches, unit_hash
+from tapeloom.llm.common import cut, drop_caches, table, text_batches, unit_hash
 from tapeloom.llm.shingles import mix, word_hashes_between
 
 SAMPLE = 120  # documents a language
@@ -322,6 +322,7 @@ def predicted(spark, model: Model, text: Column) -> Column:
 
     @F.pandas_udf("lang_pred string, score double, n_words long")
     def run(texts: pd.Series, letters: pd.Series) -> pd.DataFrame:
+        drop_caches()
         m = shared.value
         found = list(predict(texts.where(letters, "").tolist(), m))
         best = [int(s.argmax()) if n and ok and m.labels else -1 for (s, n), ok in zip(found, letters, strict=True)]

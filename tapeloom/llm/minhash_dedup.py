@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import cut, shuffle_partitions, small, table, text_batches, whole_groups
+from tapeloom.llm.common import cut, drop_caches, shuffle_partitions, small, table, text_batches, whole_groups
 from tapeloom.llm.components import components
 from tapeloom.llm.shingles import exact_sets, mix, shingle_sets
 
@@ -35,6 +35,7 @@ PIVOTS = 4
 BIG = 16
 QUERIES, MEMBERS = 256, 512  # nodes in a block
 GROUP = 64  # pairs of one node whose texts go to one task together
+AT_ONCE = 1 << 19  # characters whose sets are held word for word
 ID_LIMIT = 500_000
 _HASHES = BANDS * ROWS
 _FACTORS = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, (2, _HASHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -61,6 +62,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 def describe(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, digest, sig (16 bits a value), bands: one row a document of (doc_id, text)."""
     def run(batches):
+        drop_caches()
         for pdf in batches:
             n, digest, sigs, bands = [], [], [], []
             for s in shingle_sets(pdf["text"], width):
@@ -126,24 +128,23 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
 
     def run(batches):
         for pdf in whole_groups(batches, key):
-            first = np.flatnonzero((pdf[key] != pdf[key].shift()).any(axis=1).to_numpy())
-            ends = [*first[1:].tolist(), len(pdf)]
+            first = np.flatnonzero((pdf[key] != pdf[key].shift()).any(axis=1).to_numpy()).tolist()
             a, node, text = pdf["a"].to_numpy(), pdf["node"].to_numpy(), pdf["text"].tolist()
             out: list[tuple[int, int]] = []
-            lo = 0
-            for n, hi in enumerate(ends):
-                if hi - lo < GROUP and hi < len(pdf):  # so many texts' sets are held at once, and a group more
-                    continue
-                sets = exact_sets(text[lo:hi], width)
-                for start, end in [(s, e) for s, e in zip(first.tolist(), ends, strict=True) if lo <= s < hi]:
-                    hub = next((i for i in range(start, end) if node[i] == a[i]), None)
-                    for i in range(start, end):
-                        if hub is not None and i != hub:
-                            x, y = sets[hub - lo], sets[i - lo]
-                            common = len(x) + len(y) - len(np.union1d(x, y))
-                            if 100 * common >= percent * (len(x) + len(y) - common):
-                                out.append((a[i], node[i]))
-                lo = hi
+            for start, end in zip(first, [*first[1:], len(pdf)], strict=True):
+                hub = next((i for i in range(start, end) if node[i] == a[i]), None)
+                others = [i for i in range(start, end) if i != hub] if hub is not None else []
+                while others:  # the sets of about AT_ONCE characters are held at once
+                    size, n = 0, 0
+                    while n < len(others) and (size < AT_ONCE or not n):
+                        size += len(text[others[n]] or "")
+                        n += 1
+                    part, others = others[:n], others[n:]
+                    x, *sets = exact_sets([text[i] for i in (hub, *part)], width)
+                    for i, y in zip(part, sets, strict=True):
+                        both = len(x) + len(y) - len(np.union1d(x, y))
+                        if 100 * both >= percent * (len(x) + len(y) - both):
+                            out.append((a[i], node[i]))
             yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
     dealt = placed.repartition(shuffle_partitions(docs.sparkSession), *key).sortWithinPartitions(*key)

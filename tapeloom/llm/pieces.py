@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import table, text_batches
+from tapeloom.llm.common import table, text_batches, worker_cache
 
 SPACE = "▁"
 REMEMBERED = 300_000  # stretches in each of two tables
@@ -215,7 +215,7 @@ class Pieces(dict):
         return b"".join([out[i] for i in ids.tolist()]).decode("utf-8", "replace")[1:]
 
 
-_loaded: dict[bytes, Pieces] = {}
+_loaded: dict[bytes, Pieces] = worker_cache()
 
 
 def loaded(model: bytes) -> Pieces:
