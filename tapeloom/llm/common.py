@@ -54,6 +54,20 @@ def small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def named_apart(df: DataFrame, id_col: str, value: Column, twice: DataFrame, limit: int = 500_000) -> tuple[DataFrame, DataFrame]:
+    """Rows whose id is in `twice` go by a name for their id and value; also the names themselves (name, of).
+
+    Names are numbers above all ids, fixed by a written table, so the smallest of some ids and names is an id.
+    """
+    top = df.agg(F.max(id_col)).first()[0]
+    valued = df.withColumn("_value", value)
+    ids = small(twice.select(F.col(id_col).alias("_id")), twice.count(), limit)
+    several = valued.join(ids, F.col(id_col) == F.col("_id"), "left_semi").select(F.col(id_col).alias("of"), F.col("_value").alias("_of_value")).distinct()
+    names = cut(several.withColumn("name", F.lit(top + 1) + F.monotonically_increasing_id()), "names")
+    named = valued.join(small(names, names.count(), limit), (F.col(id_col) == F.col("of")) & (F.col("_value") == F.col("_of_value")), "left")
+    return named.withColumn(id_col, F.coalesce("name", id_col)).select(df.columns), names.select("name", "of")
+
+
 def whole_groups(batches, key: list[str]):
     """Frames of whole groups from batches that are sorted by `key`: the last group of a batch may go on in the next."""
     import pandas as pd

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import cut, shuffle_partitions, table, whole_groups
+from tapeloom.llm.common import cut, named_apart, shuffle_partitions, table, whole_groups
 from tapeloom.llm.components import components
 
 MISS = 1e-6
@@ -112,7 +112,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     Returns vec_id, n_links (other rows linked directly, exact copies included), component_id, kept, one row
     per row. A null label, and a vector that is null, empty, zero or holds null or non-finite components,
     links with nothing; so do vectors of different length. Rows with a null id link with nothing and aren't
-    kept. Rows that repeat an id count as rows in n_links and as one node in components. An empty table gives an
+    kept. Rows that repeat an id count as rows in n_links and are linked with each other in components. An empty table gives an
     empty result; other columns aren't read. `id_col` holds integers. Blocks get vectors in the precision that they
     have, as bytes, and work in double precision.
     """
@@ -121,6 +121,11 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     finite = F.forall("embedding", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     fine = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
     good = rows.filter(fine).withColumn("embedding", F.transform("embedding", lambda x: x.cast("double")))
+    vector = F.xxhash64("label", "embedding")
+    twice = cut(good.groupBy("vec_id").agg(F.min(vector).alias("x"), F.max(vector).alias("y")).filter("x != y").select("vec_id"), "twice")
+    names = None
+    if not twice.isEmpty():  # an id of several vectors: each is a node
+        good, names = named_apart(good, "vec_id", vector, twice)
     # copies are one node
     nodes = cut(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")).withColumn("dim", F.size("embedding")), "nodes")
     n = nodes.count()
@@ -157,10 +162,16 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     dealt = full.repartition(shuffle_partitions(spark), *block_key).sortWithinPartitions(*block_key)
     found = cut(dealt.mapInPandas(run, "node long, links long, other long"), "found")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    groups = components(found.filter("other is not null").select(F.col("node").alias("u"), F.col("other").alias("v")))
+    edges = found.filter("other is not null").select(F.col("node").alias("u"), F.col("other").alias("v"))
+    if names is not None:
+        of = good.join(names, F.col("vec_id") == F.col("name")).select("of", F.col("label").alias("l"), F.col("embedding").alias("e"))
+        edges = edges.unionByName(of.join(nodes, (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e"))).select(F.col("node").alias("u"), F.col("of").alias("v")))
+    groups = components(edges)
     per = nodes.join(links, "node", "left").join(groups, "node", "left").select(F.col("label").alias("l"), F.col("embedding").alias("e"), (F.coalesce("links", F.lit(0).cast("long")) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
     # the copies of a vector find their node by its label and components
     told = good.select("vec_id", "label", "embedding").join(per, (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e")))
+    if names is not None:
+        told = told.join(names, F.col("vec_id") == F.col("name"), "left").withColumn("vec_id", F.coalesce("of", "vec_id"))
     alone = rows.filter(~fine).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     return told.select("vec_id", "n_links", F.col("component").alias("component_id"), (F.col("vec_id") == F.col("component")).alias("kept")).unionByName(alone)
 

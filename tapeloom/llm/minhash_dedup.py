@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import cut, drop_caches, shuffle_partitions, small, table, text_batches, whole_groups
+from tapeloom.llm.common import cut, drop_caches, named_apart, shuffle_partitions, small, table, text_batches, whole_groups
 from tapeloom.llm.components import components
 from tapeloom.llm.shingles import exact_sets, mix, shingle_sets
 
@@ -226,7 +226,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Returns doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id), one row
     per row of `docs`. Null and wordless texts have an empty set and link with nothing; texts with fewer than
     `width` words have one shingle, their whole sequence. Rows with a null id link with nothing and aren't
-    kept. Rows that repeat an id are one node. An empty table gives an empty result. Texts of any length are read as
+    kept. Rows that repeat an id are linked with each other, whatever their texts, but for those of an empty set. An empty table gives an empty result. Texts of any length are read as
     a whole. Other columns aren't read. `id_col` holds integers. Documents of equal sets, by a 128-bit digest of
     64-bit hashes of their shingles, are one node; links between nodes are confirmed on the words themselves.
     """
@@ -234,6 +234,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = cut(describe(docs, width), "described")
+    twice = cut(rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("digest")).alias("x"), F.max(F.xxhash64("digest")).alias("y")).filter("x != y").select("doc_id"), "twice")
+    names = None
+    if not twice.isEmpty():  # an id of several texts: each is a node
+        docs, names = named_apart(docs, "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256), twice)
+        rows = cut(describe(docs, width), "described")
     sets = rows.filter("n_shingles > 0 and doc_id is not null")
     same = sets.groupBy("digest").agg(F.min("doc_id").alias("node"))
     # one node per distinct set: the row of its smallest id carries signature and bands
@@ -266,10 +271,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wide = shared.filter(F.col("m") > BIG).select("node", F.col("pivots")[0]["node"].alias("pivot"))
     blocks = cut(confirm(block_links(wide, found, nodes, docs, width, threshold, miss), docs, width, percent), "links")
     links = links.unionByName(more).unionByName(blocks)
+    if names is not None:
+        links = links.unionByName(sets.join(names, F.col("doc_id") == F.col("name")).join(same, "digest").select(F.col("of").alias("a"), F.col("node").alias("b")))
     found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     groups = same.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = rows.select("doc_id", "n_shingles", "digest").join(groups, "digest", "left")
+    if names is not None:
+        out = out.join(names, F.col("doc_id") == F.col("name"), "left").withColumn("doc_id", F.coalesce("of", "doc_id"))
     whole = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", whole.alias("component_id"), F.coalesce(F.col("doc_id") == whole, F.lit(False)).alias("kept"))
 

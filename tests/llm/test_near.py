@@ -104,6 +104,16 @@ def test_null_ids_and_empty_tables(spark):
     assert minhash_dedup.near_dedup(documents(spark, [])).count() == 0
 
 
+def test_ids_of_several_texts(spark):
+    """The texts of an id are linked, each with its own near copies; a smaller id elsewhere is found through them."""
+    a, b, c = (sentence(k, 80) for k in (1, 2, 3))
+    rows = [(5, a, "en", "s"), (5, b, "en", "s"), (5, None, "en", "s"), (3, a + " more", "en", "s"), (9, b + " end", "en", "s"), (9, b + " end", "en", "s"), (7, c, "en", "s"), (8, b, "en", "s"), (None, a, "en", "s")]
+    got = minhash_dedup.near_dedup(documents(spark, rows, extra=True)).collect()
+    found = sorted((r["doc_id"], r["n_shingles"] > 0, r["component_id"], r["kept"]) for r in got if r["doc_id"] is not None)
+    assert found == [(3, True, 3, True), (5, False, 5, True), (5, True, 3, False), (5, True, 3, False), (7, True, 7, True), (8, True, 3, False), (9, True, 3, False), (9, True, 3, False)]
+    assert len(got) == len(rows)
+
+
 def test_pruning_bounds():
     steps = minhash_dedup.needed(0.8, 1e-6)
     assert [n for n, _ in steps] == list(range(20, 141, 20)) and all(m < 0.8 * n for n, m in steps)
@@ -149,6 +159,13 @@ def test_vectors_match_all_pairs(spark, block):
     assert got == {i: (n[i], want[i], want[i] == i) for i in range(len(rows))}
 
 
+def test_ids_of_several_vectors(spark):
+    rows = [(5, [1.0, 0.0], 0), (5, [0.0, 1.0], 0), (5, [0.0, 1.0], 1), (3, [1.0, 0.0], 0), (9, [0.01, 1.0], 0), (9, [0.01, 1.0], 0), (7, [-1.0, 0.0], 0), (7, None, 0)]
+    got = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    want = [(3, 1, 3, True), (5, 0, 3, False), (5, 1, 3, False), (5, 2, 3, False), (7, 0, 7, True), (7, 0, 7, True), (9, 2, 3, False), (9, 2, 3, False)]
+    assert sorted(tuple(r) for r in got) == want
+
+
 def test_no_vectors(spark):
     assert embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
