@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tapeloom.llm import embedding_dedup, exact_dedup, language_id, lm_scoring, minhash_dedup, mixing, pieces, repeats, secrets, sharding
+from tapeloom.llm import alignment, embedding_dedup, exact_dedup, language_id, lm_scoring, minhash_dedup, mixing, pieces, repeats, secrets, sharding
 
 QUERIES = {
     "op1_mixing": mixing.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sentencepiece": pieces.op8,
     "op9_repeats": repeats.op9,
     "op10_embedding_dedup": embedding_dedup.op10,
+    "op11_alignment": alignment.op11,
 }
 
 ORACLES = {
