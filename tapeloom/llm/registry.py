@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tapeloom.llm import alignment, embedding_dedup, exact_dedup, language_id, lm_scoring, minhash_dedup, mixing, pieces, repeats, secrets, sharding
+from tapeloom.llm import alignment, decontamination, embedding_dedup, exact_dedup, language_id, lm_scoring, minhash_dedup, mixing, pieces, repeats, secrets, sharding, spelling
 
 QUERIES = {
     "op1_mixing": mixing.op1,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_repeats": repeats.op9,
     "op10_embedding_dedup": embedding_dedup.op10,
     "op11_alignment": alignment.op11,
+    "op12_decontamination": decontamination.op12,
+    "op13_spelling": spelling.op13,
 }
 
 ORACLES = {
@@ -24,4 +26,6 @@ ORACLES = {
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op9_repeats": repeats.OP9_SQL,
     "op10_embedding_dedup": embedding_dedup.OP10_SQL,
+    "op12_decontamination": decontamination.OP12_SQL,
+    "op13_spelling": spelling.OP13_SQL,
 }
