@@ -37,6 +37,12 @@ def signs(vectors: np.ndarray, bits: int, tables: int, seed: int = 11) -> np.nda
     return on @ (1 << np.arange(bits, dtype=np.int64))
 
 
+def unit(v: np.ndarray) -> np.ndarray:
+    """Vectors at length one. Each is first scaled by a power of two, which is exact, so that no square leaves the range of doubles."""
+    v = np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None])
+    return v / np.sqrt((v * v).sum(axis=1))[:, None]
+
+
 def linked(v: np.ndarray, keys: np.ndarray, t: int, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     """Which of the index pairs (a, b) reach the threshold and don't meet in a table before t."""
     ok = np.einsum("ij,ij->i", v[a], v[b]) >= threshold
@@ -71,8 +77,7 @@ def compare(pdf: pd.DataFrame, threshold: float, kind, of_key) -> pd.DataFrame:
     for lo, hi in zip([0, *cuts], [*cuts, len(pdf)], strict=True):
         if hi - lo < 2:
             continue
-        v = np.frombuffer(b"".join(pdf["vector"].iloc[lo:hi]), kind).reshape(hi - lo, -1).astype(np.float64)
-        v /= np.sqrt((v * v).sum(axis=1))[:, None]
+        v = unit(np.frombuffer(b"".join(pdf["vector"].iloc[lo:hi]), kind).reshape(hi - lo, -1).astype(np.float64))
         keys = np.frombuffer(b"".join(pdf["keys"].iloc[lo:hi]), of_key).reshape(hi - lo, -1)
         m, own, two = hi - lo, side[lo:hi], p[lo] != q[lo]  # two chunks: only pairs across them
         if m <= 64:
@@ -138,7 +143,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
             out, slots, vectors = np.empty(len(pdf), object), np.empty(len(pdf), object), np.empty(len(pdf), object)
             for _, part in pdf.groupby("dim"):
                 v = np.array(part["embedding"].tolist(), np.float64)
-                found = signs(v / np.sqrt((v * v).sum(axis=1))[:, None], bits, tables)
+                found = signs(unit(v), bits, tables)
                 for i, k, x in zip(pdf.index.get_indexer(part.index), found, v.astype(kind), strict=True):
                     slots[i], out[i], vectors[i] = k, k.astype(of_key).tobytes(), x.tobytes()
             yield pdf[["node", "label", "dim", "copies"]].assign(slots=slots, keys=out, vector=vectors)

@@ -1,7 +1,7 @@
 """Near-duplicate documents by MinHash bands, sequential Bayesian pruning and exact verification.
 
-1. One pass over the texts gives each document its set of shingles (a count and a digest of it), a MinHash
-   signature and one key a band. Documents with equal sets are one node from here on.
+1. One pass over the texts gives each document its set of shingles (a count of it), a MinHash signature, one key a
+   band, and a cryptographic digest of its words. Documents with equal words are one node from here on.
 2. Nodes that share a band key are candidates. Not all pairs of a bucket are made: each member is compared
    with the pivots of its bucket first. Members that are then still in different components are compared
    with each other, so that no link that could join two components is left out: as pairs in buckets of at
@@ -65,9 +65,10 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
         drop_caches()
         for pdf in batches:
             n, digest, sigs, bands = [], [], [], []
-            for s in shingle_sets(pdf["text"], width):
+            for t, s in zip(pdf["text"], shingle_sets(pdf["text"], width), strict=True):
                 n.append(len(s))
-                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                words = b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())
+                digest.append(hashlib.blake2b(words, digest_size=32).digest() if words else None)
                 sig = signature(s) if len(s) else None
                 sigs.append(None if sig is None else sig.astype(np.uint16).tobytes())
                 bands.append(None if sig is None else band_keys(sig))
@@ -227,8 +228,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     per row of `docs`. Null and wordless texts have an empty set and link with nothing; texts with fewer than
     `width` words have one shingle, their whole sequence. Rows with a null id link with nothing and aren't
     kept. Rows that repeat an id are linked with each other, whatever their texts, but for those of an empty set. An empty table gives an empty result. Texts of any length are read as
-    a whole. Other columns aren't read. `id_col` holds integers. Documents of equal sets, by a 128-bit digest of
-    64-bit hashes of their shingles, are one node; links between nodes are confirmed on the words themselves.
+    a whole. Other columns aren't read. `id_col` holds integers. Documents of equal
+    words in equal order, by a 256-bit cryptographic digest, are one node; links between nodes are confirmed on the words themselves.
     """
     threshold = percent / 100
     text_batches(docs.sparkSession)
@@ -241,7 +242,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows = cut(describe(docs, width), "described")
     sets = rows.filter("n_shingles > 0 and doc_id is not null")
     same = sets.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    # one node per distinct set: the row of its smallest id carries signature and bands
+    # one node per sequence of words: the row of its smallest id carries signature and bands
     nodes = sets.join(same.withColumnRenamed("digest", "of"), (F.col("doc_id") == F.col("node")) & (F.col("digest") == F.col("of"))).dropDuplicates(["node"])
     nodes = cut(nodes.select("node", "n_shingles", "sig", "bands"), "nodes")
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -43,11 +43,17 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = C
     return x.select("source", "source_size", F.least(F.col("most"), F.coalesce(F.col("final"), F.lit(float("inf"))) * F.col("w")).alias("target"))
 
 
+def exact_sum(whole: Column, part: Column) -> Column:
+    """Sum of products of a whole number and a fraction in fixed point, which is the same in whatever order rows are added."""
+    fixed = F.round(part * float(1 << 40)).cast("decimal(28,0)")
+    return F.sum((whole.cast("decimal(20,0)") * fixed).cast("decimal(38,0)")).cast("double") / float(1 << 40)
+
+
 def balance(hist: DataFrame, goals: DataFrame, cap: int = CAP, rounds: int = 60, tolerance: float = 1e-9) -> DataFrame:
     """Multiplier of each source: source, source_size, target, mean, lam, full (cap for every document).
 
     `hist` has source, size, n; `goals` has one row a source. Safeguarded Newton on the dual, one Spark
-    aggregate a round, until every source meets its target. The bracket halves where Newton leaves it, so
+    aggregate in fixed point a round, until every source meets its target. The bracket halves where Newton leaves it, so
     `rounds` without an end are an error and raised.
     """
     n_sources = goals.count()
@@ -64,7 +70,7 @@ def balance(hist: DataFrame, goals: DataFrame, cap: int = CAP, rounds: int = 60,
         sums = (
             hist.join(s, F.col("source").eqNullSafe(F.col("k")))
             .groupBy("k")
-            .agg(F.sum(words * F.least(rate, F.lit(float(cap)))).alias("got"), F.sum(F.when(rate < cap, words * z * rate).otherwise(0.0)).alias("slope"))
+            .agg(exact_sum(words, F.least(rate, F.lit(float(cap)))).alias("got"), exact_sum(words, F.when(rate < cap, z * rate).otherwise(0.0)).alias("slope"))
         )
         x = x.join(small(sums, n_sources, SOURCE_LIMIT), F.col("source").eqNullSafe(F.col("k")), "left")
         f = F.col("got") - F.col("target")

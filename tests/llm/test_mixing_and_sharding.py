@@ -199,3 +199,11 @@ def test_a_filter_on_one_dimension_reads_fewer_files(spark, tmp_path):
         total = files.count()
         read[name] = [files.filter(F.lit(v).between(F.col(f"{c}_lo"), F.col(f"{c}_hi"))).count() / total for c, v in (("source", "host17"), ("lang", "es"))]
     assert all(c < 0.6 * p for c, p in zip(read["curve"], read["plain"], strict=True)), read
+
+
+def test_multipliers_agree_bit_by_bit(spark):
+    """Sums in fixed point don't depend on how rows are dealt, so neither do multipliers."""
+    sized = spark.range(100_000).selectExpr("concat('s', id % 5) AS source", "1 + pmod(xxhash64(id), 20000) AS size").groupBy("source", "size").count().withColumnRenamed("count", "n")
+    goals = mixing.targets(sized.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")))
+    found = [sorted((r["source"], r["lam"].hex()) for r in mixing.balance(sized.repartition(n), goals).collect()) for n in (2, 7, 31)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 5

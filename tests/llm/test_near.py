@@ -174,3 +174,20 @@ def test_tables_keep_the_miss_rate():
     for n in (10, 10**4, 10**6, 10**9):
         bits, tables = embedding_dedup.plan(n, 0.98)
         assert (1 - (1 - np.arccos(0.98) / np.pi) ** bits) ** tables <= 1e-6
+
+
+def test_words_of_equal_hashes_stay_apart(spark):
+    """The word hash can be inverted step by step, so two words of equal hashes can be made; the words themselves decide."""
+    texts = ["q1bbwh0m4alxlrsi", "4tw4hj99t426c05e", "Q1BBWH0M4alxlrsi ", "b a b a b", "a b a b a"]
+    assert len({s.tobytes() for s in shingles.shingle_sets(texts[:2], 5)}) == 1
+    for width in (1, 2, 5):
+        want = plain_components(5, [(0, 2), (3, 4)] if width < 5 else [(0, 2)])
+        got = minhash_dedup.near_dedup(documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), width=width).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(want))
+
+
+def test_vectors_of_any_scale(spark):
+    """Squares of these components leave the range of doubles."""
+    rows = [(1, [1e-200, 2e-200]), (2, [3e-200, 1e-200]), (3, [1e200, 2e200]), (4, [1.0, 2.001]), (5, [5e-324, 0.0]), (6, [1.7e308, 1e300]), (7, [1e-310, 2e-310])]
+    got = embedding_dedup.near_vectors(spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(1, 3, 1), (2, 0, 2), (3, 3, 1), (4, 3, 1), (5, 1, 5), (6, 1, 5), (7, 3, 1)]
