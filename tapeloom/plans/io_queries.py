@@ -13,6 +13,7 @@ from tapeloom.plans import fixtures as fx
 from tapeloom.plans.bar_queries import AS_OF, _pages
 from tapeloom.plans.registry import query
 from tapeloom.plans.signal_queries import SIG
+from tapeloom.scratch import arrange
 from tapeloom.scratch import folder as _folder
 from tapeloom.sources import files, payloads, sinks
 from tapeloom.streaming import streams
@@ -99,21 +100,32 @@ def _(spark, sf):
     return spark.read.parquet(path)
 
 
-def _landed(spark, sf) -> tuple[str, object]:
-    """Ticks as files of a folder, a part of them twice."""
-    path, t = _folder(spark, "ticks"), fx.ticks(spark, sf)
-    t.write.parquet(path)
-    t.filter("seq % 10 = 0").write.mode("append").parquet(path)
-    return path, t.schema
+def _landed(spark, ticks, again: str | None = None) -> str:
+    """Ticks as a folder of files a day, of which each three days land in reverse; then one tick long after the
+    last, which moves the watermark past all others. `again` names rows that land a second time, after their day."""
+    path, day = _folder(spark, "ticks"), F.datediff(F.to_date("ts"), F.lit("2020-01-01").cast("date"))
+    turned = day - F.pmod(day, F.lit(3)) + 2 - F.pmod(day, F.lit(3))
+    ticks.withColumn("land", 2 * turned).write.partitionBy("land").parquet(path)
+    if again:
+        ticks.filter(again).withColumn("land", 2 * turned + 1).write.mode("append").partitionBy("land").parquet(path)
+    last = ticks.agg(F.lit(CLOSING).alias("ticker"), (F.max("ts") + F.expr("interval 90 days")).alias("ts"), F.lit(0.0).alias("price"), F.lit(-1).cast("long").alias("seq"))
+    last.select(*[F.col(f.name).cast(f.dataType) for f in ticks.schema]).withColumn("land", F.lit(50_000)).write.mode("append").partitionBy("land").parquet(path)
+    arrange(spark, path, "land")
+    return f"{path}/*"
+
+
+CLOSING = "~"
+LATE = "4 days"
 
 
 @query("v1_stream_deduplicated", ("ticks",), "SELECT ticker, ts, price, seq FROM ticks")
 def _(spark, sf):
-    path, schema = _landed(spark, sf)
-    out = _folder(spark, "out")
-    stream = streams.deduplicated(streams.watch(spark, path, schema, "ts", "60 days"), ["ticker", "seq"])
+    """Files land out of order and a part of the rows twice, over several batches."""
+    t = fx.ticks(spark, sf)
+    path, out = _landed(spark, t, "seq % 10 = 0"), _folder(spark, "out")
+    stream = streams.deduplicated(streams.watch(spark, path, t.schema, "ts", LATE, files=12), ["ticker", "seq"])
     streams.append_to(stream, out, _folder(spark, "state")).awaitTermination()
-    return spark.read.parquet(out).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return spark.read.parquet(out).filter(F.col("ticker") != CLOSING).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("v2_stream_news", ("sentiment",), "SELECT symbol, timestamp, title, overall_sentiment_score FROM sentiment QUALIFY row_number() OVER (PARTITION BY symbol, timestamp, title ORDER BY event_id) = 1")
@@ -130,11 +142,15 @@ def _(spark, sf):
 
 @query("v3_stream_signals", ("bars_daily", "predictions"), "SELECT ticker, prediction_date, horizon_days, signal, rank FROM sig", SIG)
 def _(spark, sf):
-    """Predictions of one date come in several batches."""
+    """Predictions of one date come in several batches, a part of them first with another value, and are revised."""
     path, out, p = _folder(spark, "predictions"), _folder(spark, "out"), fx.predictions(spark, sf)
-    p.write.parquet(path)
-    streams.signal_batches(streams.watch(spark, path, p.schema, files=4), out, _folder(spark, "state"), least_confidence=0.3, least_return=0.02).awaitTermination()
-    return spark.read.parquet(f"{out}/signals").select("ticker", "prediction_date", "horizon_days", "signal", "rank")
+    kind = F.pmod(F.xxhash64("ticker", "prediction_date"), F.lit(5))
+    early = p.filter(kind < 2).withColumns({"predicted_return": F.when(kind == 0, 0.5).otherwise(-F.col("predicted_return")), "confidence_score": F.lit(0.9)})
+    # revisions land last, in no batch with what they revise
+    early.withColumn("land", F.lit(0)).unionByName(p.withColumn("land", F.when(kind < 2, 4 + kind).otherwise(kind - 1).cast("int"))).write.partitionBy("land").parquet(path)
+    arrange(spark, path, "land")
+    streams.write_signal_changes(streams.watch(spark, f"{path}/*", p.schema, files=2), out, _folder(spark, "state"), least_confidence=0.3, least_return=0.02).awaitTermination()
+    return streams.current_signals(spark, out).select("ticker", "prediction_date", "horizon_days", "signal", "rank")
 
 
 @query("v4_stream_daily_bars", ("ticks",), """SELECT ticker, ts::DATE AS date, arg_min(price, (ts, seq)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, seq)) AS close, count(*) AS volume FROM ticks
@@ -157,9 +173,10 @@ LIVE = {
 
 @query("v5_live_indicators", ("ticks",), "SELECT ticker, seq, round(ema, 6) AS ema, round(CASE WHEN i > 14 THEN 100 * g / nullif(g + l, 0) END, 6) AS rsi FROM z", LIVE, recursive=True)
 def _(spark, sf):
-    path, out, t = _folder(spark, "ticks"), _folder(spark, "out"), fx.ticks(spark, sf)
-    t.write.parquet(path)
-    live = streams.live_indicators(streams.watch(spark, path, t.schema, "ts", files=None))
+    """Files land out of order over several batches; rows leave in the order of their time."""
+    t = fx.ticks(spark, sf)
+    path, out = _landed(spark, t), _folder(spark, "out")
+    live = streams.ordered_indicators(streams.watch(spark, path, t.schema, "ts", LATE, files=8))
     streams.append_to(live, out, _folder(spark, "state")).awaitTermination()
     return rounded(spark.read.parquet(out).select("ticker", "seq", "ema", "rsi"), 6)
 
