@@ -61,11 +61,6 @@ def corr_over(x: Column, y: Column, w: WindowSpec, n: int) -> Column:
     return F.when(fine, F.try_divide(F.covar_pop(a, b).over(over), F.stddev_pop(a).over(over) * F.stddev_pop(b).over(over)))
 
 
-def quantile(x: Column | str, q: float | list[float], exact: bool = True) -> Column:
-    """Quantile of an aggregate, interpolated and exact, or within a 10,000th of the rows from a sketch."""
-    return F.percentile(x, q) if exact else F.percentile_approx(x, q, 10_000)
-
-
 def rounded(df, digits: dict[str, int] | int, columns: list[str] | None = None):
     """Round double columns for output."""
     names = columns or [f.name for f in df.schema if f.dataType.simpleString() == "double"]

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.functions import quantile, series
+from tapeloom.functions import series
+from tapeloom.operators.selection import quantiles
 
 PRICES = ("open", "high", "low", "close")
 
@@ -184,10 +185,16 @@ def sector_returns(bars: DataFrame, metadata: DataFrame) -> DataFrame:
 
 
 def sector_risk(bars: DataFrame, metadata: DataFrame, exact: bool = True) -> DataFrame:
-    """Volatility, value at risk and extremes of daily returns by sector; without `exact` quantiles come from sketches."""
+    """Volatility, value at risk and extremes of daily returns by sector. Quantiles are exact by distributed selection, or
+    come from sketches."""
     w = series()
     daily = bars.withColumn("ret", F.try_divide(F.col("close"), F.lag("close").over(w)) - 1).join(metadata.select("ticker", "sector"), "ticker")
-    return daily.groupBy("sector").agg((F.stddev("ret") * F.sqrt(F.lit(252.0))).alias("volatility"), quantile("ret", 0.05, exact).alias("var_95"), quantile("ret", 0.01, exact).alias("var_99"), F.min("ret").alias("worst_day"), F.max("ret").alias("best_day"))
+    risks = [F.percentile_approx("ret", q, 10_000).alias(c) for c, q in (("var_95", 0.05), ("var_99", 0.01)) if not exact]
+    g = daily.groupBy("sector").agg((F.stddev("ret") * F.sqrt(F.lit(252.0))).alias("volatility"), *risks, F.min("ret").alias("worst_day"), F.max("ret").alias("best_day"))
+    if not exact:
+        return g
+    found = quantiles(daily, ["sector"], ["ret"], [0.05, 0.01]).select(F.col("sector").alias("_s"), F.col("ret")[0].alias("var_95"), F.col("ret")[1].alias("var_99"))
+    return g.join(found, F.col("sector").eqNullSafe(F.col("_s"))).select("sector", "volatility", "var_95", "var_99", "worst_day", "best_day")
 
 
 def return_matrix(bars: DataFrame, tickers: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from tapeloom.functions import corr, flag
 
 CAP = 365
 NO_EVENT = 999
+BLOCK = 4096  # days
 
 
 def spine(spark: SparkSession, start, end) -> DataFrame:
@@ -57,17 +58,25 @@ def holidays(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
 
 
 def distance_to_events(df: DataFrame, events: DataFrame, ahead: str, behind: str | None = None, cap: int | None = None, none: int | None = None) -> DataFrame:
-    """Days to the next later and since the last earlier event. Both come from one window over the union of days
-    and events; the calendar is one series of one row a day."""
-    # a calendar has one row a day and all of it is one series
+    """Days to the next later and since the last earlier event.
+
+    The calendar is cut into blocks of BLOCK days, in which windows find the events nearby; the first and last event of
+    each block, one row a block and at most a thousand blocks in all years 1 to 9999, are carried on to the others.
+    """
+    day = F.datediff("date", F.lit("1970-01-01").cast("date"))
     marked = df.withColumn("_event", F.lit(None).cast("date")).unionByName(events.select("date", F.col("date").alias("_event")).distinct(), allowMissingColumns=True)
-    later = Window.partitionBy(F.lit(0)).orderBy(F.datediff("date", F.lit("1970-01-01").cast("date"))).rangeBetween(1, Window.unboundedFollowing)
-    earlier = Window.partitionBy(F.lit(0)).orderBy(F.datediff("date", F.lit("1970-01-01").cast("date"))).rangeBetween(Window.unboundedPreceding, -1)
-    to, since = F.datediff(F.min("_event").over(later), "date"), F.datediff("date", F.max("_event").over(earlier))
+    marked = marked.withColumn("_block", F.floor(day / BLOCK))
+    blocks = marked.groupBy("_block").agg(F.min("_event").alias("_first"), F.max("_event").alias("_last"))
+    over = Window.orderBy("_block")  # a row a block
+    carried = blocks.select(F.col("_block").alias("_b"), F.max("_last").over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.min("_first").over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    marked = marked.join(F.broadcast(carried), F.col("_block") == F.col("_b"))  # at most a thousand rows
+    here = Window.partitionBy("_block").orderBy(day)
+    later, earlier = F.min("_event").over(here.rangeBetween(1, Window.unboundedFollowing)), F.max("_event").over(here.rangeBetween(Window.unboundedPreceding, -1))
+    to, since = F.datediff(F.coalesce(later, "_after"), "date"), F.datediff("date", F.coalesce(earlier, "_before"))
     limit = lambda x: F.least(F.coalesce(x, F.lit(none if none is not None else cap)), F.lit(cap)) if cap else F.coalesce(x, F.lit(none))
     out = marked.withColumn(ahead, limit(to))
     out = out.withColumn(behind, limit(since)) if behind else out
-    return out.withColumn("_day", F.col("_event").isNull()).filter("_day").drop("_event", "_day")
+    return out.withColumn("_day", F.col("_event").isNull()).filter("_day").drop("_event", "_day", "_block", "_b", "_before", "_after")
 
 
 def holiday_flags(df: DataFrame, days: DataFrame) -> DataFrame:

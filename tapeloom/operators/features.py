@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.functions import quantile, series
+from tapeloom.functions import series
+from tapeloom.operators.selection import quantiles
 
 IDS = ("ticker", "date", "sector", "name")
 
@@ -32,10 +33,11 @@ def impute(df: DataFrame, columns: list[str], rows: int = 5) -> DataFrame:
 
 
 def robust_stats(train: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
-    """Median and quartile range of each column, fitted on training rows only: one row.
-
-    Exact quantiles hold all distinct values of a column in one task, which a large table needs to do without."""
-    return train.agg(*[quantile(c, [0.25, 0.5, 0.75], exact).alias(c) for c in columns])
+    """Quartiles of each column, fitted on training rows only: one row. They are exact by distributed selection, or
+    come from mergeable sketches of bounded size."""
+    if exact:
+        return quantiles(train, [], columns, [0.25, 0.5, 0.75])
+    return train.agg(*[F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000).alias(c) for c in columns])
 
 
 def robust_scale(df: DataFrame, stats: DataFrame, columns: list[str]) -> DataFrame:

@@ -1,7 +1,6 @@
 """Evaluation metrics per horizon from rows (horizon_days, predicted_return, actual_return, confidence_score).
 
-s = sign(prediction) * actual return. Ordered metrics need a total order within a horizon, given as columns;
-a horizon is one ordered series, so aggregate large input per date first (see `per_date`).
+s = sign(prediction) * actual return. Ordered metrics need a total order within a horizon, given as columns.
 """
 
 from __future__ import annotations
@@ -11,7 +10,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.functions import corr, moments_corr, quantile
+from tapeloom.functions import corr, moments_corr
+from tapeloom.operators import ordered
+from tapeloom.operators.selection import quantiles
 from tapeloom.scratch import cut
 
 KEY = "horizon_days"
@@ -59,7 +60,8 @@ def _ranked(df: DataFrame, col: str, out: str) -> DataFrame:
 
 def rank_correlation(df: DataFrame, least: int = 10) -> DataFrame:
     """Spearman: correlation of ranks, ties at their average."""
-    pair = df.filter("predicted_return is not null and actual_return is not null").select(KEY, "predicted_return", "actual_return")
+    # each sort samples its input first, which is therefore written once
+    pair = cut(df.filter("predicted_return is not null and actual_return is not null").select(KEY, "predicted_return", "actual_return"), "pairs")
     j = _ranked(_ranked(pair, "predicted_return", "rp"), "actual_return", "ra")
     x, y = F.col("rp"), F.col("ra")
     c = moments_corr(F.count("*").cast("double"), F.sum(x), F.sum(y), F.sum(x * x), F.sum(y * y), F.sum(x * y))
@@ -76,18 +78,18 @@ def ratios(df: DataFrame) -> DataFrame:
 
 def drawdown(df: DataFrame, order: list[str], stake: float = 1.0) -> DataFrame:
     """Greatest fall of the compounded s from its running maximum, and Calmar; each trade puts in a share `stake` of
-    the capital. A horizon is one series of one row a date (see `per_date`)."""
-    w = Window.partitionBy(KEY).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    c = _with_s(df).withColumn("s", F.col("s") * stake).withColumn("_c", F.product(1 + F.col("s")).over(w)).withColumn("_m", F.max("_c").over(w))
-    g = c.groupBy(KEY).agg(F.min(F.try_divide(F.col("_c") - F.col("_m"), "_m")).alias("max_drawdown"), F.avg("s").alias("_mean"))
+    the capital. Rows of a horizon are in the order of `order`, however many there are (see `ordered`)."""
+    part = _with_s(df).withColumn("s", F.col("s") * stake).select(KEY, *order, "s")
+    c = ordered.running_product(part, [KEY], order, 1 + F.col("s"))
+    g = c.groupBy(KEY).agg(F.min(F.try_divide(F.col("running") - F.col("highest"), "highest")).alias("max_drawdown"), F.avg("s").alias("_mean"))
     return g.withColumn("calmar_ratio", F.coalesce(F.try_divide(F.col("_mean") * YEAR, F.abs("max_drawdown")), F.lit(0.0))).drop("_mean")
 
 
 def tail(df: DataFrame, q: float = 0.05, exact: bool = True) -> DataFrame:
-    """Value at risk and the mean beyond it. An exact quantile holds a horizon's distinct values in one task; without
-    `exact` it comes from a mergeable sketch of bounded size."""
+    """Value at risk and the mean beyond it. The quantile is exact by distributed selection, or comes from a mergeable
+    sketch of bounded size."""
     s = _with_s(df)
-    var = s.groupBy(KEY).agg(quantile("s", q, exact).alias("var_95"))
+    var = quantiles(s, [KEY], ["s"], [q]).select(KEY, F.col("s")[0].alias("var_95")) if exact else s.groupBy(KEY).agg(F.percentile_approx("s", q, 10_000).alias("var_95"))
     return s.join(var, KEY).groupBy(KEY).agg(F.first("var_95").alias("var_95"), F.avg(F.when(F.col("s") <= F.col("var_95"), F.col("s"))).alias("cvar_95"))
 
 
