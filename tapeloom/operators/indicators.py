@@ -1,16 +1,14 @@
-"""Technical indicators per ticker. Window indicators share one sort; recursions run in one grouped pass."""
+"""Technical indicators per ticker. Window indicators share one sort; recursions run over segments of series."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tapeloom.functions import change, corr_over, flag, rolling, series
+from tapeloom.operators.recurrences import Periods, recursive
 
 
 def sma(bars: DataFrame, periods: Sequence[int] = (20, 50, 200), time: str = "date", suffix: str = "") -> DataFrame:
@@ -95,79 +93,15 @@ def intraday_position(hourly: DataFrame, open_hour: int = 9, close_hour: int = 1
     return df.withColumns({"pct_from_high": F.try_divide(F.col("close") - F.col("high_of_day"), "high_of_day") * 100, "pct_from_low": F.try_divide(F.col("close") - F.col("low_of_day"), "low_of_day") * 100})
 
 
-# --- recursions: exact over the whole series of a ticker, one pass in order ---
-
-
-def _ema(x: np.ndarray, alpha: float, warm: int) -> np.ndarray:
-    """y[0] = x[0], y[t] = alpha x[t] + (1 - alpha) y[t-1]; the first warm - 1 values are null."""
-    y = pd.Series(x).ewm(alpha=alpha, adjust=False).mean().to_numpy().copy()
-    y[: max(0, min(len(y), warm - 1))] = np.nan
-    return y
-
-
-def _wilder(x: np.ndarray, n: int, first: int) -> np.ndarray:
-    """Wilder's average: the plain mean of n values from `first` on, then y += (x - y) / n."""
-    y = np.full(len(x), np.nan)
-    if len(x) < first + n:
-        return y
-    y[first + n - 1] = x[first : first + n].mean()
-    rest = np.concatenate([[y[first + n - 1]], x[first + n :]])
-    y[first + n - 1 :] = pd.Series(rest).ewm(alpha=1 / n, adjust=False).mean().to_numpy()
-    return y
-
-
-def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.divide(a, b, out=np.full(len(a), np.nan), where=b != 0)
-
-
-def recurrences(high, low, close, volume, rsi=(14,), ema=(9, 20, 50), macd=(12, 26, 9), atr=(14,), adx=14) -> dict[str, np.ndarray]:
-    """All order-dependent indicators of one series."""
-    out: dict[str, np.ndarray] = {}
-    step = np.diff(close, prepend=close[:1])
-    for n in rsi:
-        gain, loss = _wilder(np.maximum(step, 0), n, 1), _wilder(np.maximum(-step, 0), n, 1)
-        out[f"rsi_{n}"] = np.where(np.isnan(gain), np.nan, 100 * np.nan_to_num(_ratio(gain, gain + loss), nan=0.5))
-    for n in ema:
-        out[f"ema_{n}"] = _ema(close, 2 / (n + 1), n)
-    fast, slow, sign = macd
-    line = _ema(close, 2 / (fast + 1), 1) - _ema(close, 2 / (slow + 1), 1)
-    line[: slow - 1] = np.nan
-    signal = np.full(len(line), np.nan)
-    signal[slow - 1 :] = _ema(line[slow - 1 :], 2 / (sign + 1), sign)
-    out |= {"macd": line, "macd_signal": signal, "macd_hist": line - signal}
-    before = np.concatenate([close[:1], close[:-1]])
-    true_range = np.maximum.reduce([high - low, np.abs(high - before), np.abs(low - before)])
-    for n in atr:
-        out[f"atr_{n}"] = _wilder(true_range, n, 0)
-    up, down = np.diff(high, prepend=high[:1]), -np.diff(low, prepend=low[:1])
-    plus, minus = np.where((up > down) & (up > 0), up, 0.0), np.where((down > up) & (down > 0), down, 0.0)
-    tr, p, m = (_wilder(x, adx, 1) for x in (true_range, plus, minus))
-    di_plus, di_minus = 100 * _ratio(p, tr), 100 * _ratio(m, tr)
-    dx = 100 * np.nan_to_num(_ratio(np.abs(di_plus - di_minus), di_plus + di_minus))
-    out |= {"adx": _wilder(dx, adx, adx), "adx_plus": di_plus, "adx_minus": di_minus}
-    obv = np.cumsum(np.sign(step) * volume)
-    out |= {"obv": obv, "obv_ema": pd.Series(obv).ewm(span=20, adjust=True).mean().to_numpy()}
-    return out
-
-
-def recursive_indicators(bars: DataFrame, time: str = "date", **periods) -> DataFrame:
-    """RSI, EMA, MACD, ATR, ADX and OBV with their flags.
-
-    Only the columns the recursions need go to Python and only their results come back, joined by ticker and
-    time. A series must fit one worker, as it does by nature of the data (20 years of hours are 65 k rows).
-    """
-    shape = recurrences(*[np.arange(1.0, 3.0)] * 4, **periods)
-    schema = T.StructType([bars.schema["ticker"], bars.schema[time], *[T.StructField(c, T.DoubleType()) for c in shape]])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(time)
-        x = [pdf[c].to_numpy(np.float64) for c in ("high", "low", "close", "volume")]
-        return pdf[["ticker", time]].assign(**recurrences(*x, **periods))
+def recursive_indicators(bars: DataFrame, time: str = "date", span: str = "year", **periods) -> DataFrame:
+    """RSI, EMA, MACD, ATR, ADX and OBV with their flags, from series of any length (see `recurrences`).
 
-    got = bars.select("ticker", time, "high", "low", "close", "volume").groupBy("ticker").applyInPandas(run, schema)
-    got = got.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in shape})
-    df = bars.join(got, ["ticker", time])
-    w = series("ticker", time)
+    A row without high, low or close has no values and changes none; rows that repeat a ticker and time come back as
+    often as they occur.
+    """
+    p = Periods(**{k: v if isinstance(v, int) else tuple(v) for k, v in periods.items()})
+    shape = p.columns()
+    df = recursive(bars, time, span, p)
     new = {}
     for c in shape:
         if c.startswith("rsi_"):
@@ -177,11 +111,6 @@ def recursive_indicators(bars: DataFrame, time: str = "date", **periods) -> Data
             new[f"close_to_{c}"] = F.try_divide("close", c) - 1
         elif c.startswith("atr_"):
             new[f"{c}_percent"] = F.try_divide(c, "close") * 100
-    if {"ema_9", "ema_20"} <= set(shape):
-        above = F.col("ema_9") > F.col("ema_20")
-        new["ema_9_20_cross"] = flag(above & ~F.lag(above).over(w))
-    over = F.col("macd") > F.col("macd_signal")
-    new |= {"macd_cross_above": flag(over & ~F.lag(over).over(w)), "macd_cross_below": flag(~over & F.lag(over).over(w))}
     new |= {"adx_strong": flag(F.col("adx") > 25), "adx_weak": flag(F.col("adx") < 20), "obv_trend": flag(F.col("obv") > F.col("obv_ema"))}
     return df.withColumns(new)
 
