@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,31 +89,46 @@ def neighbour_means(features: DataFrame, edges: DataFrame, columns: list[str]) -
     return j.groupBy(F.col("src").alias("ticker"), "date").agg(*[F.try_divide(F.sum(F.col("weight") * F.col(c)), F.sum(F.when(F.col(c).isNotNull(), F.col("weight")))).alias(f"neighbour_{c}") for c in columns])
 
 
-def fit_return_models(rows: DataFrame, columns: list[str], horizons=(1, 7, 30, 60)):
-    """A linear model for each horizon on training rows, and the direction accuracy of its validation predictions
-    in ten bins of size, which serves as confidence: {horizon: (model, bins)}."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    assembler = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip")
-    out = {}
-    for h in horizons:
-        part = assembler.transform(rows.filter((F.col("horizon_days") == h) & F.col("target").isNotNull()))
-        model = LinearRegression(featuresCol="features", labelCol="target", predictionCol="predicted_return", regParam=0.01).fit(part.filter("split = 'train'"))
-        checked = model.transform(part.filter("split = 'validation'"))
-        size = F.least(F.floor(F.abs("predicted_return") * 100), F.lit(9)).cast("int")
-        hits = checked.groupBy(size.alias("bin")).agg(F.avg((F.signum("predicted_return") == F.signum("target")).cast("double")).alias("confidence")).collect()  # ten rows
-        out[h] = (assembler, model, {r["bin"]: r["confidence"] for r in hits})
-    return out
-
-
-def predict_returns(features: DataFrame, models) -> DataFrame:
+def fit_return_models(rows: DataFrame, columns: list[str], horizons=(1, 7, 30, 60), penalty: float = 0.01) -> DataFrame:
+    """Ridge regressions of the target on columns, one a horizon: horizon_days, means, weights, target_mean, bins.
+
+    All horizons come from one aggregate of means and products over the training rows, whose size is that of the
+    columns; the weights solve (S + penalty) w = c with the covariances S of columns and c of columns and target. `bins`
+    is the direction accuracy of validation predictions in ten bins of size, which serves as confidence. Rows with a
+    null among columns or target don't count; a horizon without training rows has no model.
+    """
+    full = rows.filter(F.col("horizon_days").isin(list(horizons)) & F.col("target").isNotNull()).dropna(subset=columns)
+    p = len(columns)
+    names = [*columns, "target"]
+    train = full.filter("split = 'train'")
+    # covariances about the means, so that nothing cancels
+    sums = [F.avg(c).alias(f"m{i}") for i, c in enumerate(names)] + [F.covar_pop(names[i], names[j]).alias(f"s{i}_{j}") for i in range(p) for j in range(i, p + 1)]
+    fitted = []
+    for r in train.groupBy("horizon_days").agg(*sums).collect():  # a row a horizon
+        s = np.array([[r[f"s{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)]) + penalty * np.eye(p)
+        w = np.linalg.solve(s, np.array([r[f"s{i}_{p}"] for i in range(p)]))
+        fitted.append((r["horizon_days"], [r[f"m{i}"] for i in range(p)], w.tolist(), r[f"m{p}"]))
+    models = rows.sparkSession.createDataFrame(fitted, "horizon_days int, means array<double>, weights array<double>, target_mean double")
+    checked = _predicted(full.filter("split = 'validation'"), models, columns)
+    hits = checked.groupBy("horizon_days", _size().alias("bin")).agg(F.avg((F.signum("predicted_return") == F.signum("target")).cast("double")).alias("confidence"))
+    bins = hits.groupBy("horizon_days").agg(F.map_from_entries(F.collect_list(F.struct("bin", "confidence"))).alias("bins"))  # ten rows a horizon
+    return models.join(bins, "horizon_days", "left")
+
+
+def _size():
+    return F.least(F.floor(F.abs("predicted_return") * 100), F.lit(9)).cast("int")
+
+
+def _predicted(rows: DataFrame, models: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of a horizon (or of each, if they have none) with the prediction of its model."""
+    m = F.broadcast(models)  # a row a horizon
+    j = rows.join(m, "horizon_days") if "horizon_days" in rows.columns else rows.crossJoin(m)
+    terms = [(F.col(c) - F.col("means")[i]) * F.col("weights")[i] for i, c in enumerate(columns)]
+    return j.withColumn("predicted_return", sum(terms, F.col("target_mean")))
+
+
+def predict_returns(features: DataFrame, models: DataFrame, columns: list[str]) -> DataFrame:
     """Long predictions of all horizons: ticker, prediction_date, horizon_days, predicted_return, confidence_score."""
-    out = None
-    for h, (assembler, model, bins) in models.items():
-        size = F.least(F.floor(F.abs("predicted_return") * 100), F.lit(9)).cast("int")
-        known = F.create_map(*[F.lit(x) for kv in bins.items() for x in kv]) if bins else None
-        confidence = F.coalesce(F.try_element_at(known, size), F.lit(0.5)) if bins else F.lit(0.5)
-        one = model.transform(assembler.transform(features)).select("ticker", F.col("date").alias("prediction_date"), F.lit(h).alias("horizon_days"), "predicted_return", confidence.alias("confidence_score"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    p = _predicted(features.dropna(subset=columns), models, columns)
+    return p.select("ticker", F.col("date").alias("prediction_date"), "horizon_days", "predicted_return", F.coalesce(F.try_element_at("bins", _size()), F.lit(0.5)).alias("confidence_score"))
+

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.functions import moments_corr, series
+from tapeloom.functions import series
+from tapeloom.operators.pairs import pairwise
 from tapeloom.scratch import Rounds
 from tapeloom.scratch import cut as written
 
 # Shares of the three parts of an edge weight.
 WEIGHTS = {"correlation": 0.4, "sector": 0.3, "market_cap": 0.3}
 MOST_INSTRUMENTS = 20_000
+STATE = 50_000_000  # rows (source, node) that a batch of sources may reach
 
 
 def padded_returns(bars: DataFrame, value: str = "close") -> DataFrame:
@@ -24,16 +28,9 @@ def padded_returns(bars: DataFrame, value: str = "close") -> DataFrame:
     return full.withColumn("ret", F.try_divide("_x", F.lag("_x").over(w)) - 1).filter("ret is not null").select("ticker", "date", "ret")
 
 
-def correlations(returns: DataFrame) -> DataFrame:
-    """Pairwise Pearson correlation over common dates, both directions: src, dst, corr.
-
-    Work is dates times pairs of instruments; block by sector first where instruments are many.
-    """
-    a = returns.withColumnsRenamed({"ticker": "src", "ret": "x"})
-    b = returns.withColumnsRenamed({"ticker": "dst", "ret": "y"})
-    x, y = F.col("x"), F.col("y")
-    c = moments_corr(F.count("*").cast("double"), F.sum(x), F.sum(y), F.sum(x * x), F.sum(y * y), F.sum(x * y))
-    half = a.join(b, "date").filter("src < dst").groupBy("src", "dst").agg(c.alias("corr"))
+def correlations(returns: DataFrame, least: float | None = None) -> DataFrame:
+    """Pairwise Pearson correlation over common dates, both directions: src, dst, corr (see `pairwise`)."""
+    half = pairwise(returns, least=least).select("src", "dst", "corr")
     return half.unionByName(half.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "corr"))
 
 
@@ -130,11 +127,15 @@ def degree(pairs: DataFrame) -> DataFrame:
 
 
 def clustering(pairs: DataFrame) -> DataFrame:
-    """2 T / (d (d - 1)); triangles by two joins over ordered pairs."""
-    p = pairs.select("u", "v")
-    a, b, c = p, p.select(F.col("u").alias("v"), F.col("v").alias("x")), p.select("u", F.col("v").alias("x"))
-    t = a.join(b, "v").join(c, ["u", "x"]).select(F.explode(F.array("u", "v", "x")).alias("node")).groupBy("node").agg(F.count("*").alias("triangles"))
-    d = degree(pairs)
+    """2 T / (d (d - 1)). Pairs point to the end of higher degree (of equal ones the later name), so that no node points
+    to more than about the root of twice the number of pairs: a hub is pointed to and makes no wedges of its leaves."""
+    d = written(degree(pairs).select("node", "degree"), "degrees")
+    ends = {x: d.select(F.col("node").alias(f"_{x}"), F.struct("degree", "node").alias(x)) for x in "uv"}
+    placed = pairs.select(F.col("u").alias("_u"), F.col("v").alias("_v")).join(ends["u"], "_u").join(ends["v"], "_v").select(F.col("u").alias("a"), F.col("v").alias("b"))
+    one = written(placed.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")), "directed")
+    wedges = one.select("low", F.col("high").alias("x")).join(one.select("low", F.col("high").alias("y")), "low").filter("x < y")
+    closing = one.select(F.col("low").alias("x"), F.col("high").alias("y"))
+    t = wedges.join(closing, ["x", "y"]).select(F.explode(F.array("low.node", "x.node", "y.node")).alias("node")).groupBy("node").agg(F.count("*").alias("triangles"))
     x = d.join(t, "node", "left").withColumn("triangles", F.coalesce("triangles", F.lit(0).cast("long")))
     return x.select("node", "triangles", F.coalesce(F.try_divide(2.0 * F.col("triangles"), F.col("degree") * (F.col("degree") - 1)), F.lit(0.0)).alias("clustering"))
 
@@ -156,17 +157,30 @@ def hops(pairs: DataFrame, sources: DataFrame) -> DataFrame:
         seen = reached.cut(seen.unionByName(front))
 
 
+def batches(nodes: DataFrame, n: int) -> list[DataFrame]:
+    """Sources in parts whose rows (source, node) are about STATE at most, whatever the number of nodes."""
+    parts = max(1, math.ceil(n * n / STATE))
+    return [nodes.filter(F.pmod(F.xxhash64("node"), F.lit(parts)) == i) for i in range(parts)] if parts > 1 else [nodes]
+
+
+def _summed(found: list[DataFrame], by: str, *sums: str) -> DataFrame:
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.groupBy(by).agg(*[F.sum(c).alias(c) for c in sums])
+
+
 def closeness(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(reached - 1) / sum of hops, scaled by the share of nodes reached."""
+    """(reached - 1) / sum of hops, scaled by the share of nodes reached. All nodes are sources, in batches."""
     n = nodes.count()
-    h = hops(pairs, nodes).groupBy(F.col("source").alias("node")).agg((F.count("*") - 1).alias("r"), F.sum("hop").alias("d"))
+    found = [written(hops(pairs, part).groupBy(F.col("source").alias("node")).agg((F.count("*") - 1).alias("r"), F.sum("hop").alias("d")), "near") for part in batches(nodes, n)]
+    h = _summed(found, "node", "r", "d")
     return h.select("node", F.coalesce(F.try_divide(F.col("r"), F.col("d")) * F.col("r") / max(1, n - 1), F.lit(0.0)).alias("closeness"))
 
 
-def betweenness(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Share of shortest paths through each node, normalised; dependencies flow back level by level."""
-    n = nodes.count()
-    h = written(hops(pairs, nodes), "levels")
+def _dependencies(pairs: DataFrame, sources: DataFrame) -> DataFrame:
+    """node, b: the dependency of the given sources on each node, which flows back level by level."""
+    h = written(hops(pairs, sources), "levels")
     both = written(both_ways(pairs).select("src", "dst"), "links")
     deepest = h.agg(F.max("hop")).first()[0] or 0
     gathered = h.filter("false").select("source", "node", F.lit(0.0).alias("delta"))
@@ -178,7 +192,14 @@ def betweenness(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         part = flow.groupBy("s", "n").agg(F.sum(F.col("p1") / F.col("p2") * (1 + F.col("d2"))).alias("delta"))
         below = written(up.join(part, (up.source == part.s) & (up.node == part.n), "left").select("source", "node", "paths", F.coalesce("delta", F.lit(0.0)).alias("delta")), "back")
         gathered = gathered.unionByName(below.filter("source != node").select("source", "node", "delta"))
-    total = gathered.groupBy("node").agg(F.sum("delta").alias("b"))
+    return gathered.groupBy("node").agg(F.sum("delta").alias("b"))
+
+
+def betweenness(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Share of shortest paths through each node, normalised. All nodes are sources, in batches that are folded into
+    one row a node before the next begins."""
+    n = nodes.count()
+    total = _summed([written(_dependencies(pairs, part), "batch") for part in batches(nodes, n)], "node", "b")
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
     return nodes.join(total, "node", "left").select("node", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
 

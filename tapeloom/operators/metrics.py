@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions import corr, moments_corr
 from tapeloom.operators import ordered
+from tapeloom.operators.pairs import pairwise
 from tapeloom.operators.selection import quantiles
 from tapeloom.scratch import cut
 
@@ -132,10 +133,8 @@ def portfolio(weighted: DataFrame) -> DataFrame:
 
 def prediction_diversity(predictions: DataFrame) -> DataFrame:
     """Mean correlation between the predictions of two tickers, over dates, and one less it, per horizon."""
-    p = predictions.select(KEY, "prediction_date", "ticker", "predicted_return")
-    a, b = p.withColumnsRenamed({"ticker": "t1", "predicted_return": "x"}), p.withColumnsRenamed({"ticker": "t2", "predicted_return": "y"})
-    pair = a.join(b, [KEY, "prediction_date"]).filter("t1 < t2").groupBy(KEY, "t1", "t2").agg(corr(F.col("x"), F.col("y")).alias("c"))
-    return pair.groupBy(KEY).agg(F.avg("c").alias("avg_correlation")).withColumn("diversification", 1 - F.col("avg_correlation"))
+    pair = pairwise(predictions, KEY, date="prediction_date", value="predicted_return")
+    return pair.groupBy(KEY).agg(F.avg("corr").alias("avg_correlation")).withColumn("diversification", 1 - F.col("avg_correlation"))
 
 
 def report(metrics: DataFrame, columns=("direction_accuracy", "sharpe_ratio", "max_drawdown")) -> DataFrame:

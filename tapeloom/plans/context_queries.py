@@ -100,8 +100,8 @@ CYCLE = (("dow", "(isodow(date) - 1)", 7), ("dom", "day(date)", 31), ("month", "
  (month = 12 AND day(date) >= 20)::INT AS is_santa_rally, (month IN (3, 6, 9, 12) AND last_day(date) - date <= 5)::INT AS is_window_dressing, (month IN (7, 8) OR (month = 12 AND day(date) >= 20))::INT AS is_low_volume
  FROM parts JOIN dist USING (date) JOIN td USING (date)""", FULL)
 def _(spark, sf):
-    d, lo, hi = _with_holidays(spark, sf)
-    return rounded(calendar.seasonality(calendar.cyclic(calendar.market_events(calendar.trading_days(calendar.basic(d)), lo, hi + 1))), 6)
+    lo, hi = _days(spark, sf).agg(F.min("date"), F.max("date")).first()
+    return rounded(calendar.calendar(spark, lo, hi, (lo.year, hi.year)), 6)
 
 
 NUMBERS = {
@@ -319,9 +319,14 @@ def _(spark, sf):
     return quality.integrity(fx.bars_daily(spark, sf))
 
 
-@query("q13_fingerprint")
+@query("q13_fingerprint", ("bars_daily",), """SELECT part, count(*) AS records, sum(h)::VARCHAR AS fingerprint FROM (SELECT year(date)::VARCHAR AS part, h FROM hashed UNION ALL SELECT 'all', h FROM hashed) GROUP BY part""",
+       {"hashed": "SELECT date, ('0x' || substr(md5(round(close * 100)::BIGINT::VARCHAR || '|' || date::VARCHAR || '|' || ticker || '|' || volume::VARCHAR || '|' || year(date)::VARCHAR), 1, 15))::BIGINT AS h FROM bars_daily"})
 def _(spark, sf):
-    return quality.fingerprint(fx.bars_daily(spark, sf))
+    """Fingerprints of the years, and of the whole folded from them."""
+    b = fx.bars_daily(spark, sf).select("ticker", "date", "volume", F.round(F.col("close") * 100).cast("bigint").alias("close"), F.year("date").alias("year"))
+    parts = quality.fingerprint(b, ["year"])
+    both = parts.select(F.col("year").cast("string").alias("part"), "records", "fingerprint").unionByName(quality.fold_fingerprints(parts).withColumn("part", F.lit("all")))
+    return both.withColumn("fingerprint", F.col("fingerprint").cast("string"))
 
 
 @query("q14_file_checksum")
@@ -399,9 +404,13 @@ def _(spark, sf):
     return rounded(features.robust_scale(b, features.robust_stats(b.filter("split = 'train'"), ["close"]), ["close"]), 6)
 
 
-@query("e4_sequences", ("bars_daily",), "SELECT ticker, count(*) AS length FROM bars_daily WHERE date > DATE '2001-07-25' - 60 AND date <= DATE '2001-07-25' GROUP BY ticker HAVING count(*) >= 0.1 * 60")
+@query("e4_sequences", ("bars_daily",), """SELECT ticker, length, unnest(range(1, len(v) + 1)) AS place, unnest(v) AS value FROM (SELECT ticker, n AS length, list_concat(list_transform(range(2 * ((SELECT max(n) FROM g) - n)), lambda i: 0.0::DOUBLE), v, nodes) AS v FROM g)""",
+       {"g": "SELECT ticker, count(*) AS n, flatten(list([close, volume::DOUBLE] ORDER BY date)) AS v, arg_max([close, volume::DOUBLE], date) AS nodes FROM bars_daily WHERE date > DATE '2001-07-25' - 60 AND date <= DATE '2001-07-25' GROUP BY ticker HAVING count(*) >= 0.1 * 60"})
 def _(spark, sf):
-    return features.sequences(fx.bars_daily(spark, sf), ["close", "volume"], "2001-07-25", 60, 0.1).select("ticker", "length")
+    """Every value of the padded sequences, the node features after them."""
+    s = features.sequences(fx.bars_daily(spark, sf), ["close", "volume"], "2001-07-25", 60, 0.1)
+    v = F.concat(F.flatten("sequence"), "node_features")
+    return s.select("ticker", F.col("length").cast("long").alias("length"), F.posexplode(v).alias("i", "value")).select("ticker", "length", (F.col("i") + 1).cast("long").alias("place"), "value")
 
 
 @query("e6_targets", ("bars_daily",), "SELECT b.ticker, b.date, h.h AS horizon_days, round(t.close / b.close - 1, 6) AS target, (t.close IS NOT NULL)::INT AS mask FROM bars_daily b CROSS JOIN (SELECT unnest([1, 7, 30, 60]) AS h) h LEFT JOIN bars_daily t ON t.ticker = b.ticker AND t.date = b.date + h.h")
@@ -416,12 +425,27 @@ def _(spark, sf):
     return rounded(features.neighbour_means(fx.bars_daily(spark, sf).select("ticker", "date", "close"), e, ["close"]), 4)
 
 
-@query("e8_return_model")
+RIDGE = {
+    "own": f"SELECT ticker, date, close / nullif(lag(close) OVER (PARTITION BY ticker ORDER BY date), 0) - 1 AS r FROM bars_daily",
+    "x": "SELECT o.ticker, o.date, o.r, n.m FROM own o JOIN (SELECT a.ticker, b.date, sum(b.r) / count(b.r) AS m FROM metadata a JOIN metadata q ON q.sector = a.sector AND q.ticker <> a.ticker JOIN own b ON b.ticker = q.ticker GROUP BY 1, 2) n ON n.ticker = o.ticker AND n.date = o.date WHERE o.r IS NOT NULL AND n.m IS NOT NULL",
+    "dd": "SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM x)",
+    "y": "SELECT x.*, h.h, t.close / b.close - 1 AS t, CASE WHEN i <= floor(n * 0.7) THEN 'train' WHEN i <= floor(n * (0.7::DOUBLE + 0.15::DOUBLE)) THEN 'validation' ELSE 'test' END AS split FROM x JOIN dd USING (date) CROSS JOIN (SELECT unnest([1, 7, 30, 60]) AS h) h JOIN bars_daily b ON b.ticker = x.ticker AND b.date = x.date JOIN bars_daily t ON t.ticker = x.ticker AND t.date = x.date + h.h",
+    "c": "SELECT h, avg(r) AS ar, avg(m) AS am, avg(t) AS av, var_pop(r) + 0.01 AS rr, var_pop(m) + 0.01 AS mm, covar_pop(r, m) AS rm, covar_pop(r, t) AS rt, covar_pop(m, t) AS mt FROM y WHERE split = 'train' GROUP BY h",
+    "w": "SELECT h, ar, am, av, (mm * rt - rm * mt) / (rr * mm - rm * rm) AS wr, (rr * mt - rm * rt) / (rr * mm - rm * rm) AS wm FROM c",
+    "hits": "SELECT h, least(floor(abs(p) * 100), 9) AS bin, avg((sign(p) = sign(t))::INT) AS conf FROM (SELECT y.h, t, av + wr * (r - ar) + wm * (m - am) AS p FROM y JOIN w USING (h) WHERE split = 'validation') GROUP BY 1, 2",
+}
+
+
+@query("e8_return_model", ("bars_daily", "metadata"), "SELECT ticker, date AS prediction_date, h AS horizon_days, round(p, 4) AS predicted_return, round(coalesce(conf, 0.5), 4) AS confidence_score FROM (SELECT *, least(floor(abs(p) * 100), 9) AS bin FROM (SELECT x.ticker, x.date, w.h, av + wr * (r - ar) + wm * (m - am) AS p FROM x CROSS JOIN w)) LEFT JOIN hits USING (h, bin)", RIDGE)
 def _(spark, sf):
-    b = fx.bars_daily(spark, sf)
-    x = indicators.price_features(b).select("ticker", "date", "return_1", "return_5", "high_low_ratio", "price_position").dropna()
-    rows = features.temporal_split(x.join(features.targets(b), ["ticker", "date"]))
-    return rounded(features.predict_returns(x, features.fit_return_models(rows, ["return_1", "return_5", "high_low_ratio", "price_position"])), 4)
+    """Own and neighbours' returns of a day against the returns to come."""
+    b, m = fx.bars_daily(spark, sf), fx.metadata(spark, sf).select("ticker", "sector")
+    own = indicators.price_features(b).select("ticker", "date", "return_1")
+    e = m.withColumnRenamed("ticker", "src").join(m.withColumnRenamed("ticker", "dst"), "sector").filter("src != dst").select("src", "dst", F.lit(1.0).alias("weight"))
+    x = own.join(features.neighbour_means(own, e, ["return_1"]), ["ticker", "date"]).dropna()
+    rows = features.temporal_split(x).join(features.targets(b), ["ticker", "date"])
+    columns = ["return_1", "neighbour_return_1"]
+    return rounded(features.predict_returns(x, features.fit_return_models(rows, columns, penalty=0.01), columns), 4)
 
 
 @query("e5_edge_index", ("metadata",), "SELECT a.i AS src_index, b.i AS dst_index, 1.0::DOUBLE AS weight FROM t a JOIN t b ON a.sector = b.sector AND a.ticker <> b.ticker", {"t": "SELECT ticker, sector, row_number() OVER (ORDER BY ticker) - 1 AS i FROM metadata"})

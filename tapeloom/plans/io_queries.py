@@ -13,7 +13,7 @@ from tapeloom.plans import fixtures as fx
 from tapeloom.plans.bar_queries import AS_OF, _pages
 from tapeloom.plans.registry import query
 from tapeloom.plans.signal_queries import SIG
-from tapeloom.scratch import arrange
+from tapeloom.scratch import arrange, cut
 from tapeloom.scratch import folder as _folder
 from tapeloom.sources import files, payloads, sinks
 from tapeloom.streaming import streams
@@ -186,13 +186,29 @@ def _(spark, sf):
 
 @query("k10_k11_table_and_view", ("macro_long",), "SELECT date, indicator, value FROM macro_long WHERE value > 150000")
 def _(spark, sf):
-    """A declared table with its partitions, filled, and a view over it."""
+    """A declared table with its partitions and clusters, filled, and a view over it."""
     name = f"macro_{uuid.uuid4().hex}"
     sinks.create_table(spark, name, "macro")
-    rows = schemas.conform(fx.macro_long(spark, sf), schemas.table("macro"))
-    rows.select(*spark.table(name).columns).write.insertInto(name)
+    sinks.insert_clustered(schemas.conform(fx.macro_long(spark, sf), schemas.table("macro")), name)
     sinks.create_view(spark, f"{name}_view", f"SELECT date, indicator, value FROM {name} WHERE value > 150000")
-    return spark.table(f"{name}_view")
+    return _kept(spark, spark.table(f"{name}_view"), name, f"{name}_view")
+
+
+def _kept(spark, df, *tables: str):
+    """The rows of a table or view, written to the shared folder; the tables themselves go."""
+    rows = cut(df, "rows")
+    for t in tables:
+        sinks.drop_table(spark, t)
+    return rows
+
+
+@query("k10_cluster_filter", ("bars_daily",), "SELECT ticker, date, close FROM bars_daily WHERE ticker = 'NATION_3' AND date >= DATE '2000-01-01'")
+def _(spark, sf):
+    """One cluster of a partitioned table: a filter on the cluster column reads its bucket alone."""
+    name = f"bars_{uuid.uuid4().hex}"
+    sinks.create_table(spark, name, "bars_daily", partition="year int")
+    sinks.insert_clustered(schemas.conform(fx.bars_daily(spark, sf), schemas.table("bars_daily")).withColumn("year", F.year("date")), name)
+    return _kept(spark, spark.table(name).filter("ticker = 'NATION_3' AND date >= DATE '2000-01-01'").select("ticker", "date", "close"), name)
 
 
 @query("k12_copy_table", ("metadata",), "SELECT ticker, sector, NULL::INT AS rating FROM metadata")
@@ -205,7 +221,23 @@ def _(spark, sf):
     sinks.drop_table(spark, name)
     if sinks.describe(spark, f"{name}_copy").filter("col_name = 'rating'").count() != 1:
         raise AssertionError("the copy lacks its new column")
-    return spark.table(f"{name}_copy")
+    return _kept(spark, spark.table(f"{name}_copy"), f"{name}_copy")
+
+
+@query("s3_latest_of_files", ("bars_daily",), "SELECT ticker, date, close FROM bars_daily WHERE year(date) = (SELECT max(year(date)) FROM bars_daily)")
+def _(spark, sf):
+    """The greatest partition of a folder; its files alone are read."""
+    path = _folder(spark, "bars")
+    sinks.write_partitioned(fx.bars_daily(spark, sf).select("ticker", "date", "close", F.year("date").alias("year")), path, ["year"])
+    return files.latest_partition(spark, path, "year").select("ticker", "date", "close")
+
+
+@query("s4_partition_folders", ("bars_daily",), "SELECT DISTINCT year(date)::INT AS year FROM bars_daily")
+def _(spark, sf):
+    """Partitions by the names of their folders."""
+    path = _folder(spark, "bars")
+    sinks.write_partitioned(fx.bars_daily(spark, sf).select("ticker", "close", F.year("date").alias("year")), path, ["year"])
+    return files.partitions(spark, path, "year")
 
 
 @query("k14_retention_policy", ("bars_daily", "macro_long"), f"SELECT 'bars_daily' AS dataset, date FROM bars_daily WHERE date >= DATE '{AS_OF}' - 365 UNION ALL SELECT 'macro', date FROM macro_long")

@@ -184,11 +184,31 @@ def _(spark, sf):
     return signals.latest_model(models)
 
 
-@query("r12_deployment_gate", P, f"""SELECT count(*) AS horizons, count(*) FILTER (d >= 0.40 AND x >= -50) AS passed, count(*) FILTER (d >= 0.40 AND x >= -50) >= 2 AS deploy FROM (SELECT horizon_days, avg({HIT}) AS d, avg(s - 0.02 / 252) / stddev_pop(s - 0.02 / 252) * sqrt(252) AS x FROM ev GROUP BY horizon_days)""", EV)
+GATE = PD | {
+    "top": "SELECT *, max(c) OVER (PARTITION BY horizon_days ORDER BY prediction_date ROWS UNBOUNDED PRECEDING) AS m FROM cum", "fall": "SELECT horizon_days, min((c - m) / m) AS m FROM top GROUP BY 1",
+    "gate": f"SELECT horizon_days, avg({HIT}) AS d, avg(s - 0.02 / 252) / stddev_pop(s - 0.02 / 252) * sqrt(252) AS x FROM ev GROUP BY horizon_days"}
+
+
+@query("r12_deployment_gate", P, "SELECT count(*) AS horizons, count(*) FILTER (d >= 0.40 AND x >= -50 AND m >= -0.9) AS passed, count(*) FILTER (d >= 0.40 AND x >= -50 AND m >= -0.9) >= 2 AS deploy FROM gate JOIN fall USING (horizon_days)", GATE)
 def _(spark, sf):
+    """All three limits, the fall of one hundredth of the capital a day among them."""
     e = _evaluated(spark, sf)
-    m = metrics.direction(e).join(metrics.ratios(e), "horizon_days").withColumn("max_drawdown", F.lit(None).cast("double"))
-    return signals.deployment_gate(m, 0.40, -50.0)
+    fall = metrics.drawdown(metrics.per_date(e), ["prediction_date"], stake=0.01).select("horizon_days", "max_drawdown")
+    return signals.deployment_gate(metrics.direction(e).join(metrics.ratios(e), "horizon_days").join(fall, "horizon_days"), 0.40, -50.0, -0.9)
+
+
+FULL = EV | {
+    "pd": "SELECT horizon_days, prediction_date, avg(predicted_return) AS p, avg(actual_return) AS a FROM ev GROUP BY 1, 2", "sm": "SELECT horizon_days, prediction_date, greatest(least(sign(p) * a, 0.5), -0.5) AS s FROM pd",
+    "cum": "SELECT *, product(1 + s) OVER w AS c FROM sm WINDOW w AS (PARTITION BY horizon_days ORDER BY prediction_date ROWS UNBOUNDED PRECEDING)",
+    "top": "SELECT *, max(c) OVER (PARTITION BY horizon_days ORDER BY prediction_date ROWS UNBOUNDED PRECEDING) AS m FROM cum"}
+
+
+@query("r13h_full_stake", P, "SELECT horizon_days, round(min((c - m) / m), 6) AS max_drawdown, round(coalesce(avg(s) * 252 / nullif(abs(min((c - m) / m)), 0), 0), 5) AS calmar_ratio FROM top GROUP BY horizon_days", FULL)
+def _(spark, sf):
+    """The whole capital in each day's trade; a day's return is held within a half, as invented prices jump."""
+    d = metrics.per_date(_evaluated(spark, sf))
+    held = d.withColumn("actual_return", F.greatest(F.least("actual_return", F.lit(0.5)), F.lit(-0.5)))
+    return rounded(metrics.drawdown(held, ["prediction_date"]), {"max_drawdown": 6, "calmar_ratio": 5})
 
 
 @query("r14_portfolio", P, "SELECT horizon_days, prediction_date, round(sum(weight * predicted_return), 6) AS predicted_return, round(sum(weight * actual_return), 6) AS actual_return, round(sum(abs(weight)), 6) AS exposure FROM al JOIN a USING (ticker, prediction_date, horizon_days) WHERE actual_return IS NOT NULL GROUP BY 1, 2",

@@ -135,10 +135,33 @@ def write_many(frames: dict[str, DataFrame], path: str) -> None:
     write_partitioned(all_rows, path, ["dataset"])
 
 
-def create_table(spark: SparkSession, name: str, table: str, database: str = "default") -> None:
+BUCKETS = 16
+
+
+def create_table(spark: SparkSession, name: str, table: str, database: str = "default", partition: str | None = None, buckets: int = BUCKETS) -> None:
+    """A declared table with its partition and its clusters: rows lie in buckets by the first cluster column, sorted by all.
+
+    A filter on the first cluster column reads one bucket, and joins and aggregates on it need no exchange. `partition`
+    (name and type) takes the place of the declared one, which has a folder a day.
+    """
     t = schemas.table(table)
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}{'' if f.nullable else ' NOT NULL'}" for f in t.schema)
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet" + (f" PARTITIONED BY ({t.partition})" if t.partition else ""))
+    more = [f"`{partition.split()[0]}` {partition.split()[1]}"] if partition else []
+    columns = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}{'' if f.nullable else ' NOT NULL'}" for f in t.schema], *more])
+    by = partition.split()[0] if partition else t.partition
+    cluster = f" CLUSTERED BY ({t.cluster[0]}) SORTED BY ({', '.join(t.cluster)}) INTO {buckets} BUCKETS" if t.cluster and t.cluster[0] != by else ""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet" + (f" PARTITIONED BY ({by})" if by else "") + cluster)
+
+
+def insert_clustered(df: DataFrame, name: str) -> None:
+    """Append rows to a table by name of column; where it has buckets, a task writes few of them and one file each."""
+    spark = df.sparkSession
+    target = spark.table(name)
+    found = describe(spark, name).filter("col_name in ('Num Buckets', 'Bucket Columns')").collect()
+    facts = {r["col_name"]: r["data_type"] for r in found}
+    rows = df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in target.schema])
+    if "Num Buckets" in facts:
+        rows = rows.repartition(int(facts["Num Buckets"]), facts["Bucket Columns"].strip("[]`"))
+    rows.write.insertInto(name)
 
 
 def create_view(spark: SparkSession, name: str, sql: str) -> None:
@@ -150,7 +173,9 @@ def copy_table(spark: SparkSession, source: str, target: str) -> None:
 
 
 def drop_table(spark: SparkSession, name: str) -> None:
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    """Drop a table or a view."""
+    kind = "VIEW" if spark.catalog.tableExists(name) and spark.catalog.getTable(name).tableType == "VIEW" else "TABLE"
+    spark.sql(f"DROP {kind} IF EXISTS {name}")
 
 
 def add_columns(spark: SparkSession, name: str, ddl: str) -> None:

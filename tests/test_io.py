@@ -1,6 +1,9 @@
 """Files, tables, upserts and streams."""
 
 import datetime as dt
+import os
+import re
+from urllib.parse import unquote
 
 import pytest
 from pyspark.sql import functions as F
@@ -225,3 +228,37 @@ def test_long_paths_are_followed_to_their_end(spark):
     pairs = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}", 1.0) for i in range(53)], "u string, v string, weight double")
     h = graph.hops(pairs, spark.createDataFrame([("n00",)], "node string"))
     assert h.agg(F.max("hop"), F.count("*")).first()[:] == (53, 54)
+
+
+def test_clusters_are_declared_and_prune(spark):
+    """A table of bars by ticker: DESCRIBE shows the clusters, and a filter on a ticker reads one bucket of each partition."""
+    sinks.drop_table(spark, "clustered_bars")
+    sinks.create_table(spark, "clustered_bars", "bars_daily", partition="year int", buckets=8)
+    rows = spark.range(400).selectExpr("concat('T', id % 20) AS ticker", "date_add(date'2023-01-01', cast(id AS int)) AS date", "1.0D AS close")
+    sinks.insert_clustered(rows.withColumn("year", F.year("date")), "clustered_bars")
+    shown = {r["col_name"]: r["data_type"] for r in sinks.describe(spark, "clustered_bars").collect()}
+    assert shown["Num Buckets"] == "8" and shown["Bucket Columns"] == "[`ticker`]" and shown["Sort Columns"] == "[`ticker`]"
+    one = spark.table("clustered_bars").filter("ticker = 'T3'")
+    rows_of = one.select("_metadata.file_path").distinct().collect()
+    own = {re.search(r"_(\d{5})\.", r[0]).group(1) for r in rows_of}
+    every = spark.table("clustered_bars").inputFiles()
+    others = [f for f in every if re.search(r"_(\d{5})\.", f).group(1) not in own]
+    assert len(own) == 1 and len(others) > len(every) / 2 and spark.table("clustered_bars").count() == 400
+    for f in others:  # a scan of them would fail now
+        os.remove(unquote(f.removeprefix("file:")).replace("//", "/"))
+    assert one.count() == 20
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+        spark.table("clustered_bars").agg(F.sum("close")).collect()
+    sinks.drop_table(spark, "clustered_bars")
+
+
+def test_fingerprints_name_what_differs(spark):
+    from tapeloom.operators import quality
+
+    a = spark.createDataFrame([(1, "x", 1.5), (1, "x", 1.5), (2, "y|z", None), (3, None, 2.0), (None, "n", 0.0)], "p int, s string, v double")
+    b = spark.createDataFrame([(1, "x", 1.5), (1, "x", 1.5), (2, "y|z", 7.0), (4, None, 2.0), (None, "n", 0.0)], "p int, s string, v double")
+    assert quality.fold_fingerprints(quality.fingerprint(a, ["p"])).collect() == quality.fingerprint(a).collect()
+    assert sorted(r["p"] for r in quality.differing_partitions(a, b, ["p"]).collect()) == [2, 3, 4]
+    assert quality.differing_partitions(a, a.repartition(5), ["p"]).count() == 0
+    spelled = [quality.fingerprint(spark.createDataFrame([r], "a string, b string")).first()[1] for r in (("x", None), ("x", "n"), ("x|", "n"), ("x", "|n"), (None, "x"))]
+    assert len(set(spelled)) == 5
