@@ -29,12 +29,12 @@ from tapeloom.llm.common import Rounds, cut, shuffle_partitions, small, table, t
 # Letters a to z and those from U+00C0 to U+00FF; their code points fit a byte each.
 LETTERS = [*range(0x61, 0x7B), *range(0xC0, 0x100)]
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
-CELL = 2048  # points of a cell
-LEAF = 32  # points at a leaf of a cell's own tree
-QUERIES = 16 * CELL  # queries that meet a block of points in one group
+CELL = 16_384  # points of a cell
+LEAF = 64  # points at a leaf of a cell's own tree
+QUERIES = 2 * CELL  # queries that meet a block of points in one group
 SAMPLE = 200_000  # words that the upper trees are fitted to
 HELD = 300_000  # words counted in a task before they move on
-COMPARED = 1 << 22  # letters compared at once
+COMPARED = 1 << 22  # letters, or pairs of words, compared at once
 CELL_LIMIT = 500_000
 _DIM = np.zeros(256, np.int64)
 _DIM[LETTERS] = np.arange(len(LETTERS))
@@ -112,12 +112,12 @@ class Tree:
         the first, so a tree depends on its vectors alone."""
         best, found = 0, None
         for dim in np.flatnonzero(v.min(axis=0) < v.max(axis=0)).tolist():
-            values, n = np.unique(v[:, dim], return_counts=True)
-            below = np.cumsum(n)[:-1]
+            least = int(v[:, dim].min())
+            below = np.cumsum(np.bincount(v[:, dim] - least))[:-1]
             part = np.minimum(below, len(v) - below)
             k = int(part.argmax())
             if part[k] > best:
-                best, found = int(part[k]), (dim, int(values[k]))
+                best, found = int(part[k]), (dim, least + k)
         return found
 
     def search(self, queries: np.ndarray, reach: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -140,13 +140,22 @@ class Tree:
                     stack.append((child, rows[near], d[near], box | {dim: side}))
 
 
-def verified(short: np.ndarray, long: np.ndarray) -> np.ndarray:
-    """Which rows of codes differ by exactly one edit; `long` has the same length or a letter more."""
-    out = np.zeros(len(short), bool)
+def thermometer(v: np.ndarray) -> np.ndarray:
+    """Counts as 128 bits: of each letter one bit a level that the count passes. The bits in which two words differ are
+    their L1 distance, or fewer where counts go beyond the levels."""
+    levels = 128 // v.shape[1]
+    on = np.zeros((len(v), 128), bool)
+    on[:, : levels * v.shape[1]] = (v[:, :, None] > np.arange(levels)).reshape(len(v), -1)
+    return np.packbits(on, axis=1).view(np.uint64)
+
+
+def verified(short: np.ndarray, long: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Which pairs of rows of codes differ by exactly one edit; `long` has the same length or a letter more."""
+    out = np.zeros(len(one), bool)
     width = short.shape[1]
-    step = max(1, COMPARED // max(1, width))
-    for i in range(0, len(short), step):
-        x, y = short[i : i + step], long[i : i + step]
+    step = max(1, COMPARED // width)
+    for i in range(0, len(one), step):
+        x, y = short[one[i : i + step]], long[two[i : i + step]]
         if y.shape[1] == width:
             out[i : i + step] = (x != y).sum(axis=1) == 1
         else:  # equal letters from the left and from the right meet
@@ -164,22 +173,23 @@ def near_in(points: list[str], queries: list[str]) -> tuple[np.ndarray, np.ndarr
     vp, vq = letter_counts(p), letter_counts(q)
     used = np.flatnonzero(vp.any(axis=0) | vq.any(axis=0))
     vp, vq = vp[:, used], vq[:, used]
-    kind = np.int32 if p.shape[1] > 120 else np.int8
-    vp, vq = vp.astype(kind), vq.astype(kind)
     distance = 2 if p.shape[1] == q.shape[1] else 1
     tree = Tree(vp, len(used), LEAF)
+    (p0, p1), (q0, q1) = thermometer(vp).T, thermometer(vq).T
     one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for leaf, rows in tree.search(vq.astype(np.int64), np.full(len(vq), distance)):
+    for leaf, rows in tree.search(vq, np.full(len(vq), distance)):
         members = tree.members[leaf]
-        step = max(1, COMPARED // (len(members) * len(used)))  # a leaf of like words may be large
+        step = max(1, COMPARED // len(members))  # a leaf of like words may be large
         for i in range(0, len(rows), step):
             part = rows[i : i + step]
-            a, b = np.nonzero(np.abs(vq[part][:, None, :] - vp[members][None, :, :]).sum(axis=2, dtype=np.int64) == distance)
-            a, b = part[a], members[b]
-            fine = verified(q[a], p[b])
-            one.append(a[fine])
-            two.append(b[fine])
-    return np.concatenate(one), np.concatenate(two)
+            apart = np.bitwise_count(q0[part][:, None] ^ p0[members][None, :])
+            apart += np.bitwise_count(q1[part][:, None] ^ p1[members][None, :])
+            a, b = np.nonzero(apart <= distance)
+            one.append(part[a])
+            two.append(members[b])
+    one, two = np.concatenate(one), np.concatenate(two)
+    fine = verified(q, p, one, two)
+    return one[fine], two[fine]
 
 
 def upper_trees(words: DataFrame, total: int) -> dict[int, Tree]:
