@@ -28,6 +28,7 @@ REMEMBERED = 300_000  # stretches in each of two tables
 LONGEST_REMEMBERED = 48
 BATCH_CHARS = 4_000_000
 START, NONE = -2, -1
+PROBES = ("a  b ", "  a", "a", " ", "ﬁ Ａ\tb", "İ ß", "\r\n\n x", "🙂é́", "Hello worlds, of tokens")
 _STRETCH = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -57,6 +58,15 @@ class Pieces(dict):
             self.out[i] = p.replace(SPACE, " ").encode()
         for b, i in self.byte.items():
             self.out[i] = bytes([b])
+        self.check(sp)
+
+    def check(self, sp) -> None:
+        """Raise unless the library encodes alike: a unigram or word model, a normaliser, other rules for spaces, and pieces
+        that hold a space inside are models of another kind."""
+        plain = [p.replace(SPACE, " ") for p in self.text.values()]
+        probes = [*PROBES, *["".join(plain[i::97])[:2000] for i in range(0, 97, 8)]]
+        if any(SPACE in p.lstrip(SPACE) for p in self.id) or any(list(np.frombuffer(self.encode(t), np.int32)) != sp.encode(t) for t in probes):
+            raise ValueError("not a BPE model with the identity normaliser, byte fallback and a space put before the text")
 
     def merge(self, s: str) -> list[str]:
         """The model's merges as they are defined: the best pair first, of equal ones the leftmost."""
@@ -231,8 +241,10 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
 
     Null and empty texts have no ids. The character U+2581 stands for a space in the model, so a text that
     holds it comes back with spaces there, and counts as a round trip then. Repeated rows are encoded alike. Texts
-    of any length are encoded as a whole. An empty table gives an empty result; other columns aren't read.
+    of any length are encoded as a whole. An empty table gives an empty result; other columns aren't read. A model of
+    another kind than BPE with the identity normaliser is an error, which is raised here.
     """
+    loaded(model)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -231,3 +231,16 @@ def test_encode_and_decode_frames(spark, model, extra):
     odd = spark.createDataFrame([(1, None), (2, []), (3, [10**6, -1, None])], "doc_id long, ids array<int>")
     assert [r["text"] for r in pieces.decode(odd, model).orderBy("doc_id").collect()] == [None, "", ""]
     assert pieces.encode(documents(spark, []), model).agg(F.count("*")).first()[0] == 0
+
+
+def test_models_of_another_kind_are_refused(spark):
+    """The public model as a unigram one, and without the space put before the text."""
+    data = pieces.model_bytes()
+    at = data.rindex(b"\x18\x02")
+    unigram = data[:at] + b"\x18\x01" + data[at + 2 :]
+    at = data.rindex(b"identity\x12\x00\x18\x01")
+    bare = data[: at + 11] + b"\x00" + data[at + 12 :]
+    for model in (unigram, bare):
+        with pytest.raises(ValueError, match="not a BPE model"):
+            pieces.encode(documents(spark, [(1, "a", None, None)]), model)
+    assert pieces.loaded(data).text
