@@ -36,10 +36,11 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]{16,}", 0, 20, True),
     Rule("hex", r"[0-9a-f]{24,}", 0, 24, True),
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, False),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 1, False),
+    # bounded before each dot, so that a run of many beginnings isn't read to its end from each of them
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,300}\.[A-Za-z0-9_-]{10,1000}\.[A-Za-z0-9_-]{10,}", 0, 1, False),
     Rule("forge", r"gh[opsu]_[A-Za-z0-9]{36,}", 0, 1, False),
 )
-RULE_VERSION = "2024-1"
+RULE_VERSION = "2024-2"
 LEDGER = "blob string, rule_version string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
