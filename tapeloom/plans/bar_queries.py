@@ -26,9 +26,9 @@ A1 = "SELECT ticker, date, arg_min(open, datetime) AS open, max(high) AS high, m
 @query("flagship_daily_signal", ("bars_hourly",), f"""SELECT ticker, date, close, round(ret, 6) AS ret, round(sma_20, 6) AS sma_20, round(sma_20 + 2 * sd, 4) AS bb_upper, round(sma_20 - 2 * sd, 4) AS bb_lower,
  (CASE WHEN close > sma_20 + 2 * sd THEN 'SELL' WHEN close < sma_20 - 2 * sd THEN 'BUY' ELSE 'HOLD' END) AS flag
  FROM (SELECT *, close / nullif(lag(close) OVER {W}, 0) - 1 AS ret, {roll('avg', 'close', 20)} AS sma_20, {roll('stddev_pop', 'close', 20)} AS sd FROM daily)""", {"daily": A1})
-def flagship(spark, sf):
+def flagship(spark, sf, least_hours=6):
     """Ticks to hours to days, return, mean, bands and a flag."""
-    b = indicators.bollinger(bars.hourly_to_daily(fx.bars_hourly(spark, sf)))
+    b = indicators.bollinger(bars.hourly_to_daily(fx.bars_hourly(spark, sf), least_hours=least_hours))
     b = b.withColumn("ret", F.try_divide(F.col("close"), F.lag("close").over(series())) - 1)
     flag = F.when(F.col("bb_overbought") == 1, "SELL").when(F.col("bb_oversold") == 1, "BUY").otherwise("HOLD")
     return b.select("ticker", "date", "close", F.round("ret", 6).alias("ret"), F.round("bb_middle", 6).alias("sma_20"), F.round("bb_upper", 4).alias("bb_upper"), F.round("bb_lower", 4).alias("bb_lower"), flag.alias("flag"))
