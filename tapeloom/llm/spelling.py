@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import Rounds, cut, shuffle_partitions, small, table, text_batches, unit_hash, whole_groups
+from tapeloom.llm.common import Rounds, cut, shuffle_partitions, small, table, text_batches, unit_hash
 
 # Letters a to z and those from U+00C0 to U+00FF; their code points fit a byte each.
 LETTERS = [*range(0x61, 0x7B), *range(0xC0, 0x100)]
@@ -34,6 +34,7 @@ LEAF = 64  # points at a leaf of a cell's own tree
 QUERIES = 2 * CELL  # queries that meet a block of points in one group
 SAMPLE = 200_000  # words that the upper trees are fitted to
 HELD = 300_000  # words counted in a task before they move on
+AT_ONCE = 20_000  # rows handed on at once
 COMPARED = 1 << 22  # letters, or pairs of words, compared at once
 CELL_LIMIT = 500_000
 _DIM = np.zeros(256, np.int64)
@@ -206,6 +207,38 @@ def upper_trees(words: DataFrame, total: int) -> dict[int, Tree]:
     return trees
 
 
+def _gathered(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """Batches put together to some `rows` at a time."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        held.append(pdf)
+        if sum(map(len, held)) >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+    if any(map(len, held)):
+        yield pd.concat(held, ignore_index=True)
+
+
+def _groups(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[pd.DataFrame]:
+    """Frames of one group each, from batches sorted by `key`; a group over many batches is put together once."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        k = pdf[key].to_numpy()
+        cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(pdf)]
+        if held and tuple(held[-1][key].iloc[-1]) != tuple(k[0]):
+            yield pd.concat(held, ignore_index=True)
+            held = []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            held.append(pdf.iloc[lo:hi])
+            if hi < len(pdf):
+                yield pd.concat(held, ignore_index=True)
+                held = []
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 PLACED = "size int, leaf int, kind int, word string, n long"
 
 
@@ -214,14 +247,19 @@ def placed(words: DataFrame, trees: dict[int, Tree]) -> DataFrame:
     shared = words.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches):
-        trees = shared.value
-        for pdf in batches:
-            for size, g in pdf.groupby(pdf["word"].str.len()):
-                v = letter_counts(codes(g["word"].tolist())).astype(np.int64)
+        for pdf in _gathered(batches, SAMPLE):
+            word, n = pdf["word"].to_numpy(object), pdf["n"].to_numpy()
+            sizes, found = np.array([len(w) for w in word]), []
+            for size in np.unique(sizes).tolist():
+                own = np.flatnonzero(sizes == size)
+                v = letter_counts(codes(word[own].tolist()))
                 for kind, length, reach in ((0, size, 0), (1, size, 2), (2, size + 1, 1)):
-                    found = trees[length].search(v, np.full(len(v), reach)) if length in trees else [(0, np.arange(len(v)))]
-                    for leaf, rows in found:
-                        yield g.iloc[rows].assign(size=length, leaf=leaf, kind=kind)[["size", "leaf", "kind", "word", "n"]]
+                    leaves = shared.value[length].search(v, np.full(len(v), reach)) if length in shared.value else [(0, np.arange(len(v)))]
+                    found += [(length, leaf, kind, own[rows]) for leaf, rows in leaves]
+            for length, leaf, kind, rows in found:
+                for i in range(0, len(rows), AT_ONCE):
+                    part = rows[i : i + AT_ONCE]
+                    yield pd.DataFrame({"size": np.int32(length), "leaf": np.int32(leaf), "kind": np.int32(kind), "word": word[part], "n": n[part]})
 
     return words.mapInPandas(run, PLACED)
 
@@ -241,9 +279,8 @@ def near_words(words: DataFrame) -> DataFrame:
     dealt = j.withColumn("p", F.explode(F.when(point, F.array(spot("ps"))).otherwise(every("ps")))).withColumn("q", F.explode(F.when(point, every("qs")).otherwise(F.array(spot("qs")))))
 
     def run(batches):
-        for pdf in whole_groups(batches, key):
-            for _, g in pdf.groupby(key, sort=False):
-                yield _answers(g)
+        for g in _groups(batches, key):
+            yield _answers(g)
 
     ordered = dealt.select(*key, "kind", "word", "n").repartition(shuffle_partitions(spark), *key).sortWithinPartitions(*key)
     found = ordered.mapInPandas(run, "word string, n_near long, n long, near string")
