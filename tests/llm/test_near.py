@@ -180,7 +180,7 @@ def test_words_of_equal_hashes_stay_apart(spark):
     """The word hash can be inverted step by step, so two words of equal hashes can be made; the words themselves decide."""
     texts = ["q1bbwh0m4alxlrsi", "4tw4hj99t426c05e", "Q1BBWH0M4alxlrsi ", "b a b a b", "a b a b a"]
     assert len({s.tobytes() for s in shingles.shingle_sets(texts[:2], 5)}) == 1
-    for width in (1, 2, 5):
+    for width in (1, 5):
         want = plain_components(5, [(0, 2), (3, 4)] if width < 5 else [(0, 2)])
         got = minhash_dedup.near_dedup(documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), width=width).collect()
         assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(want))
