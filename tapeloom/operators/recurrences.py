@@ -196,12 +196,12 @@ def _segments(bars: DataFrame, time: str, span: str) -> DataFrame:
     return sorted_.mapInArrow(run, f"ticker {kind}, part date, number long, rows array<struct<{fields}>>, priced long, last_high double, last_low double, last_close double")
 
 
-def _with(segments: DataFrame, more: DataFrame) -> DataFrame:
-    """Segments with columns that another table has for each of them, broadcast below a checked number of segments."""
+def _with(segments: DataFrame, more: DataFrame, few: bool) -> DataFrame:
+    """Segments with columns that another table has for each of them, which is broadcast where these are few."""
     names = {k: f"_{k}" for k in KEY}
     m = more.withColumnsRenamed(names)
     on = F.col("ticker").eqNullSafe(F.col("_ticker")) & F.col("part").eqNullSafe(F.col("_part")) & (F.col("number") == F.col("_number"))
-    return segments.join(F.broadcast(m) if more.count() <= SMALL else m, on).drop(*names.values())
+    return segments.join(F.broadcast(m) if few else m, on).drop(*names.values())
 
 
 def _folded(steps: DataFrame, kind: str) -> DataFrame:
@@ -251,6 +251,7 @@ def recursive(bars: DataFrame, time: str = "date", span: str = "year", p: Period
     before = Window.partitionBy("ticker").orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # a row a segment
     last = {f"p{c[0]}": F.last(f"last_{c}", ignorenulls=True).over(before) for c in ("high", "low", "close")}
     starts = cut(segs.select(*KEY, F.coalesce(F.sum("priced").over(before), F.lit(0)).alias("at"), *[c.alias(k) for k, c in last.items()]), "starts")
+    few = starts.count() <= SMALL  # a row a segment, in all tables of states
     prices = [F.col("rows")[c].alias(c) for c in PRICES]
     number, second_number = len(p.means()) + len(p.wilder()) + 1, 3
 
@@ -268,9 +269,9 @@ def recursive(bars: DataFrame, time: str = "date", span: str = "year", p: Period
         return pa.RecordBatch.from_arrays([*[batch.column(c) for c in KEY], *lists], [*KEY, "a", "b"])
 
     step_schema = f"ticker {kind}, part date, number long, a array<double>, b array<double>"
-    placed = _with(segs, starts).select(*KEY, "at", "ph", "pl", "pc", *prices)
+    placed = _with(segs, starts, few).select(*KEY, "at", "ph", "pl", "pc", *prices)
     one = cut(_folded(placed.mapInArrow(lambda bs: (steps(b, 1) for b in bs), step_schema), kind), "first")
-    two = cut(_folded(_with(placed, one).mapInArrow(lambda bs: (steps(b, 2) for b in bs), step_schema), kind), "second")
+    two = cut(_folded(_with(placed, one, few).mapInArrow(lambda bs: (steps(b, 2) for b in bs), step_schema), kind), "second")
     fields, columns, flags = bars.schema, p.columns(), p.flags()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,5 +294,5 @@ def recursive(bars: DataFrame, time: str = "date", span: str = "year", p: Period
             yield pa.RecordBatch.from_arrays([*rows.flatten(), *[pa.array(out[c], from_pandas=True) for c in columns], *[pa.array(out[c].astype(np.int32)) for c in flags]], [*fields.names, *columns, *flags])
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], *[f"`{c}` double" for c in columns], *[f"`{c}` int" for c in flags]])
-    full = _with(_with(_with(segs, starts), one), two.withColumnRenamed("state", "state2"))
+    full = _with(_with(_with(segs, starts, few), one, few), two.withColumnRenamed("state", "state2"), few)
     return full.select("at", "ph", "pl", "pc", "state", "state2", *prices, "rows").mapInArrow(run, schema)
