@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeloom import schemas
 from tapeloom.operators.bars import keep_one
@@ -19,10 +20,16 @@ from tapeloom.scratch import cut as staged
 from tapeloom.scratch import remove, swap
 
 
-def stored(spark: SparkSession, path: str) -> DataFrame | None:
-    """The dataset at a path, or None if there is none yet."""
+def stored(spark: SparkSession, path: str, like: DataFrame | None = None, by: list[str] = ()) -> DataFrame | None:
+    """The dataset at a path, or None if there is none yet. Partition columns `by` are of the types that `like` has, so
+    that a text in the name of a folder (as "001") isn't read as a number."""
     try:
-        return spark.read.parquet(path)
+        df = spark.read.parquet(path)
+        if like is None:
+            return df
+        kinds = {f.name: f.dataType for f in like.schema if f.name in by}
+        wanted = T.StructType([T.StructField(f.name, kinds.get(f.name, f.dataType)) for f in df.schema])
+        return df if [f.dataType for f in wanted] == [f.dataType for f in df.schema] else spark.read.schema(wanted).parquet(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
             return None
@@ -58,7 +65,7 @@ def replace_partitions(rows: DataFrame, path: str, by: list[str], touched: DataF
     Partitions that have no row any more lose their folders, after the others are written.
     """
     spark = rows.sparkSession
-    folders = spark.read.parquet(path).select(*by, F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("_folder"))
+    folders = stored(spark, path, rows, by).select(*by, F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("_folder"))
     emptied = _matching(_matching(folders, touched, by, "left_semi"), rows, by, "left_anti").select("_folder").distinct().collect()  # as many as partitions are touched
     write_partitioned(rows, path, by, replace_touched=True)
     for r in emptied:
@@ -73,7 +80,7 @@ def upsert(df: DataFrame, path: str, keys: list[str], by: list[str] = (), latest
     """
     order = [F.col(latest).desc_nulls_last()] if latest else []
     df = staged(keep_one(df, keys, [*order, F.xxhash64(*df.columns)]))
-    old = stored(df.sparkSession, path)
+    old = stored(df.sparkSession, path, df, by)
     if old is None:
         return write_partitioned(df, path, by)
     if not by:
@@ -85,7 +92,7 @@ def upsert(df: DataFrame, path: str, keys: list[str], by: list[str] = (), latest
 
 def append_new(df: DataFrame, path: str, keys: list[str], by: list[str] = ()) -> int:
     """Append the rows whose key isn't there yet (and once each); how many were appended. A null key is a key."""
-    old = stored(df.sparkSession, path)
+    old = stored(df.sparkSession, path, df, by)
     new = df.dropDuplicates(keys)
     new = staged(_matching(new, old, keys, "left_anti") if old is not None else new)
     n = new.count()

@@ -205,6 +205,15 @@ def test_upsert_moves_a_key_between_partitions(spark, tmp_path):
     assert [r["y"] for r in files.partitions(spark, p, "y").collect()] == [2001, 2002, 2003]
 
 
+def test_partitions_named_like_numbers_stay_texts(spark, tmp_path):
+    p = str(tmp_path / "t")
+    rows = lambda x: spark.createDataFrame(x, "k int, d string, v double")
+    sinks.upsert(rows([(1, "001", 1.0), (2, "1", 2.0), (3, "002", 3.0)]), p, ["k"], ["d"])
+    sinks.upsert(rows([(1, "001", 5.0), (3, "1", 6.0)]), p, ["k"], ["d"])
+    assert sorted(f.name for f in (tmp_path / "t").iterdir() if f.name.startswith("d=")) == ["d=001", "d=1"]
+    assert sorted(tuple(r) for r in sinks.stored(spark, p, rows([]), ["d"]).select("k", "d", "v").collect()) == [(1, "001", 5.0), (2, "1", 2.0), (3, "1", 6.0)]
+
+
 def test_null_keys_are_appended_once(spark, tmp_path):
     p = str(tmp_path / "t")
     df = spark.createDataFrame([(None, "a"), (1, "a"), (1, None)], "k int, d string")
