@@ -3,9 +3,9 @@
 Every row gets a 64-bit key of its text. A directory of 2**depth slots, taken by a key's leading bits, points to
 buckets, and it doubles while a bucket holds more entries than its capacity. The index lies in one file a range of
 buckets, the range of an owner task, with one entry a key. Keys that one row has are settled by their entry. For the
-others the rows look up their bucket, the texts go there, summed up before they travel, and the owner compares their
-bytes: texts that share a key by chance are entries of one chain. The chains are written beside the index and the
-rows find their class in them.
+others the rows look up their bucket and the texts go to its owner, summed up before they travel, so that a hot text
+comes SPREAD times at most. The owner compares their bytes: texts that share a key by chance are entries of one
+chain. The chains are written beside the index and the rows find their class in them.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from tapeloom.llm.common import cut, shuffle_partitions, small, table
 MAX_DEPTH = 40
 MOST_SLOTS = 1 << 14
 KEY_LIMIT = 1_000_000  # shared keys that are broadcast, of 16 bytes each
+SPREAD = 16  # tasks that sum up the copies of one text
 
 
 def slot(depth: int):
@@ -82,10 +83,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = buckets.filter("n_rows > 1").select("bucket", "key")
     n_shared = shared.count()
     texts = look_up(rows).join(small(shared, n_shared, KEY_LIMIT), ["bucket", "key"])
-    # copies are summed up where they lie, so a hot text travels once a task; its bytes are compared here
-    summed = texts.groupBy("bucket", "key", "t").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # copies are summed up where they lie and then in SPREAD tasks, so that a hot text reaches its owner a few times
+    sums = [F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")]
+    parts = texts.groupBy("bucket", "key", "t", (F.spark_partition_id() % SPREAD).alias("part")).agg(*sums)
+    # the ranges of the owners serve both the comparison of bytes and the chains: nothing moves between them
+    compared = owned(parts).groupBy("bucket", "key", "t").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
     place = F.row_number().over(Window.partitionBy("bucket", "key").orderBy("sha")) - 1
-    classes = cut(owned(summed.select("bucket", "key", F.sha2("t", 256).alias("sha"), "keep_id", "group_size")).withColumn("chain", place), "chains")
+    classes = cut(compared.select("bucket", "key", F.sha2("t", 256).alias("sha"), "keep_id", "group_size").withColumn("chain", place), "chains")
     n_classes = classes.count()
     found = look_up(index).join(small(classes, n_classes, KEY_LIMIT // 4), ["bucket", "key", "sha"], "left")  # a hundred bytes each
     return found.select(

@@ -47,6 +47,17 @@ def test_only_texts_of_shared_keys_travel(spark):
     assert df.filter("group_size > 1").count() == 6 and "SortMergeJoin" not in plan
 
 
+def test_owners_compare_the_bytes_of_their_range(spark, monkeypatch):
+    """One range exchange brings texts to their owner; comparison and chains follow it without another."""
+    plans, cut = [], exact_dedup.cut
+    monkeypatch.setattr(exact_dedup, "cut", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()) if name == "chains" else None) or cut(df, name))
+    rows = [(i, sentence(i % 4, 30), "en", "s") for i in range(200)] + [(500 + i, "hot", "en", "s") for i in range(300)]
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(documents(spark, rows).repartition(9)).collect()}
+    assert got[0] == (196, 50) and got[500] == (799, 300)
+    plan = plans[0]
+    assert "Window" in plan and "rangepartitioning" in plan and "hashpartitioning" not in plan[: plan.index("rangepartitioning")]
+
+
 def test_null_ids_and_empty_table(spark):
     rows = [(None, "x", "en", "s"), (5, "x", "en", "s"), (None, "y", "en", "s")]
     got = sorted(((r["doc_id"], r["keep_id"], r["kept"]) for r in exact_dedup.exact_dedup(documents(spark, rows)).collect()), key=str)
