@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tapeloom.llm.common import cut, small, table, text_batches, whole_groups
 from tapeloom.llm.shingles import mix, word_hashes
@@ -27,6 +28,7 @@ PRIOR = 50.0  # words of unigram prior behind each bigram context
 ID_LIMIT = 500_000
 CHUNK = 4_000_000
 CHUNK_BYTES = 8_000_000  # text of a chunk of documents
+WIDEST = 1.5  # chunks of so many times CHUNK_BYTES are cut by their bytes
 BUCKET_BYTES = 16_000_000  # text behind a bucket of keys
 START = np.uint64(0x2545F4914F6CDD1C)  # context of a text's first word; even, as words' keys are odd
 OTHER = np.int64(0x5851F42D4C957F2D)  # stands for all words outside a bounded vocabulary
@@ -170,6 +172,20 @@ def total_counts(docs: DataFrame, buckets: int, shared) -> DataFrame:
     return asked.groupBy("bucket").applyInPandas(answer, "chunk long, bucket long, n long, counts binary, words long, target long, background long")
 
 
+def cut_points(docs: DataFrame, each: int) -> DataFrame:
+    """Runs of `each` rows that lie together and hold far more bytes than others: name, run, starts.
+
+    `starts` has the first row of each part but the first, so that a part holds at most WIDEST times CHUNK_BYTES and
+    one text. Only names, rows and lengths move.
+    """
+    rows = Window.partitionBy("name", "run").orderBy("row")
+    sized = docs.select(F.col("place.name").alias("name"), F.col("place.row").alias("row"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes")).withColumn("run", F.floor(F.col("row") / each))
+    before = F.coalesce(F.sum("bytes").over(rows.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = sized.select("name", "run", "row", before.alias("before"), F.sum("bytes").over(Window.partitionBy("name", "run")).alias("total")).filter(F.col("total") > WIDEST * CHUNK_BYTES)
+    part = F.floor(F.col("before") / int(WIDEST * CHUNK_BYTES))
+    return runs.groupBy("name", "run", part.alias("part")).agg(F.min("row").alias("start")).filter("part > 0").groupBy("name", "run").agg(F.sort_array(F.collect_list("start")).alias("starts"))
+
+
 def score(docs: DataFrame, target_col: str = "is_target", id_col: str = "doc_id", text_col: str = "text", vocabulary: int | None = None, near: Column | None = None) -> DataFrame:
     """Losses of every document: doc_id, n_words, loss_target, loss_background (bits a word), score.
 
@@ -177,7 +193,8 @@ def score(docs: DataFrame, target_col: str = "is_target", id_col: str = "doc_id"
     Every word has counts of its own unless `vocabulary` bounds their number; words equally frequent at its end are
     taken by hash. Without a target (or background) word its model is the smoothed uniform one. Repeated rows count
     as often as they occur. `near` is a pair of a column that rows lying together share and of a row's number within
-    it: chunks of such rows send fewer keys than hashed ones. Results don't depend on it.
+    it: chunks of such rows send fewer keys than hashed ones. Results don't depend on it. Runs of long texts are cut by
+    their bytes, so that a chunk holds 1.5 times CHUNK_BYTES and one text at most.
     """
     spark = docs.sparkSession
     text_batches(spark)
@@ -191,9 +208,15 @@ def score(docs: DataFrame, target_col: str = "is_target", id_col: str = "doc_id"
     rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     chunks, buckets = -(-size // CHUNK_BYTES) or 1, -(-size // BUCKET_BYTES) or 1
     each = -(-rows // chunks) or 1
-    hashed = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))
-    chunk = hashed if near is None else F.xxhash64("place.name", F.floor(F.col("place.row") / each))
-    docs = docs.withColumn("chunk", chunk).drop("place")
+    if near is None:
+        docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
+    else:
+        points = cut(cut_points(docs, each), "points")
+        run, name = F.floor(F.col("place.row") / each), F.col("place.name")
+        found = docs.join(small(points, points.count(), ID_LIMIT // 8), (name == F.col("name")) & (run == F.col("run")), "left")
+        part = F.coalesce(F.size(F.filter("starts", lambda x: x <= F.col("place.row"))), F.lit(0))
+        docs = found.withColumn("chunk", F.when(F.col("starts").isNull(), F.xxhash64(name, run)).otherwise(F.xxhash64(name, run, part)))
+    docs = docs.select("doc_id", "text", "is_target", "chunk")
     totals = cut(total_counts(docs, buckets, shared), "totals")
     words, n_target, n_background = totals.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "target", "background")]).first()
     match = n_target / n_background if n_target and n_background else 1.0

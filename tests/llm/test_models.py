@@ -196,6 +196,21 @@ def test_every_word_keeps_its_counts(spark, monkeypatch):
         assert len(found) == len(rows) and all(abs(found[i] - x) < 1e-4 for i, x in enumerate(want))
 
 
+def test_chunks_are_cut_by_bytes(spark, monkeypatch):
+    """Two files of equal numbers of rows, one of short and one of long texts: no chunk outgrows its bytes by more than a text."""
+    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 4000)
+    rows = [(i, sentence(i, 2 if i < 300 else 100), i % 5 == 0) for i in range(600)] + [(600, None, True), (601, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, is_target boolean").repartition(5)
+    near = F.struct(F.when(F.col("doc_id") < 300, "short").otherwise("long").alias("name"), F.col("doc_id").alias("row"))
+    chunks, total = [], lm_scoring.total_counts
+    monkeypatch.setattr(lm_scoring, "total_counts", lambda docs, *a: chunks.extend(docs.groupBy("chunk").agg(F.sum(F.octet_length("text")).alias("n")).collect()) or total(docs, *a))
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(df, near=near).collect()}
+    longest = max(len(t or "") for _, t, _ in rows)
+    assert len(chunks) > 20 and max(r["n"] or 0 for r in chunks) <= 6000 + longest
+    want = plain_scores([(t, bool(m)) for _, t, m in rows], 10**6)
+    assert all((got[i] is None) == (w is None) and (w is None or abs(got[i] - w) < 1e-4) for i, w in enumerate(want))
+
+
 def test_no_target_and_no_rows(spark):
     df = spark.createDataFrame([(1, "a b", None), (2, "a", False)], "doc_id long, text string, is_target boolean")
     assert all(r["score"] is not None for r in lm_scoring.score(df).collect())
