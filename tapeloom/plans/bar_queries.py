@@ -142,31 +142,19 @@ def _(spark, sf):
     return dataset_info(fx.table(spark, sf, "orders")).select("records", (F.col("files") > 0).alias("has_files"), (F.col("bytes") > 0).alias("has_bytes"))
 
 
-def _payload(spark, sf):
-    """Daily bars written as the nested JSON text that a vendor sends, one text a ticker."""
-    b = fx.bars_daily(spark, sf)
-    names = {"1. open": "open", "2. high": "high", "3. low": "low", "4. close": "close", "5. adjusted close": "adjusted_close", "6. volume": "volume"}
-    point = F.create_map(*[x for k, c in names.items() for x in (F.lit(k), F.col(c).cast("string"))])
-    g = b.groupBy("ticker").agg(F.map_from_entries(F.collect_list(F.struct(F.col("date").cast("string"), point))).alias("s"))
-    return g.select("ticker", F.to_json(F.create_map(F.lit("Time Series (Daily)"), F.col("s"))).alias("value"))
-
-
 @query("s6_daily_payload", ("bars_daily",), "SELECT ticker, date, open, high, low, close, adjusted_close, volume FROM bars_daily")
 def _(spark, sf):
     from tapeloom.sources.payloads import daily
 
-    return daily(_payload(spark, sf)).drop("dividend_amount", "split_coefficient")
+    raw = fx.payload_texts(fx.bars_daily(spark, sf), "date", "Time Series (Daily)", fx.DAILY, "year")
+    return daily(raw).drop("dividend_amount", "split_coefficient")
 
 
 @query("s7_hourly_payload", ("bars_hourly",), "SELECT ticker, datetime, date, hour, open, close, adjusted_close, volume FROM bars_hourly")
 def _(spark, sf):
     from tapeloom.sources.payloads import hourly
 
-    b = fx.bars_hourly(spark, sf)
-    names = {"1. open": "open", "2. high": "high", "3. low": "low", "4. close": "close", "5. volume": "volume"}
-    point = F.create_map(*[x for k, c in names.items() for x in (F.lit(k), F.col(c).cast("string"))])
-    g = b.groupBy("ticker").agg(F.map_from_entries(F.collect_list(F.struct(F.date_format("datetime", "yyyy-MM-dd HH:mm:ss"), point))).alias("s"))
-    raw = g.select("ticker", F.to_json(F.create_map(F.lit("Time Series (60min)"), F.col("s"))).alias("value"))
+    raw = fx.payload_texts(fx.bars_hourly(spark, sf), "datetime", "Time Series (60min)", fx.INTRADAY, "month")
     return hourly(raw).select("ticker", "datetime", "date", "hour", "open", "close", "adjusted_close", "volume")
 
 
@@ -175,7 +163,7 @@ def _(spark, sf):
     from tapeloom.sources.payloads import economic
 
     m = fx.macro_long(spark, sf).filter("indicator = 'gdp'")
-    raw = m.agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("date").cast("string").alias("date"), F.col("value").cast("string").alias("value"))).alias("data"))).alias("value"))
+    raw = m.groupBy(F.year("date")).agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("date").cast("string").alias("date"), F.col("value").cast("string").alias("value"))).alias("data"))).alias("value"))
     return economic(raw, "gdp")
 
 

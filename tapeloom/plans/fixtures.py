@@ -73,6 +73,18 @@ def predictions(spark, sf) -> DataFrame:
     return long.select("ticker", "prediction_date", F.substring("h", 2, 3).cast("int").alias("horizon_days"), "predicted_return", (1 / (1 + 20 * F.abs("predicted_return"))).alias("confidence_score"))
 
 
+DAILY = {"1. open": "open", "2. high": "high", "3. low": "low", "4. close": "close", "5. adjusted close": "adjusted_close", "6. volume": "volume"}
+INTRADAY = {"1. open": "open", "2. high": "high", "3. low": "low", "4. close": "close", "5. volume": "volume"}
+
+
+def payload_texts(bars: DataFrame, time: str, key: str, names: dict[str, str], period: str) -> DataFrame:
+    """Bars as the nested JSON that a vendor sends: ticker, value. A text holds one ticker and period, so none grows with the table."""
+    at = F.col(time).cast("string") if dict(bars.dtypes)[time] == "date" else F.date_format(time, "yyyy-MM-dd HH:mm:ss")
+    point = F.create_map(*[x for k, c in names.items() for x in (F.lit(k), F.col(c).cast("string"))])
+    texts = bars.groupBy("ticker", F.date_trunc(period, time).alias("period")).agg(F.map_from_entries(F.collect_list(F.struct(at.alias("at"), point.alias("x")))).alias("s"))
+    return texts.select("ticker", F.to_json(F.create_map(F.lit(key), F.col("s"))).alias("value"))
+
+
 SQL = {
     "ticks": "SELECT event_type AS ticker, ts, value AS price, event_id AS seq FROM events",
     "bars_hourly": """SELECT ticker, date_trunc('hour', ts) AS datetime, date_trunc('hour', ts)::DATE AS date, hour(date_trunc('hour', ts))::INT AS hour,

@@ -309,21 +309,10 @@ def _(spark, sf):
     return u.select("ticker", "sector", "market_cap", "sub_industry").crossJoin(files.all_tickers(u).agg(F.count("*").alias("tickers")))
 
 
-def _series(df, time: str, key: str, names: dict[str, str]):
-    """Bars as the payload text of each ticker."""
-    point = F.create_map(*[x for k, c in names.items() for x in (F.lit(k), F.col(c).cast("string"))])
-    g = df.groupBy("ticker").agg(F.map_from_entries(F.collect_list(F.struct(F.col(time).alias("at"), point.alias("x")))).alias("s"))
-    return g.select("ticker", F.to_json(F.create_map(F.lit(key), F.col("s"))).alias("value"))
-
-
-FIVE = {"1. open": "open", "2. high": "high", "3. low": "low", "4. close": "close", "5. volume": "volume"}
-
-
 @query("s8_intraday_payload", ("ticks",), "SELECT ticker, time_bucket(INTERVAL '30 minutes', ts) AS datetime, arg_min(price, (ts, seq)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, seq)) AS close, count(*) AS volume FROM ticks GROUP BY 1, 2")
 def _(spark, sf):
     b = bars.ticks_to_bars(fx.ticks(spark, sf), ["ticker", F.window("ts", "30 minutes")["start"].alias("datetime")], ["ts", "seq"])
-    raw = _series(b.withColumn("at", F.date_format("datetime", "yyyy-MM-dd HH:mm:ss")), "at", "Time Series (30min)", FIVE)
-    return payloads.intraday(raw, "30min")
+    return payloads.intraday(fx.payload_texts(b, "datetime", "Time Series (30min)", fx.INTRADAY, "month"), "30min")
 
 
 @query("s11_sector_payload", (), "SELECT o_orderpriority AS period, r_name AS sector, round(count(*) / 100, 6) AS performance FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2")
@@ -338,20 +327,18 @@ def _(spark, sf):
 @query("s15_landed_files", ("bars_daily", "bars_hourly", "sentiment"), """SELECT 'daily' AS kind, ticker, date::TIMESTAMP AS at, close FROM bars_daily UNION ALL SELECT 'hourly', ticker, datetime, close FROM bars_hourly
  UNION ALL SELECT 'sentiment', symbol, date_trunc('second', timestamp), overall_sentiment_score FROM sentiment""")
 def _(spark, sf):
-    """Payload files of every ticker, one folder a ticker, of three kinds."""
+    """Payload files of every ticker, one folder a ticker, of three kinds; a file holds one payload."""
     n = fx.sentiment(spark, sf)
     own = F.array(F.struct(F.col("symbol").alias("ticker"), F.lit("0.5").alias("relevance_score"), F.col("overall_sentiment_score").cast("string").alias("ticker_sentiment_score")))
     page = n.groupBy(F.col("symbol").alias("ticker"), _pages(n).alias("page")).agg(F.collect_list(F.struct("title", F.date_format("timestamp", "yyyyMMdd'T'HHmmss").alias("time_published"), F.lit("wire").alias("source"), "overall_sentiment_score", own.alias("ticker_sentiment"))).alias("feed"))
-    daily = fx.bars_daily(spark, sf).withColumn("at", F.col("date").cast("string"))
-    hourly = fx.bars_hourly(spark, sf).withColumn("at", F.date_format("datetime", "yyyy-MM-dd HH:mm:ss"))
     landed = {
-        "daily": _series(daily, "at", "Time Series (Daily)", {"4. close": "close", "6. volume": "volume"}), "hourly": _series(hourly, "at", "Time Series (60min)", FIVE), "sentiment": page.select("ticker", F.to_json(F.struct("feed")).alias("value"), "page"),
+        "daily": fx.payload_texts(fx.bars_daily(spark, sf), "date", "Time Series (Daily)", {"4. close": "close", "6. volume": "volume"}, "year"),
+        "hourly": fx.payload_texts(fx.bars_hourly(spark, sf), "datetime", "Time Series (60min)", fx.INTRADAY, "month"), "sentiment": page.select("ticker", F.to_json(F.struct("feed")).alias("value")),
     }
     time, out = {"daily": F.col("date").cast("timestamp_ntz"), "hourly": F.col("datetime"), "sentiment": F.col("timestamp")}, None
     for kind, raw in landed.items():
         path = _folder(spark, kind)
-        # a file holds one payload
-        raw.repartition(max(1, raw.count()), *[c for c in ("ticker", "page") if c in raw.columns]).select("ticker", "value").write.partitionBy("ticker").option("maxRecordsPerFile", 1).text(path)
+        raw.write.partitionBy("ticker").option("maxRecordsPerFile", 1).text(path)
         got = files.scan_landed(spark, path, kind).withColumnsRenamed({"symbol": "ticker", "overall_sentiment_score": "close"} if kind == "sentiment" else {})
         one = got.select(F.lit(kind).alias("kind"), "ticker", time[kind].alias("at"), "close")
         out = one if out is None else out.unionByName(one)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tapeloom import schemas
 from tapeloom.operators import backfill, calendar
+from tapeloom.plans import fixtures
 from tapeloom.plans.catalog import QUERIES
 from tapeloom.sources import files, sinks
 from tapeloom.streaming import streams
@@ -73,6 +74,18 @@ def test_universe(spark):
     assert files.all_tickers(u).count() == 2 and [r["ticker"] for r in files.constituents(u, "ticker").collect()] == ["A"]
 
 
+def test_payload_texts_are_bounded(spark, tmp_path):
+    """A long series is many texts of one period each, in files of one text each, and comes back whole."""
+    days = spark.range(3000).select(F.lit("A").alias("ticker"), F.date_add(F.lit("2010-01-01").cast("date"), F.col("id").cast("int")).alias("date"), (F.col("id") + 0.5).alias("close"), F.col("id").alias("volume"))
+    texts = fixtures.payload_texts(days, "date", "Time Series (Daily)", {"4. close": "close", "6. volume": "volume"}, "year")
+    assert texts.count() == 9 and texts.agg(F.max(F.length("value"))).first()[0] < 366 * 80
+    path = str(tmp_path / "landed")
+    texts.write.partitionBy("ticker").option("maxRecordsPerFile", 1).text(path)
+    assert len([f for f in os.listdir(os.path.join(path, "ticker=A")) if f.endswith(".txt")]) == 9
+    got = files.scan_landed(spark, path, "daily").select("date", "close", "volume")
+    assert got.count() == 3000 and got.exceptAll(days.select("date", "close", "volume")).count() == 0
+
+
 def test_landed_files(spark, tmp_path):
     (tmp_path / "AAA.json").write_text('{"Time Series (60min)": {"2024-01-02 10:00:00": {"1. open": "1", "4. close": "2", "5. volume": "3"}}}')
     (tmp_path / "BBB.json").write_text('{"Error Message": "x"}')
