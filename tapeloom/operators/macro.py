@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,13 +125,22 @@ def daily_sentiment(news: DataFrame, score: str = "overall_sentiment_score") ->
     return g.withColumns({"sentiment_strength": F.abs("sentiment_mean"), "sentiment_trend": F.col("sentiment_mean") - F.first("sentiment_mean").over(three)})
 
 
-def bias(x):
-    return F.when(x > 0.1, "bullish").when(x < -0.1, "bearish").otherwise("neutral")
+def bias(x, edge=0.1):
+    return F.when(x > edge, "bullish").when(x < -edge, "bearish").otherwise("neutral")
+
+
+def mean_bias(score: str):
+    """Bias of the mean score, an aggregate. A mean at 0.1 is neutral in whatever order rows are added: sums are of
+    decimals of 18 places, against a tenth of the count. A symbol with scores that aren't such decimals (not finite,
+    1e10 or more) goes by its mean in doubles."""
+    exact = F.col(score).try_cast("decimal(28,18)")
+    tenths = (F.count(score) * F.lit(Decimal("0.1"))).cast("decimal(38,18)")
+    return F.when(F.count(exact) == F.count(score), bias(F.sum(exact), tenths)).otherwise(bias(F.avg(score)))
 
 
 def sentiment_summary(news: DataFrame, score: str = "overall_sentiment_score") -> DataFrame:
-    g = news.groupBy("symbol").agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("last"), F.count("*").alias("articles"), F.avg(score).alias("mean"), F.stddev(score).alias("std"), F.min(score).alias("lowest"), F.max(score).alias("highest"))
-    return g.withColumns({"days": F.datediff("last", "first"), "bias": bias(F.col("mean"))})
+    g = news.groupBy("symbol").agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("last"), F.count("*").alias("articles"), F.avg(score).alias("mean"), F.stddev(score).alias("std"), F.min(score).alias("lowest"), F.max(score).alias("highest"), mean_bias(score).alias("bias"))
+    return g.withColumn("days", F.datediff("last", "first")).select(*[c for c in g.columns if c != "bias"], "days", "bias")
 
 
 def bias_distribution(summary: DataFrame) -> DataFrame:

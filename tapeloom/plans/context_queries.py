@@ -194,7 +194,9 @@ def _by_user(spark, sf):
     return e.select(F.col("user_id").cast("string").alias("symbol"), F.col("ts").alias("timestamp"), ((F.col("event_id") * 37 % 201 - 100) / 100).alias("overall_sentiment_score"))
 
 
-@query("a18_bias_distribution", (), "SELECT bias, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS percent FROM (SELECT CASE WHEN mean > 0.1 THEN 'bullish' WHEN mean < -0.1 THEN 'bearish' ELSE 'neutral' END AS bias FROM m) GROUP BY bias", BY_USER)
+# scores in hundredths, so that means at 0.1 don't depend on the order of a sum of doubles
+@query("a18_bias_distribution", (), "SELECT bias, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS percent FROM (SELECT CASE WHEN total > 10 * n THEN 'bullish' WHEN total < -10 * n THEN 'bearish' ELSE 'neutral' END AS bias FROM m) GROUP BY bias",
+       {"u": "SELECT user_id::VARCHAR AS symbol, (event_id * 37) % 201 - 100 AS hundredths FROM events", "m": "SELECT symbol, sum(hundredths) AS total, count(hundredths) AS n FROM u GROUP BY symbol"})
 def _(spark, sf):
     return rounded(macro.bias_distribution(macro.sentiment_summary(_by_user(spark, sf))), 6)
 

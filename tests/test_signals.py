@@ -137,3 +137,12 @@ def test_macro_features(spark):
     w = macro.wide(macro.derive(q), ["gdp"])
     assert w.filter("gdp is null").count() == 0 or w.count() > 300
     assert macro.categorise(spark.createDataFrame([(-1.0,), (-0.35,), (0.0,), (1.0,)], "overall_sentiment_score double")).agg(F.count("category_rank")).first()[0] == 3
+
+
+def test_bias_at_the_threshold(spark):
+    inf, nan = float("inf"), float("nan")
+    scores = {"at": [0.1, 0.2, 0.0], "at_low": [-0.1, -0.2, 0.0], "above": [0.1, 0.1, 0.1 + 1e-15], "below": [-0.2, -0.1, -1e-9], "null": [None], "some": [None, 0.5], "huge": [1e20, 1e20], "minus": [-inf, 0.0], "nan": [nan]}
+    news = spark.createDataFrame([(k, dt.datetime(2024, 1, 1), s) for k, v in scores.items() for s in v], "symbol string, timestamp timestamp, overall_sentiment_score double")
+    got = {r["symbol"]: r["bias"] for r in macro.sentiment_summary(news).collect()}
+    assert got == {"at": "neutral", "at_low": "neutral", "above": "bullish", "below": "bearish", "null": "neutral", "some": "bullish", "huge": "bullish", "minus": "bearish", "nan": "bullish"}
+    assert {r["bias"]: r["n"] for r in macro.bias_distribution(macro.sentiment_summary(news)).collect()} == {"neutral": 3, "bullish": 4, "bearish": 2}
