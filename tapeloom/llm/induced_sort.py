@@ -1,7 +1,8 @@
 """External induced suffix sorting of one shard of text, with the common prefixes of neighbours.
 
 The suffixes that are smaller than their left neighbour's (S*-suffixes) are sorted first: their substrings are named
-by rank, through sorted runs, and the text of names, at most half as long, is sorted by recursion. Then a priority
+by rank, through sorted runs, and the text of names, at most half as long, is sorted by recursion; where only some
+symbols of each suffix decide, the recursion ends with names of which a few decide, ranked through sorted runs. Then a priority
 queue ordered by (first symbol, rank of the rest) yields all suffixes: popping a suffix pushes the one that starts a
 symbol before it, first for the suffixes that are larger than their rest, then, from the other end, for those that are
 smaller. As pushes of one symbol arrive in rank order, the queue keeps one file with a bucket a symbol and a head in
@@ -25,6 +26,7 @@ import numpy as np
 
 IN_MEMORY = 1 << 24
 BLOCK = 1 << 20
+FEW = 8  # symbols by which suffixes are ranked without induction
 
 
 class Store:
@@ -324,22 +326,51 @@ def _number(runs: Runs, out: np.ndarray) -> int:
     return n
 
 
-def suffix_order(text: np.ndarray, symbols: int, cap: int = 255, store: Store | None = None) -> tuple[np.ndarray, np.ndarray]:
+def ranked(store: Store, text: np.ndarray, symbols: int, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """suffix_order for few symbols: ranks of one symbol, then of twice as many a round, through sorted runs."""
+    n = len(text)
+    rank, d = text, 1  # below `symbols`
+    while d < cap and (d == 1 or symbols < n):
+        pairs = Runs(store)
+        for lo in range(0, n, BLOCK):
+            # what ends before the second half is told apart by the end, which occurs once
+            then = np.minimum(np.arange(lo + d, min(n, lo + BLOCK) + d), n - 1)
+            pairs.push(np.asarray(rank[lo : lo + BLOCK]).astype(np.int64) * symbols + rank[then], np.arange(lo, min(n, lo + BLOCK), dtype=np.int32))
+        rank, d = store.array(n, np.int32, 0), 2 * d
+        symbols = _number(pairs, rank)
+    last, order, equal = Runs(store), store.array(n, np.int32), store.array(n, np.uint8, 0)
+    for lo in range(0, n, BLOCK):
+        last.push(np.asarray(rank[lo : lo + BLOCK]), np.arange(lo, min(n, lo + BLOCK), dtype=np.int32))
+    at = 0
+    for _, places in last.pop():
+        order[at : at + len(places)] = places
+        at += len(places)
+    for lo in range(1, n, BLOCK):
+        a, b = np.asarray(order[lo : lo + BLOCK]).astype(np.int64), np.asarray(order[lo - 1 : min(n, lo + BLOCK) - 1]).astype(np.int64)
+        equal[lo : lo + BLOCK] = common(text, a, b, np.full(len(a), cap))
+    return order, equal
+
+
+def suffix_order(text: np.ndarray, symbols: int, cap: int = 255, store: Store | None = None, whole: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Positions of all suffixes in order, and the common prefix of each with the one before it, up to `cap`.
 
-    The last symbol must be 0 and occur there only.
+    The last symbol must be 0 and occur there only. Unless the `whole` suffixes are to be in order, those that share
+    `cap` symbols stand together in any order, and the recursion ends where FEW symbols decide.
     """
     store = store or Store()
     n = len(text)
     if n <= 2:
         return np.arange(n - 1, -1, -1, dtype=np.int32), np.zeros(n, np.uint8)
+    if not whole and cap <= FEW:
+        return ranked(store, text, symbols, cap)
     smaller = kinds(store, text)
     star = starts(store, smaller)
     m = len(star)
     if m > 1:
         names, distinct = substring_names(store, text, symbols, smaller, star)
         if distinct < m:
-            order, equal = suffix_order(names, distinct, cap, store)
+            # a name stands for two symbols or more, so half as many names decide
+            order, equal = suffix_order(names, distinct, cap if whole else (cap + 1) // 2, store, whole)
         else:
             order, equal = store.array(m, np.int32), store.array(m, np.uint8, 0)
             for at in range(0, m, BLOCK):

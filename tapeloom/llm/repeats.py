@@ -32,8 +32,9 @@ from tapeloom.llm.shingles import _WEIGHT, mix, powers
 
 SPAN, K = 200, 64
 PART = 16  # windows in a part
-SLICE = 180_000  # bytes hashed at once; positions within them take PLACE bits
+SLICE = 60_000  # bytes hashed at once, few enough for a core's cache; positions within them take PLACE bits
 PLACE = 18
+MANY = 10_000  # segments handed on at once
 ID_LIMIT = 500_000
 HOT, HOT_KEYS, SALTS = 20_000, 100_000, 64  # segments of a hot key, hot keys at most, tasks that share one
 QUEUE_MEMORY = 1 << 22  # entries of a shard above which its queues lie in files
@@ -47,26 +48,28 @@ def segments(data: np.ndarray, edges: np.ndarray, span: int, k: int) -> tuple[np
         return none, none, none, none, none
     up, down = powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_WEIGHT[data] * up[:n], out=sums[1:])
-    grams = mix((sums[k:] - sums[:-k]) * down[: n - k + 1])
+    np.cumsum(_WEIGHT.take(data) * up[:n], out=sums[1:])
+    grams = sums[k:] - sums[:-k]
+    grams *= down[: n - k + 1]
+    mix(grams)
     low = np.uint64((1 << PLACE) - 1)
-    m = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
+    m = grams & ~low
+    m |= np.arange(len(grams), dtype=np.uint64)
     w = 1
     while 2 * w <= wide:
         m = np.minimum(m[:-w], m[w:])
         w *= 2
     if w < wide:
         m = np.minimum(m[: w - wide], m[wide - w :])
-    anchor = (m & low).astype(np.int64)
-    p = np.arange(n - span + 1)
-    text = np.searchsorted(edges, p, side="right") - 1
-    p = p[p + span <= edges[text + 1]]
-    if not len(p):
-        return none, none, none, none, none
-    a, text = anchor[p], text[p]
-    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (text[1:] != text[:-1])]))
-    lo, count = p[first], np.diff(np.concatenate([first, [len(p)]]))
-    return text[first], lo, count, a[first] - lo, grams[a[first]].view(np.int64)
+    # a segment begins where the anchor's place changes or a text begins, and ends before the next and in its text
+    lo = np.union1d(np.flatnonzero(m[1:] != m[:-1]) + 1, edges[:-1])
+    lo = lo[lo < len(m)]
+    text = np.searchsorted(edges, lo, side="right") - 1
+    hi = np.minimum(np.append(lo[1:], len(m)), edges[text + 1] - span + 1)
+    real = hi > lo
+    text, lo, hi = text[real], lo[real], hi[real]
+    anchor = (m[lo] & low).astype(np.int64)
+    return text, lo, hi - lo, anchor - lo, grams[anchor].view(np.int64)
 
 
 def names(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, size: int = 8) -> np.ndarray:
@@ -103,11 +106,12 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def anchor_counts(rows: DataFrame, span: int, k: int) -> DataFrame:
-    """How many segments each anchor hash has: h, c. Each run of texts adds up first."""
+    """How many segments each anchor hash has: h, c. Each batch of texts adds up first."""
     def run(batches):
         for batch in batches:
-            for _, _, data, edges in runs(batch.column(0), span):
-                h, c = np.unique(segments(data, edges, span, k)[4], return_counts=True)
+            found = [segments(data, edges, span, k)[4] for _, _, data, edges in runs(batch.column(0), span)]
+            if found:
+                h, c = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c)], ["h", "c"])
 
     return rows.select("data").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
@@ -115,13 +119,23 @@ def anchor_counts(rows: DataFrame, span: int, k: int) -> DataFrame:
 
 def all_segments(rows: DataFrame, span: int, k: int) -> DataFrame:
     """Segments with the digest of their bytes: h, digest, n (starts), off (of the anchor), id, key, lo (first start)."""
+    def rows_of(part) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*part, strict=True)], ["h", "digest", "n", "off", "id", "key", "lo"])
+
     def run(batches):
         for batch in batches:
             ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            part, size = [], 0
             for first, at, data, edges in runs(batch.column(2), span):
                 text, lo, count, off, h = segments(data, edges, span, k)
                 row, digest = first + text, names(data, lo, lo + count - 1 + span)[:, 0]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, digest, count.astype(np.int32), off.astype(np.int32), ids[row], keys[row], lo - edges[text] + at)], ["h", "digest", "n", "off", "id", "key", "lo"])
+                part.append((h, digest, count.astype(np.int32), off.astype(np.int32), ids[row], keys[row], lo - edges[text] + at))
+                size += len(h)
+                if size >= MANY:
+                    yield rows_of(part)
+                    part, size = [], 0
+            if part:
+                yield rows_of(part)
 
     return rows.select("id", "key", "data").mapInArrow(run, "h long, digest long, n int, off int, id long, key long, lo long")
 
@@ -152,7 +166,7 @@ def solve(core: np.ndarray, sides: np.ndarray, first: np.ndarray, count: np.ndar
         grid[:, PART - 1] = core + 258
         grid[:, PART:-1] = sides[:, PART - 1 :].astype(np.int32) + 2
         grid[:, -1] = 1  # parts the rows; 0 ends the text
-        order, prefix = suffix_order(text, int(core.max()) + 259, PART, store)
+        order, prefix = suffix_order(text, int(core.max()) + 259, PART, store, whole=False)
         repeated = np.zeros((m, PART), bool)
         last, least = -1, PART  # the window before, and the least common prefix since
         for at in range(0, len(order), 1 << 20):
@@ -279,11 +293,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hot = twice.filter(F.col("c") > hot_from).select("h")
     found = cut(spread_join(all_segments(rows, span, k), twice.select("h"), ["h"], hot, ["id", "lo"]), "segments")
     same = ["h", "digest", "n", "off"]
-    classes = cut(found.groupBy(*same).agg(F.count("*").alias("c"), F.min(F.struct("id", "key", "lo")).alias("one")), "classes")
+    # any member stands for its class; the three come from one row, and columns of their own need no sort
+    classes = cut(found.groupBy(*same).agg(F.count("*").alias("c"), *[F.first(x).alias(x) for x in ("id", "key", "lo")]), "classes")
     again = classes.filter("c > 1")
     whole = spread_join(found, again.select(*same), same, again.filter(F.col("c") > hot_from), ["id", "lo"]).select("id", "key", "lo", "n")
     open_ = classes.groupBy("h").agg(F.count("*").alias("k"), F.count_if(F.col("c") == 1).alias("s")).filter("k > 1 and s > 0")
-    pieces = cut(spread_join(classes, open_.select("h"), ["h"], hot, ["digest"]).select("one.*", "n", "off", (F.col("c") == 1).alias("single")), "open")
+    pieces = cut(spread_join(classes, open_.select("h"), ["h"], hot, ["digest"]).select("id", "key", "lo", "n", "off", (F.col("c") == 1).alias("single")), "open")
     parts = cut(cut_parts(rows, pieces, span), "parts")
     # a core that one part has can't repeat
     groups = parts.groupBy("core1", "core2").agg(F.count("*").alias("k"), F.count_if("single").alias("s")).filter("k > 1 and s > 0").select("core1", "core2", (F.col("k") > most).alias("wide"))

@@ -112,3 +112,52 @@ def test_a_shard_far_larger_than_its_memory(tmp_path, monkeypatch):
         assert all((kind is np.memmap) == (n > 10_000) for n, kind in made)
         at = np.asarray(order)[:: 10_007].tolist()
         assert all(x[a : a + 400].tolist() <= x[b : b + 400].tolist() for a, b in zip(at, at[1:], strict=False))
+
+
+@pytest.mark.parametrize("cap", [1, 5, 16, 40])
+@pytest.mark.parametrize("small", [False, True])
+def test_order_of_the_first_symbols(monkeypatch, tmp_path, small, cap):
+    """As many symbols as count are in order, with right common prefixes, and names are ranked where few decide."""
+    if small:
+        monkeypatch.setattr(induced_sort, "BLOCK", 5)
+    ranked, induce, sorts, inductions = induced_sort.ranked, induced_sort.induce, [], []
+    monkeypatch.setattr(induced_sort, "ranked", lambda *a: sorts.append(a[-1]) or ranked(*a))
+    monkeypatch.setattr(induced_sort, "induce", lambda *a: inductions.append(a[-1]) or induce(*a))
+    g = np.random.default_rng(3)
+    texts = [g.integers(0, g.integers(1, 6), g.integers(0, 70)) for _ in range(80)] + [[3] * 300, [1, 2] * 150, list(range(200)), [1, 2, 3, 1, 2] * 40, g.integers(0, 400, 600), np.tile(g.integers(0, 9, 90), 4)]
+    for t in texts:
+        x = np.append(np.asarray(t, np.int64) + 1, 0).astype(np.int32)
+        with induced_sort.Store(str(tmp_path), 8 if small else None) as store:
+            order, prefix = (np.asarray(a).tolist() for a in induced_sort.suffix_order(store.keep(x), int(x.max()) + 1, cap, store, whole=False))
+            assert sorted(order) == list(range(len(x)))
+            seen = [x[i : i + cap].tolist() for i in order]
+            assert seen == sorted(seen)
+            assert prefix[1:] == [next((k for k in range(cap) if x[a + k] != x[b + k]), cap) for a, b in zip(order, order[1:], strict=False)]
+    assert sorts and max(sorts) <= induced_sort.FEW and (inductions or cap <= induced_sort.FEW)
+    assert cap != 16 or set(inductions) == {16}  # one level of induction for parts, the rest is ranked
+    assert not list(tmp_path.iterdir())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_segments_against_a_plain_search(seed):
+    """The leftmost smallest hash of each window, for texts with empty and short ones between them."""
+    g = np.random.default_rng(seed)
+    texts = [g.integers(97, 97 + g.integers(1, 9), n).astype(np.uint8) for n in [0, 30, *g.integers(0, 300, 12), 0, 19, 20, 21, 0]]
+    data, edges = np.concatenate(texts), np.cumsum([0, *map(len, texts)])
+    text, lo, count, off, h = repeats.segments(data, edges, 20, 8)
+    assert [(t, p) for t, a, n in zip(text, lo, count, strict=True) for p in range(a, a + n)] == [(t, p) for t in range(len(texts)) for p in range(edges[t], edges[t + 1] - 19)]
+    anchors = {p: (a + o, v) for a, n, o, v in zip(lo, count, off, h, strict=True) for p in range(a, a + n)}
+    values = {}
+    for at, v in anchors.values():
+        assert values.setdefault(data[at : at + 8].tobytes(), v) == v
+    assert all(p <= at <= p + 12 for p, (at, _) in anchors.items())
+    assert (np.diff(lo) > 0).all() and all(t != u or a + o != b + q for t, u, a, b, o, q in zip(text, text[1:], lo, lo[1:], off, off[1:], strict=False))
+
+
+def test_a_repeat_across_slices(spark):
+    g = random.Random(9)
+    base = "".join(g.choice("abcdefghij") for _ in range(3 * repeats.SLICE))
+    at = repeats.SLICE - 100
+    rows = [(1, base, "en", "s"), (2, base[at : at + 230] + "x" * 50, "en", "s"), (3, base[2 * at : 2 * at + 199], "en", "s")]
+    got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.remove_repeats(documents(spark, rows)).collect()), key=str)
+    assert [(r[0], r[2], r[3]) for r in got] == [(1, 230, 1), (2, 230, 1), (3, 0, 0)]
